@@ -117,7 +117,7 @@ class Bed:
         return J.value_failures(self.events(), self.channels(), self.spec)
 
     def candidates(self) -> DataFrame:
-        return J.fault_candidates(self.events(), self.link(), self.failures(), self.spec)
+        return self.stage("candidates", lambda: J.fault_candidates(self.events(), self.link(), self.failures(), self.spec))
 
     def faults(self) -> DataFrame:
         return self.stage("faults", lambda: J.finalise_faults(

@@ -11,7 +11,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lullwatch.functions.risk import health, risk_level
 from lullwatch.functions.values import classify_values
+from lullwatch.plans import features as X
 from lullwatch.plans import journal as J
 from lullwatch.session import write_stage
 from lullwatch.spec import JournalSpec
@@ -122,3 +124,82 @@ class Bed:
     def faults(self) -> DataFrame:
         return self.stage("faults", lambda: J.finalise_faults(
             self.candidates(), self.link(), self.norm(), self.clock(), self.channels(), self.objects(), self.spec))
+
+    # ---- predictions, decisions, orders
+    def predictions(self) -> DataFrame:
+        """A prediction per active channel every six hours: the probability is a fixed formula of recent counters."""
+        return self.stage("predictions", self._predictions)
+
+    def _predictions(self) -> DataFrame:
+        spec = self.spec
+        moments = X.slices(self.norm(), self.channels(), "hourly", SLICE_FROM, SLICE_TO).filter(F.hour("T") % 6 == 0)
+        f_hours = X.fault_hours(self.faults(), spec)
+        rec = X.recoveries(self.faults(), self.gaps_eff(), spec)
+        c = X.channel_counters(moments, self.hourly(), f_hours, rec, spec)
+        points = F.least(F.lit(9900), 200 + 2500 * F.least("fall_24h", F.lit(2)) + 900 * F.col("fall_7d") + 60 * F.col("ev_7d")
+                         + 400 * F.col("fault_30d"))
+        end = F.col("T") + F.expr("INTERVAL 24 HOURS")
+        hit = F.coalesce(F.col("next_fault_ts") <= end, F.lit(False))
+        closed = end <= F.lit(spec.data_end).cast("timestamp")
+        kinds = {"link": "flnk_30d", "fault": "fflt_30d", "disconnected": "fdsc_30d", "value": "fvf_30d"}
+        weight = F.col("flnk_30d") + F.col("fflt_30d") + F.col("fdsc_30d") + F.col("fvf_30d") + 4
+        out = c.withColumn("prob", (points / 10000.0))
+        out = out.withColumn("health", health(F.col("prob")))
+        return out.select(
+            (F.unix_timestamp("T") / 3600).cast("long").alias("_h"), F.col("ch").alias("channel_id"), F.col("T").alias("at"),
+            F.lit(24).alias("horizon_h"), "prob", "health", risk_level(F.col("health")).alias("risk_level"),
+            F.lit("v3").alias("model_version"), "fall_24h", "fall_7d", "ev_7d", "fault_30d", "chg_24h",
+            *[((F.col(k) + 1) / weight).alias(f"p_{n}") for n, k in kinds.items()],
+            F.when(closed, hit).alias("happened"), F.when(closed & hit, F.col("next_fault_ts")).alias("fault_at"),
+            F.when(closed & hit, F.col("next_fault_kind")).alias("fault_kind"),
+        ).withColumn("id", F.col("_h") * 1_000_000_000 + F.col("channel_id")).drop("_h")
+
+    def scored(self) -> DataFrame:
+        """Closed predictions as a scored table."""
+        p = self.predictions().filter(F.col("happened").isNotNull())
+        c = self.channels().select(F.col("id").alias("channel_id"), "sensor_type", "system_type")
+        return p.join(c, "channel_id").select(
+            F.col("at").alias("T"), F.col("channel_id").alias("ch"), F.col("prob").alias("p"), F.col("happened").cast("int").alias("y"),
+            "fault_at", "fault_kind", "sensor_type", "system_type", F.col("fall_7d").alias("faults_7d"), "ev_7d", "chg_24h",
+            "fault_30d", "fall_24h")
+
+    def outcomes(self) -> DataFrame:
+        p = self.predictions().filter(F.col("happened").isNotNull())
+        return p.select(F.col("id").alias("prediction_id"), "happened", "fault_at", "fault_kind")
+
+    def _orders(self) -> DataFrame:
+        minutes = F.col("o_orderkey") * 7919 % 31680
+        created = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-08").cast("timestamp")) + minutes * 60)
+        o = self.table("orders").withColumn("created_at", created)
+        slot = F.floor(F.unix_timestamp("created_at") / 21600) * 6
+        return o.withColumn("pred", slot * 1_000_000_000 + F.col("o_custkey"))
+
+    def decisions(self) -> DataFrame:
+        s = F.col("o_orderstatus")
+        d = self._orders().select(
+            F.col("o_orderkey").alias("id"), F.col("pred").alias("prediction_id"),
+            F.when(s == "F", "dispatch").when(s == "O", "monitor").otherwise("false_alarm").alias("decision_type"),
+            F.substring("o_orderpriority", 1, 1).cast("int").alias("reason_id"), "created_at",
+            F.concat(F.lit("="), F.col("o_orderpriority")).alias("comment"))
+        return d.join(self.predictions().select(F.col("id").alias("prediction_id")), "prediction_id", "left_semi")
+
+    def reasons(self) -> DataFrame:
+        """Reasons by number: each fits one decision type, the last one is retired."""
+        n = F.substring("o_orderpriority", 1, 1).cast("int")
+        r = self.table("orders").select(n.alias("id"), F.col("o_orderpriority").alias("name")).distinct()
+        return r.withColumns({
+            "decision_type": F.when(F.col("id") <= 2, "dispatch").when(F.col("id") == 3, "monitor").otherwise("false_alarm"),
+            "is_active": F.col("id") < 5})
+
+    def work_orders(self) -> DataFrame:
+        n = F.substring("o_orderpriority", 1, 1).cast("int")
+        status = (F.when(n == 1, "done").when(n == 2, "in_progress").when(n == 3, "submitted").when(n == 4, "draft").otherwise("cancelled"))
+        hours = F.floor("o_totalprice").cast("long") % 100 + 1
+        closed = F.timestamp_seconds(F.unix_timestamp("created_at") + hours * 3600)
+        s = F.col("o_orderstatus")
+        w = self._orders().select(
+            F.col("o_orderkey").alias("id"), F.concat(F.lit("WO-"), F.col("o_orderkey").cast("string")).alias("number"),
+            F.col("o_custkey").alias("channel_id"), F.col("pred").alias("prediction_id"), status.alias("status"), "created_at",
+            F.when(n.isin(1, 5), closed).alias("closed_at"),
+            F.when(s == "F", "high").when(s == "O", "medium").otherwise("low").alias("priority"))
+        return w.join(self.channels().select(F.col("id").alias("channel_id"), "object_id"), "channel_id")

@@ -169,3 +169,43 @@ cte("faults", "fgrp zo zp outages", """
    OR EXISTS (SELECT 1 FROM zp z WHERE (z.day - z.d0 = 1 OR z.d1 - z.day = 1) AND z.pid = f.pid AND z.st = f.st
            AND (z.day = f.ts::DATE OR z.day = f.ts::DATE + 1)) AS grp_day
    FROM fgrp f)""")
+
+# ---- predictions, decisions, orders
+cte("pmoment", "norm", """SELECT ch, unnest(generate_series(day::TIMESTAMP, day::TIMESTAMP + INTERVAL 18 HOUR, INTERVAL 6 HOUR)) AS t FROM norm
+ WHERE n_ev_30d > 0 AND day >= DATE '2024-01-08' AND day < DATE '2024-01-30'""")
+cte("pclean", "faults", """SELECT ch, ts, kind FROM faults WHERE NOT mass AND NOT grp AND NOT in_outage
+  AND (kind <> 'VALUE_FAILURE' OR sub IN ('date_1970', 'gas_anomaly'))""")
+cte("pfault", "pmoment pclean", """SELECT m.ch, m.t, min(f.ts) FILTER (WHERE f.ts > t) AS nx, min({'ts': f.ts, 'kind': f.kind}) FILTER (WHERE f.ts > t).kind AS nk,
+ count(*) FILTER (WHERE f.ts <= t AND f.ts > t - INTERVAL 24 HOUR) AS fall_24h, count(*) FILTER (WHERE f.ts <= t AND f.ts > t - INTERVAL 48 HOUR) AS fall_7d,
+ count(*) FILTER (WHERE f.kind = 'LINK_LOSS' AND f.ts <= t AND f.ts > t - INTERVAL 168 HOUR) AS k_link,
+ count(*) FILTER (WHERE f.kind = 'FAULT' AND f.ts <= t AND f.ts > t - INTERVAL 168 HOUR) AS k_fault,
+ count(*) FILTER (WHERE f.kind = 'DISCONNECTED' AND f.ts <= t AND f.ts > t - INTERVAL 168 HOUR) AS k_disc,
+ count(*) FILTER (WHERE f.kind = 'VALUE_FAILURE' AND f.ts <= t AND f.ts > t - INTERVAL 168 HOUR) AS k_value
+ FROM pmoment m LEFT JOIN pclean f ON f.ch = m.ch GROUP BY 1, 2""")
+cte("pev", "pmoment hourly", """SELECT m.ch, m.t, coalesce(sum(n_ev) FILTER (WHERE h.hour >= t - INTERVAL 48 HOUR), 0)::BIGINT AS ev_7d,
+ coalesce(sum(n_chg) FILTER (WHERE h.hour >= t - INTERVAL 24 HOUR), 0)::BIGINT AS chg_24h, coalesce(sum(n_fault), 0)::BIGINT AS fault_30d
+ FROM pmoment m LEFT JOIN hourly h ON h.ch = m.ch AND h.hour < m.t AND h.hour >= m.t - INTERVAL 168 HOUR GROUP BY 1, 2""")
+cte("preds", "pfault pev", """SELECT *, CASE WHEN health >= 80 THEN 'normal' WHEN health >= 50 THEN 'attention' WHEN health >= 20 THEN 'risk' ELSE 'critical' END AS risk_level
+ FROM (SELECT *, round_even(100 * (1 - prob), 0)::INT AS health FROM (
+  SELECT (epoch(f.t) / 3600)::BIGINT * 1000000000 + f.ch AS id, f.ch AS channel_id, f.t AS "at", 24 AS horizon_h, 'v3' AS model_version,
+  least(9900, 200 + 2500 * least(fall_24h, 2) + 900 * fall_7d + 60 * ev_7d + 400 * fault_30d) / 10000.0::DOUBLE AS prob,
+  fall_24h, fall_7d, ev_7d, chg_24h, fault_30d,
+  (k_link + 1) / (k_link + k_fault + k_disc + k_value + 4) AS p_link, (k_fault + 1) / (k_link + k_fault + k_disc + k_value + 4) AS p_fault,
+  (k_disc + 1) / (k_link + k_fault + k_disc + k_value + 4) AS p_disconnected, (k_value + 1) / (k_link + k_fault + k_disc + k_value + 4) AS p_value,
+  CASE WHEN f.t + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-31' THEN coalesce(nx <= f.t + INTERVAL 24 HOUR, false) END AS happened,
+  CASE WHEN f.t + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-31' AND nx <= f.t + INTERVAL 24 HOUR THEN nx END AS fault_at,
+  CASE WHEN f.t + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-31' AND nx <= f.t + INTERVAL 24 HOUR THEN nk END AS fault_kind
+  FROM pfault f JOIN pev e ON e.ch = f.ch AND e.t = f.t))""")
+cte("scored", "preds chn", """SELECT p."at" AS t, p.channel_id AS ch, p.prob AS p, p.happened::INT AS y, p.fault_at, p.fault_kind, c.sensor_type, c.system_type,
+ p.fall_7d AS faults_7d, p.ev_7d, p.chg_24h, p.fault_30d, p.fall_24h FROM preds p JOIN chn c ON c.id = p.channel_id WHERE p.happened IS NOT NULL""")
+cte("ord", "", """SELECT *, (epoch(created_at) // 21600)::BIGINT * 6 * 1000000000 + o_custkey AS pred, o_orderpriority[1]::INT AS pri
+ FROM (SELECT *, TIMESTAMP '2024-01-08' + to_minutes((o_orderkey * 7919) % 31680) AS created_at FROM orders)""")
+cte("decisions", "ord preds", """SELECT o_orderkey AS id, pred AS prediction_id,
+ CASE o_orderstatus WHEN 'F' THEN 'dispatch' WHEN 'O' THEN 'monitor' ELSE 'false_alarm' END AS decision_type, pri AS reason_id, created_at,
+ '=' || o_orderpriority AS comment FROM ord WHERE pred IN (SELECT id FROM preds)""")
+cte("reasons", "ord", """SELECT DISTINCT pri AS id, o_orderpriority AS name, CASE WHEN pri <= 2 THEN 'dispatch' WHEN pri = 3 THEN 'monitor' ELSE 'false_alarm' END AS decision_type,
+ pri < 5 AS is_active FROM ord""")
+cte("wo", "ord chn", """SELECT o.o_orderkey AS id, 'WO-' || o.o_orderkey AS number, o.o_custkey AS channel_id, o.pred AS prediction_id,
+ CASE pri WHEN 1 THEN 'done' WHEN 2 THEN 'in_progress' WHEN 3 THEN 'submitted' WHEN 4 THEN 'draft' ELSE 'cancelled' END AS status, o.created_at,
+ CASE WHEN pri IN (1, 5) THEN o.created_at + to_hours(floor(o_totalprice)::BIGINT % 100 + 1) END AS closed_at,
+ CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'medium' ELSE 'low' END AS priority, c.object_id FROM ord o JOIN chn c ON c.id = o.o_custkey""")

@@ -198,7 +198,7 @@ cte("preds", "pfault pev", """SELECT *, CASE WHEN health >= 80 THEN 'normal' WHE
   FROM pfault f JOIN pev e ON e.ch = f.ch AND e.t = f.t))""")
 cte("scored", "preds chn", """SELECT p."at" AS t, p.channel_id AS ch, p.prob AS p, p.happened::INT AS y, p.fault_at, p.fault_kind, c.sensor_type, c.system_type,
  p.fall_7d AS faults_7d, p.ev_7d, p.chg_24h, p.fault_30d, p.fall_24h FROM preds p JOIN chn c ON c.id = p.channel_id WHERE p.happened IS NOT NULL""")
-cte("ord", "", """SELECT *, (epoch(created_at) // 21600)::BIGINT * 6 * 1000000000 + o_custkey AS pred, o_orderpriority[1]::INT AS pri
+cte("ord", "", """SELECT *, floor(epoch(created_at) / 21600)::BIGINT * 6 * 1000000000 + o_custkey AS pred, o_orderpriority[1]::INT AS pri
  FROM (SELECT *, TIMESTAMP '2024-01-08' + to_minutes((o_orderkey * 7919) % 31680) AS created_at FROM orders)""")
 cte("decisions", "ord preds", """SELECT o_orderkey AS id, pred AS prediction_id,
  CASE o_orderstatus WHEN 'F' THEN 'dispatch' WHEN 'O' THEN 'monitor' ELSE 'false_alarm' END AS decision_type, pri AS reason_id, created_at,

@@ -203,3 +203,18 @@ class Bed:
             F.when(n.isin(1, 5), closed).alias("closed_at"),
             F.when(s == "F", "high").when(s == "O", "medium").otherwise("low").alias("priority"))
         return w.join(self.channels().select(F.col("id").alias("channel_id"), "object_id"), "channel_id")
+
+    def advised(self) -> DataFrame:
+        """Predictions with factors and kind probabilities for the advice programs."""
+        n = lambda c: F.col(c).cast("double")
+        fac = lambda cond, name, value, norm: F.when(cond, F.struct(
+            F.lit(name).alias("feature"), value.alias("value"), F.lit(norm).cast("double").alias("norm")))
+        factors = F.array_compact(F.array(
+            fac(F.col("ev_7d") <= 2, "hours_to_norm", n("ev_7d") + 1, 5.0), fac(F.col("fall_24h") > 0, "faults_24h", n("fall_24h"), 0.5),
+            fac(F.col("chg_24h") >= 3, "status_changes_24h", n("chg_24h"), 1.0), fac(F.col("fault_30d") > 2, "fault_msgs_30d", n("fault_30d"), 1.0),
+            fac(F.col("ev_7d") >= 8, "stuck_share_24h", n("ev_7d") / 10, 0.2), fac(F.col("fall_7d") >= 4, "nb_silent_share", n("fall_7d") / 8, 0.1),
+            fac(F.col("ev_7d") <= 1, "gap_to_norm", n("ev_7d") + 2, 1.0)))
+        kinds = F.map_from_arrays(F.array(*[F.lit(k) for k in ("link", "fault", "disconnected", "value")]),
+                                  F.array(*[F.col(f"p_{k}") for k in ("link", "fault", "disconnected", "value")]))
+        return self.predictions().withColumns({
+            "top_factors": factors, "kind_probs": F.when(F.col("prob") >= 0.3, kinds)}).drop("happened", "fault_at", "fault_kind")

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lullwatch.functions.risk import level_rank, likely_kind
 from lullwatch.functions.text import feature_group
 from lullwatch.operators.asof import asof_join
+from lullwatch.operators.columns import settle
 from lullwatch.operators.carry import open_intervals_at, running_totals
 from lullwatch.operators.ranking import page
 from lullwatch.plans.features import counters_at, hour_after
-from lullwatch.plans.rules import PRIORITIES, Rule, RuleSet
+from lullwatch.plans.rules import PRIORITIES, RuleSet
 from lullwatch.plans.serving import OPEN_STATUSES, has_level, hours, with_channel
 from lullwatch.spec import JournalSpec, RiskBounds
 
@@ -42,6 +43,14 @@ def in_group(sensor_type: Column, rules: RuleSet, *names: str) -> Column:
     return F.arrays_overlap(sensor_groups(sensor_type, rules), F.array(*[F.lit(n) for n in names]))
 
 
+def type_groups(channels: DataFrame, rules: RuleSet) -> DataFrame:
+    """Sensor types with their groups and the lowest priority the groups ask for."""
+    floor = F.greatest(F.lit(0), F.lit(0), *[
+        F.when(F.array_contains("sensor_groups", g), PRIORITIES.index(p)).otherwise(0) for g, p in rules.min_priority_by_group.items()])
+    t = channels.select("sensor_type").distinct().withColumn("sensor_groups", sensor_groups(F.col("sensor_type"), rules))
+    return t.withColumn("floor_rank", floor)
+
+
 # ---- signals ---------------------------------------------------------------------------------------------------------
 
 
@@ -166,21 +175,21 @@ def signals(preds: DataFrame, faults: DataFrame, events: DataFrame, orders: Data
         .join(new_power_off(preds, events, channels, spec, rules), ["channel_id", "at"], "left")
         .join(silent_neighbours(preds, faults, channels, spec, bounds), "id", "left")
         .join(order_state(preds, orders, faults, rules), "id", "left")
-        .join(type_precision(metrics, version), "sensor_type", "left")
+        .join(type_precision(metrics, version), "sensor_type", "left").join(type_groups(channels, rules), "sensor_type", "left")
     )
 
 
 # ---- fault kind ------------------------------------------------------------------------------------------------------
 
 
-def factor_value(name: str) -> Column:
-    return F.get(F.filter("top_factors", lambda f: f["feature"] == name), F.lit(0))["value"]
-
-
 def _short(feature: Column) -> Column:
     return _any([feature.endswith(s) for s in FLAP_SUFFIXES])
 
 
+def factor_value(name: str) -> Column:
+    return F.get(F.filter("top_factors", lambda f: f["feature"] == name), F.lit(0))["value"]
+
+
 def flapping(rules: RuleSet) -> Column:
     """Status changes of a short window reach the limit and three norms."""
     limit = rules.params["flap_changes"]
@@ -203,56 +212,59 @@ def mass_link(rules: RuleSet) -> Column:
 
 def infer_kind(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Adds ``fault_kind``: group silence, then the model's kinds, then factors and data, then the history."""
+    df = settle(df, {
+        "_factors": F.transform("top_factors", lambda f: F.struct(
+            f["feature"].alias("feature"), F.coalesce(f["value"], F.lit(0.0)).alias("v"),
+            (f["value"].isNull() | (f["value"] != 0)).alias("live"), feature_group(f["feature"]).alias("grp"))),
+        "_model": likely_kind(F.col("kind_probs"), MODEL_KINDS)["code"],
+        "_nb_share": factor_value("nb_silent_share"), "_stuck": stuck_share(), "_flapping": flapping(rules),
+    })
     share = rules.params["group_silence_share"]
     others = F.col("same_type_channels") - 1
-    grouped = F.coalesce(factor_value("nb_silent_share") >= share, F.lit(False)) | F.coalesce(
+    grouped = F.coalesce(F.col("_nb_share") >= share, F.lit(False)) | F.coalesce(
         (others >= 5) & (F.try_divide(F.col("same_type_silent"), others) >= share), F.lit(False))
-    model = likely_kind(F.col("kind_probs"), MODEL_KINDS)["code"]
-    live = F.filter("top_factors", lambda f: f["value"].isNull() | (f["value"] != 0))
-    groups = F.transform(live, lambda f: feature_group(f["feature"]))
-    present = lambda *names: F.arrays_overlap(groups, F.array(*[F.lit(n) for n in names]))
-    positive = lambda *names: F.exists("top_factors", lambda f: feature_group(f["feature"]).isin(*names) & (F.coalesce(f["value"], F.lit(0.0)) > 0))
-    fresh_msgs = F.exists("top_factors", lambda f: feature_group(f["feature"]).isin("fault_msgs", "disc_msgs") & _short(f["feature"])
-                          & (F.coalesce(f["value"], F.lit(0.0)) > 0))
-    power = positive("power_off", "off_share", "phase_off") | (in_group(F.col("sensor_type"), rules, "power") & (F.col("power_off_24h") > 0))
-    link = present("silence", "link_losses", "past_gaps")
-    fault = (F.col("fault_msgs_24h") > 0) | fresh_msgs
-    drift = present("stuck", "values", "neighbors") & (F.coalesce(stuck_share() != 0, F.lit(False)) | present("values", "neighbors"))
+    present = lambda *names: F.exists("_factors", lambda f: f["live"] & f["grp"].isin(*names))
+    positive = lambda *names: F.exists("_factors", lambda f: (f["v"] > 0) & f["grp"].isin(*names))
+    fresh_msgs = F.exists("_factors", lambda f: (f["v"] > 0) & f["grp"].isin("fault_msgs", "disc_msgs") & _short(f["feature"]))
+    power = positive("power_off", "off_share", "phase_off") | (F.array_contains("sensor_groups", "power") & (F.col("power_off_24h") > 0))
+    drift = present("values", "neighbors") | (present("stuck") & F.coalesce(F.col("_stuck") != 0, F.lit(False)))
     top = F.greatest("f_link_90d", "f_fault_90d", "f_disc_90d", "f_value_90d")
+    history = (F.when(F.col("f_fault_90d") == top, "fault").when(F.col("f_disc_90d") == top, "fault")
+               .when(F.col("f_link_90d") == top, "link").otherwise("value"))
+    df = settle(df, {"_link": present("silence", "link_losses", "past_gaps"), "_power": power})
     kind = (
-        F.when(grouped, "group").when(model.isNotNull(), model).when(power, "power")
-        .when(link & (F.col("object_power_off") > 0), "power").when(fault, "fault").when(link, "link")
-        .when(flapping(rules), "fault").when(drift, "drift")
-        .when(F.col("faults_90d") > 0, F.when(F.col("f_fault_90d") == top, "fault").when(F.col("f_disc_90d") == top, "fault")
-              .when(F.col("f_link_90d") == top, "link").otherwise("value"))
-        .otherwise("unknown")
+        F.when(grouped, "group").when(F.col("_model").isNotNull(), F.col("_model")).when(F.col("_power"), "power")
+        .when(F.col("_link") & (F.col("object_power_off") > 0), "power").when((F.col("fault_msgs_24h") > 0) | fresh_msgs, "fault")
+        .when(F.col("_link"), "link").when(F.col("_flapping"), "fault").when(drift, "drift")
+        .when(F.col("faults_90d") > 0, history).otherwise("unknown")
     )
-    return df.withColumn("fault_kind", kind)
+    return settle(df, {"fault_kind": kind}).drop("_factors", "_model", "_nb_share", "_link", "_power")
 
 
 # ---- rules -----------------------------------------------------------------------------------------------------------
 
 
+def _overlaps(names: tuple[str, ...] | list[str]) -> Column:
+    return F.arrays_overlap("sensor_groups", F.array(*[F.lit(n) for n in names]))
+
+
 def condition(when: dict, rules: RuleSet) -> Column:
-    """All conditions of a rule as one predicate."""
-    kind, risk = F.col("fault_kind"), level_rank(F.col("risk_level"))
-    same = (F.when(kind == "link", F.col("f_link_90d")).when(kind.isin("fault", "disconnected"), F.col("f_fault_90d") + F.col("f_disc_90d"))
-            .when(kind == "value", F.col("f_value_90d")).otherwise(0))
-    rank = lambda v: ("normal", "attention", "risk", "critical").index(v)
+    """All conditions of a rule as one predicate over the settled columns."""
+    rank = ("normal", "attention", "risk", "critical").index
     tests = {
-        "kind": lambda v: kind.isin(*v),
-        "group": lambda v: in_group(F.col("sensor_type"), rules, *v),
-        "not_group": lambda v: ~in_group(F.col("sensor_type"), rules, *v),
-        "min_risk": lambda v: risk >= rank(v),
-        "max_risk": lambda v: risk <= rank(v),
-        "mass_link": lambda v: mass_link(rules) == F.lit(bool(v)),
+        "kind": lambda v: F.col("fault_kind").isin(*v),
+        "group": lambda v: _overlaps(v),
+        "not_group": lambda v: ~_overlaps(v),
+        "min_risk": lambda v: F.col("_risk") >= rank(v),
+        "max_risk": lambda v: F.col("_risk") <= rank(v),
+        "mass_link": lambda v: F.col("_mass") == F.lit(bool(v)),
         "faults_30d_min": lambda v: F.col("faults_30d") >= v,
         "faults_90d_min": lambda v: F.col("faults_90d") >= v,
-        "same_kind_90d_min": lambda v: same >= v,
+        "same_kind_90d_min": lambda v: F.col("_same") >= v,
         "faults_since_repair_min": lambda v: F.col("faults_since_repair") >= v,
         "low_precision_type": lambda v: F.coalesce(F.col("type_precision") < rules.params["low_precision"], F.lit(False)) == F.lit(bool(v)),
-        "flapping": lambda v: flapping(rules) == F.lit(bool(v)),
-        "stuck_share_min": lambda v: F.coalesce(stuck_share(), F.lit(0.0)) >= v,
+        "flapping": lambda v: F.col("_flapping") == F.lit(bool(v)),
+        "stuck_share_min": lambda v: F.coalesce("_stuck", F.lit(0.0)) >= v,
         "object_power_off_min": lambda v: F.col("object_power_off") >= v,
     }
     return reduce(lambda a, b: a & b, [F.coalesce(tests[k](v), F.lit(False)) for k, v in when.items()], F.lit(True))
@@ -260,48 +272,40 @@ def condition(when: dict, rules: RuleSet) -> Column:
 
 def select_rule(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Adds ``rule_id`` of the first matching rule; the order of the rules is the order of the chain."""
+    kind = F.col("fault_kind")
+    same = (F.when(kind == "link", F.col("f_link_90d")).when(kind.isin("fault", "disconnected"), F.col("f_fault_90d") + F.col("f_disc_90d"))
+            .when(kind == "value", F.col("f_value_90d")).otherwise(0))
+    df = settle(df, {"_same": same, "_mass": F.coalesce(mass_link(rules), F.lit(False)), "_risk": level_rank(F.col("risk_level"))})
     first, *rest = rules.rules
     chain = reduce(lambda c, r: c.when(condition(r.when, rules), r.id), rest, F.when(condition(first.when, rules), first.id))
-    return df.withColumn("rule_id", chain)
+    return settle(df, {"rule_id": chain})
 
 
-def _per_rule(rules: RuleSet, value) -> Column:
-    out = None
-    for r in rules.rules:
-        v = value(r)
-        v = v if isinstance(v, Column) else F.lit(v)
-        out = F.when(F.col("rule_id") == r.id, v) if out is None else out.when(F.col("rule_id") == r.id, v)
-    return out
+def rule_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
+    """Rules as rows: a table as long as the configuration."""
+    at = lambda p: PRIORITIES.index(p) if p in PRIORITIES else None
+    rows = [(r.id, r.action, r.conclusion, at(r.priority), r.priority == "raise", at(r.priority_min) or 0,
+             None if r.due_hours is None else float(r.due_hours), r.due_limit, r.plan, r.work_order, r.per_object) for r in rules.rules]
+    return spark.createDataFrame(rows, "rule_id string, action string, conclusion string, _fixed int, _raise boolean, _lowest int, "
+                                       "_due double, _limit string, plan boolean, work_order boolean, per_object boolean")
 
 
 def priority_and_due(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Adds ``priority``, ``due_hours`` (capped by the regulation), ``due_at`` and the rule's flags."""
-    names = F.array(*[F.lit(p) for p in PRIORITIES])
-    base = level_rank(F.col("risk_level"))
-
-    def rank(r: Rule) -> Column:
-        pr = base if r.priority == "from_risk" else F.least(base + 1, F.lit(3)) if r.priority == "raise" else F.lit(PRIORITIES.index(r.priority))
-        return F.greatest(pr, F.lit(PRIORITIES.index(r.priority_min))) if r.priority_min else pr
-
-    floor = F.lit(0)
-    for g, p in rules.min_priority_by_group.items():
-        floor = F.greatest(floor, F.when(in_group(F.col("sensor_type"), rules, g), PRIORITIES.index(p)).otherwise(0))
-    ranked = df.withColumn("_rank", _per_rule(rules, lambda r: F.greatest(rank(r), floor) if r.work_order else rank(r)))
-    ranked = ranked.withColumn("priority", F.get(names, F.col("_rank"))).drop("_rank")
-    by_priority = reduce(lambda c, kv: c.when(F.col("priority") == kv[0], float(kv[1])), rules.due_hours.items(), F.when(F.lit(False), 0.0))
-
-    def limit(r: Rule) -> Column:
-        out = F.lit(None).cast("double")
-        for when, norm in reversed(rules.due_limits.get(r.due_limit, ()) if r.due_limit else ()):
-            out = F.when(condition(when, rules), F.lit(float(rules.norms[norm]))).otherwise(out)
-        return out
-
-    ranked = ranked.withColumn("due_limit_hours", _per_rule(rules, limit))
-    due = _per_rule(rules, lambda r: F.lit(float(r.due_hours)) if r.due_hours is not None else by_priority)
-    ranked = ranked.withColumn("due_hours", F.least(due, F.col("due_limit_hours")))
-    return ranked.withColumns({
-        "due_at": F.timestamp_seconds(F.unix_timestamp("at") + F.col("due_hours") * 3600),
-        **{f: _per_rule(rules, lambda r, f=f: getattr(r, f)) for f in ("plan", "work_order", "per_object", "action", "conclusion")}})
+    j = df.join(F.broadcast(rule_table(df.sparkSession, rules)), "rule_id")  # as many rows as there are rules
+    own = F.coalesce("_fixed", F.when(F.col("_raise"), F.least(F.col("_risk") + 1, F.lit(3))).otherwise(F.col("_risk")))
+    rank = F.greatest(own, "_lowest", F.when(F.col("work_order"), F.col("floor_rank")).otherwise(0))
+    limit = F.lit(None).cast("double")
+    for name, cases in rules.due_limits.items():
+        hours_of = reduce(lambda c, wn: F.when(condition(wn[0], rules), float(rules.norms[wn[1]])).otherwise(c), reversed(cases),
+                          F.lit(None).cast("double"))
+        limit = F.when(F.col("_limit") == name, hours_of).otherwise(limit)
+    j = settle(j, {"_rank": rank, "due_limit_hours": limit})
+    by_rank = F.get(F.array(*[F.lit(float(rules.due_hours[p])) for p in PRIORITIES]), F.col("_rank"))
+    j = settle(j, {"priority": F.get(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("_rank")),
+                   "due_hours": F.least(F.coalesce("_due", by_rank), F.col("due_limit_hours"))})
+    return j.withColumn("due_at", F.timestamp_seconds(F.unix_timestamp("at") + F.col("due_hours") * 3600)).drop(
+        "_fixed", "_raise", "_lowest", "_due", "_limit", "_rank", "_same", "_mass", "_risk", "_stuck", "_flapping")
 
 
 def advice_text(df: DataFrame, rules: RuleSet) -> DataFrame:
@@ -322,9 +326,13 @@ def advice_text(df: DataFrame, rules: RuleSet) -> DataFrame:
         "group_silence": F.when(factor_value("nb_silent_share").isNotNull(), F.format_string(
             "молчат %.0f %% однотипных датчиков объекта", factor_value("nb_silent_share") * 100)),
     }
-    facts = _per_rule(rules, lambda r: F.array_compact(F.array(*[text[f] for f in r.facts if f in text])))
+    df = settle(df, {"_text": F.map_from_arrays(F.array(*[F.lit(k) for k in text]), F.array(*text.values()))})
+    wanted = df.sparkSession.createDataFrame([(r.id, list(r.facts)) for r in rules.rules], "rule_id string, _facts array<string>")
+    df = df.join(F.broadcast(wanted), "rule_id")  # as many rows as there are rules
+    facts = F.array_compact(F.transform("_facts", lambda f: F.try_element_at("_text", f)))
+    df = settle(df, {"facts": facts}).drop("_text", "_facts")
     body = F.array_join("facts", "; ")
-    return df.withColumn("facts", facts).withColumn("reason", F.concat_ws(
+    return df.withColumn("reason", F.concat_ws(
         " → ", F.nullif(F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, 2, 100000)), F.lit("")),
         F.nullif(F.col("conclusion"), F.lit(""))))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lullwatch.operators.columns import settle
+
 PICKET_M = 10.0
 # ---- fixed values: spellings of pickets, galleries, ranges, sides and places in names -------------------------------
 NUMBER = r"(\d+(?:[.,]\d+)?)"
@@ -35,11 +37,14 @@ def _metres(pk: Column, off: Column) -> Column:
 
 def parse_pickets(df: DataFrame, name: str = "name") -> DataFrame:
     """Adds ``main_m, gallery, gallery_m, range_from, range_to, side, feature, level`` (NULL where absent)."""
-    t = F.translate(F.upper(F.coalesce(F.col(name), F.lit(""))), "–—", "--")
-    both, rev, only = t.rlike(MAIN_AND_GALLERY), t.rlike(GALLERY_REVERSED), t.rlike(GALLERY_ONLY)
-    before_only = F.substring_index(t, F.regexp_extract(t, GALLERY_ONLY, 0), 1)
-    only = only & ~before_only.rlike(PICKET) & ~t.contains(FORK)
-    plain, ranged = t.rlike(PICKET), t.rlike(PICKET_RANGE)
+    df = settle(df, {"_t": F.translate(F.upper(F.coalesce(F.col(name), F.lit(""))), "–—", "--")})
+    t = F.col("_t")
+    alone = t.rlike(GALLERY_ONLY)
+    before = F.split_part(t, F.regexp_extract(t, GALLERY_ONLY, 0), F.lit(1))
+    df = settle(df, {
+        "_both": t.rlike(MAIN_AND_GALLERY), "_rev": t.rlike(GALLERY_REVERSED),
+        "_only": alone & ~before.rlike(PICKET) & ~t.contains(FORK), "_plain": t.rlike(PICKET), "_ranged": t.rlike(PICKET_RANGE)})
+    both, rev, only, plain, ranged = (F.col(c) for c in ("_both", "_rev", "_only", "_plain", "_ranged"))
 
     main = (
         F.when(both, _metres(_part(t, MAIN_AND_GALLERY, 1), _part(t, MAIN_AND_GALLERY, 2)))
@@ -60,10 +65,10 @@ def parse_pickets(df: DataFrame, name: str = "name") -> DataFrame:
     on_axis = ranged & ~both & ~rev & ~only
     a = _metres(_part(t, PICKET_RANGE, 1), _part(t, PICKET_RANGE, 2))
     b = _metres(_part(t, PICKET_RANGE, 3), _part(t, PICKET_RANGE, 4))
-    return df.withColumns({
+    return settle(df, {
         "main_m": main, "gallery": gallery, "gallery_m": gallery_m,
         "range_from": F.when(on_axis, F.least(a, b)), "range_to": F.when(on_axis, F.greatest(a, b)),
         "side": F.when(t.rlike(LEFT), "left").when(t.rlike(RIGHT), "right"),
         "feature": F.when(t.rlike(SHAFT), "ВШ").when(t.contains(PUMP_ROOM), PUMP_ROOM).when(t.contains(PANEL), "щит"),
         "level": _part(t, LEVEL_MARK, 1).cast("int"),
-    })
+    }).drop("_t", "_both", "_rev", "_only", "_plain", "_ranged")

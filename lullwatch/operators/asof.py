@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,68 @@ from pyspark.sql import functions as F
 from lullwatch.operators.carry import BUCKET, bucket_of
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """One right side. backward: ``ts <= left_ts`` (``strict``: <); forward: ``ts >= left_ts`` (``strict``: >).
+
+    Among right rows of one instant the largest payload wins backward, the smallest forward.
+    """
+
+    right: DataFrame
+    ts: str
+    payload: Sequence[str] = ()
+    direction: str = "backward"
+    strict: bool = False
+
+    @property
+    def backward(self) -> bool:
+        return self.direction == "backward"
+
+    @property
+    def columns(self) -> list[str]:
+        return [self.ts, *self.payload]
+
+
+def asof_many(left: DataFrame, on: Sequence[str], left_ts: str, lookups: Sequence[Lookup], bucket: str = "day") -> DataFrame:
+    """Left as-of join with several right sides; adds their ``ts`` and payload columns, NULL where nothing matches.
+
+    All sides are unioned and shuffled once by ``(key, time bucket)``. What a bucket inherits from its neighbours is one
+    row per ``(key, bucket)``, taken from an aggregate of the right sides, so a key of any size is split by time.
+    """
+    on = list(on)
+    recs = [f"_rec{i}" for i in range(len(lookups))]
+    pick = [F.max if k.backward else F.min for k in lookups]
+    lhs = left.select(*on, F.col(left_ts).alias("_t"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
+    lhs = lhs.withColumn(BUCKET, bucket_of("_t", bucket))
+    asked = lhs.select(*on, BUCKET).distinct().withColumn("_asked", F.lit(True))
+    rows, summary = lhs.withColumns({"_pos": F.lit(1), "_side": F.lit(1)}), asked
+    for k, rec in zip(lookups, recs):
+        r = k.right.dropna(subset=[*on, k.ts]).select(
+            *on, F.col(k.ts).alias("_t"), F.struct(*[F.col(c) for c in k.columns]).alias(rec)).withColumn(BUCKET, bucket_of("_t", bucket))
+        # at the moment itself a matching right row must stand on the side the frame looks at
+        side = 0 if k.backward != k.strict else 2
+        rows = rows.unionByName(r.withColumns({"_pos": F.lit(1), "_side": F.lit(side)}), allowMissingColumns=True)
+        per = r.groupBy(*on, BUCKET).agg((F.max if k.backward else F.min)(rec).alias(rec))
+        summary = summary.unionByName(per, allowMissingColumns=True)
+    summary = summary.groupBy(*on, BUCKET).agg(F.max("_asked").alias("_asked"), *[p(rec).alias(rec) for p, rec in zip(pick, recs)])
+    past = Window.partitionBy(*on).orderBy(F.col(BUCKET).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*on).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*on, BUCKET, "_asked", *[
+        F.last(rec, ignorenulls=True).over(past if k.backward else future).alias(rec) for k, rec in zip(lookups, recs)]).filter("_asked")
+    for flag, pos in ((True, 0), (False, 2)):
+        mine = [rec for k, rec in zip(lookups, recs) if k.backward == flag]
+        if mine:
+            rows = rows.unionByName(carry.select(*on, BUCKET, F.lit(pos).alias("_pos"), *mine), allowMissingColumns=True)
+    up = [F.col(c).asc() for c in ("_pos", "_t", "_side", *recs)]
+    down = [F.col(c).desc() for c in ("_pos", "_t", "_side", *recs)]
+    seen = {True: Window.partitionBy(*on, BUCKET).orderBy(*up).rowsBetween(Window.unboundedPreceding, Window.currentRow),
+            False: Window.partitionBy(*on, BUCKET).orderBy(*down).rowsBetween(Window.unboundedPreceding, Window.currentRow)}
+    found = rows.select("_left", *[F.last(rec, ignorenulls=True).over(seen[k.backward]).alias(rec) for k, rec in zip(lookups, recs)])
+    taken = set(left.columns)
+    out = [f"{rec}.{c}" for k, rec in zip(lookups, recs) for c in k.columns if c not in taken]
+    return found.filter(F.col("_left").isNotNull()).select("_left.*", *out)
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -21,48 +84,5 @@ def asof_join(
     strict: bool = False,
     bucket: str = "day",
 ) -> DataFrame:
-    """Left as-of join; adds ``right_ts`` and ``payload`` columns, NULL where nothing matches.
-
-    backward: right_ts <= left_ts (``strict``: <); forward: right_ts >= left_ts (``strict``: >). Among right rows of
-    one instant the largest payload wins backward, the smallest forward.
-
-    Both sides are unioned and sorted once per ``(key, bucket)``. The state a bucket inherits is one row per
-    ``(key, bucket)`` taken from an aggregate of the right side, so a key of any size is split by time.
-    """
-    on, payload = list(on), list(payload)
-    backward = direction == "backward"
-    pick = F.max if backward else F.min
-    lcols = left.columns
-    rec = F.struct(F.col(right_ts).alias(right_ts), *[F.col(c) for c in payload])
-    r = right.filter(F.col(right_ts).isNotNull())
-    for k in on:
-        r = r.filter(F.col(k).isNotNull())
-    r = r.select(*on, F.col(right_ts).alias("_t"), rec.alias("_rec")).withColumn(BUCKET, bucket_of("_t", bucket))
-    left_side, right_side = (0, 1) if strict else (1, 0)
-    lhs = left.select(*on, F.col(left_ts).alias("_t"), F.struct(*[F.col(c) for c in lcols]).alias("_left"))
-    lhs = lhs.withColumn(BUCKET, bucket_of("_t", bucket))
-
-    summary = (
-        r.groupBy(*on, BUCKET).agg(pick("_rec").alias("_rec")).withColumn("_asked", F.lit(False))
-        .unionByName(lhs.select(*on, BUCKET).distinct().withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-        .groupBy(*on, BUCKET).agg(pick("_rec").alias("_rec"), F.max("_asked").alias("_asked"))
-    )
-    across = Window.partitionBy(*on).orderBy(F.col(BUCKET).asc() if backward else F.col(BUCKET).desc())
-    across = across.rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        summary.withColumn("_rec", F.last("_rec", ignorenulls=True).over(across))
-        .filter(F.col("_asked") & F.col("_rec").isNotNull())
-        .select(*on, BUCKET, "_rec", F.lit(-1).alias("_side"))
-    )
-    rows = (
-        lhs.withColumn("_side", F.lit(left_side))
-        .unionByName(r.withColumn("_side", F.lit(right_side)), allowMissingColumns=True)
-        .unionByName(carry, allowMissingColumns=True)
-    )
-    time_order = F.col("_t").asc_nulls_first() if backward else F.col("_t").desc_nulls_first()
-    rec_order = F.col("_rec").asc() if backward else F.col("_rec").desc()
-    inside = Window.partitionBy(*on, BUCKET).orderBy(time_order, "_side", rec_order)
-    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    matched = rows.withColumn("_rec", F.last("_rec", ignorenulls=True).over(inside)).filter(F.col("_left").isNotNull())
-    extra = [f"_rec.{c}" for c in (right_ts, *payload) if c not in lcols]
-    return matched.select("_left.*", *extra)
+    """``asof_many`` with one right side."""
+    return asof_many(left, on, left_ts, [Lookup(right, right_ts, payload, direction, strict)], bucket)

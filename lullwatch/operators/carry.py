@@ -24,40 +24,38 @@ def neighbour_by(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    values: dict[str, tuple[Column, Column | None]],
-    direction: str = "previous",
+    earlier: dict[str, tuple[Column, Column | None]] | None = None,
+    later: dict[str, tuple[Column, Column | None]] | None = None,
     bucket: str = "day",
 ) -> DataFrame:
-    """Add the nearest earlier (or later) value per key: ``values[name] = (value, condition or None)``.
+    """Add the nearest earlier and later values per key: ``earlier[name] = (value, condition or None)``.
 
     ``order[0]`` is the timestamp; the other columns break ties. With a condition only rows that satisfy it count, so
     "previous status text" and "previous reading" come out of one pass.
     """
-    keys, order = list(keys), list(order)
-    backward = direction == "previous"
-    pick = F.max if backward else F.min
-    src = {n: f"_src_{n}" for n in values}
-    base = df.withColumn(BUCKET, bucket_of(order[0], bucket))
-    base = base.withColumns({
-        src[n]: (v if c is None else F.when(c, v)) for n, (v, c) in values.items()
-    })
-    tie = [F.col(c) for c in order]
-    summary = base.groupBy(*keys, BUCKET).agg(*[
-        pick(F.when(F.col(src[n]).isNotNull(), F.struct(*tie, F.col(src[n]).alias("v")))).alias(src[n]) for n in values
-    ])
-    across = Window.partitionBy(*keys).orderBy(F.col(BUCKET).asc() if backward else F.col(BUCKET).desc())
-    across = across.rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
-        *keys, BUCKET, F.lit(True).alias(CARRY),
-        *[F.last(F.col(f"{src[n]}.v"), ignorenulls=True).over(across).alias(src[n]) for n in values],
-    )
-    carry = carry.filter(" or ".join(f"{src[n]} is not null" for n in values))
-    rows = base.withColumn(CARRY, F.lit(False)).unionByName(carry, allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(
-        F.col(CARRY).desc(), *[F.col(c).asc() if backward else F.col(c).desc() for c in order]
-    ).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.select("*", *[F.last(src[n], ignorenulls=True).over(inside).alias(n) for n in values])
-    return out.filter(~F.col(CARRY)).select(*df.columns, *values)
+    keys, order, earlier, later = list(keys), list(order), earlier or {}, later or {}
+    wanted = {**earlier, **later}
+    src = {n: f"_src_{n}" for n in wanted}
+    base = df.withColumns({BUCKET: bucket_of(order[0], bucket), **{
+        src[n]: (v if c is None else F.when(c, v)) for n, (v, c) in wanted.items()}})
+    edge = lambda n: (F.max if n in earlier else F.min)(
+        F.when(F.col(src[n]).isNotNull(), F.struct(*[F.col(c) for c in order], F.col(src[n]).alias("v"))))
+    summary = base.groupBy(*keys, BUCKET).agg(*[edge(n).alias(src[n]) for n in wanted])
+    # a later value is the first of the buckets after: both directions look back along their own order
+    past = Window.partitionBy(*keys).orderBy(F.col(BUCKET).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, BUCKET, *[
+        F.last(F.col(f"{src[n]}.v"), ignorenulls=True).over(past if n in earlier else future).alias(src[n]) for n in wanted])
+    rows = base.withColumn(CARRY, F.lit(1))
+    for names, pos in ((earlier, 0), (later, 2)):
+        if names:
+            rows = rows.unionByName(carry.select(*keys, BUCKET, F.lit(pos).alias(CARRY), *[src[n] for n in names]), allowMissingColumns=True)
+    up = Window.partitionBy(*keys, BUCKET).orderBy(F.col(CARRY).asc(), *[F.col(c).asc() for c in order])
+    down = Window.partitionBy(*keys, BUCKET).orderBy(F.col(CARRY).desc(), *[F.col(c).desc() for c in order])
+    found = rows.select("*", *[
+        F.last(src[n], ignorenulls=True).over((up if n in earlier else down).rowsBetween(Window.unboundedPreceding, -1)).alias(n)
+        for n in wanted])
+    return found.filter(F.col(CARRY) == 1).select(*df.columns, *wanted)
 
 
 def running_totals(
@@ -90,8 +88,9 @@ def open_intervals_at(
     probes: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str, out: str,
 ) -> DataFrame:
     """For every distinct ``(key, at)`` the number of closed intervals ``[start, end]`` of the key that contain it."""
-    return _sweep(probes, intervals.withColumnRenamed(start, "_start"), intervals.withColumnRenamed(end, "_end"),
-                  list(keys), at, out)
+    ends = F.array(*[F.struct(F.col(c).alias("_t"), F.lit(side).alias("_side"), F.lit(d).alias(out))
+                     for c, side, d in ((start, 0, 1), (end, 2, -1))])
+    return _sweep(probes, intervals.select(*keys, F.inline(ends)), list(keys), at, out)
 
 
 def band_distinct_count(
@@ -105,26 +104,20 @@ def band_distinct_count(
     keys = list(keys)
     span = F.expr(f"make_dt_interval(0, {tolerance_h})")
     reach = F.expr(f"make_dt_interval(0, {2 * tolerance_h})")
-    m = marks.select(*keys, member, ts).filter(F.col(ts).isNotNull()).distinct()
-    m = neighbour_by(m, [*keys, member], [ts], {"_prev": (F.col(ts), None)})
-    m = neighbour_by(m, [*keys, member], [ts], {"_next": (F.col(ts), None)}, direction="next")
+    m = marks.select(*keys, member, ts).dropna().distinct()
+    m = neighbour_by(m, [*keys, member], [ts], {"_prev": (F.col(ts), None)}, {"_next": (F.col(ts), None)})
     first = F.col("_prev").isNull() | (F.col("_prev") + reach < F.col(ts))
     last = F.col("_next").isNull() | (F.col(ts) + reach < F.col("_next"))
-    # one row per interval end is enough for the sweep: starts and ends are independent +1 / -1 steps
-    starts = m.filter(first).select(*keys, (F.col(ts) - span).alias("_start"))
-    ends = m.filter(last).select(*keys, (F.col(ts) + span).alias("_end"))
-    return _sweep(probes, starts, ends, keys, at, out)
+    # starts and ends of intervals are independent +1 / -1 steps of the sweep
+    step = lambda cond, t, side, d: F.when(cond, F.struct(t.alias("_t"), F.lit(side).alias("_side"), F.lit(d).alias(out)))
+    steps = F.array_compact(F.array(step(first, F.col(ts) - span, 0, 1), step(last, F.col(ts) + span, 2, -1)))
+    return _sweep(probes, m.select(*keys, F.inline(steps)), keys, at, out)
 
 
-def _sweep(probes: DataFrame, starts: DataFrame, ends: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:
+def _sweep(probes: DataFrame, steps: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:
     """+1 at every start, -1 after every end, running sum read at the probes: linear work, pairs are never formed."""
-    steps = starts.select(*keys, F.col("_start").alias("_t"), F.lit(0).alias("_side"), F.lit(1).alias(out)).unionByName(
-        ends.select(*keys, F.col("_end").alias("_t"), F.lit(2).alias("_side"), F.lit(-1).alias(out)))
     asks = probes.select(*keys, F.col(at).alias("_t")).distinct().select(
         *keys, "_t", F.lit(1).alias("_side"), F.lit(0).alias(out))
-    rows = steps.unionByName(asks)
-    for k in keys:
-        rows = rows.filter(F.col(k).isNotNull())
-    rows = rows.withColumn(BUCKET, bucket_of("_t", "day"))
+    rows = steps.unionByName(asks).dropna(subset=keys).withColumn(BUCKET, bucket_of("_t", "day"))
     swept = _accumulate(rows, keys, [F.col("_t"), F.col("_side")], [out])
     return swept.filter((~F.col(CARRY)) & (F.col("_side") == 1)).select(*keys, F.col("_t").alias(at), out)

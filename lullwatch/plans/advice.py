@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lullwatch.functions.risk import level_rank, likely_kind
 from lullwatch.functions.text import feature_group
-from lullwatch.operators.asof import asof_join
+from lullwatch.operators.asof import Lookup, asof_join, asof_many
 from lullwatch.operators.columns import settle
 from lullwatch.operators.carry import open_intervals_at, running_totals
 from lullwatch.operators.ranking import page
@@ -135,8 +135,18 @@ def order_state(preds: DataFrame, orders: DataFrame, faults: DataFrame, rules: R
     spans = spans.filter(F.col("_until").isNotNull())
     n_open = open_intervals_at(p, spans, ["channel_id"], "at", "created_at", "_until", "n_open")
     newest = spans.select("channel_id", F.col("created_at").alias("opened_at"), "order_id", "number", "_until")
-    q = asof_join(p, newest, ["channel_id"], "at", "opened_at", ["order_id", "number", "_until"])
+    total = running_totals(faults.select(F.col("ch").alias("channel_id"), F.col("ts").alias("f_ts")), ["channel_id"], "f_ts", {"c": F.lit(1)})
+    done = o.filter((F.col("status") == "done") & F.col("closed_at").isNotNull()).select(
+        "channel_id", F.col("closed_at").alias("repaired_at"), F.col("order_id").alias("repair_id"), F.col("number").alias("repair_number"))
+    done = asof_join(done, total, ["channel_id"], "repaired_at", "f_ts", ["c"]).withColumnRenamed("c", "_before").drop("f_ts")
+    q = asof_many(p, ["channel_id"], "at", [
+        Lookup(newest, "opened_at", ["order_id", "number", "_until"]), Lookup(done, "repaired_at", ["repair_id", "repair_number", "_before"]),
+        Lookup(total, "f_ts", ["c"])])
     q = q.join(n_open, ["channel_id", "at"], "left").withColumn("n_open", F.coalesce("n_open", F.lit(0)))
+    fresh = F.col("repaired_at") >= F.col("at") - F.make_dt_interval(days=F.lit(rules.params["repair_days"]))
+    after = F.when(fresh, F.coalesce("c", F.lit(0)) - F.coalesce("_before", F.lit(0)))
+    q = q.withColumns({"faults_since_repair": after, "repair_number": F.when(fresh, F.col("repair_number")),
+                       "repaired_at": F.when(fresh, F.col("repaired_at"))})
     newest_open = F.col("_until") >= F.col("at")
     # the newest order is closed but an older one is still open: only these rows look through the channel's orders
     rest = q.filter((F.col("n_open") > 0) & ~newest_open).select("id", "channel_id", "at")
@@ -144,18 +154,6 @@ def order_state(preds: DataFrame, orders: DataFrame, faults: DataFrame, rules: R
     older = older.groupBy("id").agg(F.max(F.struct("opened_at", "order_id", "number")).alias("_o")).select(
         "id", F.col("_o.number").alias("_older"))
     q = q.join(older, "id", "left").withColumn("open_order", F.when(newest_open, F.col("number")).otherwise(F.col("_older")))
-
-    done = o.filter((F.col("status") == "done") & F.col("closed_at").isNotNull()).select(
-        "channel_id", F.col("closed_at").alias("repaired_at"), "order_id", F.col("number").alias("repair_number"))
-    q = q.select("id", "channel_id", "at", "n_open", "open_order")
-    q = asof_join(q, done, ["channel_id"], "at", "repaired_at", ["order_id", "repair_number"]).drop("order_id")
-    fresh = F.col("repaired_at") >= F.col("at") - F.make_dt_interval(days=F.lit(rules.params["repair_days"]))
-    q = q.withColumns({c: F.when(fresh, F.col(c)) for c in ("repair_number", "repaired_at")})
-    cum = running_totals(faults.select(F.col("ch").alias("channel_id"), F.col("ts").alias("f_ts")), ["channel_id"], "f_ts", {"c": F.lit(1)})
-    q = asof_join(q, cum, ["channel_id"], "at", "f_ts", ["c"]).withColumnRenamed("c", "_c_at").drop("f_ts")
-    q = asof_join(q, cum, ["channel_id"], "repaired_at", "f_ts", ["c"]).withColumnRenamed("c", "_c_rep").drop("f_ts")
-    after = F.when(F.col("repaired_at").isNotNull(), F.coalesce("_c_at", F.lit(0)) - F.coalesce("_c_rep", F.lit(0)))
-    q = q.withColumn("faults_since_repair", after)
     visit = (F.col("faults_since_repair") == 0) & (F.col("repaired_at") >= F.col("at") - hours(24))
     return q.select("id", "open_order", (F.col("n_open") > 0).alias("has_open_order"), "repair_number", "repaired_at",
                     "faults_since_repair", F.when(visit, F.col("repair_number")).alias("recent_visit"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lullwatch.operators import windows as W
-from lullwatch.operators.asof import asof_join
+from lullwatch.operators.asof import Lookup, asof_join, asof_many
 from lullwatch.operators.intervals import flag_near_window, overlap_seconds, seconds_between
 from lullwatch.operators.sets import union_distinct
 from lullwatch.plans.journal import clean_fault, placed
@@ -113,6 +113,11 @@ def slices(norm: DataFrame, channels: DataFrame, mode: str, d_from: str | None =
                                                     F.expr("INTERVAL 1 HOUR"))).alias("T"))
 
 
+def _difference(measure: str, window: str, h: int) -> Column:
+    """Counter at ``T`` minus counter at ``T - h``."""
+    return F.expr(f"max(if(_h = 0, {measure}, null)) - max(if(_h = {h}, {measure}, null)) AS {measure}_{window}")
+
+
 def counters_at(probes: DataFrame, hours: DataFrame, key: str, measures: list[str], windows: dict[str, int]) -> DataFrame:
     """``{measure}_{w}``: sums over ``(T - w, T]`` of hour-bucketed rows ``(key, hour, measures)`` for each ``(key, T)``.
 
@@ -126,9 +131,7 @@ def counters_at(probes: DataFrame, hours: DataFrame, key: str, measures: list[st
         ask.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy("hour", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     read = rows.withColumns({m: F.coalesce(F.sum(m).over(w), F.lit(0)) for m in measures}).filter(F.col("_side") == 1)
-    value = lambda m, h: F.max(F.when(F.col("_h") == h, F.col(m)))
-    return read.groupBy(key, "T").agg(*[
-        (value(m, 0) - value(m, h)).alias(f"{m}_{n}") for n, h in windows.items() for m in measures])
+    return read.groupBy(key, "T").agg(*[_difference(m, n, h) for n, h in windows.items() for m in measures])
 
 
 def channel_counters(sl: DataFrame, hourly: DataFrame, f_hours: DataFrame, rec: DataFrame, spec: JournalSpec) -> DataFrame:
@@ -148,19 +151,19 @@ def channel_counters(sl: DataFrame, hourly: DataFrame, f_hours: DataFrame, rec:
                   [hour_rows, f_hours, rec_rows, ask.withColumn("_side", F.lit(1))])
     rows = rows.withColumn("_side", F.coalesce("_side", F.lit(0)))
     past = Window.partitionBy("ch").orderBy("hour", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    future = Window.partitionBy("ch").orderBy("hour", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a frame that runs to the end is quadratic: the next fault is the last one along the reversed order
+    future = Window.partitionBy("ch").orderBy(F.desc("hour"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     measures = [*HOUR_MEASURES, *FAULT_MEASURES]
     read = rows.select(
         "ch", "T", "_h", "_side",
         *[F.coalesce(F.sum(m).over(past), F.lit(0)).alias(m) for m in measures],
         F.last("last_ts", ignorenulls=True).over(past).alias("last_ts"),
         F.last("last_fault", ignorenulls=True).over(past).alias("last_fault_ts"),
-        F.first("first_fault", ignorenulls=True).over(future).alias("next_fault"),
+        F.last("first_fault", ignorenulls=True).over(future).alias("next_fault"),
     ).filter(F.col("_side") == 1)
     now = F.col("_h") == 0
-    value = lambda m, h: F.max(F.when(F.col("_h") == h, F.col(m)))
     out = read.groupBy("ch", "T").agg(
-        *[(value(m, 0) - value(m, h)).alias(f"{m}_{n}") for n, h in spec.windows.items() for m in measures],
+        *[_difference(m, n, h) for n, h in spec.windows.items() for m in measures],
         F.max(F.when(now, F.col("last_ts"))).alias("last_ts"),
         F.max(F.when(now, F.col("last_fault_ts"))).alias("last_fault_ts"),
         F.max(F.when(now, F.col("next_fault"))).alias("next_fault"))
@@ -170,50 +173,41 @@ def channel_counters(sl: DataFrame, hourly: DataFrame, f_hours: DataFrame, rec:
 # ---- feature table ---------------------------------------------------------------------------------------------------
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
-
-
-def activity_features(spec: JournalSpec) -> dict[str, Column]:
-    """Features of the channel's own counters: ``c(measure, window)`` columns of ``channel_counters``."""
-    c = lambda m, w: F.col(f"{m}_{w}")
-    at_least_one = lambda x: F.greatest(x, F.lit(1))
+def activity_features(spec: JournalSpec) -> dict[str, str]:
+    """Features of the channel's own counters as SQL over the ``{measure}_{window}`` columns of ``channel_counters``."""
     month = spec.windows["30d"]
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     for w, h in spec.windows.items():
-        out[f"ev_{w}"] = c("ev", w)
-        out[f"fault_msgs_{w}"] = c("fault", w)
+        out[f"ev_{w}"] = f"ev_{w}"
+        out[f"fault_msgs_{w}"] = f"fault_{w}"
         if w not in ("30d", "90d"):
-            out[f"ev_ratio_{w}"] = c("ev", w) / (at_least_one(c("ev", "30d")) * h / float(month))
+            out[f"ev_ratio_{w}"] = f"ev_{w} / (greatest(ev_30d, 1) * {h} / {month}D)"
     for w in ("24h", "7d", "30d", "90d"):
-        out[f"disc_msgs_{w}"] = c("disc", w)
+        out[f"disc_msgs_{w}"] = f"disc_{w}"
         for m in ("unc", "off", "alarm"):
-            out[f"{m}_share_{w}"] = c(m, w) / at_least_one(c("ev", w))
-        out[f"status_changes_{w}"] = c("chg", w)
-        out[f"txt_{w}"] = c("txt", w)
+            out[f"{m}_share_{w}"] = f"{m}_{w} / greatest(ev_{w}, 1)"
+        out[f"status_changes_{w}"], out[f"txt_{w}"] = f"chg_{w}", f"txt_{w}"
     for w in ("24h", "7d", "30d"):
-        mean = _ratio(c("sv", w), c("num", w))
-        out[f"num_{w}"] = c("num", w)
+        mean = f"try_divide(sv_{w}, num_{w})"
+        out[f"num_{w}"] = f"num_{w}"
         out[f"v_mean_{w}"] = mean
         # greatest() skips NULL: a channel without readings has spread zero, as in the feature contract
-        out[f"v_std_{w}"] = F.sqrt(F.greatest(_ratio(c("sv2", w), c("num", w)) - F.pow(mean, 2), F.lit(0.0)))
-        out[f"stuck_share_{w}"] = _ratio(c("same", w), c("num", w))
-        out[f"sentinel_{w}"] = c("sent", w)
-        out[f"date1970_{w}"] = c("d1970", w)
-    out["sentinel_share_7d"] = c("sent", "7d") / at_least_one(c("ev", "7d"))
-    out["date_current_7d"] = c("date", "7d") - c("d1970", "7d")
+        out[f"v_std_{w}"] = f"sqrt(greatest(try_divide(sv2_{w}, num_{w}) - pow({mean}, 2), 0D))"
+        out[f"stuck_share_{w}"] = f"try_divide(same_{w}, num_{w})"
+        out[f"sentinel_{w}"], out[f"date1970_{w}"] = f"sent_{w}", f"d1970_{w}"
+    out["sentinel_share_7d"] = "sent_7d / greatest(ev_7d, 1)"
+    out["date_current_7d"] = "date_7d - d1970_7d"
     for w in ("24h", "7d"):
-        out[f"gas1_work_{w}"], out[f"gas1_offhours_{w}"] = c("g1wk", w), c("g1off", w)
-        out[f"gas_detected_{w}"] = c("gdet", w)
+        out[f"gas1_work_{w}"], out[f"gas1_offhours_{w}"], out[f"gas_detected_{w}"] = f"g1wk_{w}", f"g1off_{w}", f"gdet_{w}"
     for w in ("7d", "30d"):
-        out[f"gas5_{w}"] = c("g5", w)
+        out[f"gas5_{w}"] = f"g5_{w}"
     for w in ("24h", "7d", "30d", "90d"):
-        out[f"faults_{w}"], out[f"link_losses_{w}"] = c("fall", w), c("flnk", w)
+        out[f"faults_{w}"], out[f"link_losses_{w}"] = f"fall_{w}", f"flnk_{w}"
     for w in ("30d", "90d"):
-        out[f"fault_episodes_{w}"], out[f"disc_episodes_{w}"] = c("fflt", w), c("fdsc", w)
-        out[f"value_failures_{w}"], out[f"group_silences_{w}"] = c("fvf", w), c("grp", w)
-    out["recoveries_90d"] = c("rec", "90d")
-    out["recovery_h_90d"] = _ratio(c("rec_h", "90d"), c("rec", "90d"))
+        out[f"fault_episodes_{w}"], out[f"disc_episodes_{w}"] = f"fflt_{w}", f"fdsc_{w}"
+        out[f"value_failures_{w}"], out[f"group_silences_{w}"] = f"fvf_{w}", f"grp_{w}"
+    out["recoveries_90d"] = "rec_90d"
+    out["recovery_h_90d"] = "try_divide(rec_h_90d, rec_90d)"
     return out
 
 
@@ -250,10 +244,10 @@ def feature_table(sl: DataFrame, hourly: DataFrame, norm: DataFrame, faults: Dat
     own = channel_counters(sl, hourly, f_hours, rec, spec)
     own = overlap_seconds(own, clock, F.col("last_ts"), F.col("T"), "_dark")
     since = (seconds_between(F.col("last_ts"), F.col("T")) - F.coalesce("_dark", F.lit(0))) / 3600.0
-    f = own.withColumns(activity_features(spec)).withColumn("hours_since_event", since)
-    f = f.withColumn("days_since_fault", seconds_between(F.col("last_fault_ts"), F.col("T")) / 86400.0)
-    keep = [*activity_features(spec), "hours_since_event", "days_since_fault", "last_fault_ts", "next_fault_ts", "next_fault_kind"]
-    f = f.select("ch", "T", *keep)
+    f = own.select(
+        "ch", "T", *[F.expr(f"{e} AS {n}") for n, e in activity_features(spec).items()], since.alias("hours_since_event"),
+        (seconds_between(F.col("last_fault_ts"), F.col("T")) / 86400.0).alias("days_since_fault"),
+        "last_fault_ts", "next_fault_ts", "next_fault_kind")
 
     day_rows = pulse.select("ch", F.col("day").alias("_day"), (F.col("norm_s") / 3600.0).alias("norm_gap_h"),
                             (F.col("max_gap_7d") / 3600.0).alias("max_gap_7d_h"),
@@ -327,10 +321,10 @@ def attach_label(f: DataFrame, clock: DataFrame, spec: JournalSpec) -> DataFrame
 
 
 def label(sl: DataFrame, faults: DataFrame, spec: JournalSpec, variant: str) -> DataFrame:
-    """Label of one variant by a forward and a backward as-of join; columns end with the variant's name."""
+    """Label of one variant by a forward and a backward as-of lookup; columns end with the variant's name."""
     clean = faults.filter(clean_fault(spec, variant)).select("ch", F.col("ts").alias("nts"), F.col("kind").alias("nkind"))
-    s = asof_join(sl.select("ch", "T"), clean, ["ch"], "T", "nts", ["nkind"], direction="forward", strict=True)
-    s = asof_join(s, clean.select("ch", F.col("nts").alias("lts")), ["ch"], "T", "lts")
+    s = asof_many(sl.select("ch", "T"), ["ch"], "T", [
+        Lookup(clean, "nts", ["nkind"], "forward", strict=True), Lookup(clean.select("ch", F.col("nts").alias("lts")), "lts")])
     end = F.col("T") + F.expr(f"make_dt_interval(0, {spec.horizon_h})")
     hit = F.coalesce(F.col("nts") <= end, F.lit(False))
     calm = F.col("lts").isNull() | (F.col("lts") <= F.col("T") - F.expr(f"make_dt_interval(0, {spec.exclude_h})"))

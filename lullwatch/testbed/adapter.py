@@ -89,10 +89,14 @@ class Bed:
             F.when((kind == "error") | ((kind == "purchase") & (v >= 150)), "t").otherwise("f").alias("alarm_raw"),
             text.alias("raw"))
 
-    def events(self) -> DataFrame:
-        """Clean typed journal, lazily from the driver's events."""
+    def journal(self) -> DataFrame:
+        """Clean typed journal, straight from the driver's events."""
         return classify_values(J.dedup_events(self.raw_journal()), self.channels(), self.spec)
 
+    def events(self) -> DataFrame:
+        """The clean journal as the written table every later step reads."""
+        return self.stage("events", self.journal)
+
     def hourly(self) -> DataFrame:
         return self.stage("hourly", lambda: J.hourly_aggregates(self.events(), self.channels(), self.spec))
 
@@ -104,7 +108,7 @@ class Bed:
             self.hourly(), self.spec.grid_from, self.spec.data_end, self.spec))
 
     def clock(self) -> DataFrame:
-        return J.journal_clock(self.outages(), self.spec)
+        return self.stage("clock", lambda: J.journal_clock(self.outages(), self.spec))
 
     def gaps_eff(self) -> DataFrame:
         return self.stage("gaps_eff", lambda: J.effective_gaps(self.gaps(), self.clock(), self.spec))

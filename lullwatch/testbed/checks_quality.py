@@ -40,7 +40,7 @@ def _(b):
 
 @query("p02_p03_p09_classify_values", sql("ev", "SELECT event_id, kind, num, txt FROM ev"))
 def _(b):
-    return b.events().select("event_id", "kind", "num", "txt")
+    return b.journal().select("event_id", "kind", "num", "txt")
 
 
 @query("a01_dedup_events", """SELECT ch, epoch(ts)::BIGINT AS ts, raw, min(event_id) AS event_id, bool_or(a) AS is_alarm, count(*) AS dup_n FROM (

@@ -281,7 +281,7 @@ def feature_table(sl: DataFrame, hourly: DataFrame, norm: DataFrame, faults: Dat
     }).drop("ob_24h", "ob_7d", "pa_24h", "pa_7d", "po_24h", "po_7d", "pe_24h", "pe_7d", "ty_24h", "ty_7d", "ty_90d",
             "tyf_24h", "tyf_7d", "tyf_90d", "n_act")
     f = f.withColumnsRenamed({"oid": "object_id", "pid": "parent_id", "st": "sensor_type"})
-    return attach_label(neighbour_features(f), clock, spec)
+    return attach_label(neighbour_features(f), sl, clock, spec)
 
 
 def neighbour_features(f: DataFrame) -> DataFrame:
@@ -305,12 +305,17 @@ def neighbour_features(f: DataFrame) -> DataFrame:
 # ---- labels ----------------------------------------------------------------------------------------------------------
 
 
-def attach_label(f: DataFrame, clock: DataFrame, spec: JournalSpec) -> DataFrame:
+def dark_moments(sl: DataFrame, clock: DataFrame, spec: JournalSpec, out: str = "_dark") -> DataFrame:
+    """Slice moments with a journal outage near them. Slices share their moments, so each is looked up once."""
+    return flag_near_window(sl.select("T").distinct(), clock, "T", 24, spec.horizon_h, out)
+
+
+def attach_label(f: DataFrame, sl: DataFrame, clock: DataFrame, spec: JournalSpec) -> DataFrame:
     """``y``: a fault in ``(T, T + horizon]``; NULL while the horizon is open. ``eligible``: no fault just before and no
     journal outage around the slice."""
     end = F.col("T") + F.expr(f"make_dt_interval(0, {spec.horizon_h})")
     hit = F.coalesce(F.col("next_fault_ts") <= end, F.lit(False))
-    f = flag_near_window(f, clock, "T", 24, spec.horizon_h, "_dark")
+    f = f.join(dark_moments(sl, clock, spec), "T")
     calm = F.col("last_fault_ts").isNull() | (
         F.col("last_fault_ts") <= F.col("T") - F.expr(f"make_dt_interval(0, {spec.exclude_h})"))
     return f.withColumns({
@@ -338,7 +343,7 @@ def label_variants(slice_sets: list[DataFrame], faults: DataFrame, clock: DataFr
     """Variants a, b, c side by side for the union of slice sets, with the slices near a journal outage marked."""
     sl = union_distinct(slice_sets, ["ch", "T"])
     wide = reduce(lambda a, b: a.join(b, ["ch", "T"], "left"), [label(sl, faults, spec, v) for v in ("a", "b", "c")])
-    return flag_near_window(wide, clock, "T", 24, spec.horizon_h, "outage_slice")
+    return wide.join(dark_moments(sl, clock, spec, "outage_slice"), "T")
 
 
 def label_counts(variants: DataFrame) -> DataFrame:

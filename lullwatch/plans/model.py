@@ -369,6 +369,12 @@ def predictions(scored: DataFrame, version: str) -> DataFrame:
         h.alias("health"), risk_level(h).alias("risk_level"), F.lit(version).alias("model_version"), *extra)
 
 
+def predict_at(slices_at: DataFrame, build_features, model, calibration: tuple[list[float], list[float]], features: Sequence[str],
+               version: str) -> DataFrame:
+    """Predictions of one moment: ``build_features`` turns the moment's slices into the feature table."""
+    return predictions(calibrate(raw_score(build_features(slices_at), model, features), calibration), version)
+
+
 def importance(model, features: Sequence[str], spark, n: int = 30) -> DataFrame:
     """Share of each feature, the largest n."""
     values = model.featureImportances.toArray()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lullwatch.plans import features as X
 from lullwatch.plans import model as M
 from lullwatch.testbed.adapter import KIND_CODES
 from lullwatch.testbed.checks_features import feature_stage
@@ -292,6 +293,20 @@ def _(b):
                                                                F.to_json("kind_probs").alias("kind_probs"))
 
 
+@query("m08_predict_at")
+def _(b):
+    f = _train(b)
+    model = M.fit_risk(f, FEATURES, rounds=5, depth=3)
+    calibration = M.fit_calibration(M.raw_score(f, model, FEATURES))
+    at = X.slices(b.norm(), b.channels(), "at", at="2024-01-25 13:20:00")
+
+    def table(sl):
+        return X.feature_table(sl, b.hourly(), b.norm(), b.faults(), b.gaps_eff(), b.clock(), b.channels(), b.objects(), b.spec)
+
+    out = M.predict_at(at, table, model, calibration, FEATURES, "gbt-1")
+    return out.select("channel_id", secs("at"), "prob", "health", "risk_level")
+
+
 @query("m22_importance")
 def _(b):
     f = _train(b)

@@ -194,11 +194,11 @@ def _(b):
     return b.predictions().select("id", s.alias("json"), back["prob"].alias("prob"))
 
 
-@query("f11_interpolate", """SELECT o_orderkey AS id, round(CASE WHEN x <= 0.1 THEN 0.0 WHEN x <= 0.4 THEN (x - 0.1) * (0.2 / 0.3) WHEN x <= 0.9 THEN 0.2 + (x - 0.4) * (0.7 / 0.5) ELSE 0.9 END, 6) AS y
+@query("f11_interpolate", """SELECT o_orderkey AS id, round(CASE WHEN x <= 0.1 THEN 0.0 WHEN x <= 0.4 THEN (x - 0.1) * (0.2 / 0.3) WHEN x <= 0.9 THEN 0.2 + (x - 0.4) * (0.7 / 0.5) ELSE 0.9 END::DOUBLE, 9) AS y
   FROM (SELECT o_orderkey, o_totalprice / 500000 AS x FROM orders)""")
 def _(b):
     y = risk.interpolate(F.col("o_totalprice") / 500000, [0.1, 0.4, 0.9], [0.0, 0.2, 0.9])
-    return b.table("orders").select(F.col("o_orderkey").alias("id"), F.round(y, 6).alias("y"))
+    return b.table("orders").select(F.col("o_orderkey").alias("id"), F.round(y, 9).alias("y"))
 
 
 @query("f12_likely_kind", sql("preds", """SELECT id, CASE greatest(p_link, p_fault, p_disconnected, p_value) WHEN p_disconnected THEN 'disconnected' WHEN p_fault THEN 'fault' WHEN p_link THEN 'link' ELSE 'value' END AS code,

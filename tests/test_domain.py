@@ -187,6 +187,22 @@ def test_slice_manifest(spark):
     assert slices.validate_slice(want, {"b": t["a"]}).count() == 2
 
 
+def test_publish_serving_tables(spark, tmp_path):
+    from lullwatch.sources.publish import publish_serving
+    from lullwatch.testbed.adapter import Bed
+    b = Bed(spark, "/root/testdata/sf0.001")
+    publish_serving(str(tmp_path), b.hourly(), b.events(), b.faults(), b.predictions(), b.channels(), "2024-01-31", "2024-01-10", "2024-01-20", 12)
+    p = spark.read.parquet(str(tmp_path / "predictions"))
+    want = b.predictions().filter((F.col("at") >= "2024-01-20") | (F.hour("at") % 12 == 0)).count()
+    ids = p.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d"), F.max("id").alias("m")).first()
+    assert (ids.n, ids.d, ids.m) == (want, want, want)
+    o = spark.read.parquet(str(tmp_path / "prediction_outcomes"))
+    assert o.join(p, o.prediction_id == p.id, "left_anti").count() == 0
+    assert spark.read.parquet(str(tmp_path / "channel_daily")).agg(F.min("day")).first()[0].isoformat() >= "2024-01-10"
+    faults = spark.read.parquet(str(tmp_path / "channel_faults"))
+    assert faults.count() == faults.distinct().count() > 0
+
+
 # ---- serving
 
 

@@ -82,16 +82,23 @@ def clusters(df: DataFrame, keys: Sequence[str], x: str, gap: float, min_size: i
     )
 
 
-def row_ids(df: DataFrame, order: Sequence[str], out: str, start: Column | int = 0) -> DataFrame:
+def row_ids(df: DataFrame, order: Sequence[str], out: str, start: Column | int = 0, band: Column | None = None) -> DataFrame:
     """Consecutive ids in a total order without a one-partition sort of all rows.
 
-    Rows are counted per value of ``order[0]`` (one row per moment), counts become offsets, and numbering inside a
-    moment is a partitioned window.
+    Rows are counted per value of ``order[0]`` and ``band``, counts become offsets, and numbering runs inside such a group.
+    ``band`` must grow with ``order[1]``; it splits a moment that holds many rows.
     """
     first, rest = order[0], list(order[1:])
-    offsets = df.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
+    df = df.withColumn("_band", F.lit(0) if band is None else band)
+    group = [first, "_band"]
+    offsets = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     offsets = offsets.withColumn("_off", F.coalesce(
-        F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = F.row_number().over(Window.partitionBy(first).orderBy(*(rest or [first])))
+        F.sum("_n").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inner = F.row_number().over(Window.partitionBy(*group).orderBy(*(rest or [first])))
     start = F.lit(start) if isinstance(start, int) else start
-    return df.join(offsets, first).withColumn(out, start + F.col("_off") + inner).drop("_off")
+    return df.join(offsets, group).withColumn(out, start + F.col("_off") + inner).drop("_off", "_band")
+
+
+def id_band(column: str, width: int = 65536) -> Column:
+    """Band of a numeric id for ``row_ids``."""
+    return F.floor(F.col(column) / width)

@@ -19,7 +19,7 @@ from lullwatch.functions.risk import half_life_weight, health, interpolate, risk
 from lullwatch.operators.carry import BUCKET, CARRY, _accumulate
 from lullwatch.operators.intervals import seconds_between
 from lullwatch.operators.ranking import top_rank
-from lullwatch.operators.windows import row_ids
+from lullwatch.operators.windows import id_band, row_ids
 
 # ---- fixed values: evaluation grid, precision goal, dispatcher list sizes -------------------------------------------
 GRID = tuple(round(0.05 * i, 2) for i in range(1, 20))
@@ -391,7 +391,7 @@ def replace_predictions(old: DataFrame, new: DataFrame, references: DataFrame) -
     kept = old.join(references.select("id").distinct(), "id", "left_semi")
     fresh = new.join(kept.select(*key), key, "left_anti")
     first = kept.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    fresh = row_ids(fresh, ["at", "channel_id"], "id", first)
+    fresh = row_ids(fresh, ["at", "channel_id"], "id", first, id_band("channel_id"))
     return kept.unionByName(fresh.select(*[c for c in kept.columns if c in fresh.columns]), allowMissingColumns=True)
 
 

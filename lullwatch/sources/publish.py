@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lullwatch.operators.windows import row_ids
+from lullwatch.operators.windows import id_band, row_ids
 from lullwatch.plans.journal import channel_daily
 
 
@@ -41,7 +41,7 @@ def publish_serving(path: str, hourly: DataFrame, events: DataFrame, faults: Dat
         "day").parquet(f"{path}/events_recent")
     channel_faults(faults, channels, daily_from, data_end).withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy(
         "day").parquet(f"{path}/channel_faults")
-    preds = row_ids(thin_predictions(scored, hourly_from, step_hours).drop("id"), ["at", "channel_id"], "id").withColumn("day", F.to_date("at"))
+    preds = row_ids(thin_predictions(scored, hourly_from, step_hours).drop("id"), ["at", "channel_id"], "id", band=id_band("channel_id")).withColumn("day", F.to_date("at"))
     outcome = ("happened", "fault_at", "fault_kind")
     preds.drop(*outcome).write.mode("overwrite").partitionBy("day").parquet(f"{path}/predictions")
     preds.filter(F.col("happened").isNotNull()).select(

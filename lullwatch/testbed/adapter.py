@@ -36,6 +36,7 @@ _stages: dict[tuple, DataFrame] = {}
 class Bed:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir, self.spec = spark, str(sf_dir).rstrip("/"), SPEC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the journal keeps one wall clock
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -190,7 +190,7 @@ def _plan(b):
     return A.maintenance_plan(A.advise(cand, RULES), b.objects())
 
 
-@query("r13_k04_maintenance_plan", sql("plan", """SELECT id, object_id, object_name, rule_id, object_items, row_number() OVER (ORDER BY top_pr DESC, object_items DESC, object_name, object_id, pr DESC, prob DESC, id) AS pos
+@query("r13_k04_maintenance_plan", sql("plan", """SELECT id, object_id, object_name, rule_id, object_items, (row_number() OVER (ORDER BY top_pr DESC, object_items DESC, object_name, object_id, pr DESC, prob DESC, id))::INT AS pos
   FROM plan ORDER BY pos LIMIT 50"""))
 def _(b):
     p = A.plan_order(_plan(b), 50)
@@ -210,7 +210,7 @@ def _(b):
     return A.draft_orders(A.advise(snapshot(signals(b), AT), RULES)).select("id", "rule_id", "result")
 
 
-@query("r15_f14_merge_factors", sql("preds", """SELECT id, grp, features, row_number() OVER (PARTITION BY id ORDER BY pos) AS rank FROM (
+@query("r15_f14_merge_factors", sql("preds", """SELECT id, grp, features, (row_number() OVER (PARTITION BY id ORDER BY pos))::INT AS rank FROM (
    SELECT id, grp, min(pos) AS pos, string_agg(DISTINCT feature, ',' ORDER BY feature) AS features FROM (
      SELECT id, 1 AS pos, 'silence' AS grp, 'hours_to_norm' AS feature FROM preds WHERE ev_7d <= 2 UNION ALL SELECT id, 2, 'faults', 'faults_24h' FROM preds WHERE fall_24h > 0
      UNION ALL SELECT id, 3, 'status_changes', 'status_changes_24h' FROM preds WHERE chg_24h >= 3 UNION ALL SELECT id, 4, 'fault_msgs', 'fault_msgs_30d' FROM preds WHERE fault_30d > 2

@@ -143,15 +143,15 @@ def _(b):
     return out.select("event_id", secs("prev_ts"), "prev_num", "prev_txt")
 
 
-@query("w03_running_sums_d14", sql("hourly", """SELECT ch, epoch(hour)::BIGINT AS hour, sum(n_ev) OVER w::BIGINT AS c_ev,
-  sum(n_fault) OVER w::BIGINT AS c_fault, sum(n_chg) OVER w::BIGINT AS c_chg, round(sum(coalesce(s_v, 0)) OVER w, 3) AS c_sv
-  FROM hourly WINDOW w AS (PARTITION BY ch ORDER BY hour ROWS UNBOUNDED PRECEDING)""".replace("OVER w::BIGINT", "OVER w")))
+@query("w03_running_sums_d14", sql("hourly", """SELECT ch, epoch(hour)::BIGINT AS hour, (sum(n_ev) OVER w)::BIGINT AS c_ev,
+  (sum(n_fault) OVER w)::BIGINT AS c_fault, (sum(n_chg) OVER w)::BIGINT AS c_chg, round(sum(coalesce(s_v, 0)) OVER w, 3) AS c_sv
+  FROM hourly WINDOW w AS (PARTITION BY ch ORDER BY hour ROWS UNBOUNDED PRECEDING)"""))
 def _(b):
     return X.cumulate(b.hourly()).select("ch", secs("hour"), "c_ev", "c_fault", "c_chg", F.round("c_sv", 3).alias("c_sv"))
 
 
 @query("w04_running_counts_range", sql("sfault place", """SELECT DISTINCT p.st, epoch(s.ts)::BIGINT AS ts,
-  count(*) OVER w AS c_all, sum((kind = 'FAULT')::INT) OVER w AS c_flt FROM sfault s JOIN place p ON p.ch = s.ch
+  count(*) OVER w AS c_all, (sum((kind = 'FAULT')::INT) OVER w)::BIGINT AS c_flt FROM sfault s JOIN place p ON p.ch = s.ch
   WINDOW w AS (PARTITION BY p.st ORDER BY s.ts RANGE UNBOUNDED PRECEDING)"""))
 def _(b):
     dim = b.channels().select(F.col("id").alias("ch"), F.col("sensor_type").alias("st"))
@@ -209,7 +209,7 @@ def _(b):
     return W.clusters(p, ["object_id"], "x", 50.0, 2, []).drop("cluster")
 
 
-@query("w11_rank_within_day", sql("hourly", """SELECT ch, day::VARCHAR AS day, n, rank FROM (
+@query("w11_rank_within_day", sql("hourly", """SELECT ch, day::VARCHAR AS day, n, rank::INT AS rank FROM (
    SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, ch) AS rank FROM (
      SELECT ch, hour::DATE AS day, sum(n_ev)::BIGINT AS n FROM hourly GROUP BY 1, 2)) WHERE rank <= 5"""))
 def _(b):
@@ -219,7 +219,7 @@ def _(b):
 
 @query("w12_row_ids", sql("hourly", "SELECT ch, epoch(hour)::BIGINT AS hour, 1000 + row_number() OVER (ORDER BY hour, ch) AS id FROM hourly"))
 def _(b):
-    return W.row_ids(b.hourly().select("ch", "hour"), ["hour", "ch"], "id", 1000).select("ch", secs("hour"), "id")
+    return W.row_ids(b.hourly().select("ch", "hour"), ["hour", "ch"], "id", 1000, W.id_band("ch", 16)).select("ch", secs("hour"), "id")
 
 
 @query("w13_change_counts", sql("hourly", "SELECT ch, sum(n_chg)::BIGINT AS changes, sum(n_same)::BIGINT AS stuck FROM hourly GROUP BY ch"))

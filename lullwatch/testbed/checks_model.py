@@ -222,7 +222,7 @@ cte("contrib", "scored", " UNION ALL ".join(f"SELECT t, ch, '{f}' AS feature, {f
                                             for f, (w, m) in _SURR.items()))
 
 
-@query("m20_top_factors", sql("contrib", """SELECT epoch(t)::BIGINT AS t, ch, feature, pos FROM (SELECT *, row_number() OVER (PARTITION BY t, ch
+@query("m20_top_factors", sql("contrib", """SELECT epoch(t)::BIGINT AS t, ch, feature, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY t, ch
    ORDER BY (contrib > 0) DESC, round(CASE WHEN contrib > 0 THEN contrib END, 9) DESC NULLS LAST, round(abs(contrib), 9) DESC, feature) AS pos FROM contrib) WHERE pos <= 3"""))
 def _(b):
     c = M.contributions(b.scored(), ["T", "ch"], _SURR).withColumn("contrib", F.round("contrib", 9))

@@ -234,7 +234,7 @@ def _(b):
 
 
 @query("q01_load_stats", sql("strj", r"""SELECT count(*) AS rows_raw, count(*) FILTER (WHERE ts IS NULL) AS bad_ts, count(*) FILTER (WHERE try_cast(channel_id AS BIGINT) IS NULL) AS bad_channel,
-  count(*) FILTER (WHERE ts IS NOT NULL AND regexp_matches(value, '^\s*\d{2}\.\d{2}\.\d{4}')) AS date_values, 0 AS empty_values, count(*) FILTER (WHERE a IN ('t', 'f')) AS alarm_tf,
+  count(*) FILTER (WHERE ts IS NOT NULL AND regexp_matches(value, '^\s*\d{2}\.\d{2}\.\d{4}')) AS date_values, 0::BIGINT AS empty_values, count(*) FILTER (WHERE a IN ('t', 'f')) AS alarm_tf,
   count(*) FILTER (WHERE a IN ('true', 'false')) AS alarm_truefalse, count(*) FILTER (WHERE a NOT IN ('t', 'f', 'true', 'false')) AS alarm_other, epoch(min(ts))::BIGINT AS ts_min, epoch(max(ts))::BIGINT AS ts_max
   FROM (SELECT *, lower(trim(alarm)) AS a, try_strptime(date || ' ' || trim(time), '%Y-%m-%d %H:%M:%S') AS ts FROM strj)"""))
 def _(b):

@@ -167,8 +167,8 @@ def _metrics(b):
                                  ("precision_at_k", F.col("k"), M.precision_at_k(s).withColumnRenamed("precision", "value"))])
 
 
-@query("v13_model_screen", sql("scored", """SELECT scope, key, support, row_number() OVER (PARTITION BY scope ORDER BY CASE WHEN scope = 'sensor_type' THEN support END DESC NULLS LAST,
-   CASE WHEN scope = 'precision_at_k' THEN key::INT END, key) AS pos FROM (
+@query("v13_model_screen", sql("scored", """SELECT scope, key, support, (row_number() OVER (PARTITION BY scope ORDER BY CASE WHEN scope = 'sensor_type' THEN support END DESC NULLS LAST,
+   CASE WHEN scope = 'precision_at_k' THEN key::INT END, key))::INT AS pos FROM (
    SELECT 'overall' AS scope, '' AS key, sum(y)::DOUBLE AS support FROM scored UNION ALL SELECT 'sensor_type', sensor_type, sum(y)::DOUBLE FROM scored GROUP BY 2
    UNION ALL SELECT 'precision_at_k', unnest(['20', '50', '100']), NULL)"""))
 def _(b):
@@ -236,7 +236,7 @@ def _(b):
     return S.transition_groups(S.transition_feed(b.predictions(), AT, 72)).select(secs("at"), "count")
 
 
-@query("v19_k03_slice_notifications", sql("trans", """SELECT epoch("at")::BIGINT AS at, id, CASE WHEN rk <= 2 THEN 'single' ELSE 'summary' END AS item, CASE WHEN rk <= 2 THEN 1 ELSE n - 2 END AS count, rk AS pos
+@query("v19_k03_slice_notifications", sql("trans", """SELECT epoch("at")::BIGINT AS at, id, CASE WHEN rk <= 2 THEN 'single' ELSE 'summary' END AS item, CASE WHEN rk <= 2 THEN 1 ELSE n - 2 END AS count, rk::INT AS pos
   FROM (SELECT *, row_number() OVER (PARTITION BY "at" ORDER BY prob DESC, id) AS rk, count(*) OVER (PARTITION BY "at") AS n FROM trans) WHERE rk <= 3"""))
 def _(b):
     t = S.critical_transitions(b.predictions(), "2024-01-12 00:00:00", "2024-01-20 12:00:00")

@@ -24,22 +24,29 @@ def neighbour_by(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    earlier: dict[str, tuple[Column, Column | None]] | None = None,
-    later: dict[str, tuple[Column, Column | None]] | None = None,
+    earlier: dict[str, tuple[str, Column | None]] | None = None,
+    later: dict[str, tuple[str, Column | None]] | None = None,
     bucket: str = "day",
+    keep_bucket: bool = False,
 ) -> DataFrame:
-    """Add the nearest earlier and later values per key: ``earlier[name] = (value, condition or None)``.
+    """Add the nearest earlier and later values per key: ``earlier[name] = (column, condition or None)``.
 
     ``order[0]`` is the timestamp; the other columns break ties. With a condition only rows that satisfy it count, so
-    "previous status text" and "previous reading" come out of one pass.
+    "previous status text" and "previous reading" come out of one pass. ``keep_bucket`` leaves the time bucket in the
+    result: an aggregation by the key, the bucket and anything else then needs no shuffle of its own.
     """
     keys, order, earlier, later = list(keys), list(order), earlier or {}, later or {}
     wanted = {**earlier, **later}
     src = {n: f"_src_{n}" for n in wanted}
     base = df.withColumns({BUCKET: bucket_of(order[0], bucket), **{
-        src[n]: (v if c is None else F.when(c, v)) for n, (v, c) in wanted.items()}})
-    edge = lambda n: (F.max if n in earlier else F.min)(
-        F.when(F.col(src[n]).isNotNull(), F.struct(*[F.col(c) for c in order], F.col(src[n]).alias("v"))))
+        src[n]: (F.col(v) if c is None else F.when(c, F.col(v))) for n, (v, c) in wanted.items()}})
+
+    def edge(n: str) -> Column:
+        pick = F.max if n in earlier else F.min
+        if wanted[n] == (order[0], None):  # the moment itself needs no companion: a plain hash aggregate
+            return F.struct(pick(src[n]).alias("v"))
+        return pick(F.when(F.col(src[n]).isNotNull(), F.struct(*[F.col(c) for c in order], F.col(src[n]).alias("v"))))
+
     summary = base.groupBy(*keys, BUCKET).agg(*[edge(n).alias(src[n]) for n in wanted])
     # a later value is the first of the buckets after: both directions look back along their own order
     past = Window.partitionBy(*keys).orderBy(F.col(BUCKET).asc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +62,7 @@ def neighbour_by(
     found = rows.select("*", *[
         F.last(src[n], ignorenulls=True).over((up if n in earlier else down).rowsBetween(Window.unboundedPreceding, -1)).alias(n)
         for n in wanted])
-    return found.filter(F.col(CARRY) == 1).select(*df.columns, *wanted)
+    return found.filter(F.col(CARRY) == 1).select(*df.columns, *([BUCKET] if keep_bucket else []), *wanted)
 
 
 def running_totals(
@@ -105,7 +112,7 @@ def band_distinct_count(
     span = F.expr(f"make_dt_interval(0, {tolerance_h})")
     reach = F.expr(f"make_dt_interval(0, {2 * tolerance_h})")
     m = marks.select(*keys, member, ts).dropna().distinct()
-    m = neighbour_by(m, [*keys, member], [ts], {"_prev": (F.col(ts), None)}, {"_next": (F.col(ts), None)})
+    m = neighbour_by(m, [*keys, member], [ts], {"_prev": (ts, None)}, {"_next": (ts, None)})
     first = F.col("_prev").isNull() | (F.col("_prev") + reach < F.col(ts))
     last = F.col("_next").isNull() | (F.col(ts) + reach < F.col("_next"))
     # starts and ends of intervals are independent +1 / -1 steps of the sweep

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lullwatch.functions.values import as_number, in_work_hours
 from lullwatch.operators import windows as W
-from lullwatch.operators.carry import band_distinct_count, neighbour_by
+from lullwatch.operators.carry import BUCKET, band_distinct_count, neighbour_by
 from lullwatch.operators.intervals import (
     days_touched, flag_in_window, overlap_seconds, overlap_up_to, seconds_between, window_clock,
 )
@@ -50,14 +50,13 @@ def hourly_aggregates(events: DataFrame, channels: DataFrame, spec: JournalSpec)
     gas = channels.filter(F.col("sensor_type") == spec.gas_type).select(F.col("id").alias("ch"), F.lit(True).alias("is_gas"))
     seen = neighbour_by(
         events.select("ch", "ts", "is_alarm", "raw", "kind", "num", "txt"), ["ch"], ["ts", "raw"],
-        {"prev_ts": (F.col("ts"), None), "prev_num": (F.col("num"), F.col("num").isNotNull()),
-         "prev_txt": (F.col("txt"), F.col("txt").isNotNull())},
+        {"prev_ts": ("ts", None), "prev_num": ("num", F.col("num").isNotNull()), "prev_txt": ("txt", F.col("txt").isNotNull())},
+        keep_bucket=True,
     )
-    e = seen.withColumn("_bucket", F.date_trunc("day", "ts"))
     k, t, v = F.col("kind"), F.col("txt"), F.col("num")
     work = in_work_hours(F.col("ts"), spec)
     n = lambda cond: F.count_if(cond).cast("int")
-    hours = e.groupBy("ch", "_bucket", F.date_trunc("hour", "ts").alias("hour")).agg(
+    hours = seen.groupBy("ch", BUCKET, F.date_trunc("hour", "ts").alias("hour")).agg(
         F.count(F.lit(1)).cast("int").alias("n_ev"),
         n(t == spec.fault).alias("n_fault"), n(t == spec.disconnected).alias("n_disc"),
         n(t.isin(*spec.uncertain)).alias("n_unc"), n(t == spec.power_off).alias("n_off"),
@@ -70,7 +69,7 @@ def hourly_aggregates(events: DataFrame, channels: DataFrame, spec: JournalSpec)
         n((v >= spec.gas_alarm) & work).alias("n_gas1_wk"), n((v >= spec.gas_alarm) & ~work).alias("n_gas1_off"),
         n(v >= spec.gas_explosive).alias("n_gas5"), n(t == spec.gas_detected).alias("n_gasdet"),
         F.max("ts").alias("last_ts"), F.max(seconds_between(F.col("prev_ts"), F.col("ts"))).cast("int").alias("max_gap_s"),
-    ).drop("_bucket")
+    ).drop(BUCKET)
     out = hours.join(gas, "ch", "left")
     only_gas = lambda c: F.when(F.col("is_gas"), F.col(c)).otherwise(0).alias(c)
     return out.select(*[only_gas(c) if c in ("n_gas1_wk", "n_gas1_off", "n_gas5") else F.col(c) for c in hours.columns])
@@ -78,8 +77,8 @@ def hourly_aggregates(events: DataFrame, channels: DataFrame, spec: JournalSpec)
 
 def extract_gaps(events: DataFrame, spec: JournalSpec) -> DataFrame:
     """Pauses of at least ``gap_min_s`` between neighbouring events, and one open pause (``ts`` NULL) per channel."""
-    moments = events.select("ch", "ts").distinct()
-    seen = neighbour_by(moments, ["ch"], ["ts"], {"prev_ts": (F.col("ts"), None)})
+    # events of one moment are zero apart, so they need no de-duplication here
+    seen = neighbour_by(events.select("ch", "ts"), ["ch"], ["ts"], {"prev_ts": ("ts", None)})
     closed = seen.withColumn("gap_s", seconds_between(F.col("prev_ts"), F.col("ts")).cast("long")).filter(
         F.col("gap_s") >= spec.gap_min_s).select("ch", "prev_ts", "ts", "gap_s")
     last = events.groupBy("ch").agg(F.max("ts").alias("prev_ts"))

@@ -138,8 +138,7 @@ def _(b):
 def _(b):
     e = b.events().select("event_id", "ch", "ts", "raw", "num", "txt")
     out = carry.neighbour_by(e, ["ch"], ["ts", "raw"], {
-        "prev_ts": (F.col("ts"), None), "prev_num": (F.col("num"), F.col("num").isNotNull()),
-        "prev_txt": (F.col("txt"), F.col("txt").isNotNull())})
+        "prev_ts": ("ts", None), "prev_num": ("num", F.col("num").isNotNull()), "prev_txt": ("txt", F.col("txt").isNotNull())})
     return out.select("event_id", secs("prev_ts"), "prev_num", "prev_txt")
 
 
@@ -160,13 +159,6 @@ def _(b):
     return out.select("st", secs("ts"), "c_all", "c_flt")
 
 
-cte("pulse", "norm", """SELECT ch, day, norm_s, n_ev_30d, max(max_gap_s) OVER a AS max_gap_7d, max(max_gap_s) OVER b AS max_gap_30d,
-  sum((n_ev = 0)::INT) OVER b AS zero_days_30d, stddev_pop(n_ev) OVER b / nullif(avg(n_ev) OVER b, 0) AS daily_cv_30d,
-  least(row_number() OVER (PARTITION BY ch ORDER BY day) - 1, 365) AS history_days FROM norm
-  WINDOW a AS (PARTITION BY ch ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
-         b AS (PARTITION BY ch ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)""")
-
-
 @query("w05_w14_daily_pulse_d17", sql("pulse", """SELECT ch, day::VARCHAR AS day, max_gap_7d, max_gap_30d, zero_days_30d::BIGINT AS zero_days_30d,
   round(daily_cv_30d, 6) AS daily_cv_30d, history_days FROM pulse"""))
 def _(b):

@@ -50,7 +50,7 @@ def test_neighbour_by(spark, direction):
     data = sorted({(k, at(t), i, v if v > 3 else None) for i, (k, t, v) in enumerate(rows(200, 3))}, key=lambda r: r[:3])
     df = spark.createDataFrame(data, "k int, ts timestamp, i int, v int")
     got = carry.neighbour_by(df, ["k"], ["ts", "i"], **{"earlier" if direction == "previous" else "later": {
-        "n_ts": (F.col("ts"), None), "n_v": (F.col("v"), F.col("v").isNotNull())}})
+        "n_ts": ("ts", None), "n_v": ("v", F.col("v").isNotNull())}})
     want = {}
     for k, ts, i, v in data:
         line = [r for r in data if r[0] == k]

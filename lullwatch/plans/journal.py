@@ -289,10 +289,16 @@ def channel_daily(hourly: DataFrame) -> DataFrame:
         F.bround(F.max("max_gap_s") / 60).cast("int").alias("max_gap_min"))
 
 
-def overdue_channels(gaps_eff: DataFrame, norm: DataFrame) -> DataFrame:
-    """Channels whose open pause is longer than their personal norm, the most overdue first."""
+def silence_report(gaps_eff: DataFrame, norm: DataFrame) -> DataFrame:
+    """Open pause of every channel next to its personal norm, the most silent first."""
     open_gap = gaps_eff.filter(F.col("ts").isNull()).withColumn("day", F.to_date("prev_ts"))
     n = norm.select("ch", "day", "norm_s", "n_ev_30d")
-    late = open_gap.join(n, ["ch", "day"]).filter((F.col("n_ev_30d") > 0) & (F.col("gap_eff_s") > F.col("norm_s")))
-    return late.select("ch", F.unix_timestamp("prev_ts").alias("silent_since"), "gap_eff_s", "norm_s",
-                       F.round(F.col("gap_eff_s") / F.col("norm_s"), 4).alias("ratio")).orderBy(F.desc("ratio"), "ch")
+    late = (F.col("n_ev_30d") > 0) & (F.col("gap_eff_s") > F.col("norm_s"))
+    return open_gap.join(n, ["ch", "day"]).select(
+        "ch", F.unix_timestamp("prev_ts").alias("silent_since"), "gap_eff_s", "norm_s",
+        F.round(F.col("gap_eff_s") / F.col("norm_s"), 4).alias("ratio"), late.alias("overdue")).orderBy(F.desc("ratio"), "ch")
+
+
+def overdue_channels(gaps_eff: DataFrame, norm: DataFrame) -> DataFrame:
+    """Channels whose open pause is longer than their personal norm."""
+    return silence_report(gaps_eff, norm).filter("overdue").drop("overdue")

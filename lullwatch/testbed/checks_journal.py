@@ -103,3 +103,10 @@ def _(b):
   WHERE g.ts IS NULL AND n.n_ev_30d > 0 AND g.gap_eff_s > n.norm_s"""))
 def _(b):
     return J.overdue_channels(b.gaps_eff(), b.norm())
+
+
+@query("flagship_silence_report", sql("geff norm", """SELECT g.ch, epoch(g.prev_ts)::BIGINT AS silent_since, g.gap_eff_s, n.norm_s,
+  round(g.gap_eff_s / n.norm_s, 4) AS ratio, n.n_ev_30d > 0 AND g.gap_eff_s > n.norm_s AS overdue
+  FROM geff g JOIN norm n ON n.ch = g.ch AND n.day = g.prev_ts::DATE WHERE g.ts IS NULL"""))
+def _(b):
+    return J.silence_report(b.gaps_eff(), b.norm())

@@ -30,7 +30,8 @@ def plain(v):
 
 
 def test_entry_runs(spark):
-    assert entry.entry(spark).columns == ["ch", "silent_since", "gap_eff_s", "norm_s", "ratio"]
+    df = entry.entry(spark)
+    assert df.columns == ["ch", "silent_since", "gap_eff_s", "norm_s", "ratio", "overdue"] and df.count() > 0
 
 
 def test_every_oracle_has_a_query():

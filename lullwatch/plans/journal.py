@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lullwatch.functions.values import as_number, in_work_hours
+from lullwatch.functions.values import in_work_hours
 from lullwatch.operators import windows as W
 from lullwatch.operators.carry import BUCKET, band_distinct_count, neighbour_by
 from lullwatch.operators.intervals import (

@@ -11,13 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lullwatch.functions.risk import ALERT_LEVELS, LEVELS, level_in, level_rank, risk_level_from_prob, round_prob
+from lullwatch.functions.risk import ALERT_LEVELS, LEVELS, level_in, risk_level_from_prob, round_prob
 from lullwatch.functions.text import formula_safe
 from lullwatch.functions.values import is_date_value
 from lullwatch.operators.asof import asof_join
 from lullwatch.operators.carry import band_distinct_count
 from lullwatch.operators.intervals import seconds_between
-from lullwatch.operators.ranking import heads_and_rest, latest_by, page, top_rank
+from lullwatch.operators.ranking import heads_and_rest, latest_by, page
 from lullwatch.operators.sets import union_distinct
 from lullwatch.operators.tree import filter_channels, tree_rollup
 from lullwatch.spec import JournalSpec, RiskBounds

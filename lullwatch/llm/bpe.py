@@ -1,21 +1,23 @@
 """Byte-level BPE over a distinct-word table: every word is encoded once, its ids go back by position.
 
 Documents are split into the words the vocabulary's pattern defines (a control string such as ``<|endoftext|>`` is a word of its
-own). A block is a run of documents of one input split of at most ``SIZE_BYTES``. The word table has one row per block and
-distinct word and is laid out by word, so one task sees all rows of a word together and encodes it a single time; a word has at
-most one row per block however often it occurs, so no word is hot. The rows return to their blocks, where the ids replace the
-words at their positions. Texts travel once, compressed; no id or word is ever collected.
+own). A block is a run of documents of one input split of at most about ``SIZE_BYTES``. The word table is laid out by a hash of the
+word into buckets; a row holds a block's distinct words of one bucket, so the task of a bucket sees each distinct word of the corpus
+and encodes it a single time. A word counts once per block however often it occurs, so no word is hot. The ids return to
+their blocks, where they replace the words at their positions. Texts travel once, compressed; nothing is collected.
 
 Decoding joins ids to the id-to-piece table (its size is that of the vocabulary) at their positions and concatenates the pieces.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; repeated rows give repeated rows; other columns are
-ignored; an empty table gives an empty table. If an input split changes between the two readings of the table, a word of the text
-is missing in its block and the task fails instead of giving wrong ids.
+ignored; an empty table gives an empty table. The table is read twice; if an input split differs between
+the two readings, the block's word lists differ and the task fails.
 """
 
 from __future__ import annotations
 
 import itertools
+import zlib
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lullwatch.llm.common import SIZE_BYTES, register, table
+from lullwatch.llm.common import SIZE_BYTES, partitions, register, table
 
 # Fixed value: the word pattern of the byte-level vocabulary.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -76,10 +78,33 @@ def blocks(batches):
         yield base + next(n), ids, texts
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids, n_tokens``: ids as little-endian unsigned 32-bit integers."""
+def bundles(words, buckets: int) -> dict[int, list[str]]:
+    """Distinct words of a block by bucket, each list sorted."""
+    parts: dict[int, list[str]] = {}
+    for w in sorted(words):
+        parts.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+    return parts
+
+
+def pack(items: list[bytes]) -> bytes:
+    sizes = np.array([len(items), *map(len, items)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(items))
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return np.frombuffer(raw, "<u4", n, 4), raw[4 + 4 * n:]
+
+
+def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """``doc_id, ids, n_tokens``: ids as little-endian unsigned 32-bit integers.
+
+    ``buckets``: parts of the word table; one task holds the distinct words of one part (default: four per shuffle partition).
+    """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    buckets = buckets or 4 * partitions(docs.sparkSession)
 
     def own_words(batches):
         split = splitter(path)
@@ -87,22 +112,29 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             found: set[str] = set()
             for t in texts:
                 found.update(split(t))
-            if found:
-                col = pa.array(sorted(found), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(col), block)), col], names=["block", "word"])
+            parts = bundles(found, buckets)
+            if parts:
+                rows = [pack([w.encode("utf-8", "surrogatepass") for w in ws]) for ws in parts.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(np.full(len(rows), block)), pa.array(rows, pa.binary())],
+                                                 names=["bucket", "block", "packed"])
 
     def word_ids(batches):
-        encode_all, last, last_ids = tokenizer(path).encode_batch_fast, None, b""
+        encode_all, known, at = tokenizer(path).encode_batch_fast, {}, None
         for b in batches:
-            runs = b["word"].dictionary_encode()
-            fresh = runs.dictionary.to_pylist()
-            ids = [np.array(e.ids, "<u4").tobytes() for e in encode_all(fresh, add_special_tokens=False)]
-            if fresh and fresh[0] == last:
-                ids[0] = last_ids
-            last, last_ids = (fresh[-1], ids[-1]) if fresh else (last, last_ids)
-            yield pa.RecordBatch.from_arrays([b["block"], b["word"], pa.array(ids, pa.binary()).take(runs.indices)], names=["block", "word", "ids"])
-
-    def packed(batches):
+            rows = []
+            for bucket, packed in zip(b["bucket"].to_pylist(), b["packed"].to_pylist(), strict=True):
+                if bucket != at:
+                    known, at = {}, bucket
+                sizes, raw = unpack(packed)
+                ends = np.cumsum(sizes).tolist()
+                words = [raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip([0, *ends], ends, strict=False)]
+                fresh = [w for w in words if w not in known]
+                for w, e in zip(fresh, encode_all(fresh, add_special_tokens=False), strict=True):
+                    known[w] = np.array(e.ids, "<u4").tobytes()
+                rows.append(pack([known[w] for w in words]))
+            yield pa.RecordBatch.from_arrays([b["block"], b["bucket"], pa.array(rows, pa.binary())], names=["block", "bucket", "packed"])
+
+    def packed_texts(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for block, ids, texts in blocks(batches):
             for k in range(0, len(ids), 512):
@@ -112,13 +144,31 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def place(texts: pa.Table, table: pa.Table) -> pa.Table:
         split, expand = splitter(path), zstandard.ZstdDecompressor().decompress
-        ids_of = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True)).__getitem__
-        out = [b"".join(map(ids_of, split(expand(p).decode("utf-8", "surrogatepass")))) for p in texts["packed"].to_pylist()]
+        number: dict[str, int] = defaultdict(itertools.count().__next__)
+        codes = [np.fromiter(map(number.__getitem__, split(expand(p.as_py()).decode("utf-8", "surrogatepass"))), np.int64) for p in texts["packed"]]
+        ids_of = dict(zip(table["bucket"].to_pylist(), table["packed"].to_pylist(), strict=True))
+        parts, sizes, first, flat, at = bundles(number, buckets), np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [], 0
+        if sorted(parts) != sorted(ids_of):
+            raise ValueError("an input split changed between two readings")
+        for bucket, words in parts.items():
+            lengths, raw = unpack(ids_of[bucket])
+            if len(lengths) != len(words):
+                raise ValueError("an input split changed between two readings")
+            slots = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            sizes[slots] = lengths // 4
+            first[slots] = at + np.cumsum(lengths // 4) - lengths // 4
+            flat.append(np.frombuffer(raw, "<u4"))
+            at += len(flat[-1])
+        flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+        out = []
+        for c in codes:
+            n = sizes[c]
+            out.append(flat[np.repeat(first[c] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes())
         return pa.table({"doc_id": texts["doc_id"], "ids": pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())})
 
-    words = docs.mapInArrow(own_words, "block bigint, word string").repartition("word").sortWithinPartitions("word")
-    words = words.mapInArrow(word_ids, "block bigint, word string, ids binary")
-    texts = docs.mapInArrow(packed, f"block bigint, doc_id {kind}, packed binary")
+    words = docs.mapInArrow(own_words, "bucket int, block bigint, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    words = words.mapInArrow(word_ids, "block bigint, bucket int, packed binary")
+    texts = docs.mapInArrow(packed_texts, f"block bigint, doc_id {kind}, packed binary")
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(place, f"doc_id {kind}, ids binary, n_tokens bigint")
 
 

@@ -26,10 +26,10 @@ def test_edges_match_the_library(edge_docs):
     assert bpe.encode(edge_docs, PATH).count() == len(edge_texts()) + 1
 
 
-def test_small_blocks_give_the_same(edge_docs, monkeypatch):
+def test_other_layouts_give_the_same(edge_docs):
     want = sorted((r.doc_id, bytes(r.ids)) for r in bpe.encode(edge_docs, PATH).collect())
     docs = edge_docs.repartition(5, "doc_id").orderBy("doc_id")
-    assert sorted((r.doc_id, bytes(r.ids)) for r in bpe.encode(docs, PATH).collect()) == want
+    assert sorted((r.doc_id, bytes(r.ids)) for r in bpe.encode(docs, PATH, buckets=3).collect()) == want
 
 
 def test_empty_table(spark, tmp_path, edge_docs):

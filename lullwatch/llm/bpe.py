@@ -45,11 +45,14 @@ def tokenizer(path: str):
     return t
 
 
+def control_words(path: str) -> tuple[str, ...]:
+    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+
+
 @lru_cache(maxsize=4)
-def splitter(path: str):
+def splitter(control: tuple[str, ...]):
     """Function from a text to its words, in order."""
     find = regex.compile(WORD).findall
-    control = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
     cut = regex.compile("(" + "|".join(map(regex.escape, sorted(control, key=len, reverse=True))) + ")") if control else None
 
     def split(text: str) -> list[str]:
@@ -105,9 +108,10 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     buckets = buckets or 4 * partitions(docs.sparkSession)
+    control = control_words(path)
 
     def own_words(batches):
-        split = splitter(path)
+        split = splitter(control)
         for block, _, texts in blocks(batches):
             found: set[str] = set()
             for t in texts:
@@ -143,7 +147,7 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
                                                   pa.array(part, pa.binary())], names=["block", "doc_id", "packed"])
 
     def place(texts: pa.Table, table: pa.Table) -> pa.Table:
-        split, expand = splitter(path), zstandard.ZstdDecompressor().decompress
+        split, expand = splitter(control), zstandard.ZstdDecompressor().decompress
         number: dict[str, int] = defaultdict(itertools.count().__next__)
         codes = [np.fromiter(map(number.__getitem__, split(expand(p.as_py()).decode("utf-8", "surrogatepass"))), np.int64) for p in texts["packed"]]
         ids_of = dict(zip(table["bucket"].to_pylist(), table["packed"].to_pylist(), strict=True))
@@ -172,7 +176,6 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(place, f"doc_id {kind}, ids binary, n_tokens bigint")
 
 
-@lru_cache(maxsize=4)
 def pieces(path: str) -> list[bytes]:
     """Id-to-piece table of a byte-level vocabulary: the byte string of every id."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: the bytes that stand for themselves
@@ -188,10 +191,12 @@ def decode(encoded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its ``ids`` stand for."""
     schema = T.StructType([*encoded.schema.fields, T.StructField(column, T.StringType())])
 
+    sent = encoded.sparkSession.sparkContext.broadcast(pieces(path))
+
     def read(batches):
-        get = pieces(path).__getitem__
-        for b in batches:
-            text = [b"".join(map(get, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in b["ids"].to_pylist()]
+        get = sent.value.__getitem__
+        for b in (b.slice(k, 500) for b in batches for k in range(0, len(b), 500)):
+            text = [b"".join(map(get, np.frombuffer(x.as_py() or b"", "<u4").tolist())).decode("utf-8", "replace") for x in b["ids"]]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, column])
 
     return encoded.mapInArrow(read, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-SIZE_BYTES = 16 << 20
+SIZE_BYTES = 6 << 20
 """Uncompressed bytes a Python task gathers before it hands them on."""
 
 

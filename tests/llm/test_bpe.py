@@ -51,4 +51,4 @@ def test_query_matches_the_library(spark):
 def test_split_is_the_library_s(text):
     t = Tokenizer.from_file(PATH)
     parts = [text[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(text)]
-    assert bpe.splitter(PATH)(text) == parts
+    assert bpe.splitter(bpe.control_words(PATH))(text) == parts

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bpe", "decontaminate")
+MODULES = ("simhash", "bpe", "quality", "tokenfile", "decontaminate")
 
 
 def load_queries() -> tuple[dict, dict]:

@@ -12,8 +12,11 @@ from tests.llm.conftest import SF, edge_texts, write_tables
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def brute(text):
-    t = Tokenizer.from_file(PATH)
+    t = TOKENIZER
     ids = t.encode(text or "", add_special_tokens=False).ids
     return ids, t.decode(ids, skip_special_tokens=False)
 
@@ -49,6 +52,6 @@ def test_query_matches_the_library(spark):
 
 @pytest.mark.parametrize("text", ["'s't 's", "a b   c", "x\u0085y", "   z", "1/2 ½ ² ٣"])
 def test_split_is_the_library_s(text):
-    t = Tokenizer.from_file(PATH)
+    t = TOKENIZER
     parts = [text[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(text)]
     assert bpe.splitter(bpe.control_words(PATH))(text) == parts

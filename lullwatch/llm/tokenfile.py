@@ -26,36 +26,45 @@ from pyspark.sql import functions as F
 from lullwatch.llm.common import partitions, register, stage_path, table
 
 SHARD_TOKENS = 1 << 21
-CACHE = 300_000
+CACHE = 200_000
 END = 2
 STEP = 512
 
-_chunks: dict[str, dict[bytes, bytes]] = {}
+_known: dict[str, list[dict[bytes, bytes]]] = {}
 _tokenizers: dict[str, object] = {}
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of whole texts as little-endian uint32, by the tokenizers library; texts are cut at ASCII white space only."""
+    """Ids of whole texts as little-endian uint32, by the tokenizers library.
+
+    For vocabularies that drop white space: texts are cut at ASCII white space, and a full stop or comma after a letter is
+    looked up apart. The library encodes what is in neither of the two cache generations.
+    """
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _tokenizers[path], _chunks[path] = t, {}
-    known, encode = _chunks[path], _tokenizers[path].encode_batch_fast
-    if len(known) > CACHE:
-        known.clear()
+        _tokenizers[path], _known[path] = t, [{}, {}]
+    encode = _tokenizers[path].encode_batch_fast
+    if len(_known[path][0]) > CACHE:
+        _known[path] = [{}, _known[path][0]]
+    young, old = _known[path]
     chunks = []
     for t in texts:
         raw = t.encode("utf-8", "surrogatepass")
         chunks.append((raw if b"<|" in raw else raw.lower()).split())
-    fresh = list({c for cs in chunks for c in cs if c not in known})
+    stem = {c: c[:-1] if c[-1] in b".," and 97 <= c[-2:][0] <= 122 else c for c in set().union(*chunks)}
+    missing = [s for s in {*stem.values(), b".", b","} if s not in young]
+    young.update((s, old[s]) for s in missing if s in old)
+    fresh = [s for s in missing if s not in young]
     for k in range(0, len(fresh), 5000):
         part = fresh[k:k + 5000]
-        for c, e in zip(part, encode([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
+        for s, e in zip(part, encode([s.decode("utf-8", "surrogatepass") for s in part], add_special_tokens=False), strict=True):
+            young[s] = np.array(e.ids, "<u4").tobytes()
+    ids = {c: young[s] if len(s) == len(c) else young[s] + young[c[-1:]] for c, s in stem.items()}
+    return [b"".join(map(ids.__getitem__, cs)) for cs in chunks]
 
 
 class WaveletMatrix:
@@ -131,14 +140,13 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """The whole sequence."""
-        at, out = np.arange(self.n, dtype=np.int32), np.zeros(self.n, np.uint32)
-        for level, zeros in enumerate(self.zeros):
-            bit = np.unpackbits(self.planes[level], bitorder="little")[:self.n]
-            ones = np.cumsum(bit, dtype=np.int32)
-            here = bit[at]
-            at = np.where(here, zeros + ones[at] - 1, at - ones[at])
-            out = out << 1 | here
-        return out
+        seq = np.zeros(self.n, np.uint16 if len(self.zeros) <= 16 else np.uint32)
+        for level in reversed(range(len(self.zeros))):
+            bit = np.unpackbits(self.planes[level], bitorder="little")[:self.n].view(bool)
+            below, seq = seq, np.empty_like(seq)
+            seq[~bit] = below[:self.zeros[level]]
+            seq[bit] = below[self.zeros[level]:] | seq.dtype.type(1 << len(self.zeros) - 1 - level)
+        return seq
 
 
 SHARD = ("bucket int, shard bigint, base bigint, n bigint, zeros array<bigint>, planes array<binary>, ranks array<binary>, doc_ids array<{}>, sizes array<bigint>")
@@ -175,7 +183,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END, shard_t
                                           ("ranks", pa.list_(pa.binary())), ("doc_ids", pa.list_(b.schema.field("doc_id").type)), ("sizes", pa.list_(pa.int64()))])
             for to, i, x in zip(b["bucket"].to_pylist(), b["doc_id"].to_pylist(), b["ids"], strict=True):
                 x = x.as_py()
-                seq = np.frombuffer(x, "<u4", offset=1) if len(x) % 2 else np.frombuffer(x, "<u2").astype(np.uint32)
+                seq = np.frombuffer(x, "<u4", offset=1) if len(x) % 2 else np.frombuffer(x, "<u2")
                 if seqs and (to != bucket or size + len(seq) > shard_tokens):
                     yield close()
                     base, number, ids, seqs, size = base + size, number + 1, [], [], 0

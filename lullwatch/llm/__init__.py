@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash", "bpe", "quality", "tokenfile", "decontaminate", "syncmers")
+MODULES = ("simhash", "bpe", "quality", "shards", "tokenfile", "decontaminate", "syncmers")
 
 
 def load_queries() -> tuple[dict, dict]:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash", "chat", "bpe", "quality", "shards", "tokenfile", "decontaminate", "syncmers", "pages")
+MODULES = ("simhash", "chat", "bpe", "quality", "shards", "tokenfile", "decontaminate", "syncmers", "pages", "substrings")
 
 
 def load_queries() -> tuple[dict, dict]:

@@ -159,22 +159,30 @@ class FMIndex:
             self.zeros.append(n - int(bit.sum()))
             seq = np.concatenate((seq[~bit], seq[bit]))
 
-    def occurrences(self, c: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Wavelet descent: how often each ``c`` occurs before ``i``."""
-        start = np.zeros_like(i)
+        every = np.arange(self.top + 1)
+        self.shift = self.first[every] - self.descend(every, np.zeros(len(every), np.int64))[0]
+
+    def descend(self, c: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Wavelet descent of positions ``i`` along the bits of ``c``, and whether the symbol there is ``c``."""
+        same = np.ones(len(i), bool)
         for k in range(self.levels):
-            bits, ones, zeros = self.bits[k], self.ones[k], self.zeros[k]
+            word, low = self.bits[k][i >> 6], (i & 63).astype(np.uint64)
+            before = self.ones[k][i >> 6] + np.bitwise_count(word & ((np.uint64(1) << low) - np.uint64(1)))
             up = (c >> (self.levels - 1 - k) & 1).astype(bool)
-
-            def rank(p, bits=bits, ones=ones):
-                return ones[p >> 6] + np.bitwise_count(bits[p >> 6] & ((np.uint64(1) << (p & 63).astype(np.uint64)) - np.uint64(1)))
-
-            a, b = rank(start), rank(i)
-            start, i = np.where(up, zeros + a, start - a), np.where(up, zeros + b, i - b)
-        return i - start
+            same &= (word >> low & np.uint64(1)).astype(bool) == up
+            i = np.where(up, self.zeros[k] + before, i - before)
+        return i, same
 
     def extend(self, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.first[c] + self.occurrences(c, low), self.first[c] + self.occurrences(c, high)
+        """Suffix range of ``c`` followed by what each range stands for; a range of one suffix needs one descent."""
+        lo, hi = self.first[c], self.first[c + 1]
+        on = np.flatnonzero(high - low < self.n)
+        at, same = self.descend(c[on], low[on])
+        lo[on] = at + self.shift[c[on]]
+        hi[on] = lo[on] + same
+        wide = on[(high[on] - low[on]) > 1]
+        hi[wide] = self.descend(c[wide], high[wide])[0] + self.shift[c[wide]]
+        return lo, hi
 
     def windows(self, runs: list[np.ndarray], window: int) -> list[np.ndarray]:
         """For each run, which of its windows occur in the text (unknown words are -1)."""

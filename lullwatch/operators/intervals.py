@@ -49,7 +49,9 @@ def _lookup(df: DataFrame, clock: DataFrame, moment: Column, tag: str) -> DataFr
     """Attach ``window seconds before moment`` and the end of the window that covers the moment (else the moment)."""
     c = F.broadcast(clock.select(  # one row per calendar day
         F.col("day").alias(f"_day_{tag}"), F.col("before_s").alias("_before"), F.col("wins").alias("_wins")))
-    df = df.withColumn(f"_m_{tag}", moment).withColumn("_d", F.to_date(f"_m_{tag}"))
+    last = F.broadcast(clock.agg(F.max("day").alias("_last")))  # a moment after the calendar reads its last day
+    df = df.withColumn(f"_m_{tag}", moment).crossJoin(last)
+    df = df.withColumn("_d", F.when(F.col(f"_m_{tag}").isNotNull(), F.least(F.to_date(f"_m_{tag}"), F.col("_last")))).drop("_last")
     df = df.join(c, F.col("_d") == F.col(f"_day_{tag}"), "left")
     midnight = F.col("_d").cast("timestamp")
     inside = F.aggregate(

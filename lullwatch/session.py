@@ -27,19 +27,22 @@ def build_session(app: str = "lullwatch", master: str | None = None, cores: int
     return spark
 
 
+_fallback: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local master without that setting (tests) gets a temporary folder.
+    Only a single-JVM master without that setting (tests) gets a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir is not set: name a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="lullwatch-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    global _fallback
+    _fallback = _fallback or tempfile.mkdtemp(prefix="lullwatch-")
+    return _fallback
 
 
 def write_stage(df: DataFrame, name: str) -> DataFrame:

@@ -118,3 +118,13 @@ def test_scope_keeps_ancestors_as_folders(spark):
                               "id int, parent_id int, name string, level int")
     assert {(r.id, r.own) for r in tree.scope_objects(o, [2]).collect()} == {(1, False), (2, True), (4, True)}
     assert {r.id: r.path for r in tree.paths(o).collect()}[4] == "d → c1 → s1"
+
+
+def test_overlap_after_the_calendar_ends(spark):
+    """A span that ends after the last calendar day still holds the windows it has passed."""
+    outages = spark.createDataFrame([(datetime(2024, 1, 5), datetime(2024, 1, 5, 6))], "start timestamp, end timestamp")
+    clock = intervals.window_clock(outages, "2024-01-01", "2024-01-10")
+    spans = [(0, datetime(2024, 1, 4), datetime(2024, 1, 12)), (1, datetime(2024, 1, 6), datetime(2024, 1, 12)), (2, datetime(2024, 1, 5, 3), None)]
+    df = spark.createDataFrame(spans, "i int, a timestamp, b timestamp")
+    got = {r.i: r.s for r in intervals.overlap_seconds(df, clock, F.col("a"), F.col("b"), "s").collect()}
+    assert got[0] == 21600 and got[1] == 0

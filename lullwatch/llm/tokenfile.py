@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lullwatch.llm.common import partitions, register, stage_path, table
 
 SHARD_TOKENS = 1 << 21
-CACHE = 350_000
+CACHE = 200_000
 END = 2
 STEP = 512
 
@@ -161,7 +161,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END, shard_t
     cuts = np.array(sorted(set(cuts)))
 
     def tokens(batches):
-        for b in (b.slice(k, 2000) for b in batches for k in range(0, len(b), 2000)):
+        for b in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
             ids = [x + end_id.to_bytes(4, "little") for x in encode_texts([t or "" for t in b["text"].to_pylist()], tokenizer)]
             small = [np.frombuffer(x, "<u4") for x in ids]
             small = [x.astype("<u2").tobytes() if x.max() < 65536 else b"\xff" + x.tobytes() for x in small]

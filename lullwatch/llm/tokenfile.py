@@ -15,6 +15,7 @@ equal doc_id follow each other in the order of their ids' bytes; other columns a
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -30,15 +31,19 @@ CACHE = 200_000
 END = 2
 STEP = 512
 
+PIECES = re.compile(rb"[A-Za-z]+|[0-9]")
+STOP = re.compile(rb"[.,](?<=[a-z][.,])(?=\s|\Z)")
+
 _known: dict[str, list[dict[bytes, bytes]]] = {}
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[str, tuple] = {}
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of whole texts as little-endian uint32, by the tokenizers library.
 
-    For vocabularies that drop white space: texts are cut at ASCII white space, and a full stop or comma after a letter is
-    looked up apart. The library encodes what is in neither of the two cache generations.
+    For vocabularies that drop white space and mark word ends: texts are cut at ASCII white space, and a full stop or comma between
+    a letter and white space is a chunk of its own. The library encodes what is in neither of the two cache generations; chunks of
+    ASCII letters and digits go many at a time, one word end for each run of letters and each digit.
     """
     if path not in _tokenizers:
         from tokenizers import Tokenizer
@@ -46,25 +51,37 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _tokenizers[path], _known[path] = t, [{}, {}]
-    encode = _tokenizers[path].encode_batch_fast
+        ends = np.zeros(t.get_vocab_size(), bool)
+        ends[[i for s, i in t.get_vocab().items() if s.endswith("</w>")]] = True
+        _tokenizers[path], _known[path] = (t, ends), [{}, {}]
+    t, ends = _tokenizers[path]
+    encode = t.encode_batch_fast
     if len(_known[path][0]) > CACHE:
         _known[path] = [{}, _known[path][0]]
     young, old = _known[path]
     chunks = []
-    for t in texts:
-        raw = t.encode("utf-8", "surrogatepass")
-        chunks.append((raw if b"<|" in raw else raw.lower()).split())
-    stem = {c: c[:-1] if c[-1] in b".," and 97 <= c[-2:][0] <= 122 else c for c in set().union(*chunks)}
-    missing = [s for s in {*stem.values(), b".", b","} if s not in young]
-    young.update((s, old[s]) for s in missing if s in old)
-    fresh = [s for s in missing if s not in young]
-    for k in range(0, len(fresh), 5000):
-        part = fresh[k:k + 5000]
-        for s, e in zip(part, encode([s.decode("utf-8", "surrogatepass") for s in part], add_special_tokens=False), strict=True):
-            young[s] = np.array(e.ids, "<u4").tobytes()
-    ids = {c: young[s] if len(s) == len(c) else young[s] + young[c[-1:]] for c, s in stem.items()}
-    return [b"".join(map(ids.__getitem__, cs)) for cs in chunks]
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass")
+        chunks.append(STOP.sub(rb" \g<0>", raw if b"<|" in raw else raw.lower()).split())
+    missing = [c for c in set().union(*chunks) if c not in young]
+    young.update((c, old[c]) for c in missing if c in old)
+    fresh = [c for c in missing if c not in young]
+    words = [c for c in fresh if c.isalnum()]
+    for k in range(0, len(words), 5000):
+        part = [words[x:x + 100] for x in range(k, min(k + 5000, len(words)), 100)]
+        for group, e in zip(part, encode([b" ".join(g).decode() for g in part], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            last, upto = np.flatnonzero(ends[ids]), np.cumsum([len(PIECES.findall(c)) for c in group])
+            if len(last) != upto[-1] or last[-1] != len(ids) - 1:
+                raise ValueError("the vocabulary does not mark every word end")
+            cuts, raw = (4 * (last[upto - 1] + 1)).tolist(), ids.tobytes()
+            young.update((c, raw[x:y]) for c, x, y in zip(group, [0, *cuts], cuts, strict=False))
+    others = [c for c in fresh if not c.isalnum()]
+    for k in range(0, len(others), 5000):
+        part = others[k:k + 5000]
+        for c, e in zip(part, encode([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False), strict=True):
+            young[c] = np.array(e.ids, "<u4").tobytes()
+    return [b"".join(map(young.__getitem__, cs)) for cs in chunks]
 
 
 class WaveletMatrix:

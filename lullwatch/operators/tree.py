@@ -1,4 +1,4 @@
-"""Object tree: closure over a few levels, subtree and scope filters, roll-ups."""
+"""Object tree: closure over all levels, subtree and scope filters, roll-ups."""
 
 from __future__ import annotations
 
@@ -7,19 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = 3  # district, complex, sub-object
 
+def closure(objects: DataFrame) -> DataFrame:
+    """``(ancestor_id, id, distance)`` including the object itself, climbed until no object has a parent left.
 
-def closure(objects: DataFrame, depth: int = LEVELS) -> DataFrame:
-    """``(ancestor_id, id, distance)`` including the object itself: ``depth - 1`` self-joins of the object table."""
-    step = objects.select(F.col("id").alias("_child"), F.col("parent_id").alias("_parent"))
+    One join of the object table a level. Parents that form a cycle are an error.
+    """
+    step = objects.filter(F.col("parent_id") != F.col("id")).select(F.col("id").alias("_child"), F.col("parent_id").alias("_parent"))
     frontier = objects.select(F.col("id").alias("ancestor_id"), F.col("id"), F.lit(0).alias("distance"))
-    out = frontier
-    for d in range(1, depth):
-        frontier = frontier.join(step, F.col("ancestor_id") == F.col("_child")).filter(F.col("_parent").isNotNull()).select(
-            F.col("_parent").alias("ancestor_id"), "id", F.lit(d).alias("distance"))
+    out, distance = frontier, 0
+    while True:
+        distance += 1
+        frontier = frontier.join(step, F.col("ancestor_id") == F.col("_child")).select(
+            F.col("_parent").alias("ancestor_id"), "id", F.lit(distance).alias("distance"))
+        if frontier.isEmpty():
+            return out
+        if distance % 16 == 0 and distance > objects.count():
+            raise ValueError("parents of objects form a cycle")
         out = out.unionByName(frontier)
-    return out
 
 
 def fix_roots(objects: DataFrame) -> DataFrame:
@@ -30,7 +35,7 @@ def fix_roots(objects: DataFrame) -> DataFrame:
 
 
 def paths(objects: DataFrame, sep: str = " → ") -> DataFrame:
-    """``(id, path)`` from the root down; a path has at most ``LEVELS`` names."""
+    """``(id, path)`` from the root down."""
     names = objects.select(F.col("id").alias("ancestor_id"), "name")
     up = closure(objects).join(names, "ancestor_id")
     chain = F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "name")))

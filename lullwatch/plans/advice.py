@@ -242,30 +242,45 @@ def infer_kind(df: DataFrame, rules: RuleSet) -> DataFrame:
 # ---- rules -----------------------------------------------------------------------------------------------------------
 
 
-def _overlaps(names: tuple[str, ...] | list[str]) -> Column:
-    return F.arrays_overlap("sensor_groups", F.array(*[F.lit(n) for n in names]))
-
-
-def condition(when: dict, rules: RuleSet) -> Column:
+RISK_ORDER = ("normal", "attention", "risk", "critical")
+# ---- fixed values: condition names of a rule, the column each looks at and how it compares ---------------------------
+CONDITIONS = (
+    ("faults_30d_min", "faults_30d", "at least"),
+    ("faults_90d_min", "faults_90d", "at least"),
+    ("faults_since_repair_min", "faults_since_repair", "at least"),
+    ("flapping", "_flapping", "is"),
+    ("group", "sensor_groups", "shares"),
+    ("kind", "fault_kind", "one of"),
+    ("low_precision_type", "_imprecise", "is"),
+    ("mass_link", "_mass", "is"),
+    ("max_risk", "_risk", "at most level"),
+    ("min_risk", "_risk", "at least level"),
+    ("not_group", "sensor_groups", "shares none"),
+    ("object_power_off_min", "object_power_off", "at least"),
+    ("same_kind_90d_min", "_same", "at least"),
+    ("stuck_share_min", "_stuck", "at least"),
+)
+# ------------------------------------------------------------------------------------------------------------------------
+
+
+def _holds(column: str, how: str, wanted) -> Column:
+    """One comparison; a NULL in the column makes it false."""
+    c = F.col(column)
+    if how.endswith("level"):
+        how, wanted = how.removesuffix(" level"), RISK_ORDER.index(wanted)
+    if how in ("shares", "shares none"):
+        common = F.arrays_overlap(c, F.array(*[F.lit(n) for n in wanted]))
+        return F.coalesce(common if how == "shares" else ~common, F.lit(False))
+    if how == "one of":
+        return F.coalesce(c.isin(*wanted), F.lit(False))
+    low, high = {"at least": (wanted, None), "at most": (None, wanted), "is": (bool(wanted), bool(wanted))}[how]
+    return F.coalesce((F.lit(True) if low is None else c >= F.lit(low)) & (F.lit(True) if high is None else c <= F.lit(high)), F.lit(False))
+
+
+def condition(when: dict) -> Column:
     """All conditions of a rule as one predicate over the settled columns."""
-    rank = ("normal", "attention", "risk", "critical").index
-    tests = {
-        "kind": lambda v: F.col("fault_kind").isin(*v),
-        "group": lambda v: _overlaps(v),
-        "not_group": lambda v: ~_overlaps(v),
-        "min_risk": lambda v: F.col("_risk") >= rank(v),
-        "max_risk": lambda v: F.col("_risk") <= rank(v),
-        "mass_link": lambda v: F.col("_mass") == F.lit(bool(v)),
-        "faults_30d_min": lambda v: F.col("faults_30d") >= v,
-        "faults_90d_min": lambda v: F.col("faults_90d") >= v,
-        "same_kind_90d_min": lambda v: F.col("_same") >= v,
-        "faults_since_repair_min": lambda v: F.col("faults_since_repair") >= v,
-        "low_precision_type": lambda v: F.coalesce(F.col("type_precision") < rules.params["low_precision"], F.lit(False)) == F.lit(bool(v)),
-        "flapping": lambda v: F.col("_flapping") == F.lit(bool(v)),
-        "stuck_share_min": lambda v: F.coalesce("_stuck", F.lit(0.0)) >= v,
-        "object_power_off_min": lambda v: F.col("object_power_off") >= v,
-    }
-    return reduce(lambda a, b: a & b, [F.coalesce(tests[k](v), F.lit(False)) for k, v in when.items()], F.lit(True))
+    known = {name: (column, how) for name, column, how in CONDITIONS}
+    return reduce(Column.__and__, [_holds(*known[name], wanted) for name, wanted in when.items()], F.lit(True))
 
 
 def select_rule(df: DataFrame, rules: RuleSet) -> DataFrame:
@@ -273,9 +288,10 @@ def select_rule(df: DataFrame, rules: RuleSet) -> DataFrame:
     kind = F.col("fault_kind")
     same = (F.when(kind == "link", F.col("f_link_90d")).when(kind.isin("fault", "disconnected"), F.col("f_fault_90d") + F.col("f_disc_90d"))
             .when(kind == "value", F.col("f_value_90d")).otherwise(0))
-    df = settle(df, {"_same": same, "_mass": F.coalesce(mass_link(rules), F.lit(False)), "_risk": level_rank(F.col("risk_level"))})
+    df = settle(df, {"_same": same, "_mass": F.coalesce(mass_link(rules), F.lit(False)),
+                     "_imprecise": F.coalesce(F.col("type_precision") < rules.params["low_precision"], F.lit(False)), "_risk": level_rank(F.col("risk_level"))})
     first, *rest = rules.rules
-    chain = reduce(lambda c, r: c.when(condition(r.when, rules), r.id), rest, F.when(condition(first.when, rules), first.id))
+    chain = reduce(lambda c, r: c.when(condition(r.when), r.id), rest, F.when(condition(first.when), first.id))
     return settle(df, {"rule_id": chain})
 
 
@@ -295,7 +311,7 @@ def priority_and_due(df: DataFrame, rules: RuleSet) -> DataFrame:
     rank = F.greatest(own, "_lowest", F.when(F.col("work_order"), F.col("floor_rank")).otherwise(0))
     limit = F.lit(None).cast("double")
     for name, cases in rules.due_limits.items():
-        hours_of = reduce(lambda c, wn: F.when(condition(wn[0], rules), float(rules.norms[wn[1]])).otherwise(c), reversed(cases),
+        hours_of = reduce(lambda c, wn: F.when(condition(wn[0]), float(rules.norms[wn[1]])).otherwise(c), reversed(cases),
                           F.lit(None).cast("double"))
         limit = F.when(F.col("_limit") == name, hours_of).otherwise(limit)
     j = settle(j, {"_rank": rank, "due_limit_hours": limit})
@@ -303,7 +319,7 @@ def priority_and_due(df: DataFrame, rules: RuleSet) -> DataFrame:
     j = settle(j, {"priority": F.get(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("_rank")),
                    "due_hours": F.least(F.coalesce("_due", by_rank), F.col("due_limit_hours"))})
     return j.withColumn("due_at", F.timestamp_seconds(F.unix_timestamp("at") + F.col("due_hours") * 3600)).drop(
-        "_fixed", "_raise", "_lowest", "_due", "_limit", "_rank", "_same", "_mass", "_risk", "_stuck", "_flapping")
+        "_fixed", "_raise", "_lowest", "_due", "_limit", "_rank", "_same", "_mass", "_imprecise", "_risk", "_stuck", "_flapping")
 
 
 def advice_text(df: DataFrame, rules: RuleSet) -> DataFrame:
@@ -331,7 +347,7 @@ def advice_text(df: DataFrame, rules: RuleSet) -> DataFrame:
     df = settle(df, {"facts": facts}).drop("_text", "_facts")
     body = F.array_join("facts", "; ")
     return df.withColumn("reason", F.concat_ws(
-        " → ", F.nullif(F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, 2, 100000)), F.lit("")),
+        " → ", F.nullif(F.concat(F.upper(F.substring(body, 1, 1)), F.expr("substring(array_join(facts, '; '), 2)")), F.lit("")),
         F.nullif(F.col("conclusion"), F.lit(""))))
 
 

@@ -145,13 +145,13 @@ def personal_norm(hourly: DataFrame, gaps_eff: DataFrame, spec: JournalSpec) ->
     """Silence norm per channel-day: the k-th longest pause of the previous days, never below the floor.
 
     ``k = floor(tail * events) + 1`` is the percentile over all pauses although only long ones are listed. A day lists
-    few pauses: pauses of one channel do not overlap and each is at least the floor long.
+    few pauses: those of one channel do not overlap, and each is at least the floor long, so a floor of ``f`` seconds
+    bounds the list by ``86400 / f + 1``.
     """
     d_ev = hourly.groupBy("ch", F.to_date("hour").alias("day")).agg(
         F.sum("n_ev").cast("int").alias("n_ev"), F.max("max_gap_s").alias("max_gap_s"))
     d_gap = gaps_eff.filter(F.col("ts").isNotNull() & (F.col("gap_eff_s") >= spec.norm_floor_s)).groupBy(
         "ch", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list("gap_eff_s"), asc=False).alias("gl"))
-    d_gap = d_gap.withColumn("gl", F.slice("gl", 1, 100))
     g = dense_grid(d_ev, spec).join(d_ev, ["ch", "day"], "left").join(d_gap, ["ch", "day"], "left")
     g = g.select("ch", "day", F.coalesce("n_ev", F.lit(0)).alias("n_ev"), "max_gap_s",
                  F.coalesce("gl", F.array().cast("array<bigint>")).alias("gl"))

@@ -7,6 +7,7 @@ the day of ``at`` in production, so the moment prunes files.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,6 +232,8 @@ def journal(preds: DataFrame, channels: DataFrame, objects: DataFrame, decisions
             levels: Sequence[str] | None = None, decision: str | None = None, outcome: str | None = None,
             bounds: RiskBounds | None = None, **channel_filters) -> DataFrame:
     """Prediction journal of a period (a week up to the snapshot by default). Joins appear only for the filters in use."""
+    if date_from:
+        check_period(date_from, min(date_to or at, at, key=datetime.fromisoformat), max_days)
     hi = F.least(moment(date_to), moment(at)) if date_to else moment(at)
     lo = moment(date_from) if date_from else F.coalesce(snapshot_at(preds, at), moment(at)) - F.expr("INTERVAL 7 DAYS")
     p = preds.filter((F.col("at") >= lo) & (F.col("at") <= hi)).drop("happened", "fault_at", "fault_kind")
@@ -293,15 +296,23 @@ def model_screen(metrics: DataFrame, version: Column) -> DataFrame:
 # ---- events ----------------------------------------------------------------------------------------------------------
 
 
+def check_period(date_from: str, date_to: str, max_days: int) -> None:
+    """A period that is reversed or longer than an answer may be is refused."""
+    span = datetime.fromisoformat(date_to) - datetime.fromisoformat(date_from)
+    if not timedelta(0) <= span <= timedelta(days=max_days):
+        raise ValueError(f"the period must run forward and cover at most {max_days} days: {date_from} to {date_to}")
+
+
 def events_at(events: DataFrame, at: str, spec: JournalSpec, kind: str = "status", only_alarms: bool = True,
               date_from: str | None = None, date_to: str | None = None, max_days: int = 31) -> DataFrame:
     """Event journal; the default period is the day before the last event not after ``at``."""
+    if date_from:
+        check_period(date_from, min(date_to or at, at, key=datetime.fromisoformat), max_days)
     hi = F.least(moment(date_to), moment(at)) if date_to else moment(at)
     if date_to is None:
         hi = F.coalesce(events.filter(F.col("ts") <= moment(at)).agg(F.max("ts")).scalar(), hi)
     lo = moment(date_from) if date_from else hi - hours(24)
-    guard = (lo <= hi) & (hi - lo <= F.make_dt_interval(days=F.lit(max_days)))
-    e = events.filter((F.col("ts") > lo) & (F.col("ts") <= hi) & guard)
+    e = events.filter((F.col("ts") > lo) & (F.col("ts") <= hi))
     if only_alarms:
         e = e.filter("is_alarm")
     reading = F.col("kind").isin("number", "sentinel")
@@ -449,8 +460,8 @@ def decisions_export(decisions: DataFrame, preds: DataFrame, channels: DataFrame
                      at: str, date_from: str, date_to: str, max_days: int = 92) -> DataFrame:
     """Decisions with their predictions and outcomes; text that a spreadsheet would run is made safe."""
     lo, hi = moment(date_from), moment(date_to)
-    guard = (lo <= hi) & (hi - lo <= F.make_dt_interval(days=F.lit(max_days)))
-    p = preds.filter((F.col("at") >= lo) & (F.col("at") <= hi) & guard).select(
+    check_period(date_from, date_to, max_days)
+    p = preds.filter((F.col("at") >= lo) & (F.col("at") <= hi)).select(
         F.col("id").alias("prediction_id"), "channel_id", "at", "prob", "risk_level", "model_version")
     c = channels.select(F.col("id").alias("channel_id"), "sensor_type", "system_type", "object_id")
     r = reasons.select(F.col("id").alias("reason_id"), F.col("name").alias("reason"))

@@ -218,7 +218,9 @@ def _(b):
     return b.table("part").select(F.col("p_partkey").alias("id"), text.feature_group(name).alias("grp"))
 
 
-@query("f16_factor_values")
+@query("f16_factor_values", """SELECT o_orderkey AS id, replace(format('{:,}', round_even(v, 0)::BIGINT), ',', ' ') AS "int", replace(printf('%.1f', v), '.', ',') AS float1,
+ replace(printf('%.2f', v), '.', ',') AS float2, replace(printf('%.1f', v), '.', ',') || '×' AS x, printf('%.0f', v * 100) || ' %' AS pct,
+ replace(printf('%+.1f', v), '.', ',') AS signed, printf('%+.0f', v * 100) || ' п.п.' AS signed_pct FROM (SELECT o_orderkey, o_totalprice / 1000 AS v FROM orders)""")
 def _(b):
     v = F.col("o_totalprice") / 1000
     return b.table("orders").select(F.col("o_orderkey").alias("id"), *[text.factor_value(v, k).alias(k) for k in ("int", "float1", "float2", "x", "pct", "signed", "signed_pct")])
@@ -299,10 +301,10 @@ def _(b):
     return J.mass_hours(b.link(), b.spec).select(secs("hr"))
 
 
-@query("a08_bounded_sorted_list", sql("geff", "SELECT ch, ts::DATE::VARCHAR AS day, array_to_string(list_sort(list(gap_eff_s), 'DESC')[1:100], ',') AS gl FROM geff WHERE ts IS NOT NULL GROUP BY 1, 2"))
+@query("a08_bounded_sorted_list", sql("geff", "SELECT ch, ts::DATE::VARCHAR AS day, array_to_string(list_sort(list(gap_eff_s), 'DESC'), ',') AS gl FROM geff WHERE ts IS NOT NULL GROUP BY 1, 2"))
 def _(b):
     g = b.gaps_eff().filter(F.col("ts").isNotNull()).groupBy("ch", F.to_date("ts").cast("string").alias("day"))
-    return g.agg(F.array_join(F.slice(F.sort_array(F.collect_list("gap_eff_s"), asc=False), 1, 100).cast("array<string>"), ",").alias("gl"))
+    return g.agg(F.array_join(F.sort_array(F.collect_list("gap_eff_s"), asc=False).cast("array<string>"), ",").alias("gl"))
 
 
 @query("a12_latest_by", sql("ev", "SELECT ch, epoch(max(ts))::BIGINT AS ts, arg_max(event_id, {'t': ts, 'r': raw}) AS event_id FROM ev GROUP BY 1"))

@@ -371,3 +371,58 @@ def test_alert_state_spans_batches(spark, tmp_path):
     got = {r.id for r in spark.read.schema(alerts.OUT).parquet(out).collect()}
     want = {r.id for r in S.critical_transitions(whole, "2024-01-01 00:00:00", "2024-02-01 00:00:00").collect()}
     assert got == want == {0, 4}
+
+
+def test_tree_of_four_levels(spark):
+    from lullwatch.operators import tree
+
+    objects = spark.createDataFrame([(1, None, 1, "d"), (2, 1, 2, "c"), (3, 2, 3, "s"), (4, 3, 4, "room")], "id long, parent_id long, level int, name string")
+    assert {r.id for r in tree.subtree_ids(objects, [1]).collect()} == {1, 2, 3, 4}
+    assert {r.id: r.path for r in tree.paths(objects).collect()}[4] == "d → c → s → room"
+    direct = spark.createDataFrame([(4, 7)], "oid long, n long")
+    assert {r.id: r.n for r in tree.tree_rollup(direct, objects, "oid", [F.sum("n").alias("n")]).collect()} == {1: 7, 2: 7, 3: 7, 4: 7}
+    assert tree.closure(objects.limit(0)).count() == 0
+
+
+def test_parents_in_a_cycle(spark):
+    from lullwatch.operators import tree
+
+    with pytest.raises(ValueError, match="cycle"):
+        tree.closure(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent_id long"))
+
+
+def test_long_values_with_one_beginning(spark):
+    rows = spark.createDataFrame([("1", "2026-08-03 10:00:00", "f", "x" * 200 + end) for end in "ab"], "channel_id string, ts string, is_alarm string, value string")
+    assert imports.new_events(imports.clean_events(rows), spark.createDataFrame([], ingest.LANDING)).count() == 2
+
+
+def test_row_numbers_over_splits(spark, tmp_path):
+    f = tmp_path / "many.csv"
+    f.write_text("id,level,kind,name\n" + "".join(f"{i},1,k,{'n' * 20}\n" for i in range(2, 20002)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = imports.numbered(imports.import_csv(spark, str(f), "objects"))
+        assert rows.filter(F.col("row") != F.col("id").cast("long")).count() == 0 and rows.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_factor_values_round_half_to_even(spark):
+    from lullwatch.functions.text import factor_value
+
+    values = [0.25, 0.35, 0.15, 0.125, -0.04, 12345.5, 12346.5, 0.999, 2.675, 1e-9, 0.0]
+    cols = {"float1": ".1f", "float2": ".2f", "signed": "+.1f"}
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[factor_value(F.col("v"), k).alias(k) for k in ("int", *cols)]).collect()
+    for r in got:
+        assert [r[k] for k in cols] == [format(r.v, p).replace(".", ",") for p in cols.values()], r.v
+        assert r["int"] == f"{round(r.v):,}".replace(",", " ")
+
+
+def test_long_period_is_refused():
+    from lullwatch.plans.serving import check_period
+
+    check_period("2024-01-01", "2024-01-31", 31)
+    for period in (("2024-01-01", "2024-02-20"), ("2024-02-01", "2024-01-01")):
+        with pytest.raises(ValueError, match="at most 31 days"):
+            check_period(*period, 31)

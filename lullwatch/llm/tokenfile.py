@@ -15,6 +15,7 @@ equal doc_id follow each other in the order of their ids' bytes; other columns a
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -48,6 +49,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads only cost time
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()

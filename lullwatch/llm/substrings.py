@@ -34,29 +34,42 @@ from lullwatch.llm.common import SIZE_BYTES, partitions, register, stage, table
 WINDOW = 13
 PIECE = 256
 """Most windows of one streamed run; longer runs go in pieces that overlap."""
+STEP = 32
+"""Most windows of one backward search; the pieces of a run are searched side by side."""
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Codes(dict):
-    """64-bit print of each word, computed once per block."""
+class Words:
+    """Words of a block's texts in row order: ``ids`` number the entries of ``known``, row ``r`` holds ``ids[edge[r]:edge[r + 1]]``."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = xxhash.xxh64_intdigest(word, 7)
-        return code
+    def __init__(self, texts: pa.ChunkedArray):
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.combine_chunks(), ""))
+        coded = lists.flatten().dictionary_encode()
+        self.known, every = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        word = (pc.binary_length(self.known).to_numpy(zero_copy_only=False) > 0)[every]  # edges of a text give empty strings
+        size = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        self.ids = every[word]
+        self.edge = np.concatenate(([0], np.cumsum(word)))[size]
+        self.counts = np.diff(self.edge)
+        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def join(self, ids: np.ndarray, counts: np.ndarray, by: str) -> pa.Array:
+        """One text for each of ``counts`` consecutive words of ``ids``."""
+        edge = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(edge), self.known.take(pa.array(ids))), by)
 
-def word_list(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
 
-
-def window_prints(words: list[bytes], codes: Codes, window: int) -> np.ndarray:
-    n = len(words) - window + 1
+def window_prints(words: Words, window: int) -> np.ndarray:
+    """64-bit print of the window that starts at each word, read on into the next rows."""
+    n = len(words.ids) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    names = words.known.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))[words.ids]
     acc = np.zeros(n, np.uint64)
     for k in range(window):
-        acc = acc * ODD + h[k:k + n]
+        acc *= ODD
+        acc += h[k:k + n]
     acc ^= acc >> np.uint64(32)
     acc *= np.uint64(0xD6E8FEB86659FD93)
     return acc ^ (acc >> np.uint64(32))
@@ -106,21 +119,23 @@ class Block:
     """Windows of a block's documents and their distinct prints in bucket order."""
 
     def __init__(self, rows: pa.Table, window: int, buckets: int):
-        codes = Codes()
-        self.words = [word_list(t.as_py()) for t in rows["text"]]
-        ids = rows["doc_id"].to_pylist()
-        prints = [window_prints(w, codes, window) if i is not None else np.zeros(0, np.uint64) for i, w in zip(ids, self.words, strict=True)]
-        self.counts = np.array([len(p) for p in prints], np.int64)
-        self.row = np.repeat(np.arange(len(prints)), self.counts)
-        self.doc = np.repeat(np.array([i or 0 for i in ids], np.int64), self.counts)
-        every = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
+        self.words = w = Words(rows["text"])
+        ids = rows["doc_id"].combine_chunks()
+        inside = np.zeros(len(w.ids), bool)
+        if len(w.ids) >= window:
+            inside[:len(w.ids) - window + 1] = w.row[:len(w.ids) - window + 1] == w.row[window - 1:]
+        inside &= ids.is_valid().to_numpy(zero_copy_only=False)[w.row]
+        self.at = np.flatnonzero(inside)  # first word of each window
+        self.row = w.row[self.at]
+        self.doc = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)[self.row]
+        every = window_prints(w, window)[self.at] if len(self.at) else np.zeros(0, np.uint64)
         self.print, self.slot = np.unique(every, return_inverse=True)
         self.least = np.full(len(self.print), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.slot, self.doc)
         most = np.full(len(self.print), np.iinfo(np.int64).min)
         np.maximum.at(most, self.slot, self.doc)
         self.shared = most > self.least
-        bucket = (self.print % np.uint64(buckets)).astype(np.int64)
+        bucket = (self.print % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
         self.order = np.argsort(bucket, kind="stable")
         self.bucket, self.edge = np.unique(bucket[self.order], return_index=True)
         self.edge = np.append(self.edge, len(self.order))
@@ -134,18 +149,18 @@ class Block:
 class FMIndex:
     """Backward search over a word sequence: wavelet matrix of its Burrows-Wheeler transform. Words are numbers from 1; 0 ends a run."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, window: int = WINDOW):
         n = len(text)
-        rank, width = text.astype(np.int64), 1
+        rank, width = text.astype(np.int64), 1  # suffixes in the order of their first window + STEP words, longer than any pattern
         while True:
             after = np.full(n, -1)
             after[:n - width] = rank[width:]
-            order = np.lexsort((after, rank))
+            order = np.argsort(rank * (n + 1) + after + 1)
             new = np.concatenate(([0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0))))
             rank = np.empty(n, np.int64)
             rank[order] = new
             width *= 2
-            if width > WINDOW + PIECE or new[-1] == n - 1:
+            if width > window + STEP or new[-1] == n - 1:
                 break
         seq, self.top = text[order - 1], int(text.max())
         self.n, self.first = n, np.searchsorted(text[order], np.arange(self.top + 2))
@@ -177,26 +192,31 @@ class FMIndex:
         """Suffix range of ``c`` followed by what each range stands for; a range of one suffix needs one descent."""
         lo, hi = self.first[c], self.first[c + 1]
         on = np.flatnonzero(high - low < self.n)
-        at, same = self.descend(c[on], low[on])
-        lo[on] = at + self.shift[c[on]]
-        hi[on] = lo[on] + same
         wide = on[(high[on] - low[on]) > 1]
-        hi[wide] = self.descend(c[wide], high[wide])[0] + self.shift[c[wide]]
+        of = np.concatenate((c[on], c[wide]))
+        at, same = self.descend(of, np.concatenate((low[on], high[wide])))
+        at += self.shift[of]
+        lo[on] = at[:len(on)]
+        hi[on] = at[:len(on)] + same[:len(on)]
+        hi[wide] = at[len(on):]
         return lo, hi
 
-    def windows(self, runs: list[np.ndarray], window: int) -> list[np.ndarray]:
-        """For each run, which of its windows occur in the text (unknown words are -1)."""
-        found = [np.zeros(max(0, len(r) - window + 1), bool) for r in runs]
-        flat = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-        base = np.cumsum([0, *map(len, runs)])[:-1]
+    def windows(self, flat: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
+        """Which words of ``flat`` (runs of ``size`` words on end; unknown words are -1) start a window of their run that occurs in the text.
+
+        Runs are searched in pieces of ``STEP`` windows, all in step: a run whose matches break often holds nobody up.
+        """
         hits = np.zeros(len(flat), bool)
+        base = np.cumsum(size) - size
+        count = np.maximum(0, size - window + 1)
+        pieces = -(-count // STEP)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         # right: last word of the match, at: first word of it so far (exclusive to the left)
-        live = np.flatnonzero([len(f) > 0 for f in found])
-        origin = base[live]
-        right = origin + np.array([len(runs[k]) for k in live], np.int64) - 1
+        origin = np.repeat(base, pieces) + nth * STEP
+        right = np.minimum(origin + STEP + window - 1, np.repeat(base + size, pieces)) - 1
         at = right + 1
-        low, high = np.zeros(len(live), np.int64), np.full(len(live), self.n)
-        while len(live):
+        low, high = np.zeros(len(origin), np.int64), np.full(len(origin), self.n)
+        while len(origin):
             c = flat[at - 1]
             known = (at > origin) & (c > 0) & (c <= self.top)
             lo, hi = self.extend(np.where(known, c, 0), low, high)
@@ -209,25 +229,25 @@ class FMIndex:
             right = np.where(stop, np.minimum(right - 1, at + window - 2), right)
             at, low, high = np.where(stop, right + 1, at), np.where(stop, 0, low), np.where(stop, self.n, high)
             keep = (right - origin + 1 >= window) & ~(ok & (at == origin))
-            live, origin, right, at, low, high = (x[keep] for x in (live, origin, right, at, low, high))
-        for k, f in enumerate(found):
-            f[:] = hits[base[k]:base[k] + len(f)]
-        return found
+            if not keep.all():
+                origin, right, at, low, high = (x[keep] for x in (origin, right, at, low, high))
+        return hits
 
 
-def runs_of(mask: np.ndarray, key: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs (start, end) of marked places with one key."""
-    if not mask.any():
-        return []
-    cut = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))))
+def runs_of(mask: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of marked places whose keys agree."""
+    if not len(mask):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in (mask, *keys)])))
+    cut = np.flatnonzero(change)
     ends = np.append(cut[1:], len(mask))
-    return [(a, b) for a, b in zip(cut.tolist(), ends.tolist(), strict=True) if mask[a]]
+    return cut[mask[cut]], ends[mask[cut]]
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, judge=None, schema: str | None = None) -> DataFrame:
     """``doc_id, n_words, spans, kept``: removed word spans as flat start, end pairs, and the kept words joined by one space.
 
-    ``judge(rows, words, spans)`` may instead turn a block's rows, words and spans into another table of ``schema``.
+    ``judge(rows, words, gone)`` may instead turn a block's rows, its words and which of them go into another table of ``schema``.
     """
     buckets = buckets or 4 * partitions(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -297,44 +317,49 @@ def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, j
         own = np.flatnonzero((source == b.doc) & (block[b.slot] == number) & repeated)
         first[own[np.unique(b.slot[own], return_index=True)[1]]] = True  # every distinct window once
         asked = source < b.doc
+        ids, edge, goal = b.words.ids, b.words.edge, block[b.slot]
         out: dict[tuple, list] = {}
-        starts = np.cumsum(b.counts) - b.counts
-        for r, words in enumerate(b.words):
-            span = slice(int(starts[r]), int(starts[r] + b.counts[r]))
-            for x, y in runs_of(first[span], np.zeros(b.counts[r], np.int64)):
-                out.setdefault((number, 0, b"\n".join(words[x:y + window - 1])), [])
-            goal = block[b.slot[span]]
-            for x, y in runs_of(asked[span], goal):
-                for k in range(x, y, PIECE):
-                    end = min(y, k + PIECE)
-                    out.setdefault((int(goal[x]), 1, b"\n".join(words[k:end + window - 1])), []).extend((r, k))
-        rows = [(s, kind, number, hashlib.blake2b(w, digest_size=16).digest(), w, np.array(p, "<u4").tobytes()) for (s, kind, w), p in out.items()]
-        return pa.table(dict(zip(shape.names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in shape.names}, schema=shape)
+        for x, y in zip(*runs_of(first, b.row), strict=True):
+            out.setdefault((number, 0, ids[b.at[x]:b.at[y - 1] + window].tobytes()), [])
+        for x, y in zip(*runs_of(asked, b.row, goal), strict=True):
+            row, to = b.row[x], int(goal[x])
+            for k in range(x, y, PIECE):
+                out.setdefault((to, 1, ids[b.at[k]:b.at[min(y, k + PIECE) - 1] + window].tobytes()), []).extend((row, b.at[k] - edge[row]))
+        if not out:
+            return shape.empty_table()
+        runs = [np.frombuffer(w, ids.dtype) for _, _, w in out]
+        texts = b.words.join(np.concatenate(runs), np.array([len(w) for w in runs]), "\n").cast(pa.binary())
+        marks = [hashlib.blake2b(w.as_buffer(), digest_size=16).digest() for w in texts]
+        columns = [[s for s, _, _ in out], [k for _, k, _ in out], [number] * len(out), marks, texts, [np.array(p, "<u4").tobytes() for p in out.values()]]
+        return pa.table(dict(zip(shape.names, columns, strict=True)), schema=shape)
 
     def search(rows: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        kinds, texts = rows["kind"].to_pylist(), [w.split(b"\n") for w in rows["words"].to_pylist()]
-        parts = [x for k, ws in zip(kinds, texts, strict=True) if k == 0 for x in (*[number.setdefault(w, len(number) + 1) for w in ws], 0)]
-        asked = [i for i, k in enumerate(kinds) if k == 1]
-        runs = [np.array([number.get(w, -1) for w in texts[i]], np.int64) for i in asked]
-        hits = FMIndex(np.array(parts, np.int64)).windows(runs, window) if parts else [np.zeros(max(0, len(r) - window + 1), bool) for r in runs]
-        at = rows.take(pa.array(asked, pa.int64()))
-        return pa.table({"shard": at["shard"], "print": at["print"], "hits": pa.array([np.packbits(h).tobytes() for h in hits], pa.binary())})
+        rows = rows.sort_by("kind")
+        own = int((rows["kind"].to_numpy() == 0).sum())
+        lists = pc.split_pattern(rows["words"].combine_chunks(), "\n")
+        number = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1  # of first sight: index words first
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, asked = int(size[:own].sum()), size[own:]
+        edge = np.cumsum(asked) - asked
+        if own:
+            index = FMIndex(np.insert(number[:at], np.cumsum(size[:own]), 0), window)
+            flat = number[at:]
+            hits = index.windows(np.where(flat > index.top, -1, flat), asked, window)
+        else:
+            hits = np.zeros(len(number), bool)
+        found = [np.packbits(hits[e:e + n]).tobytes() for e, n in zip(edge.tolist(), (asked - window + 1).tolist(), strict=True)]
+        return pa.table({"shard": rows["shard"][own:], "print": rows["print"][own:], "hits": pa.array(found, pa.binary())})
 
     def cut(texts: pa.Table, results: pa.Table) -> pa.Table:
         rows = open_block(texts)
-        words = [word_list(t.as_py()) for t in rows["text"]]
-        marks = [np.zeros(len(w) + 1, np.int64) for w in words]
+        words = Words(rows["text"])
+        hit = np.zeros(len(words.ids) + window, bool)
         for places, hits in zip(results["places"].to_pylist(), results["hits"].to_pylist(), strict=True):
             at = np.flatnonzero(np.unpackbits(np.frombuffer(hits, np.uint8)))
-            for r, k in np.frombuffer(places, "<u4").reshape(-1, 2).tolist():
-                np.add.at(marks[r], at + k, 1)
-                np.add.at(marks[r], at + k + window, -1)
-        spans = []
-        for m in marks:
-            edge = np.diff(np.concatenate(([0], (np.cumsum(m)[:-1] > 0).view(np.int8), [0])))
-            spans.append(np.flatnonzero(edge).astype(np.int32))
-        return judge(rows, words, spans)
+            row, k = np.frombuffer(places, "<u4").reshape(-1, 2).astype(np.int64).T
+            hit[((words.edge[row] + k)[:, None] + at).ravel() + window] = True
+        seen = np.cumsum(hit)
+        return judge(rows, words, seen[window:] > seen[:-window])
 
     prints = docs.select("doc_id", "text").mapInArrow(send_prints, "bucket bigint, block bigint, packed binary")
     answers = prints.groupBy("bucket").applyInArrow(resolve, "block bigint, bucket bigint, packed binary")
@@ -348,26 +373,27 @@ def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, j
     return whole.groupBy("block").cogroup(results.groupBy("block")).applyInArrow(cut, schema)
 
 
-def kept_words(words: list[bytes], spans: np.ndarray) -> list[bytes]:
-    out, at = [], 0
-    for a, b in spans.reshape(-1, 2).tolist():
-        out += words[at:a]
-        at = b
-    return out + words[at:]
+def kept_texts(words: Words, gone: np.ndarray) -> pa.Array:
+    """Words that are not gone, joined by one space."""
+    return words.join(words.ids[~gone], np.bincount(words.row[~gone], minlength=len(words.counts)), " ")
 
 
-def plain_result(rows: pa.Table, words: list, spans: list) -> pa.Table:
-    kept = [b" ".join(kept_words(w, s)).decode("utf-8", "surrogatepass") for w, s in zip(words, spans, strict=True)]
-    return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array([len(w) for w in words], pa.int64()), "spans": pa.array([s.tolist() for s in spans], pa.list_(pa.int32())), "kept": pa.array(kept, pa.string())})
+def plain_result(rows: pa.Table, words: Words, gone: np.ndarray) -> pa.Table:
+    start, end = runs_of(gone, words.row)
+    row = words.row[start]
+    spans = (np.stack((start, end), 1) - words.edge[row][:, None]).astype(np.int32).ravel()
+    edge = np.concatenate(([0], np.cumsum(2 * np.bincount(row, minlength=len(words.counts))))).astype(np.int32)
+    return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(words.counts, pa.int64()), "spans": pa.ListArray.from_arrays(pa.array(edge), pa.array(spans)), "kept": kept_texts(words, gone)})
 
 
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without their repeated words, all columns kept; those of which nothing is left go. Texts without a cut stay byte by
     byte, others become their kept words joined by one space; ``n_chars`` (where present) follows the text."""
-    def judge(rows: pa.Table, words: list, spans: list) -> pa.Table:
-        texts = [b" ".join(kept_words(w, s)).decode("utf-8", "surrogatepass") if len(s) else t.as_py() for t, w, s in zip(rows["text"], words, spans, strict=True)]
-        keep = pa.array([not len(s) or bool(t) for t, s in zip(texts, spans, strict=True)])
-        return rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, rows["text"].type)).filter(keep)
+    def judge(rows: pa.Table, words: Words, gone: np.ndarray) -> pa.Table:
+        left = words.counts - np.bincount(words.row[gone], minlength=len(words.counts))
+        cut = left < words.counts
+        texts = pc.if_else(pa.array(cut), kept_texts(words, gone), rows["text"].combine_chunks())
+        return rows.set_column(rows.schema.get_field_index("text"), rows.schema.field("text"), texts).filter(pa.array(~cut | (left > 0)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = repeats(docs, window, judge=judge, schema=schema)

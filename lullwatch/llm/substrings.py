@@ -10,7 +10,8 @@ first are streamed to that document's shard; backward search extends each match
 it stops, goes on with the next window (matching statistics cut at ``window``). Only windows the index confirms are removed.
 
 Equal runs are searched once per shard however many documents hold them, a print is sent once per block, so neither copies nor common
-passages gather in one task. Block texts travel twice, compressed.
+passages gather in one task; a shard that many distinct runs visit is searched in several tasks, each with a copy of its index. Block texts travel
+twice, compressed.
 
 Defined results: a null text has no words and stays null; rows with a null doc_id keep all words and are no source; rows with the same doc_id are no
 reason to remove from each other; repeated rows are judged alike; other columns are carried along or ignored; an empty table gives an empty table.
@@ -36,6 +37,8 @@ PIECE = 256
 """Most windows of one streamed run; longer runs go in pieces that overlap."""
 STEP = 32
 """Most windows of one backward search; the pieces of a run are searched side by side."""
+PART_BYTES = 1 << 19
+"""Least bytes of runs that share one copy of an index; a shard asked for more than this and its own text is searched in several tasks."""
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -293,7 +296,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, j
     def open_block(texts: pa.Table) -> pa.Table:
         return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(texts["packed"][0].as_py())).read_all()
 
-    shape = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("print", pa.binary()), ("words", pa.binary()), ("places", pa.binary())])
+    shape = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("print", pa.binary()), ("size", pa.int64()), ("words", pa.binary()), ("places", pa.binary())])
 
     def route(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """Index text of the block's own shard (kind 0), runs to search elsewhere (kind 1) and where each run lies in the block."""
@@ -330,7 +333,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, j
         runs = [np.frombuffer(w, ids.dtype) for _, _, w in out]
         texts = b.words.join(np.concatenate(runs), np.array([len(w) for w in runs]), "\n").cast(pa.binary())
         marks = [hashlib.blake2b(w.as_buffer(), digest_size=16).digest() for w in texts]
-        columns = [[s for s, _, _ in out], [k for _, k, _ in out], [number] * len(out), marks, texts, [np.array(p, "<u4").tobytes() for p in out.values()]]
+        columns = [[s for s, _, _ in out], [k for _, k, _ in out], [number] * len(out), marks, pc.binary_length(texts).cast(pa.int64()), texts, [np.array(p, "<u4").tobytes() for p in out.values()]]
         return pa.table(dict(zip(shape.names, columns, strict=True)), schema=shape)
 
     def search(rows: pa.Table) -> pa.Table:
@@ -364,10 +367,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, j
     prints = docs.select("doc_id", "text").mapInArrow(send_prints, "bucket bigint, block bigint, packed binary")
     answers = prints.groupBy("bucket").applyInArrow(resolve, "block bigint, bucket bigint, packed binary")
     texts = docs.select("doc_id", "text").mapInArrow(send_texts, "block bigint, packed binary")
-    routed = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(route, "shard bigint, kind int, block bigint, print binary, words binary, places binary")
+    routed = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(route, "shard bigint, kind int, block bigint, print binary, size bigint, words binary, places binary")
     routed = stage(routed, "substring-runs")
     once = routed.groupBy("shard", "kind", "print").agg(F.first("words").alias("words"))
-    hits = once.groupBy("shard").applyInArrow(search, "shard bigint, print binary, hits binary")
+    # runs that visit one shard are dealt to so many tasks that the copies of its index stay smaller than the runs
+    load = routed.groupBy("shard", "kind", "print").agg(F.first("size").alias("size")).groupBy("shard").agg(
+        F.sum(F.when(F.col("kind") == 1, F.col("size"))).alias("asked"), F.sum(F.when(F.col("kind") == 0, F.col("size"))).alias("own"))
+    parts = load.where("asked > 0").select("shard", F.ceil(F.col("asked") / F.greatest("own", F.lit(PART_BYTES))).cast("int").alias("parts"))
+    dealt = once.join(parts, "shard").select("shard", "kind", "print", "words", F.explode(F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("parts") - 1))
+        .otherwise(F.array(F.pmod(F.hash("print"), "parts")))).alias("part"))
+    hits = dealt.groupBy("shard", "part").applyInArrow(search, "shard bigint, print binary, hits binary")
     results = routed.where("kind = 1").select("shard", "print", "block", "places").join(hits, ["shard", "print"]).select("block", "places", "hits")
     whole = docs.mapInArrow(send_texts, "block bigint, packed binary")
     return whole.groupBy("block").cogroup(results.groupBy("block")).applyInArrow(cut, schema)

@@ -51,6 +51,9 @@ def test_random_texts_match_brute_force(spark, monkeypatch):
     want = sorted(brute(rows), key=key)
     assert sorted(result(S.repeats(docs)), key=key) == want
     assert sorted(result(S.repeats(docs, buckets=1)), key=key) == want
+    monkeypatch.setattr(S, "PART_BYTES", 1)
+    monkeypatch.setattr(S, "STEP", 3)
+    assert sorted(result(S.repeats(docs)), key=key) == want
     kept = {r.doc_id: r.text for r in S.clean(docs).collect()}
     texts = dict(rows)
     assert kept == {i: texts[i] if not gone else left for i, _, gone, left in want if not gone or left}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lullwatch.llm.common import SIZE_BYTES, partitions, register, table
+from lullwatch.llm.common import SIZE_BYTES, partitions, register, table, thrifty_cogroup, thrifty_map
 
 # Fixed value: the word pattern of the byte-level vocabulary.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -170,10 +170,10 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
             out.append(flat[np.repeat(first[c] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes())
         return pa.table({"doc_id": texts["doc_id"], "ids": pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())})
 
-    words = docs.mapInArrow(own_words, "bucket int, block bigint, packed binary").repartition("bucket").sortWithinPartitions("bucket")
-    words = words.mapInArrow(word_ids, "block bigint, bucket int, packed binary")
-    texts = docs.mapInArrow(packed_texts, f"block bigint, doc_id {kind}, packed binary")
-    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(place, f"doc_id {kind}, ids binary, n_tokens bigint")
+    words = docs.mapInArrow(thrifty_map(own_words), "bucket int, block bigint, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    words = words.mapInArrow(thrifty_map(word_ids), "block bigint, bucket int, packed binary")
+    texts = docs.mapInArrow(thrifty_map(packed_texts), f"block bigint, doc_id {kind}, packed binary")
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(thrifty_cogroup(place), f"doc_id {kind}, ids binary, n_tokens bigint")
 
 
 def pieces(path: str) -> list[bytes]:
@@ -199,7 +199,7 @@ def decode(encoded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
             text = [b"".join(map(get, np.frombuffer(x.as_py() or b"", "<u4").tolist())).decode("utf-8", "replace") for x in b["ids"]]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, column])
 
-    return encoded.mapInArrow(read, schema)
+    return encoded.mapInArrow(thrifty_map(read), schema)
 
 
 @register("op3_bpe_codec")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +58,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def give_back() -> None:
+    """Hand freed memory to the operating system: Spark keeps Python workers for later tasks, and with them what they have freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def thrifty_map(task):
+    """``task`` for mapInArrow, freed memory given back when its partition ends."""
+    def run(batches):
+        yield from task(batches)
+        give_back()
+    return run
+
+
+def thrifty_group(task):
+    """``task`` for applyInArrow on groups, freed memory given back after each group."""
+    def run(rows):
+        out = task(rows)
+        give_back()
+        return out
+    return run
+
+
+def thrifty_cogroup(task):
+    """``task`` for applyInArrow on co-groups, freed memory given back after each."""
+    def run(left, right):
+        out = task(left, right)
+        give_back()
+        return out
+    return run

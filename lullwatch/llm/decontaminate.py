@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullwatch.llm.common import register, stage, table
+from lullwatch.llm.common import register, stage, table, thrifty_map
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -166,7 +166,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_ch
                 yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())),
                                                   pa.array(items, pa.list_(pa.string()))], names=b.schema.names)
 
-        rows = (rows if k == 0 else stage(rows, "spans")).mapInArrow(mark, schema)
+        rows = (rows if k == 0 else stage(rows, "spans")).mapInArrow(thrifty_map(mark), schema)
     return rows.drop("text")
 
 
@@ -219,7 +219,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
                     b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, b["text"].type))
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(cut, docs.schema)
+        docs = docs.mapInArrow(thrifty_map(cut), docs.schema)
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullwatch.llm.common import register, table
+from lullwatch.llm.common import register, table, thrifty_map
 
 SAMPLE = 20_000
 """Most labelled rows that the classifier is fitted on."""
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([q == 1 for q in b["quality"].to_pylist()]), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "good", "x"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    got = texts.select("doc_id", "text", "quality").mapInArrow(measure, f"doc_id {kind}, good boolean, x array<double>").toArrow().sort_by("doc_id")
+    got = texts.select("doc_id", "text", "quality").mapInArrow(thrifty_map(measure), f"doc_id {kind}, good boolean, x array<double>").toArrow().sort_by("doc_id")
     good = np.array(got["good"].to_pylist(), bool)
     if not good.any():
         return None
@@ -143,9 +143,9 @@ def scored(docs: DataFrame, net: Network | None, keep: float | None = None) -> D
                 yield b.filter(pa.array(s >= keep))
 
     if keep is not None:
-        return docs.mapInArrow(judge, docs.schema)
+        return docs.mapInArrow(thrifty_map(judge), docs.schema)
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(judge, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.mapInArrow(thrifty_map(judge), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 @register("op4_quality")

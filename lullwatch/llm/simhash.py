@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullwatch.llm.common import register, stage, table
+from lullwatch.llm.common import register, stage, table, thrifty_map
 
 HOT = 512
 SEED = 42
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint(t.as_py()) for t in b["text"]], pa.int64())], names=["doc_id", "fp"])
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return docs.mapInArrow(thrifty_map(scan), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 HIGH, LOW = "shiftrightunsigned(fp, 32)", "(fp & 4294967295L)"

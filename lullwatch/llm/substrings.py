@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullwatch.llm.common import SIZE_BYTES, partitions, register, stage, table
+from lullwatch.llm.common import SIZE_BYTES, partitions, register, stage, table, thrifty_cogroup, thrifty_group, thrifty_map
 
 WINDOW = 13
 PIECE = 256
@@ -364,10 +364,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, j
         seen = np.cumsum(hit)
         return judge(rows, words, seen[window:] > seen[:-window])
 
-    prints = docs.select("doc_id", "text").mapInArrow(send_prints, "bucket bigint, block bigint, packed binary")
-    answers = prints.groupBy("bucket").applyInArrow(resolve, "block bigint, bucket bigint, packed binary")
-    texts = docs.select("doc_id", "text").mapInArrow(send_texts, "block bigint, packed binary")
-    routed = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(route, "shard bigint, kind int, block bigint, print binary, size bigint, words binary, places binary")
+    prints = docs.select("doc_id", "text").mapInArrow(thrifty_map(send_prints), "bucket bigint, block bigint, packed binary")
+    answers = prints.groupBy("bucket").applyInArrow(thrifty_group(resolve), "block bigint, bucket bigint, packed binary")
+    texts = docs.select("doc_id", "text").mapInArrow(thrifty_map(send_texts), "block bigint, packed binary")
+    routed = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(thrifty_cogroup(route), "shard bigint, kind int, block bigint, print binary, size bigint, words binary, places binary")
     routed = stage(routed, "substring-runs")
     once = routed.groupBy("shard", "kind", "print").agg(F.first("words").alias("words"))
     # runs that visit one shard are dealt to so many tasks that the copies of its index stay smaller than the runs
@@ -376,10 +376,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, j
     parts = load.where("asked > 0").select("shard", F.ceil(F.col("asked") / F.greatest("own", F.lit(PART_BYTES))).cast("int").alias("parts"))
     dealt = once.join(parts, "shard").select("shard", "kind", "print", "words", F.explode(F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("parts") - 1))
         .otherwise(F.array(F.pmod(F.hash("print"), "parts")))).alias("part"))
-    hits = dealt.groupBy("shard", "part").applyInArrow(search, "shard bigint, print binary, hits binary")
+    hits = dealt.groupBy("shard", "part").applyInArrow(thrifty_group(search), "shard bigint, print binary, hits binary")
     results = routed.where("kind = 1").select("shard", "print", "block", "places").join(hits, ["shard", "print"]).select("block", "places", "hits")
-    whole = docs.mapInArrow(send_texts, "block bigint, packed binary")
-    return whole.groupBy("block").cogroup(results.groupBy("block")).applyInArrow(cut, schema)
+    whole = docs.mapInArrow(thrifty_map(send_texts), "block bigint, packed binary")
+    return whole.groupBy("block").cogroup(results.groupBy("block")).applyInArrow(thrifty_cogroup(cut), schema)
 
 
 def kept_texts(words: Words, gone: np.ndarray) -> pa.Array:

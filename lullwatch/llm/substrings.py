@@ -376,7 +376,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, j
     parts = load.where("asked > 0").select("shard", F.ceil(F.col("asked") / F.greatest("own", F.lit(PART_BYTES))).cast("int").alias("parts"))
     dealt = once.join(parts, "shard").select("shard", "kind", "print", "words", F.explode(F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("parts") - 1))
         .otherwise(F.array(F.pmod(F.hash("print"), "parts")))).alias("part"))
-    hits = dealt.groupBy("shard", "part").applyInArrow(thrifty_group(search), "shard bigint, print binary, hits binary")
+    hits = dealt.repartition("shard", "part").groupBy("shard", "part").applyInArrow(thrifty_group(search), "shard bigint, print binary, hits binary")
     results = routed.where("kind = 1").select("shard", "print", "block", "places").join(hits, ["shard", "print"]).select("block", "places", "hits")
     whole = docs.mapInArrow(thrifty_map(send_texts), "block bigint, packed binary")
     return whole.groupBy("block").cogroup(results.groupBy("block")).applyInArrow(thrifty_cogroup(cut), schema)

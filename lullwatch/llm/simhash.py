@@ -10,45 +10,77 @@ fingerprints (a large group of near copies) is not expanded into pairs: its memb
 the distance that keep that half, at most 529 each, and look those up exactly. Links are joined to components by alternating
 large-star and small-star rounds; every round is written to the shared folder.
 
+``similar_nodes`` finds near copies by the Jaccard similarity of their shingle sets, which a radius of a few bits does not reach. Two sets with
+a similarity of t or more share one of their (1 - t) smallest shingle hashes, so texts meet under those; in a bucket of at most
+``ALL + 1`` texts all pairs are compared, in a larger one neighbours in the order of their fingerprints, turned by as many bits as the
+bucket's key says, so that every bucket has another order. Pairs are verified over both whole sets; their number grows with
+the number of rows. Copies of a text are one node.
+
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; fewer words than a shingle give the whole
 sequence; rows with a null doc_id have a fingerprint and no component; repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullwatch.llm.common import register, stage, table, thrifty_map
+from lullwatch.llm.common import partitions, register, stage, table, thrifty_map
 
 HOT = 512
 SEED = 42
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
+ALL = 16
+"""Texts of a bucket that are compared with all before them; later ones with the ``LATER`` before them."""
+LATER = 4
+
+
+def shingles(text: str | None, size: int):
+    """Hashes of all word shingles of a text, in pieces."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - size + 1)
     first, last = starts[:n].tolist(), ends[min(size, len(words)) - 1:].tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for k in range(0, n, 1 << 16):
-        h = np.fromiter((digest(flat[a:b], SEED) for a, b in zip(first[k:k + (1 << 16)], last[k:k + (1 << 16)], strict=True)), np.uint64)
+        yield np.fromiter((digest(flat[a:b], SEED) for a, b in zip(first[k:k + (1 << 16)], last[k:k + (1 << 16)], strict=True)), np.uint64)
+
+
+def majority(pieces) -> int:
+    """Bits that more than half of the hashes have, as a signed long."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in pieces:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprint(text: str | None, size: int = 3) -> int:
+    return majority(shingles(text, size))
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Distinct shingle hashes in ascending order; a text without words has the one hash 0."""
+    pieces = list(shingles(text, size))
+    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(1, np.uint64)
+
+
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed long."""
     def scan(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint(t.as_py()) for t in b["text"]], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint(t.as_py(), size) for t in b["text"]], pa.int64())], names=["doc_id", "fp"])
 
     docs = docs.select("doc_id", "text")
     return docs.mapInArrow(thrifty_map(scan), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
@@ -110,9 +142,9 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """``doc_id, fp, component_id``: the class of every row is the smallest doc_id that its links reach."""
-    prints = stage(fingerprints(docs), "simhash-prints")
+    prints = stage(fingerprints(docs, size), "simhash-prints")
     nodes = stage(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     roots = components(links(nodes))
     classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
@@ -120,10 +152,95 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents without their near-duplicates: the smallest doc_id of each class stays, once; rows without doc_id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``node``: a hash of the text, the same for copies."""
+    return docs.withColumn("node", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def candidates(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``u, v`` with u > v: nodes that share one of their smallest shingles and whose numbers of shingles allow the similarity."""
+    share = Fraction(str(similarity))
+
+    def scan(batches):
+        for b in batches:
+            nodes, sizes, prints, least = [], [], [], []
+            for node, t in zip(b["node"].to_pylist(), b["text"], strict=True):
+                h = shingle_set(t.as_py(), size)
+                nodes.append(node)
+                sizes.append(len(h))
+                prints.append(majority([h]))
+                least.append(h[:len(h) - ceil(share * len(h)) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(least, pa.list_(pa.int64()))],
+                                             names=["node", "n", "fp", "least"])
+
+    def meet(batches):
+        empty = np.zeros(0, np.int64)
+        key, node, n, rank = empty, empty, empty, empty
+        for b in batches:
+            had, base = len(key), int(rank[0]) if len(rank) else 0
+            key, node, n = (np.concatenate((old, b[c].to_numpy())) for old, c in ((key, "key"), (node, "node"), (n, "n")))
+            at = np.arange(len(key))
+            start = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), at, 0))
+            rank = at - start + np.where(start == 0, base, 0)
+            us, vs = [empty], [empty]
+            for back in range(1, ALL + 1):
+                i = at[max(had, back):]
+                j = i - back
+                low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                near = (key[i] == key[j]) & (node[i] != node[j]) & (low * share.denominator >= high * share.numerator)
+                near &= (rank[i] <= ALL) | (back <= LATER)
+                us.append(np.maximum(node[i], node[j])[near])
+                vs.append(np.minimum(node[i], node[j])[near])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            key, node, n, rank = key[-ALL:], node[-ALL:], n[-ALL:], rank[-ALL:]
+
+    rows = texts.select("node", "text").mapInArrow(thrifty_map(scan), "node bigint, n bigint, fp bigint, least array<bigint>")
+    rows = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("least").alias("least"))
+    entries = rows.select("node", "n", "fp", F.explode("least").alias("key"))
+    turned = F.expr("shiftleft(fp, cast(key & 63L as int)) | shiftrightunsigned(fp, cast(64L - (key & 63L) as int))")
+    dealt = entries.repartition(4 * partitions(texts.sparkSession), "key").sortWithinPartitions("key", turned, "node").select("key", "node", "n")
+    return dealt.mapInArrow(thrifty_map(meet), "u bigint, v bigint").distinct()
+
+
+def similar_nodes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``u, v`` with u > v: nodes (of ``keyed`` documents) whose shingle sets have at least the Jaccard ``similarity``."""
+    share = Fraction(str(similarity))
+    pairs = stage(candidates(docs, size, similarity), "simhash-pairs")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([shingle_set(t.as_py(), size).tobytes() for t in b["text"]], pa.binary())], names=["node", "hashes"])
+
+    def verify(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b["a"], b["b"], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * share.denominator >= (len(x) + len(y) - both) * share.numerator)
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    texts = docs.select("node", "text").join(asked, "node", "left_semi").dropDuplicates(["node"])
+    known = stage(texts.mapInArrow(thrifty_map(sets), "node bigint, hashes binary"), "simhash-sets")
+    both = pairs.join(known.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(known.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(thrifty_map(verify), "u bigint, v bigint")
+
+
+def one_of_each(docs: DataFrame, size: int = 3, similarity: float | None = None) -> DataFrame:
+    """Documents without their near-duplicates: the smallest doc_id of each class stays, once; rows without doc_id stay.
+
+    Classes are those of ``near_duplicates``, or, with a ``similarity``, of texts linked by that similarity of their shingle sets.
+    """
+    if similarity is None:
+        kept = near_duplicates(docs, size).where("doc_id = component_id").select("doc_id").distinct()
+        return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    named = keyed(docs.where("doc_id is not null"))
+    nodes = stage(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "simhash-nodes")
+    roots = components(similar_nodes(named, size, similarity))
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "node")).alias("kept")).select("kept.*")
+    # a doc_id with several texts keeps those that lead a class each
+    return named.join(kept, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 @register("op1_simhash")

@@ -13,6 +13,8 @@ null id reports as an empty string; repeated rows are judged row by row; other c
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -135,10 +137,14 @@ class Automaton:
                     found.add(k)
 
 
+def block_count(benchmark: DataFrame, block_chars: int) -> int:
+    return 1 + (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
+
+
 def automata(benchmark: DataFrame, window: int, block_chars: int):
     """Automata of the benchmark, block by block."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
+    blocks = block_count(benchmark, block_chars)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         yield Automaton([(r.item, words(r.text)) for r in rows], window)
@@ -195,32 +201,80 @@ def without_spans(text: str, seq: list[bytes], spans: list[tuple[int, int]]) ->
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_chars: int = 16_000_000) -> DataFrame:
     """Documents with all benchmark spans cut out; those with a larger marked share than ``max_coverage`` are left out.
 
-    What closes up around a cut is judged again until nothing is marked. Untouched documents keep their text byte by byte, all
-    columns stay, and ``n_chars`` (where present) follows the text.
+    Coverage is judged once, on the whole document and the spans of all blocks united. What closes up around a cut is marked and cut
+    again until no block marks anything; with one block a document's rounds run in one pass, with several each round passes the documents
+    that still had marks through all blocks. Untouched documents keep their text byte by byte, all columns stay, and ``n_chars`` (where present) follows the text.
     """
-    spark = docs.sparkSession
-    for automaton in automata(benchmark, window, block_chars):
-        sent = spark.sparkContext.broadcast(automaton)
+    rows = cut_in_one(docs, benchmark, window, max_coverage) if block_count(benchmark, block_chars) == 1 else cut_by_blocks(docs, benchmark, window, max_coverage, block_chars)
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
-        def cut(batches, sent=sent):
-            for b in batches:
-                texts, keep = b["text"].to_pylist(), []
-                changed = False
-                for i, t in enumerate(texts):
+
+def too_much(spans: list[tuple[int, int]], seq: list[bytes], max_coverage: float) -> bool:
+    return bool(spans) and sum(y - x for x, y in spans) > max_coverage * len(seq)
+
+
+def cut_in_one(docs: DataFrame, benchmark: DataFrame, window: int, max_coverage: float) -> DataFrame:
+    """``clean`` with one automaton for the whole benchmark."""
+    sent = docs.sparkSession.sparkContext.broadcast(next(automata(benchmark, window, 1 << 62)))
+
+    def cut(batches):
+        for b in batches:
+            texts, keep = b["text"].to_pylist(), []
+            changed = False
+            for i, t in enumerate(texts):
+                seq = words(t)
+                spans, _ = sent.value.matches(seq)
+                keep.append(not too_much(spans, seq, max_coverage))
+                while spans and keep[-1]:
+                    changed = True
+                    texts[i] = t = without_spans(t, seq, spans)
                     seq = words(t)
                     spans, _ = sent.value.matches(seq)
-                    keep.append(not spans or sum(y - x for x, y in spans) <= max_coverage * len(seq))
-                    while spans and keep[-1]:
-                        changed = True
-                        texts[i] = t = without_spans(t, seq, spans)
-                        seq = words(t)
-                        spans, _ = sent.value.matches(seq)
-                if changed:
-                    b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, b["text"].type))
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(thrifty_map(cut), docs.schema)
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+            if changed:
+                b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, b["text"].type))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(thrifty_map(cut), docs.schema)
+
+
+MARKS = "benchmark_spans"
+
+
+def cut_by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, max_coverage: float, block_chars: int) -> DataFrame:
+    """``clean`` with one automaton at a time: spans of all blocks are united before anything is judged or cut."""
+    spark = docs.sparkSession
+
+    def put(b, name, values, kind):
+        return b.set_column(b.schema.get_field_index(name), name, pa.array(values, kind))
+
+    def cut(batches, limit):
+        for b in batches:
+            texts, keep = b["text"].to_pylist(), []
+            for i, (t, flat) in enumerate(zip(b["text"].to_pylist(), b[MARKS].to_pylist(), strict=True)):
+                seq, spans = words(t), list(zip(flat[::2], flat[1::2], strict=True))
+                keep.append(not too_much(spans, seq, limit))
+                if keep[-1]:
+                    texts[i] = without_spans(t, seq, spans)
+            b = put(put(b, "text", texts, b["text"].type), MARKS, [[]] * len(texts), pa.list_(pa.int32()))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    rows, done, limit = docs.withColumn(MARKS, F.expr("cast(array() as array<int>)")), [], max_coverage
+    while True:
+        for automaton in automata(benchmark, window, block_chars):
+            sent = spark.sparkContext.broadcast(automaton)
+
+            def mark(batches, sent=sent):
+                for b in batches:
+                    spans = [joined(was, sent.value.matches(words(t))[0]) for t, was in zip(b["text"].to_pylist(), b[MARKS].to_pylist(), strict=True)]
+                    yield put(b, MARKS, spans, pa.list_(pa.int32()))
+
+            rows = stage(rows.mapInArrow(thrifty_map(mark), rows.schema), "clean")
+            sent.unpersist()
+        done.append(rows.where(F.size(MARKS) == 0).drop(MARKS))
+        rows = rows.where(F.size(MARKS) > 0)
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        rows, limit = rows.mapInArrow(thrifty_map(lambda batches, limit=limit: cut(batches, limit)), rows.schema), 1.0
 
 
 ORACLE = """

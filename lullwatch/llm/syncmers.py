@@ -1,10 +1,10 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is an anchor when the smallest of its inner s-mers (by hash) is its first or its last one; whether it is depends on the
-k-mer alone, so the same passage has the same anchors in any document. The fingerprint keeps the ``SKETCH`` anchors of smallest
-hash, each with the position where it first occurs, as ``hash:position`` pairs in position order. Likeness matches two fingerprints
-positionally: anchors common to both count as far as they follow each other in the same order, against the smallest
-``SKETCH`` anchors of the union.
+k-mer alone, so the same passage has the same anchors in any document. The fingerprint keeps all anchors with all their positions, as
+``hash:position`` pairs in position order, so it grows with the text. Likeness matches two fingerprints positionally: the longest sequence of
+anchors that both have in the same order, repeats included, against the union of both (as multisets). It is exact: by matching pairs
+where these are few, by whole rows of bits where anchors repeat often.
 
 To compare each document with the next one (descending doc_id; after the last, the first), rows are dealt to ranges of
 doc_id; a range is read in order, and only the first row of every range is sent to the range before it as well.
@@ -23,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullwatch.llm.common import partitions, register, table
+from lullwatch.llm.common import partitions, register, table, thrifty_map
 
-K, S, SKETCH = 16, 6, 64
+K, S = 16, 6
 PIECE = 1 << 20
+FEW = 16
+"""Matching pairs for each anchor up to which they are gone through one by one."""
+MASK_BYTES = 32 << 20
+FLUSH_CHARS = 4 << 20
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -66,38 +70,83 @@ def anchors(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.
     return rolling(points, k)[at], at
 
 
-def sketch(text: str) -> list[tuple[int, int]]:
-    """(hash, first position) of the anchors of smallest hash; long texts are read in overlapping pieces."""
+def all_anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (32 bits) and positions of all anchors in position order; long texts are read in overlapping pieces."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    best: dict[int, int] = {}
+    hashes, spots = [], []
     for start in range(0, max(1, len(points) - K + 1), PIECE):
         h, at = anchors(points[start:start + PIECE + K - 1])
-        h, first = np.unique(h >> np.uint64(32), return_index=True)
-        for x, p in zip(h[:SKETCH].tolist(), (at[first[:SKETCH]] + start).tolist(), strict=True):
-            best.setdefault(x, p)
-        best = dict(sorted(best.items())[:SKETCH])
-    return sorted(best.items(), key=lambda a: (a[1], a[0]))
+        hashes.append((h >> np.uint64(32)).astype(np.int64))
+        spots.append(at + start)
+    return np.concatenate(hashes), np.concatenate(spots)
+
+
+def sketch(text: str) -> list[tuple[int, int]]:
+    """(hash, position) of all anchors in position order."""
+    h, at = all_anchors(text)
+    return list(zip(h.tolist(), at.tolist(), strict=True))
+
+
+def show(fingerprint) -> str:
+    return " ".join(map("%08x:%x".__mod__, fingerprint))
 
 
-def show(fingerprint: list[tuple[int, int]]) -> str:
-    return " ".join(f"{h:08x}:{p:x}" for h, p in fingerprint)
+def shown(h: np.ndarray, at: np.ndarray) -> str:
+    return show(zip(h.tolist(), at.tolist(), strict=True))
 
 
 def parse(shown: str) -> list[tuple[int, int]]:
     return [(int(h, 16), int(p, 16)) for h, p in (a.split(":") for a in shown.split())]
 
 
-def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
-    """Share of the union's smallest anchors that both have in the same order."""
-    if not a and not b:
+def in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    a, b, n = a[head:], b[head:], n - head
+    differ = np.flatnonzero(a[len(a) - n:] != b[len(b) - n:])
+    tail = n - 1 - int(differ[-1]) if len(differ) else n
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
+    common = np.intersect1d(a, b)
+    if not len(common):
+        return head + tail
+    a, b = (np.searchsorted(common, x[np.isin(x, common)]) for x in (a, b))
+    times = np.bincount(b, minlength=len(common))
+    if int(times[a].sum()) <= FEW * (len(a) + len(b)):
+        order = np.argsort(b, kind="stable")
+        spots = [x[::-1].tolist() for x in np.split(order, np.cumsum(times)[:-1])]
+        ends: list[int] = []
+        for c in a.tolist():
+            for p in spots[c]:
+                k = bisect_left(ends, p)
+                ends[k:k + 1] = [p]
+        return head + tail + len(ends)
+    masks: dict[int, int] = {}
+    every = rest = (1 << len(b)) - 1
+    for c in a.tolist():
+        mask = masks.get(c)
+        if mask is None:
+            mask = int.from_bytes(np.packbits(b == c, bitorder="little").tobytes(), "little")
+            if len(masks) * len(b) < 8 * MASK_BYTES:
+                masks[c] = mask
+        met = rest & mask
+        rest = ((rest + met) | (rest - met)) & every
+    return head + tail + len(b) - rest.bit_count()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) and not len(b):
         return 1.0
-    here, there = dict(a), dict(b)
-    union = sorted({*here, *there})[:SKETCH]
-    ends: list[int] = []
-    for p in [there[h] for h in sorted((h for h in union if h in here and h in there), key=here.__getitem__)]:
-        k = bisect_left(ends, p)
-        ends[k:k + 1] = [p]
-    return len(ends) / len(union)
+    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = int(np.minimum(n[i], m[j]).sum())
+    return in_order(a, b) / (len(a) + len(b) - both) if both else 0.0
+
+
+def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
+    """Share of the union's anchors that both fingerprints have in the same order."""
+    return alike(*(np.array([h for h, _ in x], np.int64) for x in (a, b)))
 
 
 def edited(text: str, following: str) -> str:
@@ -138,32 +187,37 @@ def compare(docs: DataFrame) -> DataFrame:
         out: dict[str, list] = {}
         was = None
 
+        size = 0
+
         def close(doc, mine, following, other):
             new = edited(doc[1], following)
-            changed = sketch(new)
-            for name, value in (("doc_id", doc[0]), ("n_chars", len(doc[1])), ("edited_sha256", hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()), ("fingerprint", show(mine)),
-                                ("edited_fingerprint", show(changed)), ("near_edited", likeness(mine, changed)), ("near_next", likeness(mine, other))):
+            changed = all_anchors(new)
+            for name, value in (("doc_id", doc[0]), ("n_chars", len(doc[1])), ("edited_sha256", hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()), ("fingerprint", shown(*mine)),
+                                ("edited_fingerprint", shown(*changed)), ("near_edited", alike(mine[0], changed[0])), ("near_next", alike(mine[0], other[0]))):
                 out.setdefault(name, []).append(value)
+            return len(out["fingerprint"][-1]) + len(out["edited_fingerprint"][-1])
 
         for b in batches:
             for bucket, i, t in zip(b["bucket"].to_pylist(), b["doc_id"], b["text"], strict=True):
                 t = t.as_py()
-                now = (bucket, (i.as_py(), t), sketch(t))
+                now = (bucket, (i.as_py(), t), all_anchors(t))
                 if was is not None and was[0] == bucket:
-                    close(was[1], was[2], t, now[2])
+                    size += close(was[1], was[2], t, now[2])
                 was = now
-                if len(out.get("doc_id", ())) >= 1000:
+                if size >= FLUSH_CHARS or len(out.get("doc_id", ())) >= 1000:
                     yield pa.RecordBatch.from_pydict(out, schema=layout(b))
                     out.clear()
+                    size = 0
             if out:
                 yield pa.RecordBatch.from_pydict(out, schema=layout(b))
                 out.clear()
+                size = 0
 
     def layout(b):
         return pa.schema([("doc_id", b.schema.field("doc_id").type), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
                           ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
-    return dealt.mapInArrow(scan, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(thrifty_map(scan), f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 @register("op8_syncmers")

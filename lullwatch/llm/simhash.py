@@ -13,7 +13,8 @@ large-star and small-star rounds; every round is written to the shared folder.
 ``similar_nodes`` finds near copies by the Jaccard similarity of their shingle sets, which a radius of a few bits does not reach. Two sets with
 a similarity of t or more share one of their (1 - t) smallest shingle hashes, so texts meet under those; in a bucket of at most
 ``ALL + 1`` texts all pairs are compared, in a larger one neighbours in the order of their fingerprints, turned by as many bits as the
-bucket's key says, so that every bucket has another order. Pairs are verified over both whole sets; their number grows with
+bucket's key says, so that every bucket has another order. Pairs whose smallest shingles already differ in more than the similarity
+allows are left out, which loses none; the others are verified over both whole sets; their number grows with
 the number of rows. Copies of a text are one node.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; fewer words than a shingle give the whole
@@ -196,10 +197,27 @@ def candidates(texts: DataFrame, size: int, similarity: float) -> DataFrame:
 
     rows = texts.select("node", "text").mapInArrow(thrifty_map(scan), "node bigint, n bigint, fp bigint, least array<bigint>")
     rows = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("least").alias("least"))
+    rows = stage(rows, "simhash-least")
     entries = rows.select("node", "n", "fp", F.explode("least").alias("key"))
     turned = F.expr("shiftleft(fp, cast(key & 63L as int)) | shiftrightunsigned(fp, cast(64L - (key & 63L) as int))")
     dealt = entries.repartition(4 * partitions(texts.sparkSession), "key").sortWithinPartitions("key", turned, "node").select("key", "node", "n")
-    return dealt.mapInArrow(thrifty_map(meet), "u bigint, v bigint").distinct()
+    pairs = dealt.mapInArrow(thrifty_map(meet), "u bigint, v bigint").distinct()
+
+    def allow(batches):
+        for b in batches:
+            keep = []
+            for n, x, m, y in zip(b["n"].to_pylist(), b["x"], b["m"].to_pylist(), b["y"], strict=True):
+                x, y = (a.values.to_numpy().view(np.uint32) for a in (x, y))
+                top = min(x[-1], y[-1])
+                x, y = x[:np.searchsorted(x, top)], y[:np.searchsorted(y, top)]
+                most = min(n - np.count_nonzero(~np.isin(x, y)), m - np.count_nonzero(~np.isin(y, x)))
+                keep.append(bool(most * (share.numerator + share.denominator) >= (n + m) * share.numerator))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    # upper halves of the hashes: equal halves of different hashes can only let a pair through
+    short = rows.select("node", "n", F.expr("transform(least, h -> cast(shiftright(h, 32) as int))").alias("x"))
+    asked = pairs.join(short.withColumnRenamed("node", "u"), "u").join(short.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("x").alias("y")), "v")
+    return asked.select("u", "v", "n", "x", "m", "y").mapInArrow(thrifty_map(allow), "u bigint, v bigint")
 
 
 def similar_nodes(docs: DataFrame, size: int, similarity: float) -> DataFrame:

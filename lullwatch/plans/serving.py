@@ -233,7 +233,7 @@ def journal(preds: DataFrame, channels: DataFrame, objects: DataFrame, decisions
             bounds: RiskBounds | None = None, **channel_filters) -> DataFrame:
     """Prediction journal of a period (a week up to the snapshot by default). Joins appear only for the filters in use."""
     if date_from:
-        check_period(date_from, min(date_to or at, at, key=datetime.fromisoformat), max_days)
+        check_period(date_from, min(date_to or at, at, key=datetime.fromisoformat))
     hi = F.least(moment(date_to), moment(at)) if date_to else moment(at)
     lo = moment(date_from) if date_from else F.coalesce(snapshot_at(preds, at), moment(at)) - F.expr("INTERVAL 7 DAYS")
     p = preds.filter((F.col("at") >= lo) & (F.col("at") <= hi)).drop("happened", "fault_at", "fault_kind")
@@ -296,11 +296,12 @@ def model_screen(metrics: DataFrame, version: Column) -> DataFrame:
 # ---- events ----------------------------------------------------------------------------------------------------------
 
 
-def check_period(date_from: str, date_to: str, max_days: int) -> None:
-    """A period that is reversed or longer than an answer may be is refused."""
+def check_period(date_from: str, date_to: str, max_days: int | None = None) -> None:
+    """A period that is reversed, or longer than an answer may be, is refused."""
     span = datetime.fromisoformat(date_to) - datetime.fromisoformat(date_from)
-    if not timedelta(0) <= span <= timedelta(days=max_days):
-        raise ValueError(f"the period must run forward and cover at most {max_days} days: {date_from} to {date_to}")
+    if span < timedelta(0) or max_days is not None and span > timedelta(days=max_days):
+        limit = "" if max_days is None else f" and cover at most {max_days} days"
+        raise ValueError(f"the period must run forward{limit}: {date_from} to {date_to}")
 
 
 def events_at(events: DataFrame, at: str, spec: JournalSpec, kind: str = "status", only_alarms: bool = True,

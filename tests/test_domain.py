@@ -426,3 +426,26 @@ def test_long_period_is_refused():
     for period in (("2024-01-01", "2024-02-20"), ("2024-02-01", "2024-01-01")):
         with pytest.raises(ValueError, match="at most 31 days"):
             check_period(*period, 31)
+
+
+def test_journal_period_only_runs_forward():
+    from lullwatch.plans.serving import check_period
+
+    check_period("2020-01-01", "2024-01-31")
+    with pytest.raises(ValueError):
+        check_period("2024-02-01", "2024-01-31")
+
+
+def test_entry_imports_without_training_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parents[1]
+    shutil.copytree(here / "lullwatch", tmp_path / "lullwatch", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (here / name).exists():
+            shutil.copy(here / name, tmp_path / name)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert int(said.stdout) > 200

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash", "chat", "bpe", "quality", "shards", "tokenfile", "decontaminate", "syncmers", "pages", "substrings")
+MODULES = ("simhash", "chat", "bpe", "quality", "shards", "tokenfile", "decontaminate", "syncmers", "pages", "substrings", "turntrie")
 
 
 def load_queries() -> tuple[dict, dict]:

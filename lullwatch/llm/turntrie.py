@@ -48,9 +48,6 @@ def name_of(lanes: dict[str, str]) -> str:
     return "concat_ws('-', " + ", ".join(f"hex({lanes[x]})" for x in LANES) + ")"
 
 
-ROOT_NAME = "0-0-0-0"
-
-
 def turn_id(role: str = "role", text: str = "text") -> Column:
     return F.expr(f"concat(md5(cast(concat(octet_length({role}), ':', {role}, {text}) as binary)), ':', octet_length({text}))")
 
@@ -114,21 +111,22 @@ def member_digests(ends: DataFrame) -> DataFrame:
     """
     def packed(batches):
         node, first, ids, size = None, None, [], 0
-
-        def row():
-            return pa.RecordBatch.from_pydict({"node": [node], "first": pa.array([first], pa.int64()), "ids": [",".join(ids)]})
-
         for b in batches:
+            rows = []
             for n, c in zip(b["node"].to_pylist(), b["conv"].to_pylist(), strict=True):
                 if ids and (n != node or size >= PIECE):
-                    yield row()
+                    rows.append((node, first, ",".join(ids)))
                     ids, size = [], 0
                 if not ids:
                     node, first = n, c
                 ids.append(str(c))
                 size += len(ids[-1]) + 1
+            yield as_batch(rows)
         if ids:
-            yield row()
+            yield as_batch([(node, first, ",".join(ids))])
+
+    def as_batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["node", "first", "ids"])
 
     def digested(batches):
         node, state = None, None
@@ -233,8 +231,8 @@ def rebuilt(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # CRC-32 of a string of ASCII digits in SQL: reflected polynomial, eight shifts a byte
-CRC = ("xor(4294967295, list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split({0}, ''), x -> ascii(x)::UBIGINT)), "
-       "(s, x) -> list_reduce(list_concat([xor(s, x)], range(8)::UBIGINT[]), (u, v) -> xor(u >> 1, 3988292384 * (u & 1)))))")
+CRC = ("xor(4294967295, list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split({0}, ''), lambda x: ascii(x)::UBIGINT)), "
+       "lambda s, x: list_reduce(list_concat([xor(s, x)], range(8)::UBIGINT[]), lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))))")
 
 ORACLE = f"""
 WITH n AS (SELECT CAST(conv_id AS BIGINT) AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,

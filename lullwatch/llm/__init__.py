@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash", "chat", "bpe", "quality", "shards", "tokenfile", "decontaminate", "syncmers", "pages", "substrings", "alignment", "turntrie")
+MODULES = ("simhash", "chat", "bpe", "quality", "shards", "tokenfile", "decontaminate", "syncmers", "pages", "substrings", "alignment", "turntrie", "private")
 
 
 def load_queries() -> tuple[dict, dict]:

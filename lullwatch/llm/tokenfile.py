@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,18 +34,18 @@ END = 2
 STEP = 512
 
 PIECES = re.compile(rb"[A-Za-z]+|[0-9]")
-STOP = re.compile(rb"[.,](?<=[a-z][.,])(?=\s|\Z)")
+STOP = r"([a-z])([.,])([ \t\n\r\f\v]|$)"
 
 _known: dict[str, list[dict[bytes, bytes]]] = {}
 _tokenizers: dict[str, tuple] = {}
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of whole texts as little-endian uint32, by the tokenizers library.
+def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
+    """Ids of whole texts, by the tokenizers library.
 
     For vocabularies that drop white space and mark word ends: texts are cut at ASCII white space, and a full stop or comma between
-    a letter and white space is a chunk of its own. The library encodes what is in neither of the two cache generations; chunks of
-    ASCII letters and digits go many at a time, one word end for each run of letters and each digit.
+    a letter and white space is a chunk of its own. Texts are cut and their chunks numbered by Arrow, so only distinct chunks are looked up. The library encodes what is
+    in neither of the two cache generations; chunks of ASCII letters and digits go many at a time, one word end for each run of letters and each digit.
     """
     if path not in _tokenizers:
         from tokenizers import Tokenizer
@@ -61,11 +62,16 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     if len(_known[path][0]) > CACHE:
         _known[path] = [{}, _known[path][0]]
     young, old = _known[path]
-    chunks = []
-    for text in texts:
-        raw = text.encode("utf-8", "surrogatepass")
-        chunks.append(STOP.sub(rb" \g<0>", raw if b"<|" in raw else raw.lower()).split())
-    missing = [c for c in set().union(*chunks) if c not in young]
+    raw = pc.fill_null(texts, "")
+    raw = pc.if_else(pc.match_substring(raw, "<|"), raw, pc.ascii_lower(raw))
+    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(raw, pattern=STOP, replacement=r"\1 \2\3"))
+    chunks = lists.flatten()
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    filled = pc.not_equal(chunks, "")
+    coded = chunks.filter(filled).dictionary_encode()
+    doc, codes = doc[filled.to_numpy(zero_copy_only=False)], coded.indices.to_numpy()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    missing = [c for c in distinct if c not in young]
     young.update((c, old[c]) for c in missing if c in old)
     fresh = [c for c in missing if c not in young]
     words = [c for c in fresh if c.isalnum()]
@@ -76,14 +82,20 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
             last, upto = np.flatnonzero(ends[ids]), np.cumsum([len(PIECES.findall(c)) for c in group])
             if len(last) != upto[-1] or last[-1] != len(ids) - 1:
                 raise ValueError("the vocabulary does not mark every word end")
-            cuts, raw = (4 * (last[upto - 1] + 1)).tolist(), ids.tobytes()
-            young.update((c, raw[x:y]) for c, x, y in zip(group, [0, *cuts], cuts, strict=False))
+            cuts, flat = (4 * (last[upto - 1] + 1)).tolist(), ids.tobytes()
+            young.update((c, flat[x:y]) for c, x, y in zip(group, [0, *cuts], cuts, strict=False))
     others = [c for c in fresh if not c.isalnum()]
     for k in range(0, len(others), 5000):
         part = others[k:k + 5000]
         for c, e in zip(part, encode([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False), strict=True):
             young[c] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(young.__getitem__, cs)) for cs in chunks]
+    found = [young[c] for c in distinct]
+    sizes, flat = np.array([len(x) // 4 for x in found], np.int64), np.frombuffer(b"".join(found), "<u4")
+    many = sizes[codes]
+    upto = np.concatenate(([0], np.cumsum(many)))
+    ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - upto[:-1], many) + np.arange(upto[-1])]
+    cuts = upto[np.searchsorted(doc, np.arange(len(texts) + 1))]
+    return np.split(ids, cuts[1:-1])
 
 
 class WaveletMatrix:
@@ -181,9 +193,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END, shard_t
 
     def tokens(batches):
         for b in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
-            ids = [x + end_id.to_bytes(4, "little") for x in encode_texts([t or "" for t in b["text"].to_pylist()], tokenizer)]
-            small = [np.frombuffer(x, "<u4") for x in ids]
-            small = [x.astype("<u2").tobytes() if x.max() < 65536 else b"\xff" + x.tobytes() for x in small]
+            ids = [np.append(x, np.uint32(end_id)) for x in encode_texts(b["text"], tokenizer)]
+            small = [x.astype("<u2").tobytes() if x.max() < 65536 else b"\xff" + x.astype("<u4").tobytes() for x in ids]
             where = [0 if i is None else int(np.searchsorted(cuts, i)) for i in b["doc_id"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), b["doc_id"], pa.array(small, pa.binary())], names=["bucket", "doc_id", "ids"])
 

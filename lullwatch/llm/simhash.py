@@ -12,8 +12,9 @@ large-star and small-star rounds; every round is written to the shared folder.
 
 ``similar_nodes`` finds near copies by the Jaccard similarity of their shingle sets, which a radius of a few bits does not reach. Two sets with
 a similarity of t or more share one of their (1 - t) smallest shingle hashes, so texts meet under those; in a bucket of at most
-``ALL + 1`` texts all pairs are compared, in a larger one neighbours in the order of their fingerprints, turned by as many bits as the
-bucket's key says, so that every bucket has another order. Pairs whose smallest shingles already differ in more than the similarity
+``ALL + 1`` texts all pairs are compared. A larger bucket is sorted by min-hash values of the whole sets: each text has ``ROWS`` of them, four bits each, in four words,
+and the bucket's key says which word and from which value on. Near copies agree in a long run of these values, others do not, so they lie side by side in many of
+the buckets they share; a text is compared with the ``LATER`` before it in each. Pairs whose smallest shingles already differ in more than the similarity
 allows are left out, which loses none; the others are verified over both whole sets; their number grows with
 the number of rows. Copies of a text are one node.
 
@@ -41,6 +42,9 @@ SEED = 42
 ALL = 16
 """Texts of a bucket that are compared with all before them; later ones with the ``LATER`` before them."""
 LATER = 4
+ROWS = 64
+"""Min-hash values of a text: four words of 16."""
+TURNS = np.random.default_rng(SEED).integers(0, 1 << 64, ROWS, np.uint64, endpoint=False) | np.uint64(1)
 
 
 def shingles(text: str | None, size: int):
@@ -77,6 +81,24 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(pieces)) if pieces else np.zeros(1, np.uint64)
 
 
+def min_words(hashes: np.ndarray) -> np.ndarray:
+    """Four words of 16 min-hash values of four bits: the smallest product of the hashes with each odd number, mixed once more."""
+    least = np.full(ROWS, ~np.uint64(0))
+    for k in range(0, len(hashes), 1 << 14):
+        part = hashes[k:k + (1 << 14)]
+        for r in range(ROWS):
+            least[r] = min(least[r], (part * TURNS[r]).min())
+    least = (least ^ least >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)
+    return (least.reshape(4, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer where a column has it."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed long."""
     def scan(batches):
@@ -153,9 +175,9 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``node``: a hash of the text, the same for copies."""
-    return docs.withColumn("node", F.xxhash64(F.coalesce("text", F.lit(""))))
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column ``name``: a hash of the text, the same for copies."""
+    return docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def candidates(texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -164,15 +186,15 @@ def candidates(texts: DataFrame, size: int, similarity: float) -> DataFrame:
 
     def scan(batches):
         for b in batches:
-            nodes, sizes, prints, least = [], [], [], []
+            nodes, sizes, words, least = [], [], [], []
             for node, t in zip(b["node"].to_pylist(), b["text"], strict=True):
                 h = shingle_set(t.as_py(), size)
                 nodes.append(node)
                 sizes.append(len(h))
-                prints.append(majority([h]))
+                words.append(min_words(h))
                 least.append(h[:len(h) - ceil(share * len(h)) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(least, pa.list_(pa.int64()))],
-                                             names=["node", "n", "fp", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))],
+                                             names=["node", "n", "words", "least"])
 
     def meet(batches):
         empty = np.zeros(0, np.int64)
@@ -195,12 +217,14 @@ def candidates(texts: DataFrame, size: int, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
             key, node, n, rank = key[-ALL:], node[-ALL:], n[-ALL:], rank[-ALL:]
 
-    rows = texts.select("node", "text").mapInArrow(thrifty_map(scan), "node bigint, n bigint, fp bigint, least array<bigint>")
-    rows = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("least").alias("least"))
+    rows = texts.select("node", "text").mapInArrow(thrifty_map(scan), "node bigint, n bigint, words array<bigint>, least array<bigint>")
+    rows = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.first("least").alias("least"))
     rows = stage(rows, "simhash-least")
-    entries = rows.select("node", "n", "fp", F.explode("least").alias("key"))
-    turned = F.expr("shiftleft(fp, cast(key & 63L as int)) | shiftrightunsigned(fp, cast(64L - (key & 63L) as int))")
-    dealt = entries.repartition(4 * partitions(texts.sparkSession), "key").sortWithinPartitions("key", turned, "node").select("key", "node", "n")
+    entries = rows.select("node", "n", "words", F.explode("least").alias("key"))
+    word, shift = "words[cast(key >> 4 & 3L as int)]", "cast(4 * (key & 15L) as int)"
+    turned = F.expr(f"if(key & 15L = 0, {word}, shiftleft({word}, {shift}) | shiftrightunsigned({word}, 64 - {shift}))").alias("turned")
+    entries = entries.select("key", turned, "node", "n")
+    dealt = entries.repartition(4 * partitions(texts.sparkSession), "key").sortWithinPartitions("key", "turned", "node").select("key", "node", "n")
     pairs = dealt.mapInArrow(thrifty_map(meet), "u bigint, v bigint").distinct()
 
     def allow(batches):
@@ -253,12 +277,14 @@ def one_of_each(docs: DataFrame, size: int = 3, similarity: float | None = None)
     if similarity is None:
         kept = near_duplicates(docs, size).where("doc_id = component_id").select("doc_id").distinct()
         return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
-    named = keyed(docs.where("doc_id is not null"))
-    nodes = stage(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "simhash-nodes")
-    roots = components(similar_nodes(named, size, similarity))
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "node")).alias("kept")).select("kept.*")
+    node = free_name(docs, "node")
+    named = keyed(docs.where("doc_id is not null"), node)
+    nodes = stage(named.groupBy(F.col(node).alias("node")).agg(F.min("doc_id").alias("doc_id")), "simhash-nodes")
+    roots = components(similar_nodes(named.select(F.col(node).alias("node"), "text"), size, similarity))
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "node")).alias("kept"))
+    kept = kept.select("kept.doc_id", F.col("kept.node").alias(node))
     # a doc_id with several texts keeps those that lead a class each
-    return named.join(kept, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return named.join(kept, ["doc_id", node], "left_semi").dropDuplicates(["doc_id", node]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 @register("op1_simhash")

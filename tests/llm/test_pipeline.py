@@ -6,7 +6,7 @@ import corpus_pipeline
 from lullwatch.llm import decontaminate, quality
 from tests.llm.conftest import SF, write_tables
 from tests.llm.test_decontaminate import brute as benchmark_hits
-from tests.llm.test_simhash import classes, plain
+from tests.llm.test_similarity import first_of_classes
 from tests.llm.test_substrings import brute as repeats
 
 
@@ -14,8 +14,7 @@ def test_run_matches_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     net = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
     docs = {r.doc_id: r.text for r in rows if net.score(quality.statistics(r.text)[None])[0] >= quality.THRESHOLD}
-    found = classes([(i, plain(t)) for i, t in docs.items()])
-    docs = {i: docs[i] for (i, _), c in found.items() if i == c}
+    docs = {i: docs[i] for i in first_of_classes(docs)}
     docs = {i: left if gone else docs[i] for i, _, gone, left in repeats(list(docs.items())) if not gone or left}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {}

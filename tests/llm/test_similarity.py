@@ -53,3 +53,34 @@ def test_stage_drops_all_near_copies(spark):
 def test_other_text_under_the_same_doc_id_stays(spark):
     frame = spark.createDataFrame([(1, "one two three four five six seven"), (1, "quite another text of a few words"), (1, "One two  three four five six seven")], "doc_id long, text string")
     assert sorted(r.text.lower()[:3] for r in S.one_of_each(frame, 5, 0.8).collect()) == ["one", "qui"]
+
+
+def boilerplate(n, seed=11):
+    """Texts of 30 common paragraphs in two variants each; every second text copies one before it with two paragraphs in the other variant."""
+    rng = random.Random(seed)
+    paragraphs = [[" ".join(f"p{k}v{v}w{rng.randrange(10**6)}" for _ in range(20)) for v in range(2)] for k in range(30)]
+    picks, copies = [], []
+    for _ in range(n // 2):
+        p = [rng.randrange(2) for _ in range(30)]
+        q = list(p)
+        for k in rng.sample(range(30), 2):
+            q[k] = 1 - q[k]
+        copies.append((len(picks), len(picks) + 1))
+        picks += [p, q]
+    return ["\n".join(paragraphs[k][v] for k, v in enumerate(p)) for p in picks], copies
+
+
+def test_common_paragraphs_hide_no_copy(spark):
+    for n in (600, 2400):
+        texts, copies = boilerplate(n)
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+        left = {r.doc_id for r in S.one_of_each(frame, 5, 0.8).collect()}
+        assert all(b not in left for _, b in copies), n
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["node", "key", "fp", "u", "v", "n", "benchmark_spans", "words", "least", "turned", "node_"]
+    frame = spark.createDataFrame([(k, t, *(f"{c}{k}" for c in names)) for k, t in enumerate(["one two three four five six", "ONE two three four five six", "others", None])],
+                                  ", ".join(["doc_id long", "text string", *(f"{c} string" for c in names)]))
+    rows = {r.doc_id: r for r in S.one_of_each(frame, 5, 0.8).collect()}
+    assert set(rows) == {0, 2, 3} and all(r[c] == f"{c}{k}" for k, r in rows.items() for c in names)

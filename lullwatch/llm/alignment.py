@@ -1,16 +1,14 @@
 """Cross-tokenizer alignment by interval coalescing: which tokens of one vocabulary share bytes with which tokens of another.
 
-Every text is encoded by both tokenizers. Tokens are byte intervals of the text with a space before it; all intervals of both kinds (of many documents side by side) are
-sorted by their start, ``maximum.accumulate`` runs over their ends, and a group breaks where a start reaches the running maximum. Within groups, overlapping
-intervals of the two kinds are expanded to links.
+Texts are cut into chunks at single spaces between other characters: neither vocabulary has a token across such a place (B's is searched for one; if it has one, a text
+is one chunk). Each distinct chunk of a block is encoded by both tokenizers, behind a bounded cache. Its tokens are byte intervals of the chunk with a space before it; all intervals of
+both kinds (of many chunks side by side) are sorted by their start, ``maximum.accumulate`` runs over their ends, and a group breaks where a start reaches the running
+maximum. Within groups, overlapping intervals of the two kinds are expanded to links. Documents take tokens, groups and links from their chunks.
 
 A block is some documents of one input split, about ``BLOCK_CHARS`` characters together. A task gives a row per document and one row per block with the block's distinct id
 pairs and in how many of its documents each is linked. Only these pairs are shuffled: their counts are summed over the corpus, the highest count of each A id is
 joined, and both go back to the blocks, where documents hold their links as numbers into the block's pairs. Texts are encoded once; the rows are written to the shared folder.
 
-Long texts are cut for encoding at single spaces between other characters, about every ``PART`` characters: neither vocabulary has a token across such a place (B's is
-searched for one; if it has one, texts are not cut).
-
 Defined results: a null or empty text, or one whose tokens do not spell it (characters that B's model rewrites), has no tokens and zeros; control strings inside texts are
 plain text; repeated rows are documents of their own, each counted; a null doc_id is kept; other columns are ignored; an empty table gives an empty table.
 """
@@ -21,6 +19,7 @@ import hashlib
 import itertools
 import os
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +33,7 @@ from lullwatch.llm.common import register, stage, table, thrifty_cogroup, thrift
 
 BLOCK_CHARS = 2 << 20
 PART = 1 << 16
+CACHE = 100_000
 SPACE = "▁"
 
 
@@ -48,7 +48,7 @@ def byte_level(path: str):
     t.no_padding()
     t.encode_special_tokens = True
     spelt = bpe.pieces(path)
-    return lambda texts: [np.array(e.ids, np.int32) for e in t.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)], spelt, np.array([len(p) for p in spelt])
+    return lambda texts: [e.ids for e in t.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)], spelt, np.array([len(p) for p in spelt])
 
 
 @lru_cache(maxsize=2)
@@ -62,43 +62,53 @@ def sentence_pieces(path: str):
         piece = t.id_to_piece(i)
         spelt.append(bytes([int(piece[3:5], 16)]) if t.is_byte(i) else piece.replace(SPACE, " ").encode())
         crossing |= SPACE in piece.lstrip(SPACE)
-    return lambda texts: [np.array(x, np.int32) for x in t.encode(texts, num_threads=1)], spelt, np.array([len(p) for p in spelt]), crossing
-
-
-def parts_of(text: str, size: int = PART) -> list[str]:
-    """``text`` without the single spaces it is cut at."""
-    out, at = [], 0
-    while len(text) - at > size:
-        gap = re.compile(r"(?<=\S) (?=\S)").search(text, at + size)
-        if gap is None:
-            break
-        out.append(text[at:gap.start()])
-        at = gap.end()
-    return [*out, text[at:]]
-
-
-def encode_all(texts: list[str], encode, whole: bool) -> list[np.ndarray]:
-    """Ids of every text; the library sees about ``PART`` characters at a time."""
-    found: list[list[np.ndarray]] = [[] for _ in texts]
-    sent, owners, size = [], [], 0
-
-    def flush():
-        for k, ids in zip(owners, encode(sent), strict=True):
-            found[k].append(ids)
-        sent.clear()
-        owners.clear()
-
-    for k, t in enumerate(texts):
-        for part in [t] if whole else parts_of(t):
-            sent.append(part)
-            owners.append(k)
-            size += len(part)
-            if size >= PART:
-                flush()
-                size = 0
-    if sent:
-        flush()
-    return [x[0] if len(x) == 1 else np.concatenate(x) for x in found]
+    return lambda texts: t.encode(texts, num_threads=1), spelt, np.array([len(p) for p in spelt]), crossing
+
+
+GAP = re.compile(r"(?<=\S) (?=\S)")
+SPACES = re.compile(r"\s\s|^\s|\s\Z")
+
+
+def chunks_of(text: str) -> list[str]:
+    """``text`` without the single spaces it is cut at; none for an empty text."""
+    if not text:
+        return []
+    return GAP.split(text) if SPACES.search(text) else text.split(" ")
+
+
+_known: dict[tuple[str, str], list[dict[str, tuple[bytes, bytes] | None]]] = {}
+
+
+def encode_chunks(chunks: list[str], a_path: str, b_path: str) -> list[tuple[bytes, bytes] | None]:
+    """Tokens of both kinds (32-bit ids) of distinct chunks; None where they do not spell the chunk. Looked up in two cache generations first."""
+    (encode_a, spelt_a, _), (encode_b, spelt_b, _, _) = byte_level(a_path), sentence_pieces(b_path)
+    young, old = _known.get((a_path, b_path), [{}, {}])
+    if len(young) > CACHE:
+        young, old = {}, young
+    _known[a_path, b_path] = [young, old]
+    missing = [c for c in chunks if c not in young]
+    young.update((c, old[c]) for c in missing if c in old)
+    fresh, size, sent = [c for c in missing if c not in young], 0, []
+    for k, c in enumerate(fresh):
+        sent.append(c)
+        size += len(c)
+        if size < PART and k + 1 < len(fresh):
+            continue
+        for chunk, a, b in zip(sent, encode_a(sent), encode_b(sent), strict=True):
+            raw = b" " + chunk.encode("utf-8", "surrogatepass")
+            spells = b"".join(map(spelt_a.__getitem__, a)) == raw and b"".join(map(spelt_b.__getitem__, b)) == raw
+            young[chunk] = (np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if spells else None
+        sent, size = [], 0
+    return [young[c] for c in chunks]
+
+
+def taken(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray, words: np.ndarray) -> list[bytes]:
+    """For every document the values of its chunks: ``sizes`` values a chunk, ``codes`` the chunks of all documents, ``words`` how many each has."""
+    n = sizes[codes]
+    upto = np.concatenate(([0], np.cumsum(n)))
+    flat = values[np.repeat((np.cumsum(sizes) - sizes)[codes] - upto[:-1], n) + np.arange(upto[-1])].astype("<u4").tobytes()
+    cuts = (4 * upto[np.concatenate(([0], np.cumsum(words)))]).tolist()
+    return [flat[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
 def coalesce(starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -128,62 +138,70 @@ def blocks(batches, size: int = BLOCK_CHARS):
         yield base + next(n), ids, texts
 
 
-def cut(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    flat, ends = values.astype("<u4").tobytes(), 4 * np.cumsum(sizes)
-    return [flat[x:y] for x, y in zip((ends - 4 * sizes).tolist(), ends.tolist(), strict=True)]
-
-
 PAIR = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
 
-def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, then=None, schema: str | None = None) -> DataFrame:
     """A row per document and one per block.
 
     Documents: ``block, doc_id, a_ids, b_ids`` (the tokens), ``a_sizes, b_sizes`` (how many of them each group holds, in order), ``links`` (each link as a number into the block's
     pairs), all as little-endian unsigned 32-bit integers. Blocks: ``block, pairs`` with each distinct id pair and the number of the block's documents that link it.
+    ``then``: a function of the record batches that the same tasks apply, with its ``schema``.
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
-        encode_a, spelt_a, long_a = byte_level(a_path)
-        encode_b, spelt_b, long_b, crossing = sentence_pieces(b_path)
+        long_a, (_, _, long_b, crossing) = byte_level(a_path)[2], sentence_pieces(b_path)
         for block, ids, texts in blocks(batches):
-            a, b = encode_all(texts, encode_a, crossing), encode_all(texts, encode_b, crossing)
-            none = np.zeros(0, np.int32)
-            for k, t in enumerate(texts):
-                raw = b" " + t.encode("utf-8", "surrogatepass")
-                if not t or b"".join(map(spelt_a.__getitem__, a[k].tolist())) != raw or b"".join(map(spelt_b.__getitem__, b[k].tolist())) != raw:
-                    a[k] = b[k] = none
-            n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-            a, b = np.concatenate(a), np.concatenate(b)
+            number: dict[str, int] = defaultdict(itertools.count().__next__)
+            codes = []
+            for t in texts:
+                parts = [t] if crossing and t else chunks_of(t)
+                codes.append(np.fromiter(map(number.__getitem__, parts), np.int64, len(parts)))
+            found = encode_chunks(list(number), a_path, b_path)
+            wrong = np.array([x is None for x in found], bool)
+            codes = [c[:0] if wrong[c].any() else c for c in codes]
+            words, codes = np.array([len(c) for c in codes]), np.concatenate(codes)
+            found = [x or (b"", b"") for x in found]
+            n_a, n_b = (np.array([len(x[k]) // 4 for x in found], np.int64) for k in (0, 1))
+            a, b = (np.frombuffer(b"".join(x[k] for x in found), np.int32) for k in (0, 1))
             a_end, b_end = np.cumsum(long_a[a]), np.cumsum(long_b[b])
             a_start, b_start = a_end - long_a[a], b_end - long_b[b]
             group = coalesce(np.concatenate((a_start, b_start)), np.concatenate((a_end, b_end)), np.repeat([False, True], [len(a), len(b)]))
             a_group, b_group = group[:len(a)], group[len(a):]
             total = int(group.max(initial=-1)) + 1
             a_sizes, b_sizes = np.bincount(a_group, minlength=total), np.bincount(b_group, minlength=total)
-            doc = np.repeat(np.arange(len(n_a)), n_a)
+            chunk = np.repeat(np.arange(len(found)), n_a)
             opened = np.concatenate(([True], a_group[1:] != a_group[:-1])) if len(a) else np.zeros(0, bool)
-            n_groups = np.bincount(doc[opened], minlength=len(n_a))
+            n_groups = np.bincount(chunk[opened], minlength=len(found))
             # links: the B tokens from the first that ends behind an A token's start to the last that starts before its end
             low, high = np.searchsorted(b_end, a_start, "right"), np.searchsorted(b_start, a_end, "left")
             many = high - low
             to = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-            pairs, links = np.unique(np.repeat(a, many).astype(np.int64) * len(spelt_b) + b[to], return_inverse=True)
-            doc = np.repeat(doc, many)
-            once = np.unique(doc * max(1, len(pairs)) + links)
+            pairs, links = np.unique(np.repeat(a, many).astype(np.int64) * len(long_b) + b[to], return_inverse=True)
+            n_links = np.bincount(np.repeat(chunk, many), minlength=len(found))
+            columns = [taken(a, n_a, codes, words), taken(b, n_b, codes, words), taken(a_sizes, n_groups, codes, words), taken(b_sizes, n_groups, codes, words),
+                       taken(links, n_links, codes, words)]
+            doc = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in columns[-1]])
+            once = np.unique(doc * max(1, len(pairs)) + np.frombuffer(b"".join(columns[-1]), "<u4"))
             held = np.bincount(once % max(1, len(pairs)), minlength=len(pairs))
-            columns = [cut(a, n_a), cut(b, n_b), cut(a_sizes, n_groups), cut(b_sizes, n_groups), cut(links, np.bincount(doc, minlength=len(n_a)))]
+            shown = np.flatnonzero(held)  # chunks of documents without tokens add no pair
+            if len(shown) < len(pairs):
+                renumbered = np.cumsum(held > 0) - 1
+                columns[-1] = [renumbered[np.frombuffer(x, "<u4")].astype("<u4").tobytes() for x in columns[-1]]
+                pairs, held = pairs[shown], held[shown]
             for k in range(0, len(ids), 500):
                 part = ids[k:k + 500]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array([i.as_py() for i in part], ids[0].type),
                                                   *(pa.array(c[k:k + 500], pa.binary()) for c in columns), pa.nulls(len(part), pa.list_(PAIR))], names=names)
-            rows = pa.StructArray.from_arrays([pa.array(pairs // len(spelt_b), pa.int32()), pa.array(pairs % len(spelt_b), pa.int32()), pa.array(held, pa.int64())], fields=list(PAIR))
+            rows = pa.StructArray.from_arrays([pa.array(pairs // len(long_b), pa.int32()), pa.array(pairs % len(long_b), pa.int32()), pa.array(held, pa.int64())], fields=list(PAIR))
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, ids[0].type), *(pa.nulls(1, pa.binary()) for _ in columns),
                                               pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), rows)], names=names)
 
     names = ["block", "doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes", "links", "pairs"]
+    if then is not None:
+        return docs.mapInArrow(thrifty_map(lambda batches: then(scan(batches))), schema)
     return docs.mapInArrow(thrifty_map(scan), f"block bigint, doc_id {kind}, a_ids binary, b_ids binary, a_sizes binary, b_sizes binary, links binary, pairs array<struct<a: int, b: int, n: bigint>>")
 
 
@@ -229,11 +247,9 @@ def group_text(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.nd
     return b"".join(map(written_ids(size).__getitem__, codes.tolist()))[:-1]
 
 
-def digested(aligned: DataFrame, size: int) -> DataFrame:
-    """``aligned`` with the number of tokens and groups and a digest of the groups in place of the tokens. ``size``: the larger vocabulary's."""
-    kind = aligned.schema["doc_id"].dataType.simpleString()
-
-    def scan(batches):
+def digest(size: int):
+    """Record batches of ``align`` with the number of tokens and groups and a digest of the groups in place of the tokens. ``size``: the larger vocabulary's."""
+    def each(batches):
         for b in batches:
             rows = []
             for x in zip(*(b[c] for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")), strict=True):
@@ -245,13 +261,16 @@ def digested(aligned: DataFrame, size: int) -> DataFrame:
             found = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b["block"], b["doc_id"], *found, b["links"], b["pairs"]], names=["block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "pairs"])
 
-    return aligned.mapInArrow(thrifty_map(scan), f"block bigint, doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links binary, pairs array<struct<a: int, b: int, n: bigint>>")
+    return each
 
 
 @register("op11_token_alignment")
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     size = max(len(byte_level(a)[1]), len(sentence_pieces(b)[1]))
-    aligned = stage(digested(align(table(spark, sf_dir, "documents"), a, b), size), "aligned")
+    docs = table(spark, sf_dir, "documents")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"block bigint, doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links binary, pairs array<struct<a: int, b: int, n: bigint>>"
+    aligned = stage(align(docs, a, b, digest(size), schema), "aligned")
     found = scored(aligned, "n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string")
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -78,13 +78,19 @@ def test_sample_tables_are_spelt(spark):
     assert all(r.n_a and r.n_b and r.n_groups <= min(r.n_a, r.n_b) and r.n_links >= max(r.n_a, r.n_b) and r.count_sum >= r.n_links for r in rows)
 
 
-def test_long_texts_are_cut_without_a_trace(spark):
-    encode, spelt, _, crossing = C.sentence_pieces(B)
+def test_chunks_are_cut_without_a_trace(spark):
+    encode_a, (encode_b, _, _, crossing) = C.byte_level(A)[0], C.sentence_pieces(B)
     assert not crossing
-    for text in (LONG, "word  two " * 9000 + "x" * 70_000, "é" * 140_000):
-        assert " ".join(C.parts_of(text, 1000)) == text
-        assert np.array_equal(C.encode_all([text], encode, False)[0], encode([text])[0])
-        assert np.array_equal(C.encode_all([text], C.byte_level(A)[0], False)[0], C.byte_level(A)[0]([text])[0])
+    for text in (LONG, "word  two " * 9000 + "x" * 70_000, "é" * 140_000, "a b\u3000c d\x1c e  f\n g", " lead it's 1 2"):
+        parts = C.chunks_of(text)
+        assert " ".join(parts) == text and len(parts) == len(C.GAP.split(text))
+        assert sum(encode_b(parts), []) == encode_b([text])[0] and sum(encode_a(parts), []) == encode_a([text])[0]
+
+
+def test_general_output_spells_the_groups(spark):
+    rows = [r for r in C.align(spark.createDataFrame([(1, "Hello  world, 中文"), (2, None)], "doc_id long, text string"), A, B).collect() if r.pairs is None]
+    a, b, x, y = (np.frombuffer(rows[0][c], "<u4") for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
+    assert x.sum() == len(a) and y.sum() == len(b) and len(x) == len(y) and rows[1].a_ids == b""
 
 
 def test_edges(spark, tmp_path, edge_docs):

@@ -91,15 +91,6 @@ def _accumulate(rows: DataFrame, keys: list[str], order: list[Column], measures:
     return allrows.withColumns({m: F.sum(m).over(inside) for m in measures})
 
 
-def open_intervals_at(
-    probes: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str, out: str,
-) -> DataFrame:
-    """For every distinct ``(key, at)`` the number of closed intervals ``[start, end]`` of the key that contain it."""
-    ends = F.array(*[F.struct(F.col(c).alias("_t"), F.lit(side).alias("_side"), F.lit(d).alias(out))
-                     for c, side, d in ((start, 0, 1), (end, 2, -1))])
-    return _sweep(probes, intervals.select(*keys, F.inline(ends)), list(keys), at, out)
-
-
 def band_distinct_count(
     probes: DataFrame, marks: DataFrame, keys: Sequence[str], member: str, at: str, ts: str, tolerance_h: int, out: str,
 ) -> DataFrame:
@@ -108,17 +99,26 @@ def band_distinct_count(
     Marks of one member closer than two tolerances merge into one interval (only its first and last mark matter), so a
     member is counted once at any moment and the count is the number of open intervals.
     """
-    keys = list(keys)
-    span = F.expr(f"make_dt_interval(0, {tolerance_h})")
-    reach = F.expr(f"make_dt_interval(0, {2 * tolerance_h})")
+    return _sweep(probes, _member_steps(marks, list(keys), member, ts, tolerance_h, tolerance_h, 2, out), list(keys), at, out)
+
+
+def lasting_distinct_count(
+    probes: DataFrame, marks: DataFrame, keys: Sequence[str], member: str, at: str, ts: str, lasting_h: int, out: str,
+) -> DataFrame:
+    """Distinct ``member`` values of the key with a mark in ``(at - lasting_h, at]`` of each probe moment."""
+    return _sweep(probes, _member_steps(marks, list(keys), member, ts, 0, lasting_h, 0, out), list(keys), at, out)
+
+
+def _member_steps(marks: DataFrame, keys: list[str], member: str, ts: str, before_h: int, after_h: int, end_side: int, out: str) -> DataFrame:
+    """Starts and ends of the intervals that the marks of one member cover, as independent +1 / -1 steps of the sweep."""
     m = marks.select(*keys, member, ts).dropna().distinct()
     m = neighbour_by(m, [*keys, member], [ts], {"_prev": (ts, None)}, {"_next": (ts, None)})
+    reach = F.expr(f"make_dt_interval(0, {before_h + after_h})")
     first = F.col("_prev").isNull() | (F.col("_prev") + reach < F.col(ts))
     last = F.col("_next").isNull() | (F.col(ts) + reach < F.col("_next"))
-    # starts and ends of intervals are independent +1 / -1 steps of the sweep
     step = lambda cond, t, side, d: F.when(cond, F.struct(t.alias("_t"), F.lit(side).alias("_side"), F.lit(d).alias(out)))
-    steps = F.array_compact(F.array(step(first, F.col(ts) - span, 0, 1), step(last, F.col(ts) + span, 2, -1)))
-    return _sweep(probes, m.select(*keys, F.inline(steps)), keys, at, out)
+    start, end = F.col(ts) - F.expr(f"make_dt_interval(0, {before_h})"), F.col(ts) + F.expr(f"make_dt_interval(0, {after_h})")
+    return m.select(*keys, F.inline(F.array_compact(F.array(step(first, start, 0, 1), step(last, end, end_side, -1)))))
 
 
 def _sweep(probes: DataFrame, steps: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:

@@ -103,3 +103,33 @@ def match_overlaps(spans: DataFrame, calendar: DataFrame, keys: Sequence[str] =
     c = calendar.withColumn("_day", F.explode(F.sequence("cal_from", "cal_to")))
     return s.join(c, [*keys, "_day"]).filter(
         F.col("_day") == F.greatest("first_day", "cal_from")).drop("_day")
+
+
+def newest_open_at(probes: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, order: Sequence[str], payload: Sequence[str],
+                   levels: int = 21) -> DataFrame:
+    """For every distinct ``(key, at)`` the payload of the span of the key with the greatest ``(start, order)`` that contains the whole hour ``at``.
+
+    ``end`` is exclusive; NULL leaves a span open. Hours form a binary tree of ``levels`` levels: a span is kept at the few nodes that cover its hours exactly (at most two a
+    level), the greatest span of a node survives an aggregate, and a probe asks the nodes above its hour. All of it is equi-joins on the key and a node:
+    spans of one key meet neither each other nor the probes one by one.
+    """
+    keys = list(keys)
+    hour = lambda c: F.floor((F.unix_micros(c) + 3_599_999_999) / 3_600_000_000).cast("long")
+    far = (1 << levels - 1) - 1
+    # up the levels: an odd left end and an even right end are nodes of the cover, what is left between them goes on one level up
+    left, right = "s.l + s.l % 2", "s.r - if(s.l + s.l % 2 <= s.r and s.r % 2 = 0, 1, 0)"
+    goes_on = f"s.l <= s.r and {left} <= {right}"
+    cover = f"""aggregate(sequence(0, {levels - 1}), named_struct('l', _lo, 'r', _hi, 'out', cast(array() as array<struct<level: int, node: bigint>>)), (s, k) -> named_struct(
+        'l', if({goes_on}, ({left}) div 2, 1L), 'r', if({goes_on}, ({right}) div 2, 0L),
+        'out', concat(s.out, if(s.l <= s.r and s.l % 2 = 1, array(named_struct('level', k, 'node', s.l)), array()),
+                      if(s.l <= s.r and s.l + s.l % 2 <= s.r and s.r % 2 = 0, array(named_struct('level', k, 'node', s.r)), array()))), s -> s.out)"""
+    value = F.struct(F.col(start).alias("_start"), *[F.col(c).alias(f"_{c}") for c in order], F.struct(*[F.col(c) for c in payload]).alias("_payload"))
+    held = spans.dropna(subset=[*keys, start]).withColumns({
+        "_lo": F.greatest(hour(F.col(start)), F.lit(0)).cast("long"), "_hi": F.coalesce(F.least(hour(F.col(end)) - 1, F.lit(far)), F.lit(far)).cast("long")})
+    held = held.filter("_lo <= _hi").select(*keys, value.alias("_value"), F.inline(F.expr(cover)))
+    best = held.groupBy(*keys, "level", "node").agg(F.max("_value").alias("_value"))
+    asks = probes.select(*keys, at).dropna().distinct()
+    nodes = F.expr(f"transform(sequence(0, {levels - 1}), k -> named_struct('level', k, 'node', shiftright(_hour, k)))")
+    asked = asks.withColumn("_hour", (F.unix_timestamp(at) / 3600).cast("long")).select(*keys, at, F.inline(nodes))
+    found = asked.join(best, [*keys, "level", "node"]).groupBy(*keys, at).agg(F.max("_value").alias("_value"))
+    return found.select(*keys, at, "_value._payload.*")

@@ -15,7 +15,8 @@ from lullwatch.functions.risk import level_rank, likely_kind
 from lullwatch.functions.text import feature_group
 from lullwatch.operators.asof import Lookup, asof_join, asof_many
 from lullwatch.operators.columns import settle
-from lullwatch.operators.carry import open_intervals_at, running_totals
+from lullwatch.operators.carry import lasting_distinct_count, running_totals
+from lullwatch.operators.intervals import newest_open_at
 from lullwatch.operators.ranking import page
 from lullwatch.plans.features import counters_at, hour_after
 from lullwatch.plans.rules import PRIORITIES, RuleSet
@@ -99,29 +100,29 @@ def silent_neighbours(preds: DataFrame, faults: DataFrame, channels: DataFrame,
                       bounds: RiskBounds | None = None) -> DataFrame:
     """Other channels of the object that are silent too: risky for silence in the same snapshot, or lost the link within a day.
 
-    A silent channel is one row per snapshot; counts come from aggregates minus the channel itself.
+    A loss of the link silences its channel for a day: such spans are merged per channel and swept over the snapshots. Risky channels that no span covers
+    are added from their own snapshot; counts are those of the object minus the channel itself.
     """
     c = channels.select(F.col("id").alias("channel_id"), "object_id", F.col("sensor_type").alias("st"))
-    risky = preds.filter(has_level(["risk", "critical"], bounds) & has_silence(F.col("top_factors"))).select("channel_id", "at")
-    moments = preds.select("at").distinct().withColumn("_day", F.to_date("at"))
-    lost = faults.filter(F.col("kind") == spec.link_loss).select(F.col("ch").alias("channel_id"), "ts").withColumn(
-        "_day", F.explode(F.array(F.to_date("ts"), F.date_add(F.to_date("ts"), 1))))
-    lost = lost.join(moments, "_day").filter((F.col("ts") <= F.col("at")) & (F.col("ts") > F.col("at") - hours(24)))
-    silent = risky.unionByName(lost.select("channel_id", "at")).distinct()
-    placed = silent.join(c, "channel_id")
-    by_type = placed.groupBy("object_id", "st", "at").agg(F.count(F.lit(1)).alias("_type"))
-    by_object = by_type.groupBy("object_id", "at").agg(F.sum("_type").alias("_all"))
+    losses = faults.filter(F.col("kind") == spec.link_loss).select(F.col("ch").alias("channel_id"), F.col("ts").alias("lost_at"))
+    p = asof_join(preds.select("id", "channel_id", "at", (has_level(["risk", "critical"], bounds) & has_silence(F.col("top_factors"))).alias("risky")),
+                  losses.distinct(), ["channel_id"], "at", "lost_at").join(c, "channel_id")
+    lost = F.coalesce(F.col("lost_at") > F.col("at") - hours(24), F.lit(False))
+    p = p.withColumns({"_lost": lost, "_self": (lost | F.coalesce("risky", F.lit(False))).cast("int")})
+    risky = p.filter("_self = 1 and not _lost").groupBy("object_id", "st", "at").agg(F.count_distinct("channel_id").alias("_risky_type"))
+    risky_all = risky.groupBy("object_id", "at").agg(F.sum("_risky_type").alias("_risky_all"))
+    marks = losses.join(c, "channel_id")
+    by_type = lasting_distinct_count(p, marks, ["object_id", "st"], "channel_id", "at", "lost_at", 24, "_lost_type")
+    by_object = lasting_distinct_count(p, marks, ["object_id"], "channel_id", "at", "lost_at", 24, "_lost_all")
     size_type = c.groupBy("object_id", "st").agg(F.count(F.lit(1)).alias("same_type_channels"))
     size = size_type.groupBy("object_id").agg(F.sum("same_type_channels").alias("object_channels"))
-    own = silent.withColumn("_self", F.lit(1))
     out = (
-        preds.select("id", "channel_id", "at").join(c, "channel_id").join(own, ["channel_id", "at"], "left")
-        .join(by_object, ["object_id", "at"], "left").join(by_type, ["object_id", "st", "at"], "left")
+        p.join(by_object, ["object_id", "at"], "left").join(by_type, ["object_id", "st", "at"], "left")
+        .join(risky_all, ["object_id", "at"], "left").join(risky, ["object_id", "st", "at"], "left")
         .join(size_type, ["object_id", "st"]).join(size, "object_id")
     )
-    minus = lambda x: F.coalesce(x, F.lit(0)) - F.coalesce("_self", F.lit(0))
-    return out.select("id", minus("_all").alias("neighbors_silent"), minus("_type").alias("same_type_silent"),
-                      "object_channels", "same_type_channels")
+    others = lambda n: F.coalesce(f"_lost_{n}", F.lit(0)) + F.coalesce(f"_risky_{n}", F.lit(0)) - F.col("_self")
+    return out.select("id", others("all").alias("neighbors_silent"), others("type").alias("same_type_silent"), "object_channels", "same_type_channels")
 
 
 def order_state(preds: DataFrame, orders: DataFrame, faults: DataFrame, rules: RuleSet) -> DataFrame:
@@ -129,33 +130,23 @@ def order_state(preds: DataFrame, orders: DataFrame, faults: DataFrame, rules: R
     p = preds.select("id", "channel_id", "at")
     o = orders.select("channel_id", F.col("id").alias("order_id"), "number", "status", "created_at", "closed_at")
     # an order is open from its creation until it is closed; closing at the moment itself no longer counts
-    until = F.when(F.col("status").isin(*OPEN_STATUSES), F.lit("9999-01-01").cast("timestamp")).otherwise(
-        F.col("closed_at") - F.expr("INTERVAL 1 MICROSECOND"))
-    spans = o.withColumn("_until", until).filter(F.col("_until") >= F.col("created_at"))
-    spans = spans.filter(F.col("_until").isNotNull())
-    n_open = open_intervals_at(p, spans, ["channel_id"], "at", "created_at", "_until", "n_open")
-    newest = spans.select("channel_id", F.col("created_at").alias("opened_at"), "order_id", "number", "_until")
+    closed = F.when(~F.col("status").isin(*OPEN_STATUSES), F.col("closed_at"))
+    spans = o.filter(F.col("status").isin(*OPEN_STATUSES) | F.col("closed_at").isNotNull()).withColumn("_closed", closed)
+    newest = newest_open_at(p, spans, ["channel_id"], "at", "created_at", "_closed", ["order_id"], ["order_id", "number"]).withColumnRenamed("number", "open_order")
     total = running_totals(faults.select(F.col("ch").alias("channel_id"), F.col("ts").alias("f_ts")), ["channel_id"], "f_ts", {"c": F.lit(1)})
     done = o.filter((F.col("status") == "done") & F.col("closed_at").isNotNull()).select(
         "channel_id", F.col("closed_at").alias("repaired_at"), F.col("order_id").alias("repair_id"), F.col("number").alias("repair_number"))
     done = asof_join(done, total, ["channel_id"], "repaired_at", "f_ts", ["c"]).withColumnRenamed("c", "_before").drop("f_ts")
     q = asof_many(p, ["channel_id"], "at", [
-        Lookup(newest, "opened_at", ["order_id", "number", "_until"]), Lookup(done, "repaired_at", ["repair_id", "repair_number", "_before"]),
+        Lookup(done, "repaired_at", ["repair_id", "repair_number", "_before"]),
         Lookup(total, "f_ts", ["c"])])
-    q = q.join(n_open, ["channel_id", "at"], "left").withColumn("n_open", F.coalesce("n_open", F.lit(0)))
+    q = q.join(newest, ["channel_id", "at"], "left")
     fresh = F.col("repaired_at") >= F.col("at") - F.make_dt_interval(days=F.lit(rules.params["repair_days"]))
     after = F.when(fresh, F.coalesce("c", F.lit(0)) - F.coalesce("_before", F.lit(0)))
     q = q.withColumns({"faults_since_repair": after, "repair_number": F.when(fresh, F.col("repair_number")),
                        "repaired_at": F.when(fresh, F.col("repaired_at"))})
-    newest_open = F.col("_until") >= F.col("at")
-    # the newest order is closed but an older one is still open: only these rows look through the channel's orders
-    rest = q.filter((F.col("n_open") > 0) & ~newest_open).select("id", "channel_id", "at")
-    older = rest.join(newest, "channel_id").filter((F.col("opened_at") <= F.col("at")) & (F.col("_until") >= F.col("at")))
-    older = older.groupBy("id").agg(F.max(F.struct("opened_at", "order_id", "number")).alias("_o")).select(
-        "id", F.col("_o.number").alias("_older"))
-    q = q.join(older, "id", "left").withColumn("open_order", F.when(newest_open, F.col("number")).otherwise(F.col("_older")))
     visit = (F.col("faults_since_repair") == 0) & (F.col("repaired_at") >= F.col("at") - hours(24))
-    return q.select("id", "open_order", (F.col("n_open") > 0).alias("has_open_order"), "repair_number", "repaired_at",
+    return q.select("id", "open_order", F.col("order_id").isNotNull().alias("has_open_order"), "repair_number", "repaired_at",
                     "faults_since_repair", F.when(visit, F.col("repair_number")).alias("recent_visit"))
 
 

@@ -1,7 +1,8 @@
 """Questions "as of a moment" over predictions, outcomes, decisions, work orders and recent events.
 
-A prediction table has ``(id, channel_id, at, horizon_h, prob, health, risk_level, model_version)`` and is partitioned by
-the day of ``at`` in production, so the moment prunes files.
+A prediction table has ``(id, channel_id, at, horizon_h, prob, health, risk_level, model_version)``. The published tables are partitioned by
+``day`` (of ``at`` or ``ts``): where that column is there, every question filters it too, so other days are neither listed nor read. Which snapshot is the last
+one before a moment is asked of ``moments``, the index with one row per snapshot; without it, of the predictions themselves.
 """
 
 from __future__ import annotations
@@ -43,13 +44,29 @@ def has_level(levels: Sequence[str], bounds: RiskBounds | None) -> Column:
     return F.col("risk_level").isin(*levels) if bounds is None else level_in(F.col("prob"), levels, bounds)
 
 
-def snapshot_at(preds: DataFrame, at: str) -> Column:
+def on_days(df: DataFrame, lo: Column | None, hi: Column | None) -> DataFrame:
+    """Partitions from the day of ``lo`` to the day of ``hi``; tables without a ``day`` column pass as they are."""
+    if "day" not in df.columns:
+        return df
+    for cond in ([F.col("day") >= F.to_date(lo)] if lo is not None else []) + ([F.col("day") <= F.to_date(hi)] if hi is not None else []):
+        df = df.filter(cond)
+    return df
+
+
+def snapshot_moments(preds: DataFrame) -> DataFrame:
+    """The index ``moments``: one row per day, snapshot and horizon, with its number of predictions."""
+    return preds.groupBy(F.to_date("at").alias("day"), "at", "horizon_h").agg(F.count(F.lit(1)).alias("n"))
+
+
+def snapshot_at(preds: DataFrame, at: str, moments: DataFrame | None = None) -> Column:
     """The last prediction moment not after ``at``, as a scalar subquery (NULL before the first one)."""
-    return preds.filter(F.col("at") <= moment(at)).agg(F.max("at")).scalar()
+    table = preds if moments is None else moments
+    return on_days(table, None, moment(at)).filter(F.col("at") <= moment(at)).agg(F.max("at")).scalar()
 
 
-def snapshot(preds: DataFrame, at: str) -> DataFrame:
-    return preds.filter(F.col("at") == snapshot_at(preds, at))
+def snapshot(preds: DataFrame, at: str, moments: DataFrame | None = None) -> DataFrame:
+    snap = snapshot_at(preds, at, moments)
+    return on_days(preds, snap, snap).filter(F.col("at") == snap)
 
 
 def with_channel(preds: DataFrame, channels: DataFrame) -> DataFrame:
@@ -58,9 +75,9 @@ def with_channel(preds: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def predictions_at(preds: DataFrame, channels: DataFrame, objects: DataFrame, at: str, levels: Sequence[str] | None = None,
-                   min_prob: float | None = None, bounds: RiskBounds | None = None, **channel_filters) -> DataFrame:
+                   min_prob: float | None = None, bounds: RiskBounds | None = None, moments: DataFrame | None = None, **channel_filters) -> DataFrame:
     """Predictions of the snapshot with filters; order with ``page(…, [desc prob, id])``."""
-    snap = snapshot(preds, at)
+    snap = snapshot(preds, at, moments)
     if levels:
         snap = snap.filter(has_level(levels, bounds))
     if min_prob is not None:
@@ -113,8 +130,9 @@ def open_at(at: str) -> Column:
 
 def accuracy(preds: DataFrame, outcomes: DataFrame, at: str, threshold: float) -> DataFrame:
     """Confusion of the month before ``at`` over predictions whose horizon has closed."""
-    p = preds.filter((F.col("at") > moment(at) - F.expr("INTERVAL 30 DAYS")) & (F.col("at") <= moment(at) - hours(24)))
-    j = p.select("id", "prob").join(outcomes.select(F.col("prediction_id").alias("id"), "happened"), "id")
+    lo, hi = moment(at) - F.expr("INTERVAL 30 DAYS"), moment(at) - hours(24)
+    p = on_days(preds, lo, hi).filter((F.col("at") > lo) & (F.col("at") <= hi))
+    j = p.select("id", "prob").join(on_days(outcomes, lo, hi).select(F.col("prediction_id").alias("id"), "happened"), "id")
     alert = F.col("prob") >= threshold
     c = j.agg(F.count_if(alert & F.col("happened")).alias("tp"), F.count_if(alert & ~F.col("happened")).alias("fp"),
               F.count_if(~alert & F.col("happened")).alias("fn"))
@@ -123,9 +141,9 @@ def accuracy(preds: DataFrame, outcomes: DataFrame, at: str, threshold: float) -
 
 
 def dashboard(preds: DataFrame, orders: DataFrame, channels: DataFrame, at: str, threshold: float,
-              bounds: RiskBounds | None = None) -> DataFrame:
+              bounds: RiskBounds | None = None, moments: DataFrame | None = None) -> DataFrame:
     """One row: channels per level, predicted and expected failures, open orders, channels in all."""
-    snap = snapshot(preds, at).withColumn("lvl", level(bounds))
+    snap = snapshot(preds, at, moments).withColumn("lvl", level(bounds))
     d = snap.agg(
         *[F.count_if(F.col("lvl") == x).alias(x) for x in LEVELS],
         F.count_if(F.col("lvl").isin(*ALERT_LEVELS)).alias("channels_at_risk"),
@@ -136,13 +154,13 @@ def dashboard(preds: DataFrame, orders: DataFrame, channels: DataFrame, at: str,
         "channels_total": channels.agg(F.count(F.lit(1))).scalar()})
 
 
-def object_tree(preds: DataFrame, channels: DataFrame, objects: DataFrame, at: str, bounds: RiskBounds | None = None) -> DataFrame:
+def object_tree(preds: DataFrame, channels: DataFrame, objects: DataFrame, at: str, bounds: RiskBounds | None = None, moments: DataFrame | None = None) -> DataFrame:
     """Every object with the channels and levels of its subtree; channels without a prediction count as channels only.
 
     Channels are combined per own object first, so the join with the closure sees one row per object.
     """
     c = channels.select(F.col("id").alias("channel_id"), "object_id")
-    snap = snapshot(preds, at).withColumn("lvl", level(bounds)).select("channel_id", "lvl")
+    snap = snapshot(preds, at, moments).withColumn("lvl", level(bounds)).select("channel_id", "lvl")
     direct = c.join(snap, "channel_id", "left").groupBy("object_id").agg(
         F.count(F.lit(1)).alias("channels"), *[F.count_if(F.col("lvl") == x).alias(x) for x in LEVELS])
     rolled = tree_rollup(direct, objects, "object_id", [F.sum(x).alias(x) for x in ("channels", *LEVELS)])
@@ -153,9 +171,9 @@ def object_tree(preds: DataFrame, channels: DataFrame, objects: DataFrame, at: s
 
 
 def channels_at(preds: DataFrame, channels: DataFrame, objects: DataFrame, at: str, levels: Sequence[str] | None = None,
-                bounds: RiskBounds | None = None, **channel_filters) -> DataFrame:
+                bounds: RiskBounds | None = None, moments: DataFrame | None = None, **channel_filters) -> DataFrame:
     """Channels with their prediction of the snapshot; channels without one stay unless a level is asked."""
-    snap = snapshot(preds, at).select(F.col("id").alias("prediction_id"), F.col("channel_id").alias("id"), "prob", "health",
+    snap = snapshot(preds, at, moments).select(F.col("id").alias("prediction_id"), F.col("channel_id").alias("id"), "prob", "health",
                                       "risk_level")
     out = filter_channels(channels, objects, **channel_filters).join(snap, "id", "left")
     return out.filter(has_level(levels, bounds)) if levels else out
@@ -165,16 +183,30 @@ def by_risk(df: DataFrame, limit: int, offset: int = 0, key: str = "id") -> Data
     return page(df, [F.desc_nulls_last("prob"), F.col(key)], limit, offset)
 
 
+def last_events(events: DataFrame) -> DataFrame:
+    """The last event of every channel and day: ``day, ch, ts, raw, is_alarm``."""
+    e = events.withColumn("day", F.to_date("ts"))
+    return latest_by(e, ["day", "ch"], ["ts", "raw"], ["ts", "raw", "is_alarm"])
+
+
 def channel_cards(preds: DataFrame, events: DataFrame, decisions: DataFrame, orders: DataFrame, channels: DataFrame,
-                  at: str) -> DataFrame:
-    """Card facts of all channels: prediction, last event, open orders, and whether the last decision was to watch."""
+                  at: str, moments: DataFrame | None = None, day_last: DataFrame | None = None) -> DataFrame:
+    """Card facts of all channels: prediction, last event, open orders, and whether the last decision was to watch.
+
+    ``day_last``: the last event of each channel and day (``last_events``); with it the journal is read on the day of ``at`` only.
+    """
     t = moment(at)
-    snap = snapshot(preds, at).select(F.col("channel_id").alias("id"), "prob", "health", "risk_level")
-    last = latest_by(events.filter(F.col("ts") <= t).withColumnRenamed("ch", "id"), ["id"], ["ts", "raw"],
+    snap = snapshot(preds, at, moments).select(F.col("channel_id").alias("id"), "prob", "health", "risk_level")
+    said_last = events.filter(F.col("ts") <= t).select("ch", "ts", "raw", "is_alarm")
+    if day_last is not None:  # of earlier days only the last event of a channel is read
+        said_last = on_days(events, t, t).filter(F.col("ts") <= t).select("ch", "ts", "raw", "is_alarm").unionByName(
+            day_last.filter(F.col("day") < F.to_date(t)).select("ch", "ts", "raw", "is_alarm"))
+    last = latest_by(said_last.withColumnRenamed("ch", "id"), ["id"], ["ts", "raw"],
                      ["ts", "raw", "is_alarm"]).withColumnsRenamed({"ts": "last_ts", "raw": "last_value", "is_alarm": "last_alarm"})
     open_orders = orders.filter((F.col("created_at") <= t) & F.col("status").isin(*OPEN_STATUSES)).groupBy(
         F.col("channel_id").alias("id")).agg(F.count(F.lit(1)).alias("open_orders"))
-    recent = preds.filter((F.col("at") <= t) & (F.col("at") > t - F.expr("INTERVAL 7 DAYS"))).select(
+    week = t - F.expr("INTERVAL 7 DAYS")
+    recent = on_days(preds, week, t).filter((F.col("at") <= t) & (F.col("at") > week)).select(
         F.col("id").alias("prediction_id"), "channel_id")
     said = decisions.filter(F.col("created_at") <= t).join(recent, "prediction_id")
     watch = latest_by(said, ["channel_id"], ["id"], ["decision_type"]).select(
@@ -195,7 +227,7 @@ def hourly_history(events: DataFrame, channels: DataFrame, date_from: str, date_
     n = F.round((F.unix_timestamp(hi) - F.unix_timestamp(lo)) / 3600).cast("long")
     first = F.timestamp_seconds(F.unix_timestamp(last) - (n - 1) * 3600)
     grid = channels.select("ch", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 HOUR"))).alias("hour"))
-    e = events.filter((F.col("ts") > lo) & (F.col("ts") <= hi)).withColumn("hour", F.date_trunc("hour", "ts"))
+    e = on_days(events, lo, hi).filter((F.col("ts") > lo) & (F.col("ts") <= hi)).withColumn("hour", F.date_trunc("hour", "ts"))
     e = e.join(channels, "ch", "left_semi")
     w = Window.partitionBy("ch", "hour").orderBy("ts", "raw").rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("_prev", F.last("txt", ignorenulls=True).over(w))
@@ -221,8 +253,8 @@ def daily_history(daily: DataFrame, preds: DataFrame, faults: DataFrame, events:
     hi = moment(at)
     lo = hi - F.make_dt_interval(days=F.lit(days))
     points = daily.filter((F.col("day") > F.to_date(lo)) & (F.col("day") <= F.to_date(hi)))
-    marks = fault_marks(faults, events, spec).filter((F.col("ts") > lo) & (F.col("ts") <= hi))
-    scores = preds.filter((F.col("at") > lo) & (F.col("at") <= hi)).select(
+    marks = fault_marks(on_days(faults, lo, hi), on_days(events, lo, hi), spec).filter((F.col("ts") > lo) & (F.col("ts") <= hi))
+    scores = on_days(preds, lo, hi).filter((F.col("at") > lo) & (F.col("at") <= hi)).select(
         "channel_id", "id", "at", round_prob(F.col("prob")).alias("prob"), "health", "risk_level")
     return points, marks, scores
 
@@ -230,13 +262,13 @@ def daily_history(daily: DataFrame, preds: DataFrame, faults: DataFrame, events:
 def journal(preds: DataFrame, channels: DataFrame, objects: DataFrame, decisions: DataFrame, outcomes: DataFrame, at: str,
             date_from: str | None = None, date_to: str | None = None, only_alerts: bool = True,
             levels: Sequence[str] | None = None, decision: str | None = None, outcome: str | None = None,
-            bounds: RiskBounds | None = None, **channel_filters) -> DataFrame:
+            bounds: RiskBounds | None = None, moments: DataFrame | None = None, **channel_filters) -> DataFrame:
     """Prediction journal of a period (a week up to the snapshot by default). Joins appear only for the filters in use."""
     if date_from:
         check_period(date_from, min(date_to or at, at, key=datetime.fromisoformat))
     hi = F.least(moment(date_to), moment(at)) if date_to else moment(at)
-    lo = moment(date_from) if date_from else F.coalesce(snapshot_at(preds, at), moment(at)) - F.expr("INTERVAL 7 DAYS")
-    p = preds.filter((F.col("at") >= lo) & (F.col("at") <= hi)).drop("happened", "fault_at", "fault_kind")
+    lo = moment(date_from) if date_from else F.coalesce(snapshot_at(preds, at, moments), moment(at)) - F.expr("INTERVAL 7 DAYS")
+    p = on_days(preds, lo, hi).filter((F.col("at") >= lo) & (F.col("at") <= hi)).drop("happened", "fault_at", "fault_kind", "day")
     said = latest_decisions(decisions, at).withColumnRenamed("prediction_id", "id")
     if only_alerts or decision:
         p = p.join(said.select("id", "decision_type"), "id", "left")
@@ -247,7 +279,7 @@ def journal(preds: DataFrame, channels: DataFrame, objects: DataFrame, decisions
     if decision:
         p = p.filter(F.col("decision_type").isNull() if decision == "none" else F.col("decision_type") == decision)
     if outcome:
-        p = p.join(outcomes.select(F.col("prediction_id").alias("id"), "happened"), "id", "left")
+        p = p.join(on_days(outcomes, lo, hi).select(F.col("prediction_id").alias("id"), "happened"), "id", "left")
         known = F.col("happened").isNotNull() & visible_outcome(at)
         p = p.filter({"happened": known & F.col("happened"), "not_happened": known & ~F.col("happened"), "unknown": ~known}[outcome])
     return with_channel(p, filter_channels(channels, objects, **channel_filters))
@@ -259,8 +291,9 @@ def journal_order() -> list[Column]:
 
 def daily_facts(preds: DataFrame, outcomes: DataFrame, threshold: float, date_from: str, date_to: str) -> DataFrame:
     """Predicted and actual failures per day, counted in channel-days."""
-    p = preds.filter((F.to_date("at") >= F.lit(date_from).cast("date")) & (F.to_date("at") <= F.lit(date_to).cast("date")))
-    j = p.select("id", "channel_id", "at", "prob").join(outcomes.select(F.col("prediction_id").alias("id"), "happened"), "id")
+    lo, hi = F.lit(date_from).cast("date"), F.lit(date_to).cast("date")
+    p = on_days(preds, lo, hi).filter((F.to_date("at") >= lo) & (F.to_date("at") <= hi))
+    j = p.select("id", "channel_id", "at", "prob").join(on_days(outcomes, lo, hi).select(F.col("prediction_id").alias("id"), "happened"), "id")
     alert = F.col("prob") >= threshold
     per = j.groupBy(F.to_date("at").alias("day"), "channel_id").agg(
         F.max(alert.cast("int")).alias("p"), F.max(F.col("happened").cast("int")).alias("f"),
@@ -305,15 +338,19 @@ def check_period(date_from: str, date_to: str, max_days: int | None = None) -> N
 
 
 def events_at(events: DataFrame, at: str, spec: JournalSpec, kind: str = "status", only_alarms: bool = True,
-              date_from: str | None = None, date_to: str | None = None, max_days: int = 31) -> DataFrame:
-    """Event journal; the default period is the day before the last event not after ``at``."""
+              date_from: str | None = None, date_to: str | None = None, max_days: int = 31, day_last: DataFrame | None = None) -> DataFrame:
+    """Event journal; the default period is the day before the last event not after ``at``, looked up in ``day_last`` where it is given."""
     if date_from:
         check_period(date_from, min(date_to or at, at, key=datetime.fromisoformat), max_days)
     hi = F.least(moment(date_to), moment(at)) if date_to else moment(at)
     if date_to is None:
-        hi = F.coalesce(events.filter(F.col("ts") <= moment(at)).agg(F.max("ts")).scalar(), hi)
+        latest = lambda e: e.filter(F.col("ts") <= moment(at)).agg(F.max("ts")).scalar()
+        if day_last is None:
+            hi = F.coalesce(latest(on_days(events, None, moment(at))), hi)
+        else:
+            hi = F.coalesce(latest(on_days(events, moment(at), moment(at))), latest(day_last.filter(F.col("day") < F.to_date(moment(at)))), hi)
     lo = moment(date_from) if date_from else hi - hours(24)
-    e = events.filter((F.col("ts") > lo) & (F.col("ts") <= hi))
+    e = on_days(events, lo, hi).filter((F.col("ts") > lo) & (F.col("ts") <= hi))
     if only_alarms:
         e = e.filter("is_alarm")
     reading = F.col("kind").isin("number", "sentinel")
@@ -364,11 +401,12 @@ def tag_group_off(events: DataFrame, faults: DataFrame, channels: DataFrame, obj
 # ---- outcomes and alerts ---------------------------------------------------------------------------------------------
 
 
-def label_outcomes(preds: DataFrame, outcomes: DataFrame, faults: DataFrame, events: DataFrame, now: str, spec: JournalSpec) -> DataFrame:
+def label_outcomes(preds: DataFrame, outcomes: DataFrame, faults: DataFrame, events: DataFrame, now: str, spec: JournalSpec,
+                   until=None) -> DataFrame:
     """New outcomes: the first fault mark in ``(at, at + horizon]`` of predictions that are not labelled yet and whose
-    horizon lies inside the data."""
-    until = events.agg(F.least(F.max("ts"), moment(now))).scalar()
-    p = preds.select("id", F.col("channel_id").alias("ch"), "at", "horizon_h").filter(
+    horizon lies inside the data: up to its last event, or up to the moment ``until``."""
+    until = events.agg(F.least(F.max("ts"), moment(now))).scalar() if until is None else F.lit(until)
+    p = on_days(preds, None, until).select("id", F.col("channel_id").alias("ch"), "at", "horizon_h").filter(
         F.col("at") + F.make_dt_interval(hours=F.col("horizon_h")) <= until)
     p = p.join(outcomes.select(F.col("prediction_id").alias("id")), "id", "left_anti")
     marks = fault_marks(faults, events, spec).select("ch", F.col("ts").alias("fault_at"), F.col("kind").alias("fault_kind"))
@@ -382,16 +420,16 @@ def critical_transitions(preds: DataFrame, date_from: str | Column, date_to: str
                          bounds: RiskBounds | None = None) -> DataFrame:
     """Channels that became critical and were not critical in any snapshot of the cooldown before."""
     lo, hi = moment(date_from), moment(date_to)
-    c = preds.filter(has_level(["critical"], bounds) & (F.col("at") >= lo - hours(cooldown_h)) & (F.col("at") <= hi))
+    c = on_days(preds, lo - hours(cooldown_h), hi).filter(has_level(["critical"], bounds) & (F.col("at") >= lo - hours(cooldown_h)) & (F.col("at") <= hi))
     prev = F.lag("at").over(Window.partitionBy("channel_id").orderBy("at"))
     c = c.select("id", "channel_id", "at", "prob").withColumn("_prev", prev)
     fresh = F.col("_prev").isNull() | (F.col("_prev") < F.col("at") - hours(cooldown_h))
     return c.filter((F.col("at") >= lo) & fresh).drop("_prev")
 
 
-def transition_feed(preds: DataFrame, at: str, window_h: int, cooldown_h: int = 24) -> DataFrame:
+def transition_feed(preds: DataFrame, at: str, window_h: int, cooldown_h: int = 24, moments: DataFrame | None = None) -> DataFrame:
     """Transitions of the hours before the last snapshot."""
-    end = snapshot_at(preds, at)
+    end = snapshot_at(preds, at, moments)
     return critical_transitions(preds, end - hours(window_h) + F.expr("INTERVAL 1 MICROSECOND"), end, cooldown_h)
 
 
@@ -462,7 +500,7 @@ def decisions_export(decisions: DataFrame, preds: DataFrame, channels: DataFrame
     """Decisions with their predictions and outcomes; text that a spreadsheet would run is made safe."""
     lo, hi = moment(date_from), moment(date_to)
     check_period(date_from, date_to, max_days)
-    p = preds.filter((F.col("at") >= lo) & (F.col("at") <= hi)).select(
+    p = on_days(preds, lo, hi).filter((F.col("at") >= lo) & (F.col("at") <= hi)).select(
         F.col("id").alias("prediction_id"), "channel_id", "at", "prob", "risk_level", "model_version")
     c = channels.select(F.col("id").alias("channel_id"), "sensor_type", "system_type", "object_id")
     r = reasons.select(F.col("id").alias("reason_id"), F.col("name").alias("reason"))

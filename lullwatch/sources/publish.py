@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lullwatch.operators.windows import id_band, row_ids
 from lullwatch.plans.journal import channel_daily
+from lullwatch.plans.serving import last_events, snapshot_moments
 
 
 def thin_predictions(preds: DataFrame, hourly_from: str, step_hours: int) -> DataFrame:
@@ -14,14 +15,14 @@ def thin_predictions(preds: DataFrame, hourly_from: str, step_hours: int) -> Dat
     return preds.filter((F.col("at") >= F.lit(hourly_from).cast("timestamp")) | (F.hour("at") % step_hours == 0))
 
 
-def recent_events(events: DataFrame, channels: DataFrame, data_end: str, days: int, limit: int = 128) -> DataFrame:
-    """The last days of the journal for known channels, texts cut to the column width of the landing table."""
+def recent_events(events: DataFrame, channels: DataFrame, data_end: str, days: int) -> DataFrame:
+    """The last days of the journal for known channels, texts whole."""
     end = F.lit(data_end).cast("timestamp")
     e = events.filter((F.col("ts") >= end - F.make_dt_interval(days=F.lit(days))) & (F.col("ts") < end))
     known = channels.select(F.col("id").alias("ch"))
     return e.join(known, "ch", "left_semi").select(
-        "event_id", F.col("ch").alias("channel_id"), "ts", "is_alarm", F.left("raw", F.lit(limit)).alias("value_raw"),
-        F.col("num").alias("value_num"), F.left("txt", F.lit(limit)).alias("value_text"))
+        "event_id", F.col("ch").alias("channel_id"), "ts", "is_alarm", F.col("raw").alias("value_raw"),
+        F.col("num").alias("value_num"), F.col("txt").alias("value_text"))
 
 
 def channel_faults(faults: DataFrame, channels: DataFrame, d_from: str, data_end: str, keep: Column | None = None) -> DataFrame:
@@ -33,7 +34,7 @@ def channel_faults(faults: DataFrame, channels: DataFrame, d_from: str, data_end
 
 def publish_serving(path: str, hourly: DataFrame, events: DataFrame, faults: DataFrame, scored: DataFrame, channels: DataFrame,
                     data_end: str, daily_from: str, hourly_from: str, step_hours: int = 6, recent_days: int = 30) -> None:
-    """Write the serving tables as Parquet, partitioned by the day they are asked for."""
+    """Write the serving tables as Parquet, partitioned by the day they are asked for, and two small indexes: snapshots, and the last events of channel-days."""
     known = channels.select(F.col("id").alias("ch"))
     daily = channel_daily(hourly.filter(F.col("hour") >= F.lit(daily_from).cast("timestamp")).join(known, "ch", "left_semi"))
     daily.write.mode("overwrite").partitionBy("day").parquet(f"{path}/channel_daily")
@@ -48,3 +49,7 @@ def publish_serving(path: str, hourly: DataFrame, events: DataFrame, faults: Dat
         F.col("id").alias("prediction_id"), F.col("happened").cast("boolean").alias("happened"), "fault_at", "fault_kind",
         (F.col("at") + F.expr("INTERVAL 24 HOURS")).alias("labeled_at"), "day",
     ).write.mode("overwrite").partitionBy("day").parquet(f"{path}/prediction_outcomes")
+    # the indexes: a row per snapshot, a row per channel and day
+    spark = scored.sparkSession
+    snapshot_moments(spark.read.parquet(f"{path}/predictions")).coalesce(1).write.mode("overwrite").parquet(f"{path}/prediction_moments")
+    last_events(events.join(known, "ch", "left_semi")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/events_day_last")

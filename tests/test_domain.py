@@ -366,13 +366,24 @@ def test_alert_state_spans_batches(spark, tmp_path):
     whole = _preds(spark, rows)
     stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 2).parquet(src)
     out = str(tmp_path / "out")
-    alerts.alert_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).outputMode(
-        "append").trigger(availableNow=True).start().awaitTermination()
-    got = {r.id for r in spark.read.schema(alerts.OUT).parquet(out).collect()}
+    alerts.alert_stream(stream, out, str(tmp_path / "ck")).awaitTermination()
+    got = {r.id for r in alerts.read_alerts(spark, out).collect()}
     want = {r.id for r in S.critical_transitions(whole, "2024-01-01 00:00:00", "2024-02-01 00:00:00").collect()}
     assert got == want == {0, 4}
 
 
+def test_alert_moments_of_silent_channels_expire(spark, tmp_path):
+    path, start = str(tmp_path / "a"), ts("2024-01-01 00:00:00")
+    batch = lambda k, rows: alerts.alert_batch(_preds(spark, [(i, ch, start + timedelta(hours=h), 24, 0.9, 5, "critical", "v") for i, ch, h in rows]), k, path, 24, 24, None, 5)
+    batch(0, [(1, 1, 0), (2, 2, 0)])
+    for _ in range(2):  # a repeated batch changes nothing
+        batch(1, [(3, 1, 100), (4, 1, 90), (5, 3, 60)])
+    kept = spark.read.schema(alerts.STATE).parquet(f"{path}/state/slot=1").collect()
+    assert {(r.channel_id, r["last"]) for r in kept} == {(1, start + timedelta(hours=100)), (3, start + timedelta(hours=60))}
+    batch(2, [(6, 3, 80), (7, 1, 95)])  # 80 lies within the cooldown of 60, 95 before the stored 100
+    assert {r.id for r in alerts.read_alerts(spark, path).collect()} == {1, 2, 4, 5}
+
+
 def test_tree_of_four_levels(spark):
     from lullwatch.operators import tree
 

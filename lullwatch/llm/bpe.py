@@ -1,20 +1,22 @@
 """Byte-level BPE over a distinct-word table: every word is encoded once, its ids go back by position.
 
-Documents are split once into the words the vocabulary's pattern defines (a control string such as ``<|endoftext|>`` is a word of its
-own). A block is a run of documents of one input split of at most about ``SIZE_BYTES``; its documents are written as numbers into the block's list of distinct words, the
-list is written in buckets by a hash of the word. The word table is laid out by bucket, so the task of a bucket sees each distinct word of the corpus
+Documents are split into words at single spaces between other characters; a word keeps the space before it. No token of a byte-level vocabulary, and no match of its
+pattern, goes on over such a place, so the ids of the words are those of the text. A block is a run of documents of one input split of at most about ``SIZE_BYTES``. The word table
+is laid out by a hash of the word into buckets; a row holds a block's distinct words of one bucket, so the task of a bucket sees each distinct word of the corpus
 and encodes it a single time. A word counts once per block however often it occurs, so no word is hot. The ids return to
-their blocks, where they replace the numbers. Texts do not travel; nothing is collected.
+their blocks, where they replace the words at their positions. Texts travel once, compressed; nothing is collected.
 
 Decoding joins ids to the id-to-piece table (its size is that of the vocabulary) at their positions and concatenates the pieces.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; repeated rows give repeated rows; other columns are
-ignored; an empty table gives an empty table.
+ignored; an empty table gives an empty table. The table is read twice; if an input split differs between the two readings, the hashes of the block's word
+lists differ and the task fails.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -22,16 +24,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lullwatch.llm.common import SIZE_BYTES, partitions, register, stage, table, thrifty_cogroup, thrifty_map
+from lullwatch.llm.common import SIZE_BYTES, partitions, register, table, thrifty_cogroup, thrifty_map
 
-# Fixed value: the word pattern of the byte-level vocabulary.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+GAP = re.compile(r"(?<=\S) (?=\S)")
+SPACES = re.compile(r"\s\s|^\s|\s\Z")
 
 
 @lru_cache(maxsize=4)
@@ -44,22 +46,12 @@ def tokenizer(path: str):
     return t
 
 
-def control_words(path: str) -> tuple[str, ...]:
-    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
-
-
-@lru_cache(maxsize=4)
-def splitter(control: tuple[str, ...]):
-    """Function from a text to its words, in order."""
-    find = regex.compile(WORD).findall
-    cut = regex.compile("(" + "|".join(map(regex.escape, sorted(control, key=len, reverse=True))) + ")") if control else None
-
-    def split(text: str) -> list[str]:
-        if cut is None or not any(c in text for c in control):
-            return find(text)
-        return [w for k, part in enumerate(cut.split(text)) for w in ([part] if k % 2 else find(part))]
-
-    return split
+def words_of(text: str) -> list[str]:
+    """``text`` cut before every single space between other characters."""
+    if not text:
+        return []
+    first, *rest = GAP.split(text) if SPACES.search(text) else text.split(" ")
+    return [first, *[" " + w for w in rest]]
 
 
 def blocks(batches):
@@ -80,6 +72,19 @@ def blocks(batches):
         yield base + next(n), ids, texts
 
 
+def bundles(words, buckets: int) -> dict[int, list[str]]:
+    """Distinct words of a block by bucket, each list sorted."""
+    parts: dict[int, list[str]] = {}
+    for w in sorted(words):
+        parts.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+    return parts
+
+
+def checksum(words: list[str]) -> int:
+    """Hash of a word list, as a signed long."""
+    return xxhash.xxh64_intdigest(repr((words, len(words))).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def pack(items: list[bytes]) -> bytes:
     sizes = np.array([len(items), *map(len, items)], "<u4").tobytes()
     return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(items))
@@ -99,27 +104,17 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     buckets = buckets or 4 * partitions(docs.sparkSession)
-    control = control_words(path)
 
-    def numbered(batches):
-        split, squeeze = splitter(control), zstandard.ZstdCompressor(level=1).compress
-        for block, ids, texts in blocks(batches):
-            number: dict[str, int] = defaultdict(itertools.count().__next__)
-            codes = [np.fromiter(map(number.__getitem__, w), np.uint32, len(w)) for w in map(split, texts)]
-            words = [w.encode("utf-8", "surrogatepass") for w in number]
-            home = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(home, kind="stable")
-            place = np.empty(len(words), "<u4")
-            place[order] = np.arange(len(words))
-            for k in range(0, len(ids), 512):
-                part = [squeeze(place[c].tobytes()) for c in codes[k:k + 512]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array([i.as_py() for i in ids[k:k + 512]], ids[0].type), pa.nulls(len(part), pa.int32()),
-                                                  pa.array(part, pa.binary())], names=["block", "doc_id", "bucket", "packed"])
-            found, sizes = np.unique(home, return_counts=True)
-            ends = np.cumsum(sizes).tolist()
-            rows = [pack([words[i] for i in order[x:y]]) for x, y in zip([0, *ends], ends, strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), pa.nulls(len(rows), ids[0].type), pa.array(found, pa.int32()), pa.array(rows, pa.binary())],
-                                             names=["block", "doc_id", "bucket", "packed"])
+    def own_words(batches):
+        for block, _, texts in blocks(batches):
+            found: set[str] = set()
+            for t in texts:
+                found.update(words_of(t))
+            parts = bundles(found, buckets)
+            if parts:
+                rows = [pack([w.encode("utf-8", "surrogatepass") for w in ws]) for ws in parts.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(np.full(len(rows), block)), pa.array(list(map(checksum, parts.values())), pa.int64()),
+                                                  pa.array(rows, pa.binary())], names=["bucket", "block", "sum", "packed"])
 
     def word_ids(batches):
         encode_all, known, at = tokenizer(path).encode_batch_fast, {}, None
@@ -135,27 +130,46 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
                 for w, e in zip(fresh, encode_all(fresh, add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, "<u4").tobytes()
                 rows.append(pack([known[w] for w in words]))
-            yield pa.RecordBatch.from_arrays([b["home"], b["bucket"], pa.array(rows, pa.binary())], names=["home", "bucket", "packed"])
+            yield pa.RecordBatch.from_arrays([b["block"], b["bucket"], b["sum"], pa.array(rows, pa.binary())], names=["block", "bucket", "sum", "packed"])
 
-    def placed(docs: pa.Table, table: pa.Table) -> pa.Table:
-        expand, sizes, flat = zstandard.ZstdDecompressor().decompress, [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
-        for p in table.sort_by("bucket")["packed"].to_pylist():
-            lengths, raw = unpack(p)
-            sizes.append(lengths // 4)
+    def packed_texts(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for block, ids, texts in blocks(batches):
+            for k in range(0, len(ids), 512):
+                part = [squeeze(t.encode("utf-8", "surrogatepass")) for t in texts[k:k + 512]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array([i.as_py() for i in ids[k:k + 512]], ids[0].type),
+                                                  pa.array(part, pa.binary())], names=["block", "doc_id", "packed"])
+
+    def place(texts: pa.Table, table: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor().decompress
+        number: dict[str, int] = defaultdict(itertools.count().__next__)
+        words = [words_of(expand(p.as_py()).decode("utf-8", "surrogatepass")) for p in texts["packed"]]
+        codes = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in words]
+        ids_of = dict(zip(table["bucket"].to_pylist(), zip(table["sum"].to_pylist(), table["packed"].to_pylist(), strict=True), strict=True))
+        parts, sizes, first, flat, at = bundles(number, buckets), np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [], 0
+        if sorted(parts) != sorted(ids_of):
+            raise ValueError("an input split changed between two readings")
+        for bucket, words in parts.items():
+            said, packed = ids_of[bucket]
+            lengths, raw = unpack(packed)
+            if said != checksum(words):
+                raise ValueError("an input split changed between two readings")
+            slots = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            sizes[slots] = lengths // 4
+            first[slots] = at + np.cumsum(lengths // 4) - lengths // 4
             flat.append(np.frombuffer(raw, "<u4"))
-        sizes, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flat)
-        first, out = np.cumsum(sizes) - sizes, []
-        for p in docs["packed"]:
-            c = np.frombuffer(expand(p.as_py()), "<u4")
+            at += len(flat[-1])
+        flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+        out = []
+        for c in codes:
             n = sizes[c]
             out.append(flat[np.repeat(first[c] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes())
-        return pa.table({"doc_id": docs["doc_id"], "ids": pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())})
+        return pa.table({"doc_id": texts["doc_id"], "ids": pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())})
 
-    rows = stage(docs.mapInArrow(thrifty_map(numbered), f"block bigint, doc_id {kind}, bucket int, packed binary"), "bpe-words")
-    words = rows.where("bucket is not null").select("bucket", F.col("block").alias("home"), "packed").repartition("bucket").sortWithinPartitions("bucket")
-    words = words.mapInArrow(thrifty_map(word_ids), "home bigint, bucket int, packed binary")
-    texts = rows.where("bucket is null").select("block", "doc_id", "packed")
-    return texts.groupBy("block").cogroup(words.groupBy("home")).applyInArrow(thrifty_cogroup(placed), f"doc_id {kind}, ids binary, n_tokens bigint")
+    words = docs.mapInArrow(thrifty_map(own_words), "bucket int, block bigint, sum bigint, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    words = words.mapInArrow(thrifty_map(word_ids), "block bigint, bucket int, sum bigint, packed binary")
+    texts = docs.mapInArrow(thrifty_map(packed_texts), f"block bigint, doc_id {kind}, packed binary")
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(thrifty_cogroup(place), f"doc_id {kind}, ids binary, n_tokens bigint")
 
 
 def pieces(path: str) -> list[bytes]:

@@ -5,21 +5,26 @@ A scored table has ``(T, ch, p, y, fault_at, fault_kind, sensor_type, system_typ
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullwatch.functions.risk import half_life_weight, health, interpolate, risk_level, round_prob
+from lullwatch.functions.risk import half_life_weight, health, risk_level, round_prob
 from lullwatch.operators.carry import BUCKET, CARRY, _accumulate
 from lullwatch.operators.intervals import seconds_between
 from lullwatch.operators.ranking import top_rank
+from lullwatch.operators.segments import interpolate_by, points_table
 from lullwatch.operators.windows import id_band, row_ids
+from lullwatch.session import shared_dir
 
 # ---- fixed values: evaluation grid, precision goal, dispatcher list sizes -------------------------------------------
 GRID = tuple(round(0.05 * i, 2) for i in range(1, 20))
@@ -331,17 +336,15 @@ def raw_score(df: DataFrame, model, features: Sequence[str]) -> DataFrame:
     return scored.withColumn("raw_p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def fit_calibration(scored: DataFrame) -> tuple[list[float], list[float]]:
-    """Isotonic breakpoints of the validation scores."""
+def fit_calibration(scored: DataFrame) -> DataFrame:
+    """Isotonic breakpoints ``(pos, x, y)`` of validation scores (``raw_p, y``), values clipped to [0, 1]."""
     model = IsotonicRegression(featuresCol="raw_p", labelCol="label").fit(
         scored.select("raw_p", F.col("y").cast("double").alias("label")))
-    return [float(x) for x in model.boundaries], [float(v) for v in model.predictions]
+    return points_table(scored.sparkSession, model.boundaries.toArray(), np.clip(model.predictions.toArray(), 0.0, 1.0))
 
 
-def calibrate(scored: DataFrame, calibration: tuple[list[float], list[float]]) -> DataFrame:
-    xs, ys = calibration
-    p = interpolate(F.col("raw_p"), xs, ys)
-    return scored.withColumn("p", F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)))
+def calibrate(scored: DataFrame, calibration: DataFrame) -> DataFrame:
+    return interpolate_by(scored, "raw_p", calibration, "p")
 
 
 def fit_kind(train: DataFrame, features: Sequence[str], kinds: Sequence[str], trees: int = 30, depth: int = 6):
@@ -354,25 +357,92 @@ def fit_kind(train: DataFrame, features: Sequence[str], kinds: Sequence[str], tr
 def kind_probs(scored: DataFrame, model, features: Sequence[str], codes: Sequence[str]) -> DataFrame:
     """Map code -> p * P(kind | fault) for risky predictions, NULL for the rest."""
     full = model.transform(_assemble(scored, features)).withColumn("_k", vector_to_array("probability"))
-    entries = F.map_from_arrays(F.array(*[F.lit(c) for c in codes]), F.transform("_k", lambda v: F.round(v * F.col("p"), 4)))
-    known = F.size("_k") == len(codes)
-    return full.withColumn("kind_probs", F.when((F.col("p") >= FACTOR_MIN_PROB) & known, entries)).drop(
+    # kinds after the last one that training has seen get no share
+    shares = F.slice(F.concat("_k", F.array_repeat(F.lit(0.0), len(codes))), 1, len(codes))
+    entries = F.map_from_arrays(F.array(*[F.lit(c) for c in codes]), F.transform(shares, lambda v: F.round(v * F.col("p"), 4)))
+    return full.withColumn("kind_probs", F.when(F.col("p") >= FACTOR_MIN_PROB, entries)).drop(
         "features", "rawPrediction", "probability", "prediction", "_k")
 
 
+def tree_table(model, path: str) -> DataFrame:
+    """Nodes of fitted boosted trees: ``tree, weight, id, left, right, feature, threshold, value`` (left and right are -1 in leaves).
+
+    The model is written to ``path`` and its node table read back; it has at most ``rounds * 2 ** (depth + 1)`` rows, whatever it was trained on.
+    """
+    model.write().overwrite().save(path)
+    spark = SparkSession.active()
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    weights = spark.createDataFrame([(k, float(w)) for k, w in enumerate(model.treeWeights)], "tree int, weight double")
+    return nodes.join(F.broadcast(weights), "tree").select(
+        "tree", "weight", "id", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), F.col("prediction").alias("value"))
+
+
+def tree_contributions(scored: DataFrame, model, features: Sequence[str], path: str) -> DataFrame:
+    """Adds ``contrib``, what each of ``features`` adds to the raw score on its way through the trees, and ``base``, what the roots give.
+
+    A step from a node to its child adds the difference of their values to the feature of the split; base and contributions add up to the margin of the model.
+    Rows walk all trees together, level by level, in blocks of a task; the node table is sent along (bounded by the model, see ``tree_table``).
+    """
+    rows = tree_table(model, path).orderBy("tree", "id").collect()
+    first = {t: k for k, t in reversed([(k, r["tree"]) for k, r in enumerate(rows)])}
+    at = lambda r, c: first[r["tree"]] + r[c] if r["left"] >= 0 else k_of[r["tree"], r["id"]]
+    k_of = {(r["tree"], r["id"]): k for k, r in enumerate(rows)}
+    left, right = (np.array([at(r, c) for r in rows], np.int64) for c in ("left", "right"))
+    leaf = np.array([r["left"] < 0 for r in rows])
+    feature = np.array([0 if r["left"] < 0 else r["feature"] for r in rows], np.int64)
+    threshold = np.array([0.0 if r["left"] < 0 else r["threshold"] for r in rows])
+    value = np.array([r["weight"] * r["value"] for r in rows])
+    roots, wide = np.array(sorted(first.values()), np.int64), len(features)
+    base = float(value[roots].sum())
+
+    @F.pandas_udf("array<double>")
+    def walk(x: pd.Series) -> pd.Series:
+        x = np.stack(x.to_numpy()) if len(x) else np.zeros((0, wide))
+        out, node = np.zeros((len(x), wide)), np.tile(roots, (len(x), 1))
+        row = np.arange(len(x))[:, None]
+        while not leaf[node].all():
+            column = feature[node]
+            nxt = np.where(x[row, column] <= threshold[node], left[node], right[node])
+            np.add.at(out, (np.broadcast_to(row, node.shape), column), value[nxt] - value[node])
+            node = nxt
+        return pd.Series(list(out))
+
+    given = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(-1.0)) for f in features])
+    return scored.withColumn("contrib", walk(given)).withColumn("base", F.lit(base))
+
+
+def explain(scored: DataFrame, model, features: Sequence[str], norms: DataFrame, k: int = 3, path: str | None = None) -> DataFrame:
+    """Adds ``top_factors`` to risky predictions (NULL to the rest): the k features that raise the score most, filled up by size, each with its
+    value, the norm of its sensor type and its contribution. ``norms``: a row per sensor type with a column for every feature (``feature_norms``)."""
+    path = path or f"{shared_dir(scored.sparkSession)}/model-{uuid.uuid4().hex}"
+    risky = F.col("p") >= FACTOR_MIN_PROB
+    walked = tree_contributions(scored.filter(risky), model, features, path)
+    names = F.array(*[F.lit(f) for f in features])
+    held = walked.join(norms.select("sensor_type", F.array(*[F.col(f).cast("double") for f in features]).alias("_norms")), "sensor_type", "left")
+    cells = F.transform(names, lambda name, i: F.struct(
+        (F.get("contrib", i) <= 0).alias("_down"), (-F.abs(F.get("contrib", i))).alias("_size"), name.alias("feature"),
+        F.round(F.get(F.array(*[F.col(f).cast("double") for f in features]), i), 4).alias("value"),
+        F.round(F.get("_norms", i), 4).alias("norm"), F.round(F.get("contrib", i), 4).alias("contrib")))
+    top = F.transform(F.slice(F.sort_array(cells), 1, k), lambda c: F.struct(c["feature"].alias("feature"), c["value"].alias("value"), c["norm"].alias("norm"), c["contrib"].alias("contrib")))
+    explained = held.withColumn("top_factors", top).drop("contrib", "base", "_norms")
+    return explained.unionByName(scored.filter(~risky | F.col("p").isNull()), allowMissingColumns=True)
+
+
 def predictions(scored: DataFrame, version: str) -> DataFrame:
     """Prediction contract of calibrated scores."""
     h = health(F.col("p"))
-    extra = [c for c in ("kind_probs", "y", "fault_at", "fault_kind", "eligible") if c in scored.columns]
+    extra = [c for c in ("kind_probs", "top_factors", "y", "fault_at", "fault_kind", "eligible") if c in scored.columns]
     return scored.select(
         F.col("ch").alias("channel_id"), F.col("T").alias("at"), F.lit(24).alias("horizon_h"), round_prob(F.col("p")).alias("prob"),
         h.alias("health"), risk_level(h).alias("risk_level"), F.lit(version).alias("model_version"), *extra)
 
 
-def predict_at(slices_at: DataFrame, build_features, model, calibration: tuple[list[float], list[float]], features: Sequence[str],
-               version: str) -> DataFrame:
-    """Predictions of one moment: ``build_features`` turns the moment's slices into the feature table."""
-    return predictions(calibrate(raw_score(build_features(slices_at), model, features), calibration), version)
+def predict_at(slices_at: DataFrame, build_features, model, calibration: DataFrame, features: Sequence[str],
+               version: str, norms: DataFrame | None = None) -> DataFrame:
+    """Predictions of one moment: ``build_features`` turns the moment's slices into the feature table; with ``norms`` they carry their factors."""
+    scored = calibrate(raw_score(build_features(slices_at), model, features), calibration)
+    return predictions(scored if norms is None else explain(scored, model, features, norms), version)
 
 
 def importance(model, features: Sequence[str], spark, n: int = 30) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from lullwatch.plans import features as X
 from lullwatch.plans import model as M
@@ -106,10 +107,10 @@ def _(b):
 
 @query("m12_average_precision_labels", """SELECT lang, round(sum(here / positives * tp / n), 6) AS pr_auc FROM (
    SELECT lang, p, tp AS here, sum(n) OVER w AS n, sum(tp) OVER w AS tp, sum(tp) OVER (PARTITION BY lang) AS positives FROM (
-     SELECT d.lang, least(d.n_chars, 20000) / 20000.0 AS p, count(*) AS n, sum(l.quality) AS tp FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1, 2)
+     SELECT d.lang, d.n_chars / (d.n_chars + 5000.0)::DOUBLE AS p, count(*) AS n, sum(l.quality) AS tp FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1, 2)
    WINDOW w AS (PARTITION BY lang ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1""")
 def _(b):
-    d = b.table("documents").select("doc_id", "lang", (F.least("n_chars", F.lit(20000)) / 20000.0).alias("p"))
+    d = b.table("documents").select("doc_id", "lang", (F.col("n_chars") / (F.col("n_chars") + F.lit(5000.0))).alias("p"))
     s = d.join(b.table("labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
     return M.average_precision(s, by=["lang"]).select("lang", F.round("pr_auc", 6).alias("pr_auc"))
 
@@ -269,45 +270,73 @@ def _(b):
     return old.join(refs, "id", "left_semi").join(out, cols, "left_anti").agg(F.count(F.lit(1)).alias("lost"))
 
 
-# ---- training: rows only
+# ---- training: rows only. Three periods in a row: fit, calibrate and pick the threshold, score
 
-FEATURES = ["ev_24h", "ev_7d", "faults_24h", "faults_7d", "faults_30d", "fault_msgs_30d", "status_changes_7d", "hours_since_event",
-            "gap_to_norm", "days_since_fault", "nb_silent_share", "type_fault_rate_7d", "obj_faults_7d", "cal_dow"]
+FIT_TO, CALIBRATE_TO = "2024-01-18", "2024-01-22"
+NOT_FEATURES = {"ch", "y", "eligible", "object_id", "parent_id"}
 
 
-def _train(b):
-    return feature_stage(b).filter("y is not null")
+def _features(f):
+    return [c.name for c in f.schema.fields if c.name not in NOT_FEATURES and isinstance(c.dataType, (NumericType, BooleanType))]
+
+
+def _part(f, lo, hi):
+    t = F.col("T")
+    f = f.filter("y is not null")
+    f = f if lo is None else f.filter(t >= F.lit(lo).cast("timestamp"))
+    return f if hi is None else f.filter(t < F.lit(hi).cast("timestamp"))
+
+
+def _fitted(b, fit_to=FIT_TO, calibrate_to=CALIBRATE_TO):
+    """The model of the first period and its calibration on the second: slices whose horizon has closed before the period ends."""
+    f = feature_stage(b)
+    names = _features(f)
+    model = M.fit_risk(_part(f, None, fit_to), names, rounds=8, depth=4)
+    return f, names, model, M.fit_calibration(M.raw_score(_part(f, fit_to, calibrate_to), model, names))
+
+
+def _norms(f, names):
+    return M.feature_norms(f.filter(F.col("T") < F.lit(FIT_TO).cast("timestamp")), names)
 
 
 @query("m04_m07_fit_and_score")
 def _(b):
-    f = _train(b)
-    cut = F.lit("2024-01-22").cast("timestamp")
-    model = M.fit_risk(f.filter(F.col("T") < cut), FEATURES, rounds=8, depth=3)
-    raw = M.raw_score(f.filter(F.col("T") >= cut), model, FEATURES)
-    scored = M.calibrate(raw, M.fit_calibration(raw))
+    f, names, model, calibration = _fitted(b)
+    scored = M.calibrate(M.raw_score(_part(f, CALIBRATE_TO, None), model, names), calibration)
     kinds = list(KIND_CODES)
-    km = M.fit_kind(f.filter(F.col("T") < cut), FEATURES, kinds, trees=8, depth=4)
-    out = M.predictions(M.kind_probs(scored, km, FEATURES, [KIND_CODES[k] for k in kinds]), "gbt-1")
+    km = M.fit_kind(_part(f, None, FIT_TO), names, kinds, trees=8, depth=4)
+    explained = M.explain(M.kind_probs(scored, km, names, [KIND_CODES[k] for k in kinds]), model, names, _norms(f, names))
+    out = M.predictions(explained, "gbt-1")
     return out.withColumn("at", F.unix_timestamp("at")).select("channel_id", "at", "prob", "health", "risk_level", "model_version",
-                                                               F.to_json("kind_probs").alias("kind_probs"))
+                                                               F.to_json("kind_probs").alias("kind_probs"), F.to_json("top_factors").alias("top_factors"))
+
+
+@query("m05_calibrated_threshold")
+def _(b):
+    """The threshold picked on the calibration period and what it gives on the later one."""
+    f, names, model, calibration = _fitted(b)
+    middle = M.calibrate(M.raw_score(_part(f, FIT_TO, CALIBRATE_TO), model, names), calibration)
+    later = M.calibrate(M.raw_score(_part(f, CALIBRATE_TO, None), model, names), calibration)
+    threshold = M.pick_threshold(middle.select("p", "y"), 0.5)
+    return later.crossJoin(F.broadcast(threshold.select("threshold"))).groupBy("threshold").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("p") >= F.col("threshold")) & (F.col("y") == 1)).alias("tp"), F.sum("y").alias("positives"))
 
 
 @query("m08_predict_at")
 def _(b):
-    f = _train(b)
-    model = M.fit_risk(f, FEATURES, rounds=5, depth=3)
-    calibration = M.fit_calibration(M.raw_score(f, model, FEATURES))
-    at = X.slices(b.norm(), b.channels(), "at", at="2024-01-25 13:20:00")
+    """One moment, by a model that was fitted and calibrated on slices whose day after lies before it."""
+    moment = "2024-01-25 13:20:00"
+    f, names, model, calibration = _fitted(b, "2024-01-20", "2024-01-24")
+    at = X.slices(b.norm(), b.channels(), "at", at=moment)
 
     def table(sl):
         return X.feature_table(sl, b.hourly(), b.norm(), b.faults(), b.gaps_eff(), b.clock(), b.channels(), b.objects(), b.spec)
 
-    out = M.predict_at(at, table, model, calibration, FEATURES, "gbt-1")
-    return out.select("channel_id", secs("at"), "prob", "health", "risk_level")
+    out = M.predict_at(at, table, model, calibration, names, "gbt-1", _norms(f, names))
+    return out.select("channel_id", secs("at"), "prob", "health", "risk_level", F.to_json("top_factors").alias("top_factors"))
 
 
 @query("m22_importance")
 def _(b):
-    f = _train(b)
-    return M.importance(M.fit_risk(f, FEATURES, rounds=5, depth=3), FEATURES, b.spark)
+    f, names, model, _ = _fitted(b)
+    return M.importance(model, names, b.spark)

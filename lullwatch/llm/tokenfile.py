@@ -40,12 +40,19 @@ _known: dict[str, list[dict[bytes, bytes]]] = {}
 _tokenizers: dict[str, tuple] = {}
 
 
+def word_ends(chunk: bytes) -> int:
+    """How many word ends a chunk of letters and digits has: one for each run of ASCII letters and each digit, one for a run of any letters; 0 for other chunks."""
+    if chunk.isalnum():
+        return len(PIECES.findall(chunk))
+    return int(chunk.decode("utf-8", "surrogatepass").isalpha())
+
+
 def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
     """Ids of whole texts, by the tokenizers library.
 
     For vocabularies that drop white space and mark word ends: texts are cut at ASCII white space, and a full stop or comma between
     a letter and white space is a chunk of its own. Texts are cut and their chunks numbered by Arrow, so only distinct chunks are looked up. The library encodes what is
-    in neither of the two cache generations; chunks of ASCII letters and digits go many at a time, one word end for each run of letters and each digit.
+    in neither of the two cache generations; chunks of letters and digits go many at a time, told apart by their word ends.
     """
     if path not in _tokenizers:
         from tokenizers import Tokenizer
@@ -74,17 +81,19 @@ def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
     missing = [c for c in distinct if c not in young]
     young.update((c, old[c]) for c in missing if c in old)
     fresh = [c for c in missing if c not in young]
-    words = [c for c in fresh if c.isalnum()]
+    runs = {c: n for c in fresh if (n := word_ends(c))}
+    words = list(runs)
+    others = [c for c in fresh if c not in runs]
     for k in range(0, len(words), 5000):
         part = [words[x:x + 100] for x in range(k, min(k + 5000, len(words)), 100)]
         for group, e in zip(part, encode([b" ".join(g).decode() for g in part], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            last, upto = np.flatnonzero(ends[ids]), np.cumsum([len(PIECES.findall(c)) for c in group])
+            last, upto = np.flatnonzero(ends[ids]), np.cumsum([runs[c] for c in group])
             if len(last) != upto[-1] or last[-1] != len(ids) - 1:
-                raise ValueError("the vocabulary does not mark every word end")
+                others += group  # a letter that the library's normaliser splits
+                continue
             cuts, flat = (4 * (last[upto - 1] + 1)).tolist(), ids.tobytes()
             young.update((c, flat[x:y]) for c, x, y in zip(group, [0, *cuts], cuts, strict=False))
-    others = [c for c in fresh if not c.isalnum()]
     for k in range(0, len(others), 5000):
         part = others[k:k + 5000]
         for c, e in zip(part, encode([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False), strict=True):

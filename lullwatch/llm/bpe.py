@@ -85,6 +85,11 @@ def checksum(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(repr((words, len(words))).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def narrow(path: str) -> str:
+    """Type that holds every id of the vocabulary: ids travel in two bytes where they fit."""
+    return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def pack(items: list[bytes]) -> bytes:
     sizes = np.array([len(items), *map(len, items)], "<u4").tobytes()
     return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(items))
@@ -117,7 +122,7 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
                                                   pa.array(rows, pa.binary())], names=["bucket", "block", "sum", "packed"])
 
     def word_ids(batches):
-        encode_all, known, at = tokenizer(path).encode_batch_fast, {}, None
+        encode_all, known, at, small = tokenizer(path).encode_batch_fast, {}, None, narrow(path)
         for b in batches:
             rows = []
             for bucket, packed in zip(b["bucket"].to_pylist(), b["packed"].to_pylist(), strict=True):
@@ -128,7 +133,7 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
                 words = [raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip([0, *ends], ends, strict=False)]
                 fresh = [w for w in words if w not in known]
                 for w, e in zip(fresh, encode_all(fresh, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+                    known[w] = np.array(e.ids, small).tobytes()
                 rows.append(pack([known[w] for w in words]))
             yield pa.RecordBatch.from_arrays([b["block"], b["bucket"], b["sum"], pa.array(rows, pa.binary())], names=["block", "bucket", "sum", "packed"])
 
@@ -141,7 +146,7 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
                                                   pa.array(part, pa.binary())], names=["block", "doc_id", "packed"])
 
     def place(texts: pa.Table, table: pa.Table) -> pa.Table:
-        expand = zstandard.ZstdDecompressor().decompress
+        expand, small = zstandard.ZstdDecompressor().decompress, narrow(path)
         number: dict[str, int] = defaultdict(itertools.count().__next__)
         words = [words_of(expand(p.as_py()).decode("utf-8", "surrogatepass")) for p in texts["packed"]]
         codes = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in words]
@@ -155,11 +160,12 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
             if said != checksum(words):
                 raise ValueError("an input split changed between two readings")
             slots = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            sizes[slots] = lengths // 4
-            first[slots] = at + np.cumsum(lengths // 4) - lengths // 4
-            flat.append(np.frombuffer(raw, "<u4"))
+            lengths = lengths // int(small[2])
+            sizes[slots] = lengths
+            first[slots] = at + np.cumsum(lengths) - lengths
+            flat.append(np.frombuffer(raw, small))
             at += len(flat[-1])
-        flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+        flat = (np.concatenate(flat) if flat else np.zeros(0)).astype("<u4")
         out = []
         for c in codes:
             n = sizes[c]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lullwatch.operators.carry import BUCKET, bucket_of
+from lullwatch.operators.carry import BUCKET, hot_days, with_bucket
 
 
 @dataclass(frozen=True)
@@ -33,22 +33,25 @@ class Lookup:
         return [self.ts, *self.payload]
 
 
-def asof_many(left: DataFrame, on: Sequence[str], left_ts: str, lookups: Sequence[Lookup], bucket: str = "day") -> DataFrame:
+def asof_many(left: DataFrame, on: Sequence[str], left_ts: str, lookups: Sequence[Lookup], bucket: str = "day",
+              split_rows: int | None = None) -> DataFrame:
     """Left as-of join with several right sides; adds their ``ts`` and payload columns, NULL where nothing matches.
 
     All sides are unioned and shuffled once by ``(key, time bucket)``. What a bucket inherits from its neighbours is one
-    row per ``(key, bucket)``, taken from an aggregate of the right sides, so a key of any size is split by time.
+    row per ``(key, bucket)``, taken from an aggregate of the right sides, so a key of any size is split by time. With ``split_rows`` days are counted first,
+    and a day on which a key has more rows on all sides together is cut into hours.
     """
     on = list(on)
     recs = [f"_rec{i}" for i in range(len(lookups))]
     pick = [F.max if k.backward else F.min for k in lookups]
     lhs = left.select(*on, F.col(left_ts).alias("_t"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
-    lhs = lhs.withColumn(BUCKET, bucket_of("_t", bucket))
+    rights = [k.right.dropna(subset=[*on, k.ts]).select(*on, F.col(k.ts).alias("_t"), F.struct(*[F.col(c) for c in k.columns]).alias(rec)) for k, rec in zip(lookups, recs)]
+    hot = None if split_rows is None else hot_days([(side, "_t") for side in (lhs, *rights)], on, split_rows)
+    lhs = with_bucket(lhs, "_t", bucket, hot)
     asked = lhs.select(*on, BUCKET).distinct().withColumn("_asked", F.lit(True))
     rows, summary = lhs.withColumns({"_pos": F.lit(1), "_side": F.lit(1)}), asked
-    for k, rec in zip(lookups, recs):
-        r = k.right.dropna(subset=[*on, k.ts]).select(
-            *on, F.col(k.ts).alias("_t"), F.struct(*[F.col(c) for c in k.columns]).alias(rec)).withColumn(BUCKET, bucket_of("_t", bucket))
+    for k, rec, r in zip(lookups, recs, rights):
+        r = with_bucket(r, "_t", bucket, hot)
         # at the moment itself a matching right row must stand on the side the frame looks at
         side = 0 if k.backward != k.strict else 2
         rows = rows.unionByName(r.withColumns({"_pos": F.lit(1), "_side": F.lit(side)}), allowMissingColumns=True)
@@ -83,6 +86,7 @@ def asof_join(
     direction: str = "backward",
     strict: bool = False,
     bucket: str = "day",
+    split_rows: int | None = None,
 ) -> DataFrame:
     """``asof_many`` with one right side."""
-    return asof_many(left, on, left_ts, [Lookup(right, right_ts, payload, direction, strict)], bucket)
+    return asof_many(left, on, left_ts, [Lookup(right, right_ts, payload, direction, strict)], bucket, split_rows)

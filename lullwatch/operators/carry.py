@@ -8,6 +8,7 @@ computed from one summary row per ``(key, bucket)`` and enters the bucket as a *
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,30 @@ def bucket_of(ts: Column | str, bucket: str) -> Column:
     return F.date_trunc(bucket, F.col(ts) if isinstance(ts, str) else ts)
 
 
+SPLIT_ROWS = 5_000_000
+"""Rows of a key and day above which the day is cut into hours."""
+
+
+def hot_days(frames: Sequence[tuple[DataFrame, str]], keys: Sequence[str], split_rows: int) -> DataFrame:
+    """``keys, _day`` of the days on which a key has more than ``split_rows`` rows in all frames ``(rows, ts)`` together.
+
+    At most one row for every ``split_rows`` rows of the input, so it may be broadcast.
+    """
+    keys = list(keys)
+    counts = [df.dropna(subset=[*keys, ts]).groupBy(*keys, F.date_trunc("day", ts).alias("_day")).agg(F.count(F.lit(1)).alias("_n")) for df, ts in frames]
+    return reduce(DataFrame.unionByName, counts).groupBy(*keys, "_day").agg(F.sum("_n").alias("_n")).filter(F.col("_n") > split_rows).select(
+        *keys, "_day", F.lit(True).alias("_hot"))
+
+
+def with_bucket(df: DataFrame, ts: str, bucket: str, hot: DataFrame | None = None) -> DataFrame:
+    """Adds the time bucket of every row: the day (or ``bucket``), an hour on the hot days of its key. Buckets of a key keep the order of time."""
+    if hot is None:
+        return df.withColumn(BUCKET, bucket_of(ts, bucket))
+    keys = [c for c in hot.columns if c not in ("_day", "_hot")]
+    j = df.withColumn("_day", F.date_trunc("day", ts)).join(F.broadcast(hot), [*keys, "_day"], "left")  # bounded by rows / split_rows
+    return j.withColumn(BUCKET, F.when(F.col("_hot"), F.date_trunc("hour", ts)).otherwise(F.col("_day"))).drop("_day", "_hot").select(*df.columns, BUCKET)
+
+
 def neighbour_by(
     df: DataFrame,
     keys: Sequence[str],
@@ -28,18 +53,21 @@ def neighbour_by(
     later: dict[str, tuple[str, Column | None]] | None = None,
     bucket: str = "day",
     keep_bucket: bool = False,
+    split_rows: int | None = None,
 ) -> DataFrame:
     """Add the nearest earlier and later values per key: ``earlier[name] = (column, condition or None)``.
 
     ``order[0]`` is the timestamp; the other columns break ties. With a condition only rows that satisfy it count, so
     "previous status text" and "previous reading" come out of one pass. ``keep_bucket`` leaves the time bucket in the
-    result: an aggregation by the key, the bucket and anything else then needs no shuffle of its own.
+    result: an aggregation by the key, the bucket and anything else then needs no shuffle of its own. With ``split_rows`` days are counted first, and a day
+    on which a key has more rows is cut into hours.
     """
     keys, order, earlier, later = list(keys), list(order), earlier or {}, later or {}
     wanted = {**earlier, **later}
     src = {n: f"_src_{n}" for n in wanted}
-    base = df.withColumns({BUCKET: bucket_of(order[0], bucket), **{
-        src[n]: (F.col(v) if c is None else F.when(c, F.col(v))) for n, (v, c) in wanted.items()}})
+    hot = None if split_rows is None else hot_days([(df, order[0])], keys, split_rows)
+    base = with_bucket(df, order[0], bucket, hot).withColumns({
+        src[n]: (F.col(v) if c is None else F.when(c, F.col(v))) for n, (v, c) in wanted.items()})
 
     def edge(n: str) -> Column:
         pick = F.max if n in earlier else F.min

@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lullwatch.session import write_stage
+
 
 def closure(objects: DataFrame) -> DataFrame:
-    """``(ancestor_id, id, distance)`` including the object itself, climbed until no object has a parent left.
+    """``(ancestor_id, id, distance)`` including the object itself, by doubling: a written table of jumps for every power of two up to the depth.
 
-    One join of the object table a level. Parents that form a cycle are an error.
+    A jump table of 2n steps is the one of n steps joined with itself, so a tree of any depth takes as many jobs as its depth has binary digits, and no level is computed
+    twice. The closure itself is lazy: from the longest jumps to the shortest, each row goes on both with and without one. Parents that form a cycle are an error.
     """
-    step = objects.filter(F.col("parent_id") != F.col("id")).select(F.col("id").alias("_child"), F.col("parent_id").alias("_parent"))
-    frontier = objects.select(F.col("id").alias("ancestor_id"), F.col("id"), F.lit(0).alias("distance"))
-    out, distance = frontier, 0
+    jumps = [objects.filter(F.col("parent_id") != F.col("id")).select(F.col("id").alias("_from"), F.col("parent_id").alias("_to"))]
+    limit = None
     while True:
-        distance += 1
-        frontier = frontier.join(step, F.col("ancestor_id") == F.col("_child")).select(
-            F.col("_parent").alias("ancestor_id"), "id", F.lit(distance).alias("distance"))
-        if frontier.isEmpty():
-            return out
-        if distance % 16 == 0 and distance > objects.count():
+        last = jumps[-1]
+        longer = write_stage(last.join(last.select(F.col("_from").alias("_to"), F.col("_to").alias("_far")), "_to").select("_from", F.col("_far").alias("_to")), f"jumps-{uuid.uuid4().hex}")
+        if longer.isEmpty():
+            break
+        jumps.append(longer)
+        limit = limit or objects.count()
+        if 1 << len(jumps) - 1 > limit:
             raise ValueError("parents of objects form a cycle")
-        out = out.unionByName(frontier)
+    out = objects.select(F.col("id").alias("ancestor_id"), F.col("id"), F.lit(0).alias("distance"))
+    for k in reversed(range(len(jumps))):
+        further = F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("ancestor_id"), (F.col("distance") + (1 << k)).alias("distance")))
+        both = F.array_compact(F.array(F.struct("ancestor_id", "distance"), further))
+        out = out.join(jumps[k], F.col("ancestor_id") == F.col("_from"), "left").select("id", F.inline(both)).select("ancestor_id", "id", "distance")
+    return out
 
 
 def fix_roots(objects: DataFrame) -> DataFrame:

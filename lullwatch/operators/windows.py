@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def preceding(keys: Sequence[str], order: str, rows: int) -> WindowSpec:
@@ -82,21 +83,28 @@ def clusters(df: DataFrame, keys: Sequence[str], x: str, gap: float, min_size: i
     )
 
 
-def row_ids(df: DataFrame, order: Sequence[str], out: str, start: Column | int = 0, band: Column | None = None) -> DataFrame:
-    """Consecutive ids in a total order without a one-partition sort of all rows.
+def row_ids(df: DataFrame, order: Sequence[str], out: str, start: Column | int = 0, band: Column | None = None, block: Column | None = None) -> DataFrame:
+    """Consecutive ids in a total order without a task that sees all rows or all groups.
 
-    Rows are counted per value of ``order[0]`` and ``band``, counts become offsets, and numbering runs inside such a group.
-    ``band`` must grow with ``order[1]``; it splits a moment that holds many rows.
+    Rows are counted per group, a value of ``order[0]`` and ``band``; the counts become offsets in two levels: groups within a block, blocks among each other. Numbering
+    runs inside a group. ``band`` must grow with ``order[1]``; it splits a moment that holds many rows. ``block`` must grow with ``order[0]`` and take few values:
+    by default the month of a moment, or the upper part of a number.
     """
     first, rest = order[0], list(order[1:])
-    df = df.withColumn("_band", F.lit(0) if band is None else band)
-    group = [first, "_band"]
-    offsets = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = offsets.withColumn("_off", F.coalesce(
-        F.sum("_n").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    kind = df.schema[first].dataType
+    if block is None:
+        block = F.date_trunc("month", first) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.floor(F.col(first) / (1 << 32)) if isinstance(
+            kind, T.NumericType) else F.left(F.col(first).cast("string"), F.lit(2))
+    df = df.withColumns({"_band": F.lit(0) if band is None else band, "_block": block})
+    group = ["_block", first, "_band"]
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_n")).select("_block", before(Window.orderBy("_block")).alias("_base"))  # a row a month
+    inside = counts.select(*group, before(Window.partitionBy("_block").orderBy(first, "_band")).alias("_off"))
+    offsets = inside.join(blocks, "_block")
     inner = F.row_number().over(Window.partitionBy(*group).orderBy(*(rest or [first])))
     start = F.lit(start) if isinstance(start, int) else start
-    return df.join(offsets, group).withColumn(out, start + F.col("_off") + inner).drop("_off", "_band")
+    return df.join(offsets, group).withColumn(out, start + F.col("_base") + F.col("_off") + inner).drop("_off", "_base", "_band", "_block")
 
 
 def id_band(column: str, width: int = 65536) -> Column:

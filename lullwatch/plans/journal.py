@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lullwatch.functions.values import in_work_hours
 from lullwatch.operators import windows as W
-from lullwatch.operators.carry import BUCKET, band_distinct_count, neighbour_by
+from lullwatch.operators.carry import BUCKET, SPLIT_ROWS, band_distinct_count, neighbour_by
 from lullwatch.operators.intervals import (
     days_touched, flag_in_window, overlap_seconds, overlap_up_to, seconds_between, window_clock,
 )
@@ -42,16 +42,17 @@ def dedup_events(parsed: DataFrame) -> DataFrame:
     )
 
 
-def hourly_aggregates(events: DataFrame, channels: DataFrame, spec: JournalSpec) -> DataFrame:
+def hourly_aggregates(events: DataFrame, channels: DataFrame, spec: JournalSpec, split_rows: int | None = SPLIT_ROWS) -> DataFrame:
     """Channel-hour table: counters, moments, status changes, stuck readings, longest pause.
 
-    ``events(ch, ts, is_alarm, raw, kind, num, txt)``. One shuffle by ``(ch, day)``: the aggregation keeps it.
+    ``events(ch, ts, is_alarm, raw, kind, num, txt)``. One shuffle by ``(ch, day)``, by the hour on days of over
+    ``split_rows`` events: the aggregation keeps it.
     """
     gas = channels.filter(F.col("sensor_type") == spec.gas_type).select(F.col("id").alias("ch"), F.lit(True).alias("is_gas"))
     seen = neighbour_by(
         events.select("ch", "ts", "is_alarm", "raw", "kind", "num", "txt"), ["ch"], ["ts", "raw"],
         {"prev_ts": ("ts", None), "prev_num": ("num", F.col("num").isNotNull()), "prev_txt": ("txt", F.col("txt").isNotNull())},
-        keep_bucket=True,
+        keep_bucket=True, split_rows=split_rows,
     )
     k, t, v = F.col("kind"), F.col("txt"), F.col("num")
     work = in_work_hours(F.col("ts"), spec)
@@ -75,10 +76,10 @@ def hourly_aggregates(events: DataFrame, channels: DataFrame, spec: JournalSpec)
     return out.select(*[only_gas(c) if c in ("n_gas1_wk", "n_gas1_off", "n_gas5") else F.col(c) for c in hours.columns])
 
 
-def extract_gaps(events: DataFrame, spec: JournalSpec) -> DataFrame:
+def extract_gaps(events: DataFrame, spec: JournalSpec, split_rows: int | None = SPLIT_ROWS) -> DataFrame:
     """Pauses of at least ``gap_min_s`` between neighbouring events, and one open pause (``ts`` NULL) per channel."""
     # events of one moment are zero apart, so they need no de-duplication here
-    seen = neighbour_by(events.select("ch", "ts"), ["ch"], ["ts"], {"prev_ts": ("ts", None)})
+    seen = neighbour_by(events.select("ch", "ts"), ["ch"], ["ts"], {"prev_ts": ("ts", None)}, split_rows=split_rows)
     closed = seen.withColumn("gap_s", seconds_between(F.col("prev_ts"), F.col("ts")).cast("long")).filter(
         F.col("gap_s") >= spec.gap_min_s).select("ch", "prev_ts", "ts", "gap_s")
     last = events.groupBy("ch").agg(F.max("ts").alias("prev_ts"))

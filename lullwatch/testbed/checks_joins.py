@@ -50,7 +50,7 @@ def _(b):
   ASOF LEFT JOIN (SELECT DISTINCT q.oid, s.ts FROM sfault s JOIN place q ON q.ch = s.ch) f ON f.oid = p.oid AND p.t >= f.ts"""))
 def _(b):
     dim = b.channels().select(F.col("id").alias("ch"), F.col("object_id").alias("oid"))
-    return asof_join(_probe(b).join(dim, "ch"), _sfault(b).join(dim, "ch").select("oid", "ts"), ["oid"], "t", "ts").select(
+    return asof_join(_probe(b).join(dim, "ch"), _sfault(b).join(dim, "ch").select("oid", "ts"), ["oid"], "t", "ts", split_rows=carry.SPLIT_ROWS).select(
         "event_id", secs("ts"))
 
 
@@ -59,7 +59,7 @@ def _(b):
   ASOF LEFT JOIN (SELECT DISTINCT q.st, s.ts FROM sfault s JOIN place q ON q.ch = s.ch) f ON f.st = p.st AND p.t >= f.ts"""))
 def _(b):
     dim = b.channels().select(F.col("id").alias("ch"), F.col("sensor_type").alias("st"))
-    return asof_join(_probe(b).join(dim, "ch"), _sfault(b).join(dim, "ch").select("st", "ts"), ["st"], "t", "ts").select(
+    return asof_join(_probe(b).join(dim, "ch"), _sfault(b).join(dim, "ch").select("st", "ts"), ["st"], "t", "ts", split_rows=carry.SPLIT_ROWS).select(
         "event_id", secs("ts"))
 
 

@@ -1,6 +1,7 @@
 """Order-dependent programs against brute force on random rows, with one key that holds most of them."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -128,3 +129,65 @@ def test_overlap_after_the_calendar_ends(spark):
     df = spark.createDataFrame(spans, "i int, a timestamp, b timestamp")
     got = {r.i: r.s for r in intervals.overlap_seconds(df, clock, F.col("a"), F.col("b"), "s").collect()}
     assert got[0] == 21600 and got[1] == 0
+
+
+def test_closure_of_deep_trees(spark):
+    from lullwatch.operators import tree
+
+    rng = random.Random(8)
+    parents = {k: rng.choice([k - 1, k - 1, k // 2]) or None for k in range(1, 120)}
+    parents |= {500: 499, 499: 500 + 1, 501: None, 600: 600, 700: 12345}
+    want = set()
+    for k in parents:
+        up, d = k, 0
+        while up is not None and d < 200:
+            want.add((up, k, d))
+            up, d = (parents.get(up) if parents.get(up) != up else None), d + 1
+    objects = spark.createDataFrame(list(parents.items()), "id long, parent_id long")
+    assert {tuple(r) for r in tree.closure(objects).collect()} == want and tree.closure(objects).count() == len(want)
+    with pytest.raises(ValueError):
+        tree.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, parent_id long"))
+
+
+def test_row_ids_have_no_window_over_all_groups(spark):
+    from lullwatch.operators.windows import id_band, row_ids
+
+    rng = random.Random(3)
+    rows = sorted({(datetime(2024, 1, 1) + timedelta(hours=rng.randrange(3000)), rng.randrange(10**6)) for _ in range(3000)})
+    df = spark.createDataFrame(rows, "at timestamp, ch long").repartition(7)
+    out = row_ids(df, ["at", "ch"], "id", 10, id_band("ch"))
+    assert [(r.at, r.ch) for r in out.orderBy("id").collect()] == rows and out.agg(F.min("id"), F.max("id")).first() == (11, 10 + len(rows))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"windowspecdefinition\((\w+)#\w+ ASC", plan) == ["_block"]  # the only window without a partition runs over blocks
+    for values, kind in ((range(50), "long"), ([f"k{k:03}" for k in range(50)], "string")):
+        got = row_ids(spark.createDataFrame([(v,) for v in values], f"x {kind}"), ["x"], "id").orderBy("id").collect()
+        assert [r.x for r in got] == list(values) and [r.id for r in got] == list(range(1, 51))
+
+
+@pytest.mark.parametrize("direction,strict", [("backward", False), ("forward", True)])
+def test_hot_days_are_cut_and_nothing_changes(spark, direction, strict):
+    rng = random.Random(6)
+    # half of all rows belong to one key and day
+    made = lambda n, seed: [(1, 1440 + rng.randrange(0, 1440, 5), k + seed) if rng.random() < 0.5 else (rng.choice([1, 2, 3, None]), rng.randrange(0, 6 * 1440, 30), k + seed) for k in range(n)]
+    left = spark.createDataFrame([(k, at(m), v) for k, m, v in made(400, 0)], "k long, ts timestamp, x long")
+    right = spark.createDataFrame([(k, at(m), v) for k, m, v in made(400, 1000)], "k long, rts timestamp, w long")
+    plain = lambda df: sorted(map(repr, df.collect()))
+    want = asof_join(left, right, ["k"], "ts", "rts", ["w"], direction, strict)
+    got = asof_join(left, right, ["k"], "ts", "rts", ["w"], direction, strict, split_rows=40)
+    assert plain(got) == plain(want)
+    hot = carry.hot_days([(left, "ts")], ["k"], 40).collect()
+    assert [(r.k, r._day) for r in hot] == [(1, at(1440))]
+    assert carry.with_bucket(left, "ts", "day", carry.hot_days([(left, "ts")], ["k"], 40)).filter("k = 1").select(carry.BUCKET).distinct().count() > 20
+    spans = {"prev": ("x", None), "prev_even": ("x", F.col("x") % 2 == 0)}
+    later = {"next": ("x", None)}
+    assert plain(carry.neighbour_by(left, ["k"], ["ts", "x"], spans, later, split_rows=40)) == plain(carry.neighbour_by(left, ["k"], ["ts", "x"], spans, later))
+
+
+def test_hours_and_pauses_of_a_hot_day(spark):
+    from lullwatch.plans import journal as J
+    from lullwatch.testbed.adapter import Bed
+
+    b = Bed(spark, "/root/testdata/sf0.001")
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(J.hourly_aggregates(b.events(), b.channels(), b.spec, split_rows=1)) == plain(J.hourly_aggregates(b.events(), b.channels(), b.spec, split_rows=None))
+    assert plain(J.extract_gaps(b.events(), b.spec, split_rows=1)) == plain(J.extract_gaps(b.events(), b.spec, split_rows=None))

@@ -6,13 +6,14 @@ Predictions ``(id, channel_id, at, prob, risk_level, top_factors, kind_probs)``
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lullwatch.functions.risk import level_rank, likely_kind
-from lullwatch.functions.text import feature_group
+from lullwatch.functions.text import feature_group, short_number
 from lullwatch.operators.asof import Lookup, asof_join, asof_many
 from lullwatch.operators.columns import settle
 from lullwatch.operators.carry import lasting_distinct_count, running_totals
@@ -55,6 +56,14 @@ def type_groups(channels: DataFrame, rules: RuleSet) -> DataFrame:
 # ---- signals ---------------------------------------------------------------------------------------------------------
 
 
+def faults_or_days(faults: DataFrame, daily: DataFrame, spec: JournalSpec) -> DataFrame:
+    """``ch, ts, kind``: the labelled faults, or, where there is none at all, the days with fault messages; a day counts when it has ended."""
+    none = faults.limit(1).agg(F.count(F.lit(1))).scalar() == 0
+    ended = F.col("day").cast("timestamp") + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 SECOND")
+    days = daily.filter((F.col("fault_count") > 0) & none).select(F.col("channel_id").alias("ch"), ended.alias("ts"), F.lit(spec.fault).alias("kind"))
+    return faults.select("ch", "ts", "kind").unionByName(days)
+
+
 def fault_counts(preds: DataFrame, faults: DataFrame, spec: JournalSpec) -> DataFrame:
     """Faults of the channel in the last 30 and 90 days by kind."""
     kinds = {"link": spec.link_loss, "fault": spec.fault, "disc": spec.disconnected, "value": spec.value_failure}
@@ -313,8 +322,48 @@ def priority_and_due(df: DataFrame, rules: RuleSet) -> DataFrame:
         "_fixed", "_raise", "_lowest", "_due", "_limit", "_rank", "_same", "_mass", "_imprecise", "_risk", "_stuck", "_flapping")
 
 
+# what a factor of a group says; its value and, where it is known, the norm of the sensor type follow
+GROUP_TEXTS = {
+    "silence": "пауза против личной нормы", "link_losses": "потери связи", "past_gaps": "прошлые паузы", "faults": "отказы", "fault_msgs": "сообщения о неисправности",
+    "disc_msgs": "отключения", "status_changes": "смены статуса", "stuck": "доля повторов показания", "values": "отклонение показаний", "group_silence": "доля молчащих соседей",
+    "value_failures": "сбои значения", "sentinel": "служебные коды", "date1970": "даты 1970 года", "date_current": "даты вместо показаний", "power_off": "обесточивания", "off_share": "доля «Обесточен»", "phase_off": "обесточенные фазы",
+}
+
+
+def factor_text(factor: Column, group: Column) -> Column:
+    """One argument: the group's text (else the feature's name), the value and the norm."""
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in GROUP_TEXTS.items() for x in kv]), group), factor["feature"])
+    value = F.when(factor["value"].isNotNull(), F.concat(F.lit(" — "), short_number(F.round(factor["value"], 2))))
+    norm = F.when(factor["value"].isNotNull() & factor["norm"].isNotNull(), F.concat(F.lit(" при норме "), short_number(F.round(factor["norm"], 2))))
+    return F.concat(label, F.coalesce(value, F.lit("")), F.coalesce(norm, F.lit("")))
+
+
+def said_by(*groups: str) -> Column:
+    """Text of the first factor of these groups, NULL without one."""
+    first = F.get(F.filter("top_factors", lambda f: feature_group(f["feature"]).isin(*groups)), F.lit(0))
+    return F.when(first.isNotNull(), factor_text(first, feature_group(first["feature"])))
+
+
+def due_text(hours_: Column) -> Column:
+    """Below two days in hours, then in days."""
+    return F.when(hours_ < 48, F.format_string("%d ч", F.bround(hours_).cast("int"))).otherwise(F.format_string("%d сут", F.bround(hours_ / 24).cast("int")))
+
+
+def advice_against(rules: RuleSet) -> Column:
+    """What not to do: the rule's own advice, then that of the circumstances."""
+    own = F.lit(None).cast("string")
+    for r in rules.rules:
+        own = F.when((F.col("rule_id") == r.id) & F.lit(bool(r.avoid)), F.lit(r.avoid)).otherwise(own)
+    m = rules.modifiers
+    named = lambda key, number: F.concat(*[F.lit(x) if k == 0 else F.concat(number, F.lit(x)) for k, x in enumerate(re.split(r"\{\w*\}", m[key], maxsplit=1))])
+    more = [F.when(F.col("open_order").isNotNull() & F.col("work_order"), named("open_order", F.col("open_order"))) if "open_order" in m else None,
+            F.when((F.col("rule_id") == "mass_link_loss") & F.array_contains("sensor_groups", "gas"), F.lit(m["gas_planned_works"])) if "gas_planned_works" in m else None,
+            F.when(F.col("recent_visit").isNotNull(), named("recent_visit", F.col("recent_visit"))) if "recent_visit" in m else None]
+    return F.array_compact(F.array(own, *[c for c in more if c is not None]))
+
+
 def advice_text(df: DataFrame, rules: RuleSet) -> DataFrame:
-    """Adds ``facts`` (texts in the order the rule lists them) and ``reason``."""
+    """Adds ``facts`` (texts in the order the rule lists them), ``reason``, ``avoid`` and the basis of a deadline that the regulation sets."""
     others = F.col("object_channels") - 1
     text = {
         "current": F.format_string("вероятность отказа в ближайшие 24 ч — %d %%", F.bround(F.col("prob") * 100).cast("int")),
@@ -330,13 +379,22 @@ def advice_text(df: DataFrame, rules: RuleSet) -> DataFrame:
         "precision": F.when(F.col("type_precision").isNotNull(), F.format_string("точность модели для типа — %.2f", "type_precision")),
         "group_silence": F.when(factor_value("nb_silent_share").isNotNull(), F.format_string(
             "молчат %.0f %% однотипных датчиков объекта", factor_value("nb_silent_share") * 100)),
+        "silence": F.coalesce(said_by("silence"), said_by("link_losses", "past_gaps")),
+        "flap": F.when(flapping(rules), F.coalesce(said_by("status_changes"), F.lit("дребезг статуса"))),
+        "stuck": said_by("stuck"),
+        "values": said_by("values", "neighbors"),
+        "value_fail": F.coalesce(said_by("value_failures", "sentinel", "date1970", "date_current"), F.when(F.col("fault_kind") == "value", "ожидается служебный код или дата вместо показания")),
     }
+    text["power"] = F.coalesce(text["power"], said_by("power_off", "off_share", "phase_off"))
+    text["fault_msgs"] = F.coalesce(text["fault_msgs"], said_by("fault_msgs", "disc_msgs"))
     df = settle(df, {"_text": F.map_from_arrays(F.array(*[F.lit(k) for k in text]), F.array(*text.values()))})
     wanted = df.sparkSession.createDataFrame([(r.id, list(r.facts)) for r in rules.rules], "rule_id string, _facts array<string>")
     df = df.join(F.broadcast(wanted), "rule_id")  # as many rows as there are rules
     facts = F.array_compact(F.transform("_facts", lambda f: F.try_element_at("_text", f)))
     df = settle(df, {"facts": facts}).drop("_text", "_facts")
     body = F.array_join("facts", "; ")
+    df = df.withColumns({"avoid": advice_against(rules), "due_basis": F.when(F.col("due_limit_hours").isNotNull(), F.concat(
+        F.lit("по регламенту — не более "), due_text(F.col("due_limit_hours"))))})
     return df.withColumn("reason", F.concat_ws(
         " → ", F.nullif(F.concat(F.upper(F.substring(body, 1, 1)), F.expr("substring(array_join(facts, '; '), 2)")), F.lit("")),
         F.nullif(F.col("conclusion"), F.lit(""))))
@@ -398,10 +456,13 @@ def draft_orders(advised: DataFrame) -> DataFrame:
 
 
 def merge_factors(preds: DataFrame, k: int = 3) -> DataFrame:
-    """Factors of one group become one argument; the first ``k`` arguments in order of their best factor."""
+    """Factors of one group become one argument, told by their best factor; the first ``k`` arguments with different texts, in order of their best factor."""
     f = preds.select("id", F.posexplode("top_factors").alias("pos", "f")).select(
-        "id", "pos", F.col("f.feature").alias("feature"), feature_group(F.col("f.feature")).alias("grp"))
-    g = f.groupBy("id", "grp").agg(F.min("pos").alias("pos"), F.array_join(F.sort_array(F.collect_set("feature")), ",").alias("features"))
+        "id", "pos", "f", F.col("f.feature").alias("feature"), feature_group(F.col("f.feature")).alias("grp"))
+    g = f.groupBy("id", "grp").agg(F.min(F.struct("pos", "f")).alias("best"), F.array_join(F.sort_array(F.collect_set("feature")), ",").alias("features"))
+    g = g.withColumns({"pos": F.col("best.pos"), "text": factor_text(F.col("best.f"), F.col("grp"))}).drop("best")
+    again = Window.partitionBy("id", "text").orderBy("pos")
+    g = g.withColumn("_again", F.row_number().over(again)).filter("_again = 1").drop("_again")
     w = Window.partitionBy("id").orderBy("pos")
     return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("pos")
 

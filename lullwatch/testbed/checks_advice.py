@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lullwatch.plans import advice as A
+from lullwatch.plans import journal as J
 from lullwatch.plans import model as M
 from lullwatch.plans.rules import DEFAULT_RULES
 from lullwatch.plans.serving import snapshot, snapshot_at
@@ -159,9 +160,37 @@ def _(b):
     return b.channels().select("id", F.array_join(A.sensor_groups(F.col("sensor_type"), RULES), ",").alias("groups"))
 
 
+@query("r01_counts_from_days", sql("preds hourly", """SELECT p.id, count(d.day) FILTER (WHERE d.t > p."at" - INTERVAL 30 DAY) AS faults_30d, count(d.day) AS faults_90d FROM preds p
+  LEFT JOIN (SELECT ch, hour::DATE AS day, hour::DATE + INTERVAL 1 DAY - INTERVAL 1 SECOND AS t FROM hourly GROUP BY ALL HAVING sum(n_fault + n_disc) > 0) d
+  ON d.ch = p.channel_id AND d.t <= p."at" AND d.t > p."at" - INTERVAL 90 DAY GROUP BY 1"""))
+def _(b):
+    p = b.advised()
+    faults = A.faults_or_days(b.faults().limit(0), J.channel_daily(b.hourly()), b.spec)
+    return p.select("id", "channel_id", "at").join(A.fault_counts(p, faults, b.spec), ["channel_id", "at"]).select("id", "faults_30d", "faults_90d")
+
+
 @query("r11_advice_text")
 def _(b):
-    return A.advice_text(advised(b), RULES).select("id", "rule_id", "reason", F.array_join("facts", "; ").alias("facts"))
+    return A.advice_text(advised(b), RULES).select("id", "rule_id", "reason", F.array_join("facts", "; ").alias("facts"), F.array_join("avoid", "; ").alias("avoid"), "due_basis")
+
+
+# what the advice says of the signals, in SQL: the facts of three rules, what not to do, and the basis of the deadline
+@query("r11_facts_against_basis", sql("advised", """SELECT id, rule_id, CASE rule_id
+   WHEN 'repeat_after_repair' THEN 'за 90 дней отказов — ' || faults_90d WHEN 'verify_remote_first' THEN round(type_precision, 6)::VARCHAR END AS said,
+  concat_ws('; ', CASE rule_id WHEN 'group_planned_works' THEN 'No visit to each sensor of the object' WHEN 'power_object' THEN 'No new sensors before the power is back'
+      WHEN 'mass_link_loss' THEN 'No order for each sensor, one for the object' WHEN 'value_failure' THEN 'Service codes are no readings' WHEN 'verify_remote_first' THEN 'No brigade before a remote check' END,
+    CASE WHEN open_order IS NOT NULL AND work_order THEN 'No second order: ' || open_order || ' is open for this sensor' END,
+    CASE WHEN rule_id = 'mass_link_loss' AND sensor_type = 'MACHINERY' THEN 'Compare with the calendar of planned works before a visit' END,
+    CASE WHEN faults_since_repair = 0 AND repaired_at >= "at" - INTERVAL 24 HOUR THEN 'No second visit: ' || repair_number || ' was done within a day and nothing failed since' END) AS avoid,
+  CASE WHEN lim IS NOT NULL THEN 'по регламенту — не более ' || CASE WHEN lim < 48 THEN lim || ' ч' ELSE (lim // 24) || ' сут' END END AS due_basis FROM (SELECT *,
+    CASE WHEN rule_id = 'power_object' THEN CASE WHEN object_power_off >= 3 THEN 72 ELSE 48 END
+      WHEN rule_id = 'mass_link_loss' THEN CASE sensor_type WHEN 'MACHINERY' THEN 24 WHEN 'HOUSEHOLD' THEN 72 WHEN 'FURNITURE' THEN 48 ELSE 16 END WHEN rule_id = 'pump_unit' THEN 72
+      WHEN rule_id IN ('repeat_after_repair', 'value_failure', 'chronic_fault', 'chronic_link', 'fault_diagnostics', 'gas_calibration', 'drift_check', 'single_link')
+        THEN CASE sensor_type WHEN 'MACHINERY' THEN 24 WHEN 'HOUSEHOLD' THEN 72 ELSE 48 END END AS lim FROM advised)"""))
+def _(b):
+    said = F.when(F.col("rule_id") == "repeat_after_repair", F.concat(F.lit("за 90 дней отказов — "), F.col("faults_90d").cast("string"))).when(
+        F.col("rule_id") == "verify_remote_first", F.round("type_precision", 6).cast("string"))
+    return A.advice_text(advised(b), RULES).select("id", "rule_id", said.alias("said"), F.array_join("avoid", "; ").alias("avoid"), "due_basis")
 
 
 _SNAP = f"""(SELECT max("at") FROM preds WHERE "at" <= TIMESTAMP '{AT}')"""

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lullwatch.functions.pickets import PICKET_M, parse_pickets
-from lullwatch.functions.risk import ALERT_LEVELS
+from lullwatch.functions.risk import ALERT_LEVELS, LEVELS
 from lullwatch.functions.text import geojson, wkt_line, wkt_point
-from lullwatch.operators.tree import closure
+from lullwatch.operators.tree import closure, paths
 from lullwatch.operators.windows import clusters
 
 # ---- fixed values: drawing distances in metres ------------------------------------------------------------------------
@@ -145,3 +145,41 @@ def line_features(loc: DataFrame) -> DataFrame:
     s = sections(loc).join(lane, "complex_id")
     sec = s.select(*shape("section", F.col("object_id"), F.col("x0"), y0 + 12.0, F.greatest("x1", F.col("x0") + 10.0), y0 + 12.0))
     return axis.unionByName(gal).unionByName(sec)
+
+
+def node_features(loc: DataFrame) -> DataFrame:
+    """Sub-objects without pickets as points of the node column."""
+    n = nodes(loc)
+    x, y = F.round("node_x", 1), F.round("node_y", 1)
+    return n.select(F.lit("node").alias("kind"), "complex_id", F.col("object_id").cast("string").alias("key"), wkt_point(x, y).alias("wkt"),
+                    geojson("Point", _pt(x, y)).alias("geometry"))
+
+
+def zone_features(loc: DataFrame, placed: DataFrame, risk: DataFrame, objects: DataFrame) -> DataFrame:
+    """Problem zones as stretches of the axis, ten metres longer at both ends, with their counts and the pickets they lie between."""
+    z = problem_zones(placed, risk).join(lanes(loc).select("complex_id", "y0"), "complex_id")
+    z = z.join(objects.select(F.col("id").alias("complex_id"), "name"), "complex_id", "left")
+    lo, hi, y0 = F.round(F.col("x_from") - 10, 1), F.round(F.col("x_to") + 10, 1), F.col("y0")
+    picket = lambda c: F.floor(F.col(c) / 10).cast("string")
+    return z.select(F.lit("problem_zone").alias("kind"), "complex_id", F.concat(F.col("name"), F.lit(": ПК"), picket("x_from"), F.lit("–ПК"), picket("x_to")).alias("key"),
+                    wkt_line([(lo, y0), (hi, y0)]).alias("wkt"), geojson("LineString", F.array(_pt(lo, y0), _pt(hi, y0))).alias("geometry"),
+                    F.col("size").alias("channels"), "critical", "max_prob")
+
+
+def collector_facts(loc: DataFrame, placed: DataFrame, risk: DataFrame, objects: DataFrame) -> DataFrame:
+    """What goes with a collector's axis: name and path, length, galleries, channels and their levels. ``risk(id, risk_level, prob)``."""
+    p = placed.select("id", "complex_id").join(risk.select("id", "risk_level"), "id", "left").groupBy("complex_id").agg(
+        F.count(F.lit(1)).alias("channels"), *[F.count_if(F.col("risk_level") == x).alias(x) for x in LEVELS])
+    g = galleries(loc).groupBy("complex_id").agg(F.count(F.lit(1)).alias("galleries"))
+    top = F.coalesce(*[F.when(F.col(x) > 0, x) for x in reversed(LEVELS)])
+    return (
+        lanes(loc).select("complex_id", F.round("length_m", 1).alias("length_m"), F.floor(F.col("length_m") / 10).cast("int").alias("pk_max"))
+        .join(objects.select(F.col("id").alias("complex_id"), "name"), "complex_id", "left")
+        .join(paths(objects).withColumnRenamed("id", "complex_id"), "complex_id", "left").join(g, "complex_id", "left").join(p, "complex_id", "left")
+        .withColumns({**{c: F.coalesce(c, F.lit(0)) for c in ("galleries", "channels", *LEVELS)}, "max_risk_level": top})
+    )
+
+
+def scheme_features(loc: DataFrame, placed: DataFrame, risk: DataFrame, objects: DataFrame) -> DataFrame:
+    """All rows of the scheme but the channel points: axes, galleries, sections, nodes and problem zones."""
+    return line_features(loc).unionByName(node_features(loc)).unionByName(zone_features(loc, placed, risk, objects), allowMissingColumns=True)

@@ -438,3 +438,45 @@ def _(b):
 @query("g08_line_features")
 def _(b):
     return G.line_features(_loc(b))
+
+
+_NUM = "regexp_replace(round({}, 1)::DOUBLE::VARCHAR, '\\.0$', '')"
+_WORST = """(SELECT channel_id, arg_max(risk_level, prob * 1000 + epoch("at") / 1e12) AS risk_level, max(prob) AS prob FROM preds WHERE risk_level IN ('risk', 'critical') GROUP BY 1)"""
+
+
+def _worst(b):
+    return b.predictions().filter(F.col("risk_level").isin("risk", "critical")).groupBy(F.col("channel_id").alias("id")).agg(
+        F.max("prob").alias("prob"), F.max_by("risk_level", F.col("prob") * 1000 + F.unix_timestamp("at") / 1e12).alias("risk_level"))
+
+
+@query("g08_node_features", sql("loc lane", f"""SELECT 'node' AS kind, complex_id, object_id::VARCHAR AS key, 'POINT (-60 ' || {_NUM.format("y0 - i * 25")} || ')' AS wkt FROM (
+  SELECT DISTINCT l.complex_id, l.object_id, n.y0, dense_rank() OVER (PARTITION BY l.complex_id ORDER BY l.object_id) - 1 AS i FROM loc l JOIN lane n ON n.complex_id = l.complex_id WHERE main_m IS NULL)"""))
+def _(b):
+    return G.node_features(_loc(b)).select("kind", "complex_id", "key", "wkt")
+
+
+@query("g08_zone_features", sql("placed preds lane obj", f"""SELECT z.complex_id, o.name || ': ПК' || floor(x_from / 10)::INT || '–ПК' || floor(x_to / 10)::INT AS key,
+  'LINESTRING (' || {_NUM.format("x_from - 10")} || ' ' || {_NUM.format("y0")} || ', ' || {_NUM.format("x_to + 10")} || ' ' || {_NUM.format("y0")} || ')' AS wkt, channels, critical, max_prob FROM (
+  SELECT complex_id, min(x)::DOUBLE AS x_from, max(x)::DOUBLE AS x_to, count(*) AS channels, count(*) FILTER (WHERE risk_level = 'critical') AS critical, round(max(prob), 4) AS max_prob FROM (
+   SELECT *, sum(brk) OVER (PARTITION BY complex_id ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS z FROM (
+     SELECT p.*, r.risk_level, r.prob, coalesce((x - lag(x) OVER (PARTITION BY complex_id ORDER BY x, p.id) > 50)::INT, 0) AS brk FROM placed p JOIN {_WORST} r ON r.channel_id = p.id
+     WHERE placed_by = 'picket')) GROUP BY complex_id, z HAVING count(*) >= 2) z JOIN lane n ON n.complex_id = z.complex_id LEFT JOIN obj o ON o.id = z.complex_id"""))
+def _(b):
+    loc = _loc(b)
+    return G.zone_features(loc, G.place(loc), _worst(b), b.objects()).select("complex_id", "key", "wkt", "channels", "critical", "max_prob")
+
+
+@query("g08_collector_facts", sql("placed preds lane gal obj", f"""SELECT n.complex_id, round(n.length_m, 1)::DOUBLE AS length_m, floor(n.length_m / 10)::INT AS pk_max, o.name, coalesce(g.n, 0) AS galleries, coalesce(c.channels, 0) AS channels,
+  coalesce(c.risk, 0) AS risk, coalesce(c.critical, 0) AS critical, CASE WHEN c.critical > 0 THEN 'critical' WHEN c.risk > 0 THEN 'risk' END AS max_risk_level FROM lane n LEFT JOIN obj o ON o.id = n.complex_id
+  LEFT JOIN (SELECT complex_id, count(*) AS n FROM gal GROUP BY 1) g ON g.complex_id = n.complex_id
+  LEFT JOIN (SELECT p.complex_id, count(*) AS channels, count(*) FILTER (WHERE r.risk_level = 'risk') AS risk, count(*) FILTER (WHERE r.risk_level = 'critical') AS critical FROM placed p LEFT JOIN {_WORST} r ON r.channel_id = p.id GROUP BY 1) c
+  ON c.complex_id = n.complex_id"""))
+def _(b):
+    loc = _loc(b)
+    return G.collector_facts(loc, G.place(loc), _worst(b), b.objects()).select("complex_id", "length_m", "pk_max", "name", "galleries", "channels", "risk", "critical", "max_risk_level")
+
+
+@query("g08_scheme_features")
+def _(b):
+    loc = _loc(b)
+    return G.scheme_features(loc, G.place(loc), _worst(b), b.objects())

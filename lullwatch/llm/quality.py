@@ -1,17 +1,18 @@
 """Quality classifier by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are labelled rows of quality 1; the unlabelled set is a sample of labelled rows whose labels are not looked at. The
-class prior is the share of quality 1 among all training labels. A small network over text statistics minimises
+Trusted positives are labelled rows of quality 1. The unlabelled set is web text: documents drawn by a hash of doc_id, labelled or not; labels of quality 0 are never
+looked at. The class prior is estimated from the two by the best bin: a first network ranks them on half of the rows; on the other half, the share of unlabelled over the share of
+positive texts above a score is least where hardly any other class is left, and there it is the prior. A small network over text statistics minimises
 
     prior * E_P[loss(g, 1)] + max(0, E_U[loss(g, 0)] - prior * E_P[loss(g, 0)])
 
 with the logistic loss; when the bracket turns negative, its gradient is reversed. Scores are the probabilities the network gives.
 
-Fitting uses at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id; the prior and all scores cover all rows. Inputs are statistics
+Fitting uses at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled documents, chosen by a hash of doc_id among the rows that are not held out; scores cover all rows. Inputs are statistics
 of the whole text only; labels, language, source and ids are never inputs.
 
 Defined results: null and empty texts are scored like any text; without a positive label in the training rows every score is 0.5;
-labels without a doc_id or quality count as unlabelled; repeated labels count once each; other columns are ignored.
+labels without a doc_id or quality are ignored; rows of a repeated doc_id are texts of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from lullwatch.llm.common import register, table, thrifty_map
 
 SAMPLE = 20_000
-"""Most labelled rows that the classifier is fitted on."""
+"""Most positives, and most unlabelled documents, that the classifier is fitted on."""
 THRESHOLD = 0.7
 
 SYMBOLS = b"|!#*%&$.,:;-_/\\<>=+@~^(){}[]\"'?"
@@ -71,12 +72,13 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float, hidden: int = 24, steps: int = 600, batch: int = 1024, rate: float = 0.01, decay: float = 1e-4) -> Network:
-    """Non-negative PU fit; ``x`` is the unlabelled set, ``x[positive]`` the trusted positives."""
+def fit(x: np.ndarray, positive: np.ndarray, prior: float, hidden: int = 24, steps: int = 600, batch: int = 1024, rate: float = 0.01, decay: float = 1e-4,
+        unlabelled: np.ndarray | None = None) -> Network:
+    """Non-negative PU fit; ``x[positive]`` are the trusted positives, ``x[unlabelled]`` (all rows without it) the unlabelled set."""
     rng = np.random.default_rng(0)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = np.clip((x - mean) / scale, -6, 6)
-    p = z[positive]
+    web = x if unlabelled is None else x[unlabelled]
+    mean, scale = web.mean(axis=0), web.std(axis=0) + 1e-6
+    p, z = np.clip((x[positive] - mean) / scale, -6, 6), np.clip((web - mean) / scale, -6, 6)
     w = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     m, v = [np.zeros_like(k) for k in w], [np.zeros_like(k) for k in w]
     sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
@@ -106,26 +108,45 @@ def held_out(doc_id="doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
 
 
+def best_bin(good: np.ndarray, web: np.ndarray, delta: float = 0.1) -> float:
+    """Class prior from scores of positives and of unlabelled texts: the least ratio of their shares above a score, where its upper bound is least."""
+    cuts = np.sort(good)
+    above = np.arange(len(good), 0, -1) / len(good)
+    share = 1 - np.searchsorted(np.sort(web), cuts, "left") / len(web)
+    slack = np.sqrt(np.log(4 / delta) / (2 * len(web))) + np.sqrt(np.log(4 / delta) / (2 * len(good)))
+    k = int(np.argmin((share + slack) / above))
+    return float(np.clip(share[k] / above[k], 0.01, 0.999))
+
+
+def estimate_prior(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of the positive class in the unlabelled set; 0.5 where either half lacks a kind of rows."""
+    half = np.arange(len(x)) % 2 == 0
+    if min((mask & side).sum() for mask in (positive, unlabelled) for side in (half, ~half)) == 0:
+        return 0.5
+    net = fit(x[half], positive[half], 0.5, steps=300, unlabelled=unlabelled[half])
+    return best_bin(net.margin(x[positive & ~half]), net.margin(x[unlabelled & ~half]))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
     """Network from the training rows; None without a positive among them."""
-    rows = labels.select("doc_id", "quality").where("doc_id is not null").where(~held_out())
-    known = rows.agg(F.count("quality"), F.sum((F.col("quality") == 1).cast("int"))).first()
-    if not known[1]:
-        return None
-    chosen = rows.orderBy(F.xxhash64("doc_id", "quality"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    drawn = lambda ids: ids.where("doc_id is not null").where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    good = drawn(labels.where("quality = 1").select("doc_id").distinct()).withColumn("good", F.lit(True))
+    web = drawn(docs.select("doc_id")).distinct().withColumn("web", F.lit(True))
+    chosen = good.join(web, "doc_id", "full").select("doc_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "web")])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most two samples of ids
 
     def measure(batches):
         for b in batches:
             x = [statistics(t.as_py()).tolist() for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([q == 1 for q in b["quality"].to_pylist()]), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "good", "x"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["good"], b["web"], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "good", "web", "x"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    got = texts.select("doc_id", "text", "quality").mapInArrow(thrifty_map(measure), f"doc_id {kind}, good boolean, x array<double>").toArrow().sort_by("doc_id")
-    good = np.array(got["good"].to_pylist(), bool)
-    if not good.any():
+    got = texts.select("doc_id", "text", "good", "web").mapInArrow(thrifty_map(measure), f"doc_id {kind}, good boolean, web boolean, x array<double>").toArrow().sort_by("doc_id")
+    good, web = (np.array(got[c].to_pylist(), bool) for c in ("good", "web"))
+    if not good.any() or not web.any():
         return None
-    return fit(np.array(got["x"].to_pylist()), good, min(known[1] / known[0], 0.999))
+    x = np.array(got["x"].to_pylist())
+    return fit(x, good, estimate_prior(x, good, web), unlabelled=web)
 
 
 def scored(docs: DataFrame, net: Network | None, keep: float | None = None) -> DataFrame:

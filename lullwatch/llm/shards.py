@@ -2,7 +2,7 @@
 
 A node of k shards is cut where the bytes below reach floor(k/2)/k of its bytes. The cut is a value of the widest dimension (relative to the whole
 table), then of the text's CRC-32 and of a hash of doc_id for rows that agree, so a value, source or group of copies of any size can be cut
-exactly, and equal texts lie side by side. All nodes of a level are cut together: a pass sums bytes per node and bin, and
+exactly. A cut by doc_id, lang or source also runs through groups of equal texts, whatever their size: sizes come first. All nodes of a level are cut together: a pass sums bytes per node and bin, and
 the bin that holds the target is refined until it is smaller than ``TOLERANCE`` of a shard. Only sums of at most ``BINS`` bins for each
 node come to the driver; rows are never moved to find a cut. Everything is DataFrame functions.
 

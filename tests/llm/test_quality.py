@@ -16,6 +16,23 @@ def test_risk_separates_and_ignores_negative_labels():
     assert (s[:1600] >= 0.5).mean() > 0.95 and (s[1600:] < 0.5).mean() > 0.95
 
 
+def test_prior_is_estimated_from_positives_and_unlabelled():
+    rng = np.random.default_rng(5)
+    for share in (0.2, 0.5, 0.8):
+        web, good = rng.random(6000) < share, rng.normal(0, 1, (3000, 4))
+        x = np.concatenate((good, np.where(web[:, None], rng.normal(0, 1, (6000, 4)), rng.normal(2.5, 1, (6000, 4)))))
+        order = rng.permutation(len(x))
+        positive, unlabelled = (order < 3000), (order >= 3000)
+        assert abs(Q.estimate_prior(x[order], positive, unlabelled) - share) < 0.06
+
+
+def test_negative_labels_change_nothing(spark, edge_docs):
+    labels = [(k, 1) for k in range(0, 15, 2)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    one, two = Q.train(edge_docs, frame(labels)), Q.train(edge_docs, frame(labels + [(k, 0) for k in range(1, 15, 2)]))
+    assert all(np.array_equal(a, b) for a, b in zip(one.weights, two.weights))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().set_index("doc_id")["quality"].to_dict()

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_events(events: DataFrame, path: str, files_per_month: int = 8) -> None:
+def write_events(events: DataFrame, path: str) -> None:
     """Journal by year and month, sorted by moment and channel inside files; a rewrite replaces only the months it holds.
 
-    Rows of a month are spread over a fixed number of day groups, so one busy month is not one task.
+    Rows are gathered by month and rebalanced: Spark cuts a large month into as many writers as its bytes ask for, and joins small ones.
     """
-    e = events.withColumns({"year": F.year("ts"), "month": F.month("ts")})
-    e = e.repartition("year", "month", F.dayofmonth("ts") % files_per_month, F.pmod(F.hash("ch"), F.lit(files_per_month)))
+    e = events.withColumns({"year": F.year("ts"), "month": F.month("ts")}).hint("rebalance", "year", "month")
     e.sortWithinPartitions("year", "month", "ts", "ch").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
 

@@ -183,3 +183,17 @@ def test_lasting_marks_count_members_once(spark):
     probes = [(k, at(h)) for k in range(2) for h in range(0, 230)]
     got = lasting_distinct_count(spark.createDataFrame(probes, "k long, at timestamp"), spark.createDataFrame(marks, "k long, m long, ts timestamp"), ["k"], "m", "at", "ts", 24, "n")
     assert {(r.k, r.at): r.n for r in got.collect()} == {(k, t): len({m for kk, m, x in marks if kk == k and t - timedelta(hours=24) < x <= t}) for k, t in probes}
+
+
+def test_a_large_month_has_many_writers(spark, tmp_path):
+    from lullwatch.sources import parquet
+
+    was = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        rows = spark.range(0, 300_000, 1, 16).select((F.col("id") % 7).alias("ch"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 8).alias("ts"), F.sha2(F.col("id").cast("string"), 256).alias("raw"))
+        parquet.write_events(rows, str(tmp_path / "e"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
+    assert len(list((tmp_path / "e" / "year=2024" / "month=1").glob("*.parquet"))) > 8
+    assert parquet.read_events(spark, str(tmp_path / "e"), 2024).count() == 300_000

@@ -41,6 +41,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, channels: DataFrame, landing:
         good = checked.filter(F.col("error").isNull())
         fresh = new_events(good, read_days(spark, landing, LANDING, days_of(good))).select(*LANDING.fieldNames()).persist()
         error = F.col("error")
+        ensure_table(spark, counters, COUNTERS, "batch")
         if spark.read.schema(COUNTERS).parquet(counters).filter(F.col("batch") == batch_id).isEmpty():
             # counters first: the append changes what counts as new
             checked.agg(
@@ -59,7 +60,6 @@ def ingest_batch(batch: DataFrame, batch_id: int, channels: DataFrame, landing:
 def ingest_stream(source: DataFrame, channels: DataFrame, landing: str, counters: str, checkpoint: str, **trigger) -> StreamingQuery:
     """``source`` has raw ``event_id, channel_id, ts, is_alarm, value`` columns."""
     ensure_table(source.sparkSession, landing, LANDING, "day")
-    ensure_table(source.sparkSession, counters, COUNTERS, "batch")
     return (
         source.writeStream.foreachBatch(lambda df, i: ingest_batch(df, i, channels, landing, counters))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

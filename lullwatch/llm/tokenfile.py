@@ -78,7 +78,9 @@ def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
     coded = chunks.filter(filled).dictionary_encode()
     doc, codes = doc[filled.to_numpy(zero_copy_only=False)], coded.indices.to_numpy()
     distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-    missing = [c for c in distinct if c not in young]
+    found = list(map(young.get, distinct))
+    gaps = [k for k, x in enumerate(found) if x is None]
+    missing = [distinct[k] for k in gaps]
     young.update((c, old[c]) for c in missing if c in old)
     fresh = [c for c in missing if c not in young]
     runs = {c: n for c in fresh if (n := word_ends(c))}
@@ -98,8 +100,9 @@ def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
         part = others[k:k + 5000]
         for c, e in zip(part, encode([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False), strict=True):
             young[c] = np.array(e.ids, "<u4").tobytes()
-    found = [young[c] for c in distinct]
-    sizes, flat = np.array([len(x) // 4 for x in found], np.int64), np.frombuffer(b"".join(found), "<u4")
+    for k in gaps:
+        found[k] = young[distinct[k]]
+    sizes, flat = np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), "<u4")
     many = sizes[codes]
     upto = np.concatenate(([0], np.cumsum(many)))
     ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - upto[:-1], many) + np.arange(upto[-1])]
@@ -201,7 +204,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END, shard_t
     cuts = np.array(sorted(set(cuts)))
 
     def tokens(batches):
-        for b in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
+        for b in (b.slice(k, 2000) for b in batches for k in range(0, len(b), 2000)):
             ids = [np.append(x, np.uint32(end_id)) for x in encode_texts(b["text"], tokenizer)]
             small = [x.astype("<u2").tobytes() if x.max() < 65536 else b"\xff" + x.astype("<u4").tobytes() for x in ids]
             where = [0 if i is None else int(np.searchsorted(cuts, i)) for i in b["doc_id"].to_pylist()]

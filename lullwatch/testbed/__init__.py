@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CHECKS = ("checks_journal", "checks_joins", "checks_features", "checks_model", "checks_serving", "checks_advice", "checks_quality", "checks_streaming")
+CHECKS = ("checks_journal", "checks_joins", "checks_features", "checks_model", "checks_serving", "checks_advice", "checks_quality", "checks_streaming", "checks_sources")
 
 
 def load_checks() -> None:

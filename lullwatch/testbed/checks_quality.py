@@ -333,11 +333,6 @@ def _(b):
     return read_events(b.spark, path, 2024).select("event_id", "raw")
 
 
-@query("s06_read_slices", sql("preds", """SELECT id, prob FROM preds WHERE "at" >= TIMESTAMP '2024-01-12' AND "at" <= TIMESTAMP '2024-01-15'"""))
-def _(b):
-    return b.predictions().filter(F.col("at").between("2024-01-12", "2024-01-15")).select("id", "prob")
-
-
 @query("s05_union_by_name", sql("preds", """SELECT id, CASE WHEN "at" >= TIMESTAMP '2024-01-15' THEN p_link END AS p_link FROM preds"""))
 def _(b):
     from lullwatch.sources.parquet import read_predictions
@@ -357,12 +352,6 @@ def _(b):
     return manifest(t).select("table_name", "rows")
 
 
-@query("t07_trim_recent", sql("ev", "SELECT event_id FROM ev WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 5 DAY AND ts < TIMESTAMP '2024-01-31'"))
-def _(b):
-    from lullwatch.sources.publish import recent_events
-    return recent_events(b.events(), b.channels(), b.spec.data_end, 5).select("event_id")
-
-
 # ---- linear scheme
 
 

@@ -73,7 +73,7 @@ def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
     raw = pc.if_else(pc.match_substring(raw, "<|"), raw, pc.ascii_lower(raw))
     lists = pc.ascii_split_whitespace(pc.replace_substring_regex(raw, pattern=STOP, replacement=r"\1 \2\3"))
     chunks = lists.flatten()
-    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(lists).to_numpy())
     filled = pc.not_equal(chunks, "")
     coded = chunks.filter(filled).dictionary_encode()
     doc, codes = doc[filled.to_numpy(zero_copy_only=False)], coded.indices.to_numpy()
@@ -204,7 +204,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END, shard_t
     cuts = np.array(sorted(set(cuts)))
 
     def tokens(batches):
-        for b in (b.slice(k, 2000) for b in batches for k in range(0, len(b), 2000)):
+        for b in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
             ids = [np.append(x, np.uint32(end_id)) for x in encode_texts(b["text"], tokenizer)]
             small = [x.astype("<u2").tobytes() if x.max() < 65536 else b"\xff" + x.astype("<u4").tobytes() for x in ids]
             where = [0 if i is None else int(np.searchsorted(cuts, i)) for i in b["doc_id"].to_pylist()]

@@ -203,13 +203,13 @@ def _(b):
 
 
 @query("f11_interpolate_points", """WITH pts AS (SELECT o_custkey::DOUBLE AS x, min(o_totalprice)::DOUBLE AS y FROM orders GROUP BY 1)
- SELECT id, round(CASE WHEN lo.x IS NULL THEN hi.y WHEN hi.x IS NULL THEN lo.y ELSE lo.y + (q.x - lo.x) * ((hi.y - lo.y) / (hi.x - lo.x)) END, 4) AS y
+ SELECT id, round(CASE WHEN lo.x IS NULL THEN hi.y WHEN hi.x IS NULL THEN lo.y ELSE lo.y + (q.x - lo.x) * ((hi.y - lo.y) / (hi.x - lo.x)) END, 7) AS y
  FROM (SELECT o_orderkey AS id, (o_totalprice / 100.0)::DOUBLE AS x FROM orders) q ASOF LEFT JOIN pts lo ON q.x > lo.x ASOF LEFT JOIN pts hi ON q.x <= hi.x""")
 def _(b):
     o = b.table("orders")
     points = o.groupBy(F.col("o_custkey").cast("double").alias("x")).agg(F.min("o_totalprice").cast("double").alias("y")).withColumn("pos", F.lit(0))
     asked = o.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100.0).alias("x"))
-    return interpolate_by(asked, "x", points, "y").select("id", F.round("y", 4).alias("y"))
+    return interpolate_by(asked, "x", points, "y").select("id", F.round("y", 7).alias("y"))
 
 
 @query("f12_likely_kind", sql("preds", """SELECT id, CASE greatest(p_link, p_fault, p_disconnected, p_value) WHEN p_disconnected THEN 'disconnected' WHEN p_fault THEN 'fault' WHEN p_link THEN 'link' ELSE 'value' END AS code,

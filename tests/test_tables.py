@@ -197,3 +197,14 @@ def test_a_large_month_has_many_writers(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
     assert len(list((tmp_path / "e" / "year=2024" / "month=1").glob("*.parquet"))) > 8
     assert parquet.read_events(spark, str(tmp_path / "e"), 2024).count() == 300_000
+
+
+def test_newest_open_span_broadcasts_no_exploded_side(spark):
+    # tables small enough for Spark to broadcast them if it were free to
+    probes = spark.createDataFrame([(1, at(5)), (1, at(7))], "k long, at timestamp")
+    spans = spark.createDataFrame([(1, at(4), at(6), 10), (1, at(5), None, 11)], "k long, s timestamp, e timestamp, id long")
+    got = newest_open_at(probes, spans, ["k"], "at", "s", "e", ["id"], ["id"])
+    rows = {(r.k, r.at): r.id for r in got.collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert rows == {(1, at(5)): 11, (1, at(7)): 11}
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -208,3 +208,24 @@ def test_newest_open_span_broadcasts_no_exploded_side(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert rows == {(1, at(5)): 11, (1, at(7)): 11}
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_counter_pass_gets_partitions_by_its_rows(spark, monkeypatch):
+    from lullwatch.operators import windows as W
+    from lullwatch.plans import features as X
+    from lullwatch.spec import JournalSpec
+
+    hour = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 48 * 3600)
+    hourly = spark.range(40 * 48).select((F.col("id") / 48).cast("long").alias("ch"), hour.alias("hour"), hour.alias("last_ts"),
+                                         *[(F.col("id") % k).cast("double" if c.startswith("s_") else "int").alias(c) for k, c in enumerate(X.HOUR_MEASURES.values(), 2)])
+    sl = hourly.filter(F.hour("hour") % 6 == 0).select("ch", F.col("hour").alias("T"))
+    spec = JournalSpec()
+    faults = spark.createDataFrame([(1, at(9.5), "LINK_LOSS", None, False, False, False)], "ch long, ts timestamp, kind string, sub string, mass boolean, grp boolean, in_outage boolean")
+    rec = spark.createDataFrame([(1, at(11), 1.5)], "ch long, ts timestamp, hours double")
+    run = lambda: X.channel_counters(sl, hourly, X.fault_hours(faults, spec), rec, spec)
+    whole = sorted(run().collect(), key=lambda r: (r.ch, r["T"]))
+    assert "REPARTITION_BY_NUM" not in run()._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(W, "TASK_ROWS", 100, raising=False)
+    rows = sl.count() * (len(spec.windows) + 1) + hourly.count()
+    assert f", {-(-rows // 100)}), REPARTITION_BY_NUM" in run()._jdf.queryExecution().executedPlan().toString()
+    assert sorted(run().collect(), key=lambda r: (r.ch, r["T"])) == whole

@@ -229,3 +229,14 @@ def test_counter_pass_gets_partitions_by_its_rows(spark, monkeypatch):
     rows = sl.count() * (len(spec.windows) + 1) + hourly.count()
     assert f", {-(-rows // 100)}), REPARTITION_BY_NUM" in run()._jdf.queryExecution().executedPlan().toString()
     assert sorted(run().collect(), key=lambda r: (r.ch, r["T"])) == whole
+
+
+def test_slices_of_a_period_are_all_its_snapshots(spark):
+    from lullwatch.testbed.registry import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    got = QUERIES["s06_read_slices"](spark, folder)
+    all_of_it = Bed(spark, folder).predictions().filter(F.col("at").between("2024-01-12", "2024-01-15")).select("id", "prob")
+    assert got.columns == ["id", "prob"] and sorted(got.collect()) == sorted(all_of_it.collect()) and all_of_it.count() > 0
+    assert "FROM preds" in ORACLES["s06_read_slices"]
+    assert {"s06_read_feature_slices"} <= set(QUERIES)

@@ -232,8 +232,10 @@ def test_counter_pass_gets_partitions_by_its_rows(spark, monkeypatch):
 
 
 def test_slices_of_a_period_are_all_its_snapshots(spark):
+    from lullwatch.testbed import load_checks
     from lullwatch.testbed.registry import ORACLES, QUERIES
 
+    load_checks()
     folder = "/root/testdata/sf0.001"
     got = QUERIES["s06_read_slices"](spark, folder)
     all_of_it = Bed(spark, folder).predictions().filter(F.col("at").between("2024-01-12", "2024-01-15")).select("id", "prob")

@@ -33,6 +33,17 @@ def test_factor_texts_are_worked_out_once(spark):
     assert 1 <= plan.count("other:") < 20
 
 
+def signal_tables(spark):
+    preds = spark.createDataFrame([(k, k % 3, AT, 0.5, "risk", [("gap_to_norm", 3.0, 1.0)], None) for k in range(3)] + [(3, None, AT, 0.5, "risk", None, None), (4, 9, None, 0.5, "risk", None, None)],
+                                  f"id long, channel_id long, at timestamp, prob double, risk_level string, top_factors {FACTORS}, kind_probs map<string,double>")
+    faults = spark.createDataFrame([(0, datetime(2024, 1, 9, 12), "LINK_LOSS"), (1, datetime(2024, 1, 2), "FAULT")], "ch long, ts timestamp, kind string")
+    events = spark.createDataFrame([(1, datetime(2024, 1, 9, 20), "POWER_OFF")], "ch long, ts timestamp, txt string")
+    orders = spark.createDataFrame([(7, "WO-7", 2, "draft", datetime(2024, 1, 1), None)], "id long, number string, channel_id long, status string, created_at timestamp, closed_at timestamp")
+    channels = spark.createDataFrame([(k, 5, "фаза" if k == 1 else "дым", "S", f"n{k}", "t") for k in range(3)], "id long, object_id long, sensor_type string, system_type string, name string, tag string")
+    metrics = spark.createDataFrame([], "scope string, key string, model_version string, precision double")
+    return preds, faults, events, orders, channels, metrics, F.lit("v"), JournalSpec(link_loss="LINK_LOSS", fault="FAULT", power_off="POWER_OFF"), R.DEFAULT_RULES
+
+
 def test_signals_broadcast_no_side_with_a_row_a_prediction_or_channel(spark):
     preds = spark.createDataFrame([(k, k % 3, AT, 0.5, "risk", [("gap_to_norm", 3.0, 1.0)], None) for k in range(3)] + [(3, None, AT, 0.5, "risk", None, None), (4, 9, None, 0.5, "risk", None, None)],
                                   f"id long, channel_id long, at timestamp, prob double, risk_level string, top_factors {FACTORS}, kind_probs map<string,double>")
@@ -47,3 +58,32 @@ def test_signals_broadcast_no_side_with_a_row_a_prediction_or_channel(spark):
     assert rows == {0: (1, 2, None), 1: (1, 2, None), 2: (0, 2, "WO-7")}
     joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "HashJoin [channel_id" in line or "HashJoin [id#" in line]
     assert not joins, joins
+
+
+def test_parts_of_signals_are_written_one_by_one(spark, tmp_path):
+    names = []
+
+    def keep(name, build):
+        names.append(name)
+        build().write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    tables = signal_tables(spark)
+    df = A.signals(*tables, keep=keep)
+    assert len(names) == len(set(names)) == 5
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, df.collect())) == sorted(map(str, A.signals(*tables).collect()))
+
+
+def test_check_signals_write_their_parts(spark, tmp_path):
+    from lullwatch.testbed import adapter
+    from lullwatch.testbed import checks_advice
+
+    class Bed(adapter.Bed):
+        def stage(self, name, build):
+            stages.append(name)
+            return super().stage(name, build)
+
+    stages = []
+    checks_advice.signals(Bed(spark, "/root/testdata/sf0.001"))
+    assert {"signals_faults", "signals_power", "signals_silent", "signals_orders", "signals_precision"} <= set(stages)

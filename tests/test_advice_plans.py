@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lullwatch.plans import advice as A
 from lullwatch.plans import rules as R
 from lullwatch.spec import JournalSpec
+from lullwatch.testbed import adapter, checks_advice
 
 AT = datetime(2024, 1, 10)
 FACTORS = "array<struct<feature:string,value:double,norm:double>>"
@@ -70,20 +71,24 @@ def test_parts_of_signals_are_written_one_by_one(spark, tmp_path):
 
     tables = signal_tables(spark)
     df = A.signals(*tables, keep=keep)
-    assert len(names) == len(set(names)) == 5
+    assert len(names) == len(set(names)) == 8
     assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, df.collect())) == sorted(map(str, A.signals(*tables).collect()))
 
 
-def test_check_signals_write_their_parts(spark, tmp_path):
-    from lullwatch.testbed import adapter
-    from lullwatch.testbed import checks_advice
-
+def test_checks_write_the_parts_of_faults_and_signals(spark):
     class Bed(adapter.Bed):
         def stage(self, name, build):
-            stages.append(name)
-            return super().stage(name, build)
-
-    stages = []
-    checks_advice.signals(Bed(spark, "/root/testdata/sf0.001"))
-    assert {"signals_faults", "signals_power", "signals_silent", "signals_orders", "signals_precision"} <= set(stages)
+            if not name.startswith(("faults", "signals")):
+                return super().stage(name, build)
+            parts.append(name)
+            return build()
+
+    parts = []
+    bed = Bed(spark, "/root/testdata/sf0.001")
+    bed.faults()
+    assert parts == ["faults", "faults_objects", "faults_parents", "faults_silent_days"]
+    bed.predictions()
+    parts.clear()
+    checks_advice.signals(bed)
+    assert {"signals_faults", "signals_power", "signals_silent", "signals_lost_of_type", "signals_lost_of_object", "signals_orders", "signals_open_orders", "signals_precision"} <= set(parts)

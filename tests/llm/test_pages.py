@@ -40,3 +40,43 @@ def test_query(spark, tmp_path):
     out = P.op9_main_text(spark, write_tables(tmp_path / "t", pages=odd)).collect()
     assert len(out) == 2 * len(ODD) + 1 and all(r.text == list(ODD.values())[r.page_id] for r in out if r.page_id is not None)
     assert P.op9_main_text(spark, write_tables(tmp_path / "e", pages=odd.limit(0))).count() == 0
+
+
+def host_pages(n, odd):
+    """Pages of a host without article: page ``odd`` has another text where all others repeat one; ``h1`` texts are the same on all pages."""
+    return [f"<body><div id=top><h2>Always here</h2></div><div id=w><p>{'Changed' if k == odd else 'Welcome'}</p></div><div id=t><p>text {k}</p>{'<p>more</p>' * (k % 3)}</div>"
+            f"{'<div><h3>opt</h3></div>' if k % 2 else ''}</body>" for k in range(n)]
+
+
+def test_wrapper_reads_all_pages_of_a_host(spark):
+    n = 60
+    # whichever pages are looked at, the one that differs counts, also a very long one
+    for odd, more in ((7, ""), (41, ""), (23, "<div id=z><p>" + "x " * 120_000 + "</p></div>")):
+        pages = host_pages(n, odd)
+        pages[odd] += more
+        frame = spark.createDataFrame([(k, f"http://a.org/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(7)
+        for together in (P.TOGETHER, 9):
+            got = {r.page_id: r.text.split("\n") for r in P.main_text(frame, together).collect()}
+            assert all("Always here" not in t and ("Changed" if k == odd else "Welcome") in t and f"text {k}" in t for k, t in got.items()) and len(got) == n, (odd, together)
+    assert "Welcome" in {t for t in P.infer(host_pages(n, None)).values()}
+
+
+def test_wrappers_of_groups_agree_with_one_pass():
+    pages = host_pages(60, 17)
+    whole = P.infer(pages)
+    assert set(whole.values()) == {"Always here"}
+    for size in (1, 5, 13, 40):
+        top = P.Wrapper()
+        for k in range(0, len(pages), size):
+            part = P.Wrapper()
+            for page in pages[k:k + size]:
+                part.add(1, False, P.stream(page))
+            top.add(part.n, part.varies, part.items)
+        assert top.n == 60 and top.template() == whole, size
+
+
+def test_long_alternations_are_aligned_without_pairs():
+    left, right = ["h", "p"] * 30_000 + ["f"], ["x"] + ["h", "p"] * 29_000 + ["f"]
+    found = P.matches(left, right)
+    assert found[-1] == (60_000, 58_001) and len(found) == 58_001 and all(left[a] == right[b] for a, b in found)
+    assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:]))

@@ -1,11 +1,14 @@
 """Plans of the advice programs: what the driver holds must grow neither with the tables nor with the texts of a rule."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from lullwatch.operators.intervals import newest_open_at
 from lullwatch.plans import advice as A
 from lullwatch.plans import rules as R
+from lullwatch.plans.serving import snapshot
 from lullwatch.spec import JournalSpec
 from lullwatch.testbed import adapter, checks_advice
 
@@ -133,3 +136,72 @@ def test_checks_write_the_tables_that_parts_share(spark):
     parts = []
     checks_advice.signals(Bed())
     assert {"advised", "last_losses", "fault_totals", "repairs"} <= set(parts)
+
+
+def rows_made(df, node):
+    """Rows that operators of this name put out when the rows of ``df`` were collected."""
+    def walk(plan):
+        if plan.nodeName().endswith("QueryStage"):
+            return walk(plan.plan())
+        own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == node else 0
+        return own + sum(walk(plan.children().apply(k)) for k in range(plan.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan().executedPlan())
+
+
+def test_probes_of_a_lasting_span_ask_no_tree(spark):
+    probes = [(k, AT + timedelta(hours=h)) for k in range(3) for h in range(40)]
+    # channel 0: open for good; 1: a short span over it; 2: a span that holds all moments and ends
+    spans = [(0, AT, None, 1), (1, AT - timedelta(days=900), None, 2), (1, AT + timedelta(hours=5.5), AT + timedelta(hours=8), 3), (2, AT - timedelta(days=1), AT + timedelta(days=5), 4)]
+    got = newest_open_at(spark.createDataFrame(probes, "k long, at timestamp"), spark.createDataFrame(spans, "k long, s timestamp, e timestamp, id long"), ["k"], "at", "s", "e", ["id"], ["id"])
+    rows = {(r.k, (r.at - AT).total_seconds() / 3600): r.id for r in got.collect()}
+    assert rows == {(k, h): (1, 3 if k == 1 and h in (6, 7) else 2, 4)[k] for k in range(3) for h in range(40)}
+    # a row a probe, eight levels for the 32 probes after the short span, the nodes of two spans; before: 21 rows a probe and some 20 nodes a lasting span
+    assert rows_made(got, "Generate") <= 120 + 32 * 8 + 30
+
+
+def test_older_spans_that_end_are_found_again(spark):
+    rng = random.Random(3)
+    hour = lambda h: AT + timedelta(hours=h)
+    spans = [(rng.randrange(4), hour(s), rng.choice([None, *[hour(s + rng.choice([0, 0.4, 1, 2, 30, 700]))] * 8]), k % 50) for k, s in enumerate(rng.uniform(0, 500) for _ in range(400))]
+    spans += [(k, None, None, 7) for k in range(4)] + [(None, AT, None, 8)]
+    probes = [(k, hour(h)) for k in [None, *range(5)] for h in range(-3, 900, 11)] * 2
+    df = spark.createDataFrame(spans, "k long, s timestamp, e timestamp, id long")
+    got = newest_open_at(spark.createDataFrame(probes, "k long, at timestamp"), df, ["k"], "at", "s", "e", ["id"], ["id"]).collect()
+    want = {(k, t): max(inside)[1] for k, t in probes if k is not None and (inside := [(s, i) for kk, s, e, i in spans if kk == k and s is not None and s <= t and (e is None or t < e)])}
+    assert len(got) == len(want) and {(r.k, r.at): r.id for r in got} == want
+    none = newest_open_at(spark.createDataFrame(probes, "k long, at timestamp"), df.limit(0), ["k"], "at", "s", "e", ["id"], ["id"])
+    assert none.count() == 0
+
+
+def test_phase_sensors_are_asked_only_near_their_own_messages(spark):
+    channels = spark.createDataFrame([(k, 5, "фаза" if k else "дым") for k in range(41)], "id long, object_id long, sensor_type string")
+    preds = spark.createDataFrame([(0, AT + timedelta(hours=6 * h)) for h in range(60)], "channel_id long, at timestamp")
+    events = spark.createDataFrame([(3, AT + timedelta(hours=100.5), "POWER_OFF"), (4, AT + timedelta(hours=100.5), "POWER_OFF"), (4, AT + timedelta(hours=60), "POWER_OFF")], "ch long, ts timestamp, txt string")
+    got = A.new_power_off(preds, events, channels, JournalSpec(power_off="POWER_OFF"), R.DEFAULT_RULES)
+    rows = {(r.at - AT).total_seconds() / 3600: r.object_power_off for r in got.collect()}
+    # channel 3 is new at 102 to 120 hours, channel 4 is not new then but was at 60 to 78
+    assert {h: n for h, n in rows.items() if n} == {h: 1 for h in (60, 66, 72, 78, 102, 108, 114, 120)} and len(rows) == 60
+    # before: three rows for each of 40 sensors at 60 moments
+    assert rows_made(got, "Generate") < 400
+
+
+def test_the_plan_asks_signals_of_its_snapshot_only(spark):
+    class Bed(adapter.Bed):
+        def stage(self, name, build):
+            parts.append(name)
+            return super().stage(name, build)
+
+    parts = []
+    bed = Bed(spark, "/root/testdata/sf0.001")
+    got = sorted(map(str, checks_advice.snapshot_signals(bed).collect()))
+    assert "signals" not in parts and "snapshot_signals" in parts
+    assert got and got == sorted(map(str, snapshot(checks_advice.signals(bed), checks_advice.AT).collect()))
+
+
+def test_orders_of_channels_without_predictions_are_left_out(spark):
+    preds, faults, _, orders, channels, *_ = signal_tables(spark)
+    more = orders.union(orders.selectExpr("id + 1", "number", "channel_id + 77", "status", "created_at", "closed_at"))
+    assert A.orders_asked(preds, more).select(more.columns).collect() == orders.collect()
+    state = lambda o: sorted(map(str, A.order_state(preds, o, faults, R.DEFAULT_RULES).collect()))
+    assert state(A.orders_asked(preds, more)) == state(more)

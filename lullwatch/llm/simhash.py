@@ -18,6 +18,10 @@ the buckets they share; a text is compared with the ``LATER`` before it in each.
 allows are left out, which loses none; the others are verified over both whole sets; their number grows with
 the number of rows. Copies of a text are one node.
 
+What this misses in the larger buckets is found exactly: every pair of such a bucket that the links so far do not join is looked at (``rest_pairs``), in blocks of ``BLOCK`` texts. A pair goes on
+only if the similarity is possible by the numbers of shingles, by the places of the bucket's shingle among the smallest ones, and by ``parity_bits``: 1,024 bits a text or more, of which two sets
+differ in no more than in their shingles. None of it loses a pair. The looks grow with the square of a bucket (of texts that are not one class already), the pairs that go on do not.
+
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; fewer words than a shingle give the whole
 sequence; rows with a null doc_id have a fingerprint and no component; repeated rows give repeated rows; other columns are ignored.
 """
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullwatch.llm.common import partitions, register, stage, table, thrifty_map
+from lullwatch.llm.common import partitions, register, stage, table, thrifty_group, thrifty_map
 
 HOT = 512
 SEED = 42
@@ -42,6 +46,10 @@ SEED = 42
 ALL = 16
 """Texts of a bucket that are compared with all before them; later ones with the ``LATER`` before them."""
 LATER = 4
+BLOCK = 2048
+"""Texts of a larger bucket that one task holds on each side, about."""
+SLOTS = 1 << 24
+"""Bits of the map that tells entries of larger buckets from others, before the exact join."""
 ROWS = 64
 """Min-hash values of a text: four words of 16."""
 TURNS = np.random.default_rng(SEED).integers(0, 1 << 64, ROWS, np.uint64, endpoint=False) | np.uint64(1)
@@ -92,6 +100,18 @@ def min_words(hashes: np.ndarray) -> np.ndarray:
     return (least.reshape(4, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """1,024 bits, twice as many for each doubling of the set beyond 800, each the parity of the hashes that fall on it: two sets differ in at least as many hashes as their bits.
+
+    The halves of a longer map, one upon the other, are the shorter one.
+    """
+    width = 1024
+    while width < 1 << 15 and 800 * width < 1024 * len(hashes):
+        width *= 2
+    at = (hashes * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(49)).astype(np.int64) & (width - 1)
+    return np.packbits(np.bincount(at, minlength=width) & 1).tobytes()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, longer where a column has it."""
     while name.lower() in (c.lower() for c in df.columns):
@@ -180,21 +200,34 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def candidates(texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``u, v`` with u > v: nodes that share one of their smallest shingles and whose numbers of shingles allow the similarity."""
+def smallest(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``node, n, words, least, parity``: number of shingles, min-hash words, smallest shingle hashes and parities of every node, written."""
     share = Fraction(str(similarity))
 
     def scan(batches):
         for b in batches:
-            nodes, sizes, words, least = [], [], [], []
+            nodes, sizes, words, least, parity = [], [], [], [], []
             for node, t in zip(b["node"].to_pylist(), b["text"], strict=True):
                 h = shingle_set(t.as_py(), size)
                 nodes.append(node)
                 sizes.append(len(h))
                 words.append(min_words(h))
                 least.append(h[:len(h) - ceil(share * len(h)) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))],
-                                             names=["node", "n", "words", "least"])
+                parity.append(parity_bits(h))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64())),
+                                              pa.array(parity, pa.binary())], names=["node", "n", "words", "least", "parity"])
+
+    rows = texts.select("node", "text").mapInArrow(thrifty_map(scan), "node bigint, n bigint, words array<bigint>, least array<bigint>, parity binary")
+    rows = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "words", "least", "parity")])
+    return stage(rows, "simhash-least")
+
+
+def candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """``u, v`` with u > v: nodes that share one of their smallest shingles and whose numbers of shingles allow the similarity; of larger buckets, those near each other.
+
+    A row ``(key, NULL)`` names each larger bucket.
+    """
+    share = Fraction(str(similarity))
 
     def meet(batches):
         empty = np.zeros(0, np.int64)
@@ -214,18 +247,94 @@ def candidates(texts: DataFrame, size: int, similarity: float) -> DataFrame:
                 near &= (rank[i] <= ALL) | (back <= LATER)
                 us.append(np.maximum(node[i], node[j])[near])
                 vs.append(np.minimum(node[i], node[j])[near])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            u, v = np.concatenate(us), np.concatenate(vs)
+            large = key[had:][rank[had:] == ALL + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((u, large))), pa.concat_arrays([pa.array(v), pa.nulls(len(large), pa.int64())])], names=["u", "v"])
             key, node, n, rank = key[-ALL:], node[-ALL:], n[-ALL:], rank[-ALL:]
 
-    rows = texts.select("node", "text").mapInArrow(thrifty_map(scan), "node bigint, n bigint, words array<bigint>, least array<bigint>")
-    rows = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.first("least").alias("least"))
-    rows = stage(rows, "simhash-least")
     entries = rows.select("node", "n", "words", F.explode("least").alias("key"))
     word, shift = "words[cast(key >> 4 & 3L as int)]", "cast(4 * (key & 15L) as int)"
     turned = F.expr(f"if(key & 15L = 0, {word}, shiftleft({word}, {shift}) | shiftrightunsigned({word}, 64 - {shift}))").alias("turned")
     entries = entries.select("key", turned, "node", "n")
-    dealt = entries.repartition(4 * partitions(texts.sparkSession), "key").sortWithinPartitions("key", "turned", "node").select("key", "node", "n")
-    pairs = dealt.mapInArrow(thrifty_map(meet), "u bigint, v bigint").distinct()
+    dealt = entries.repartition(4 * partitions(rows.sparkSession), "key").sortWithinPartitions("key", "turned", "node").select("key", "node", "n")
+    return dealt.mapInArrow(thrifty_map(meet), "u bigint, v bigint").distinct()
+
+
+def rest_pairs(rows: DataFrame, large: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``u, v`` with u > v: pairs in the buckets named by ``large`` (``key``) that are not of one class of ``roots`` and that may have the similarity."""
+    share = Fraction(str(similarity))
+    more, less = share.denominator + share.numerator, share.denominator - share.numerator
+    slot = F.col("key").bitwiseAND(SLOTS - 1)
+    found = large.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(32767)).alias("bits")).collect()
+    held = np.zeros(SLOTS // 8, np.uint8)
+    for r in found:
+        held[r.part * 4096:(r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    bits = rows.sparkSession.sparkContext.broadcast(held)
+
+    def pick(batches):
+        known = bits.value
+        for b in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
+            least = b["least"]
+            key = least.flatten().to_numpy()
+            sizes = np.diff(least.offsets.to_numpy())
+            row = np.repeat(np.arange(len(b)), sizes)
+            at = key & (SLOTS - 1)
+            keep = np.flatnonzero(known[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            place = (np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[keep]
+            of = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(place), *(b[c].take(of) for c in ("node", "n", "parity"))], names=["key", "place", "node", "n", "parity"])
+
+    def look(table):
+        root, node, n, place, side = (table[c].to_numpy() for c in ("root", "node", "n", "place", "side"))
+        bits_of = table["parity"].to_pylist()
+        level = np.fromiter(((len(p) // 128).bit_length() - 1 for p in bits_of), np.int64, len(bits_of))
+        parity = {}
+        for g in np.unique(level).tolist():
+            parity[g] = np.zeros((len(level), 16 << g), np.uint64)
+            for k in np.flatnonzero(level >= g).tolist():
+                p = np.frombuffer(bits_of[k], np.uint64)
+                while len(p) > 16 << g:
+                    p = p[:len(p) // 2] ^ p[len(p) // 2:]
+                parity[g][k] = p
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(left), 64):
+            a = left[k:k + 64]
+            b = right[k:] if lo == hi else right
+            both = n[a][:, None] + n[b][None, :]
+            low, high = np.minimum(n[a][:, None], n[b][None, :]), np.maximum(n[a][:, None], n[b][None, :])
+            ahead = np.minimum((n - place)[a][:, None], (n - place)[b][None, :])
+            i, j = np.nonzero((root[a][:, None] != root[b][None, :]) & (low * share.denominator >= high * share.numerator) & (ahead * more >= both * share.numerator))
+            least = np.minimum(level[a[i]], level[b[j]])
+            for g, step in ((g, (1 << 16) >> g) for g in np.unique(least).tolist()):
+                i_, j_ = i[least == g], j[least == g]
+                for c in range(0, len(i_), step):
+                    x, y = a[i_[c:c + step]], b[j_[c:c + step]]
+                    apart = np.bitwise_count(parity[g][x] ^ parity[g][y]).sum(axis=1, dtype=np.int64)
+                    near = apart * more <= (n[x] + n[y]) * less
+                    us.append(np.maximum(node[x], node[y])[near])
+                    vs.append(np.minimum(node[x], node[y])[near])
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    members = rows.select("node", "n", "least", "parity").mapInArrow(thrifty_map(pick), "key bigint, place bigint, node bigint, n bigint, parity binary")
+    members = members.join(large, "key", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = stage(members, "simhash-members")
+    mixed = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("times")).where("a != b")
+    sides = mixed.select("key", F.ceil(F.col("times") / BLOCK).alias("sides"))
+    dealt = members.join(sides, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")))
+    dealt = dealt.select("*", F.explode(F.expr("sequence(0L, sides - 1)")).alias("other")).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
+    dealt = dealt.select("key", "lo", "hi", "side", "place", "node", "n", "root", "parity")
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(thrifty_group(look), "u bigint, v bigint").distinct()
+
+
+def allowed(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` without those whose smallest shingles differ in more than the similarity allows."""
+    share = Fraction(str(similarity))
+
+    def common(x, y):
+        """Values of ``x`` that are in ``y``; both are sorted."""
+        return np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) if len(y) else 0
 
     def allow(batches):
         for b in batches:
@@ -234,7 +343,7 @@ def candidates(texts: DataFrame, size: int, similarity: float) -> DataFrame:
                 x, y = (a.values.to_numpy().view(np.uint32) for a in (x, y))
                 top = min(x[-1], y[-1])
                 x, y = x[:np.searchsorted(x, top)], y[:np.searchsorted(y, top)]
-                most = min(n - np.count_nonzero(~np.isin(x, y)), m - np.count_nonzero(~np.isin(y, x)))
+                most = min(n - len(x) + common(x, y), m - len(y) + common(y, x))
                 keep.append(bool(most * (share.numerator + share.denominator) >= (n + m) * share.numerator))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
@@ -244,10 +353,9 @@ def candidates(texts: DataFrame, size: int, similarity: float) -> DataFrame:
     return asked.select("u", "v", "n", "x", "m", "y").mapInArrow(thrifty_map(allow), "u bigint, v bigint")
 
 
-def similar_nodes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``u, v`` with u > v: nodes (of ``keyed`` documents) whose shingle sets have at least the Jaccard ``similarity``."""
+def verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``pairs`` whose whole shingle sets have the similarity."""
     share = Fraction(str(similarity))
-    pairs = stage(candidates(docs, size, similarity), "simhash-pairs")
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
 
     def sets(batches):
@@ -269,6 +377,19 @@ def similar_nodes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(thrifty_map(verify), "u bigint, v bigint")
 
 
+def similar_nodes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``u, v`` with u > v: nodes (of ``keyed`` documents) whose shingle sets have at least the Jaccard ``similarity``, as far as other links do not join them."""
+    rows = smallest(docs, size, similarity)
+    met = stage(candidates(rows, similarity), "simhash-met")
+    pairs = stage(allowed(rows, met.where("v is not null"), similarity), "simhash-pairs")
+    large = met.where("v is null").select(F.col("u").alias("key"))
+    if large.isEmpty():
+        return verified(docs, pairs, size, similarity)
+    links_ = stage(verified(docs, pairs, size, similarity), "simhash-links")
+    more = stage(allowed(rows, rest_pairs(rows, large, components(links_), similarity), similarity), "simhash-pairs")
+    return links_ if more.isEmpty() else links_.union(verified(docs, more, size, similarity))
+
+
 def one_of_each(docs: DataFrame, size: int = 3, similarity: float | None = None) -> DataFrame:
     """Documents without their near-duplicates: the smallest doc_id of each class stays, once; rows without doc_id stay.
 

@@ -84,3 +84,42 @@ def test_columns_of_any_name_survive(spark):
                                   ", ".join(["doc_id long", "text string", *(f"{c} string" for c in names)]))
     rows = {r.doc_id: r for r in S.one_of_each(frame, 5, 0.8).collect()}
     assert set(rows) == {0, 2, 3} and all(r[c] == f"{c}{k}" for k, r in rows.items() for c in names)
+
+
+def test_large_buckets_are_searched_whole(spark, monkeypatch):
+    # without a look at the neighbours in the order of min-hash values, the search of what they leave must find every link
+    monkeypatch.setattr(S, "LATER", 0)
+    monkeypatch.setattr(S, "BLOCK", 100, raising=False)
+    texts, copies = boilerplate(400)
+    rng = random.Random(3)
+    texts += [edited(rng, texts[7], 0.004 * k) for k in range(40)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    frame = spark.createDataFrame([(k, texts[k]) for k in order], "doc_id long, text string").repartition(8)
+    left = {r.doc_id for r in S.one_of_each(frame, 5, 0.8).collect()}
+    assert all(b not in left for _, b in copies)
+    assert left == first_of_classes(dict(enumerate(texts)))
+
+
+def test_parities_differ_in_no_more_than_the_sets():
+    rng = random.Random(1)
+    for _ in range(200):
+        a = {rng.getrandbits(64) for _ in range(rng.randrange(400))}
+        b = {x for x in a if rng.random() < 0.8} | {rng.getrandbits(64) for _ in range(rng.randrange(60))}
+        x, y = (int.from_bytes(S.parity_bits(S.np.array(sorted(s), S.np.uint64)), "little") for s in (a, b))
+        assert (x ^ y).bit_count() <= len(a ^ b)
+    a = S.np.array([rng.getrandbits(64) for _ in range(3000)], S.np.uint64)
+    p, q = (S.np.frombuffer(S.parity_bits(x), S.np.uint8) for x in (a, a[:1500]))
+    assert len(p) == 2 * len(q) == 512
+    fold = p[:256] ^ p[256:] ^ q
+    assert 0 < int.from_bytes(fold.tobytes(), "little").bit_count() <= 1500
+
+
+def test_long_texts_of_large_buckets_meet(spark, monkeypatch):
+    monkeypatch.setattr(S, "LATER", 0)
+    rng = random.Random(8)
+    common = [" ".join(f"c{k}w{rng.randrange(10**6)}" for _ in range(300)) for k in range(4)]
+    texts = ["\n".join([*common, " ".join(f"t{t}w{rng.randrange(10**6)}" for _ in range(rng.choice([200, 300, 450, 900])))]) for t in range(50)]
+    texts += [edited(rng, t, 0.01) for t in texts[::3]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in S.one_of_each(frame, 5, 0.8).collect()} == first_of_classes(dict(enumerate(texts)))
